@@ -1,10 +1,12 @@
 """The numbered queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_simhash": simhash.op2_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
