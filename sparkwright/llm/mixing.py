@@ -53,6 +53,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     shift = HASH_BITS
     while shift > 0:
         width, shift = shift, shift - LEVEL_BITS
+        state = state.select("source", "source_size", "target", "copies", "rest", "start", "below")
         same = sized["source"].eqNullSafe(state["source"]) & (F.shiftright(sized["hash"], width) == F.shiftright(state["start"], width))
         bucket = F.shiftright(sized["hash"], shift).alias("bucket")
         found = sized.join(state, same).groupBy(state["source"], bucket).agg(F.sum("size").alias("size"), F.count_distinct("hash").alias("n"))
