@@ -1,14 +1,17 @@
 """The numbered queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import decontamination, line_dedup, mixing, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_simhash": simhash.op2_simhash,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op6_mixing": mixing.SQL,
+    "op10_secrets": secrets.SQL,
 }
