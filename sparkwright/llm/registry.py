@@ -1,6 +1,6 @@
 """The numbered queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import decontamination, line_dedup, mixing, quality_rules, secrets, simhash, token_counts
+from . import decontamination, hmm, line_dedup, mixing, quality_rules, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_hmm_scores": hmm.op8_hmm_scores,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_secrets": secrets.op10_secrets,
 }
