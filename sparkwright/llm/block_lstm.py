@@ -102,10 +102,10 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], hidden: int, epochs
     rng = np.random.default_rng(seed)
     w = fresh_weights(pages[0].shape[1], hidden, seed)
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
+    order = sorted(range(len(pages)), key=lambda i: len(pages[i]))  # pages of like length go together, so little is padded
+    lots = [order[at : at + lot] for at in range(0, len(order), lot)]
     for epoch in range(epochs):
-        order = rng.permutation(len(pages))
-        for at in range(0, len(order), lot):
-            of = order[at : at + lot]
+        for of in (lots[i] for i in rng.permutation(len(lots))):
             _, grad = gradient([pages[i] for i in of], [labels[i] for i in of], w)
             step += 1
             now = rate * (1 - epoch / epochs) + 1e-4

@@ -28,12 +28,12 @@ from .block_lstm import Weights, logits, train
 from .blocks import Block, blocks_of, vectors
 from .common import col, table
 
-TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 60_000, 8, 24, 8, 11
+TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 20_000, 8, 24, 8, 11
 #: Pages that are labelled at once, and blocks.
 LOT, LOT_BLOCKS = 256, 20_000
 #: Names of tags, classes and ids by which the training sample is labelled and varied.
 MAIN = ("article", "main", ".main", ".content", ".article", ".post", ".entry", ".story", ".body")
-MAIN_PATHS = (("article",), ("main",), ("div", ".content"), ("div", ".main"), ("div", ".article", ".body"), ("div", ".post"), ("section", ".entry"), ("div", ".story"), ("main", "article"), ("div", ".main", ".content", "article"), ("section", "article"))
+MAIN_PATHS = (("article",), ("main",), ("div", ".content"), ("div", ".main"), ("div", ".article", ".body"), ("div", ".post"), ("section", ".entry"), ("div", ".story"), ("main", "article"), ("div", ".main", ".content", "article"), ("section", "article"), ())
 NOT_MAIN_TAGS = ("nav", "footer", "aside", "form", "menu", "dialog", "button", "head")
 NOT_MAIN_NAMES = (
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer",
@@ -84,12 +84,12 @@ def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> t
         if rng.random() < 0.25:  # more of the article
             if not out[min(at, len(out) - 1)][1]:
                 continue
-            body, k = inside(near), 1.0
+            body, k = inside(near) or top, 1.0
         else:
             name = (NOT_MAIN_TAGS[rng.integers(6)],) if rng.random() < 0.35 else ("header",) if rng.random() < 0.15 else (("div", "section", "p", "ul", "aside")[rng.integers(5)], f".{NOT_MAIN_NAMES[rng.integers(len(NOT_MAIN_NAMES))]}")
             host = inside(near) if rng.random() < 0.5 and name != ("header",) else top
             body, k = (*host, *name), 0.0
-        inner = INNER[rng.integers(len(INNER))]
+        inner = ("header", "h1") if k and rng.random() < 0.2 else INNER[rng.integers(len(INNER))]
         for _ in range(int(rng.integers(1, 6))):
             t, n = text(not k and rng.random() < 0.4)
             if t:
