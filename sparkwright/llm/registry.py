@@ -1,11 +1,12 @@
 """The numbered queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import decontamination, hmm, html_extraction, line_dedup, mixing, quality_rules, secrets, simhash, token_counts
+from . import decontamination, hmm, html_extraction, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_html_extraction": html_extraction.op3_html_extraction,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
