@@ -1,30 +1,55 @@
-"""The document pipeline: each stage works on what the one before it kept."""
+"""The document pipeline: each stage works on what the one before it kept.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns have the results that the operators of
+sparkwright.llm state. All stages but the last return the columns of their input; the last one adds how
+often a document is taken and how many words that makes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import line_dedup, mixing
+from sparkwright.llm import decontamination, line_dedup, mixing, quality_rules, simhash
 from sparkwright.llm.common import materialize, table
 
 
-def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the lines out that three or more documents share, but for one holder."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that the quality rules reject."""
+    return quality_rules.keep_good(docs)
+
+
+def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the lines that three or more documents share out of all but one holder."""
     return line_dedup.apply_line_dedup(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: SimHash of five-word shingles.
+
+    A similarity of 0.8 makes about ten bits of 64 differ, so links reach that far; a second fingerprint
+    of another seed must agree, as one of 64 bits links strangers by chance at that radius.
+    """
+    return simhash.one_of_each(docs, width=5, radius=10, more_radius=12)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the documents that a benchmark item contaminates."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the mix takes, with its number of copies and of words."""
+    """Keeps what the mix of sources takes, with its number of copies and of words."""
     return mixing.apply_mix(docs)
 
 
-STAGES = [("line_dedup", drop_shared_lines), ("mixing", mix_sources)]
+STAGES = [("quality_rules", quality), ("line_dedup", shared_lines), ("near_duplicates", near_duplicates), ("decontamination", benchmark_passages), ("mixing", mix_sources)]
 
 #: The tokeniser, the fingerprint links and the tiling are not SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table documents; what a stage keeps is written, so a later one does not compute it again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -21,7 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) of longs to (node, root): each node with an edge, and the smallest node reachable, itself for a root.
+    """edges(a, b) of one orderable type to (node, root): each node with an edge, and the smallest node reachable, itself for a root.
 
     Every step is a grouped minimum and a join on the node, whose large partitions Spark splits; the steps
     stop when the set of edges, which are stars then, no longer changes.

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, fresh, materialize, table, text_bytes
@@ -32,27 +32,34 @@ BITS, SEED = 64, 42
 TILE, SUB = 4096, 1024
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
+def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     """Bit i is set if it is set in over half the XXH64 of the shingles, repeats included."""
+    return fingerprints(text, width, (seed,))[0]
+
+
+def fingerprints(text: str | None, width: int, seeds: tuple[int, ...]) -> list[int]:
     words = text_bytes(text).lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < width:
-        return digest(joined, SEED)
+        return [digest(joined, seed) for seed in seeds]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    spans, counts = list(zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.zeros(BITS, np.int64)
+    spans, counts = list(zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)), np.zeros((len(seeds), BITS), np.int64)
     for at in range(0, len(spans), 1 << 15):
-        h = np.array([digest(joined[s:e], SEED) for s, e in spans[at : at + (1 << 15)]], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(spans), bitorder="little").view(np.uint64)[0])
+        shingles = [joined[s:e] for s, e in spans[at : at + (1 << 15)]]
+        for i, seed in enumerate(seeds):
+            h = np.array([digest(x, seed) for x in shingles], np.uint64)
+            counts[i] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(spans), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
-def _fingerprint_udf(width: int) -> Callable:
-    @F.arrow_udf("bigint")
+def _fingerprint_udf(width: int, seeds: tuple[int, ...]) -> Callable:
+    @F.arrow_udf("array<bigint>")
     def simhash64(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py(), width) for t in text], np.uint64).view(np.int64))
+        rows = np.array([fingerprints(t.as_py(), width, seeds) for t in text], np.uint64).view(np.int64)
+        return pa.array(list(rows.reshape(-1, len(seeds))), pa.list_(pa.int64()))
 
     return simhash64
 
@@ -70,8 +77,8 @@ def _sub_tiles(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int]]
     return [(i, fps[i], int(pops[i[0]]), int(pops[i[-1]])) for i in (order[k : k + SUB] for k in range(0, len(fps), SUB))]
 
 
-def link_forest(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (node, root) of a spanning forest of the links of one tile, or of those between its two sides."""
+def link_forest(fps: np.ndarray, side: np.ndarray, radius: int, more: np.ndarray | None = None, more_radius: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (node, root) of a spanning forest of the links of one tile, or of those between its two sides; more: second fingerprints that must agree too."""
     ids = np.arange(len(fps))
     root = ids.copy()
     halves = [ids[side == s] for s in np.unique(side)]
@@ -84,6 +91,9 @@ def link_forest(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndar
                 continue
             a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
             a, b = left[i[a]], right[j[b]]
+            if more is not None:
+                near = np.bitwise_count(more[a] ^ more[b]) <= more_radius
+                a, b = a[near], b[near]
             while True:  # hook the larger root under the smaller one and shorten the paths, until no link is left between trees
                 p, q = root[a], root[b]
                 apart = p != q
@@ -97,19 +107,23 @@ def link_forest(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndar
     return node, root[node]
 
 
-def _compare(radius: int) -> Callable:
+def _compare(radius: int, more_radius: int | None) -> Callable:
+    keys = 4  # pair, block, x, y; then side, and one or two fingerprints
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def links(parts: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fps, found = parts[-1].view(np.uint64), []
+            side, prints = parts[keys], parts[keys + 1 :]
+            fps, more = prints[0].view(np.uint64), prints[1].view(np.uint64) if more_radius is not None else None
+            found = []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    node, root = link_forest(fps[s:e], parts[-2][s:e], radius)
+                    node, root = link_forest(fps[s:e], side[s:e], radius, more[s:e] if more is not None else None, more_radius or 0)
                     if len(node):
-                        found.append((parts[-1][s:e][node], parts[-1][s:e][root]))
+                        found.append([p[s:e][k] for k in (node, root) for p in prints])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], [f"{k}{i}" for k in "ab" for i in range(len(prints))])
 
         for batch in batches:
             parts = [c.to_numpy() for c in batch.columns]
@@ -117,7 +131,7 @@ def _compare(radius: int) -> Callable:
                 parts = [np.concatenate(x) for x in zip(rest, parts, strict=True)]
             if not len(parts[0]):
                 continue
-            starts = np.flatnonzero(np.logical_or.reduce([p[1:] != p[:-1] for p in parts[:4]])) + 1
+            starts = np.flatnonzero(np.logical_or.reduce([p[1:] != p[:-1] for p in parts[:keys]])) + 1
             last = int(starts[-1]) if len(starts) else 0
             yield from links(parts, np.concatenate([[0], starts]))
             rest = [p[last:] for p in parts]  # the tile that may go on in the next batch
@@ -127,40 +141,49 @@ def _compare(radius: int) -> Callable:
     return compare
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """fps(fp), distinct, to links (a, b) that join the same components as all pairs within radius would."""
+def fingerprint_links(fps: DataFrame, radius: int = 3, more_radius: int | None = None, tile: int = TILE) -> DataFrame:
+    """Distinct fps(fp0), or fps(fp0, fp1) if more_radius is given, to links (a0, b0) or (a0, a1, b0, b1) that join the same components as all pairs within the radius would."""
+    prints = ["fp0"] if more_radius is None else ["fp0", "fp1"]
     masks = F.array(*(F.lit(m).cast("long") for m in block_masks(radius)))
-    dealt = fps.select("fp", F.posexplode(masks).alias("pair", "mask")).select("pair", F.col("fp").bitwiseAND(F.col("mask")).alias("block"), "fp")
+    dealt = fps.select(*prints, F.posexplode(masks).alias("pair", "mask")).select("pair", F.col("fp0").bitwiseAND(F.col("mask")).alias("block"), *prints)
     large = dealt.groupBy("pair", "block").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     cut = dealt.join(large, ["pair", "block"], "left").withColumn("cuts", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
-    cut = cut.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
+    cut = cut.withColumn("side", F.pmod(F.xxhash64(*prints), F.col("cuts")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiles = met.select("pair", "block", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "fp")
+    tiles = met.select("pair", "block", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", *prints)
     sorted_tiles = tiles.repartition("pair", "block", "x", "y").sortWithinPartitions("pair", "block", "x", "y")
-    return sorted_tiles.mapInArrow(_compare(radius), "a bigint, b bigint")
+    return sorted_tiles.mapInArrow(_compare(radius, more_radius), ", ".join(f"{k}{i} bigint" for k in "ab" for i in range(len(prints))))
 
 
-def _classified(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int) -> DataFrame:
-    """(doc_id, text_key, fp, root, component_id) of each row; root is the smallest fingerprint of the component."""
-    text = col(text_col)
-    prints = materialize(docs.select(col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), _fingerprint_udf(width)(text).alias("fp")), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp_classes")
-    roots = components(fingerprint_links(classes.select("fp"), radius))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _classified(docs: DataFrame, id_col: str, text_col: str, radius: int, width: int, more_radius: int | None) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id) of each row; fp and root are fingerprints, or structs of two of them."""
+    text, n = col(text_col), 1 if more_radius is None else 2
+
+    def node(prefix: str) -> Column:
+        return F.col(f"{prefix}0") if n == 1 else F.struct(F.col(f"{prefix}0").alias("fp0"), F.col(f"{prefix}1").alias("fp1"))
+
+    prints = docs.select(col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), _fingerprint_udf(width, tuple(range(SEED, SEED + n)))(text).alias("f"))
+    prints = materialize(prints.select("doc_id", "text_key", *(F.get("f", F.lit(i)).alias(f"fp{i}") for i in range(n))), "fingerprints")
+    classes = materialize(prints.groupBy(*(f"fp{i}" for i in range(n))).agg(F.min("doc_id").alias("least")), "fp_classes")
+    roots = components(fingerprint_links(classes, radius, more_radius).select(node("a").alias("a"), node("b").alias("b")))
+    rooted = classes.select(node("fp").alias("fp"), "least").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return prints.join(of, F.col("fp") == F.col("f")).drop("f")
+    of = rooted.join(named, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    return prints.select("doc_id", "text_key", node("fp").alias("fp")).join(of, F.col("fp") == F.col("of")).drop("of")
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, more_radius: int | None = None) -> DataFrame:
+    """One row for each row of docs: id, fp (long) and component_id, the smallest id reachable by links.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
-    """One row for each row of docs: id, fp (long) and component_id, the smallest id reachable by links."""
-    return _classified(docs, id_col, text_col, radius, width).select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    With more_radius, a second fingerprint of another seed must lie within it too; fp is then a struct of both.
+    """
+    return _classified(docs, id_col, text_col, radius, width, more_radius).select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, more_radius: int | None = None) -> DataFrame:
     """docs with one row of each component, that of its smallest id (ids before null; of rows that repeat it, one of the smallest text)."""
     row = F.struct("doc_id", "text_key")
-    best = _classified(docs, id_col, text_col, radius, width).groupBy("root").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
+    best = _classified(docs, id_col, text_col, radius, width, more_radius).groupBy("root").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
     kid, key = fresh(docs, "kept_id"), fresh(docs, "kept_key")
     best = best.select(F.col("best.doc_id").alias(kid), F.col("best.text_key").alias(key)).distinct()
     found = docs.join(best, col(id_col).eqNullSafe(F.col(kid)) & (F.xxhash64(col(text_col)) == F.col(key)))
