@@ -1,4 +1,12 @@
 """All queries outside the training-data subpackage, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import registry
+from .functions import scalar
+from .operators import aggregates, joins, rows, sets, windows
+from .plans import retrieval, vectors
+from .sources import scans
+from .streaming import events
+
+MODULES = (scans, rows, joins, aggregates, windows, sets, scalar, retrieval, vectors, events)
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES

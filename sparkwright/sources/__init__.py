@@ -1 +1 @@
-"""Part of sparkwright; see the README for the catalogue."""
+"""Tables with declared schemas, other formats, sinks, and the shared folder."""
