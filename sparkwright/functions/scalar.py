@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import query
 from ..sources.tables import table
@@ -35,14 +36,14 @@ def fn_regex(spark, d) -> DataFrame:
 
 @query("fn_date", """SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, month(o_orderdate)::INT AS m, day(o_orderdate)::INT AS dom, (dayofweek(o_orderdate) + 1)::INT AS dow, dayofyear(o_orderdate)::INT AS doy,
  weekofyear(o_orderdate)::INT AS w, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INT AS days, date_trunc('month', o_orderdate)::TIMESTAMP AS month_start,
- last_day(o_orderdate)::DATE AS month_end, (o_orderdate::DATE + 30)::DATE AS due, strftime(o_orderdate, '%Y-%m') AS label FROM orders""")
+ last_day(o_orderdate)::DATE::VARCHAR AS month_end, (o_orderdate::DATE + 30)::DATE::VARCHAR AS due, strftime(o_orderdate, '%Y-%m') AS label FROM orders""")
 def fn_date(spark, d) -> DataFrame:
     t = F.col("o_orderdate")
     day = t.cast("date")
     parts = {"y": F.year(t), "q": F.quarter(t), "m": F.month(t), "dom": F.dayofmonth(t), "dow": F.dayofweek(t), "doy": F.dayofyear(t), "w": F.weekofyear(t)}
     return table(spark, d, "orders").select(
         "o_orderkey", *(c.alias(k) for k, c in parts.items()), F.datediff(day, F.lit("1995-01-01").cast("date")).alias("days"), F.date_trunc("month", t).cast("timestamp_ntz").alias("month_start"),
-        F.last_day(day).alias("month_end"), F.date_add(day, 30).alias("due"), F.date_format(t, "yyyy-MM").alias("label"))
+        F.last_day(day).cast("string").alias("month_end"), F.date_add(day, 30).cast("string").alias("due"), F.date_format(t, "yyyy-MM").alias("label"))
 
 
 @query("fn_math", """SELECT p_partkey, round(p_retailprice, 1) AS r1, round(ln(p_retailprice), 9) AS ln, round(log2(p_retailprice), 9) AS l2, ceil(p_retailprice)::BIGINT AS up, floor(p_retailprice)::BIGINT AS down,
@@ -99,7 +100,7 @@ def fn_null(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("seen")).alias("kind"), F.col("value").isNull().alias("missing"), F.ifnull(F.nullif(F.col("user_id") % 3, F.lit(0)), F.lit(-1)).alias("third"))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def with_tax(price: pa.Array, tax: pa.Array) -> pa.Array:
     return pc.multiply(price, pc.add(tax, 1.0))
 

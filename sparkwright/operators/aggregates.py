@@ -68,9 +68,9 @@ def unpivot(spark, d) -> DataFrame:
     return s.unpivot("s_suppkey", ["balance", "nation"], "name", "amount")
 
 
-@query("agg_quantile", "SELECT p_brand, median(p_retailprice) AS mid, quantile_cont(p_retailprice, 0.9) AS p90 FROM part GROUP BY p_brand")
+@query("agg_quantile", "SELECT p_brand, round(median(p_retailprice), 6) AS mid, round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY p_brand")
 def agg_quantile(spark, d) -> DataFrame:
-    return table(spark, d, "part").groupBy("p_brand").agg(F.median("p_retailprice").alias("mid"), F.percentile("p_retailprice", F.lit(0.9)).alias("p90"))
+    return table(spark, d, "part").groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 6).alias("mid"), F.round(F.percentile("p_retailprice", F.lit(0.9)), 6).alias("p90"))
 
 
 @query("agg_approx_distinct")

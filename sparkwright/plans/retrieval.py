@@ -52,7 +52,7 @@ def chunk_words(spark, d) -> DataFrame:
     """Windows of 200 words that overlap by 50."""
     w = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - 50) / 150) - 1)
-    at = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).cast("int").alias("chunk_no"))
+    at = w.select("doc_id", "w", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i.cast("int"))).alias("chunk_no"))
     return at.select("doc_id", "chunk_no", F.array_join(F.slice("w", F.col("chunk_no") * 150 + 1, 200), " ").alias("chunk"))
 
 
