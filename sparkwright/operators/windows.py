@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources.tables import table
 
-BY_NATION = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
-
-
 @query("win_rank", """SELECT c_custkey, (row_number() OVER w)::INT AS rn, (rank() OVER s)::INT AS rk, (dense_rank() OVER s)::INT AS dr, round(percent_rank() OVER w, 9) AS pr,
  round(cume_dist() OVER w, 9) AS cd, (ntile(4) OVER w)::INT AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), s AS (PARTITION BY c_nationkey ORDER BY c_mktsegment)""")
 def win_rank(spark, d) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
     s = Window.partitionBy("c_nationkey").orderBy("c_mktsegment")
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(BY_NATION).alias("rn"), F.rank().over(s).alias("rk"), F.dense_rank().over(s).alias("dr"), F.round(F.percent_rank().over(BY_NATION), 9).alias("pr"), F.round(F.cume_dist().over(BY_NATION), 9).alias("cd"), F.ntile(4).over(BY_NATION).alias("nt"))
+    return table(spark, d, "customer").select("c_custkey", F.row_number().over(w).alias("rn"), F.rank().over(s).alias("rk"), F.dense_rank().over(s).alias("dr"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"), F.ntile(4).over(w).alias("nt"))
 
 
 @query("win_offset", """SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id
