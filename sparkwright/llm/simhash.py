@@ -187,7 +187,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kid, key = fresh(docs, "kept_id"), fresh(docs, "kept_key")
     best = best.select(F.col("best.doc_id").alias(kid), F.col("best.text_key").alias(key)).distinct()
     found = docs.join(best, col(id_col).eqNullSafe(F.col(kid)) & (F.xxhash64(col(text_col)) == F.col(key)))
-    once = found.groupBy(kid, key).agg(F.min_by(F.struct(*map(col, docs.columns)), col(text_col)).alias("row"))
+    once = found.groupBy(kid, key).agg(F.min_by(F.struct(*map(col, docs.columns)), F.struct(col(text_col))).alias("row"))  # in a struct, so a null text is a row too
     return once.select("row.*")
 
 
