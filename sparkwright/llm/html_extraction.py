@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .block_lstm import Weights, logits, train
 from .blocks import Block, blocks_of, vectors
-from .common import col, table
+from .common import col, smallest_hashes, table
 
 TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 20_000, 8, 24, 8, 11
 #: Pages that are labelled at once, and blocks.
@@ -142,7 +142,7 @@ def _text_udf(weights) -> Callable:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> DataFrame:
     """One row for each row of pages: the columns to keep, text and n_chars."""
     short = pages.select(col(html_col).alias("html")).where(F.length("html").between(1, train_chars))
-    sample = [r["html"] for r in short.orderBy(F.xxhash64("html"), "html").limit(train_pages).collect()]  # train_pages * train_chars characters at most
+    sample = [r["html"] for r in smallest_hashes(short, "html", train_pages, short.count()).collect()]  # train_pages * train_chars characters at most
     weights = fit(sample) or fit(["<p>a</p>"])
     sent = pages.sparkSession.sparkContext.broadcast(weights)
     out = pages.select(*(col(c).alias(c) for c in keep), _text_udf(sent)(col(html_col)).alias("text"))

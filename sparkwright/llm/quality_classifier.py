@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, table, text_bytes
+from .common import col, materialize, smallest_hashes, table, text_bytes
 
 HEADS = ("quality", "toxic")
 BUCKET_BITS = 18
@@ -40,7 +40,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows that the regression is fitted on, and passes over them.
 SAMPLE, PASSES, SEED = 20_000, 6, 5
 #: A log ratio counts from so many standard errors; the evidence of a document and the prior weight of a site, in documents, lie within bounds.
-LEAST_Z, MOST_EVIDENCE, WEIGHT_RANGE = 3.5, 12.0, (2.0, 10_000.0)
+LEAST_Z, MOST_EVIDENCE, WEIGHT_RANGE = 2.5, 12.0, (2.0, 10_000.0)
 PUNCTUATION = string.punctuation.encode()
 SHAPES = bytes(ord("a") if chr(b).isalpha() or b > 127 else ord("0") if chr(b).isdigit() else b for b in range(256))
 
@@ -180,9 +180,9 @@ def site_rates(judged: DataFrame, head: str) -> tuple[DataFrame, DataFrame]:
     return hosts, paths.select("host", "path", "host_rate", F.col("rate").alias("path_rate"))
 
 
-def _fitted(labelled: DataFrame, ratios: np.ndarray, sample: int) -> Model:
+def _fitted(labelled: DataFrame, ratios: np.ndarray, sample: int, n: int) -> Model:
     sent = labelled.sparkSession.sparkContext.broadcast(ratios)
-    few = labelled.orderBy(F.xxhash64("text"), "text").limit(sample).select(_active_udf(sent)("text").alias("f"), *(F.col(f"l_{x}").cast("double") for x in HEADS)).toArrow()
+    few = smallest_hashes(labelled, "text", sample, n).select(_active_udf(sent)("text").alias("f"), *(F.col(f"l_{x}").cast("double") for x in HEADS)).toArrow()
     at, x = few.column(0).combine_chunks().flatten() if len(few) else ([], [])
     rows = [(np.asarray(a.values), np.asarray(v.values).reshape(-1, len(HEADS))) for a, v in zip(at, x, strict=True)]
     labels = np.stack([np.minimum(1, few.column(1 + i).to_numpy()) for i in range(len(HEADS))], 1) if rows else np.zeros((0, len(HEADS)))
@@ -205,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ratios = log_ratios(sums)
     rates = {x: (sums[-1, 2 * i + 1] + 1) / (sums[-1, 2 * i : 2 * i + 2].sum() + 2) for i, x in enumerate(HEADS)}
     prior = {x: float(np.log(p / (1 - p))) for x, p in rates.items()}
-    model = spark.sparkContext.broadcast(_fitted(labelled, ratios, sample))
+    model = spark.sparkContext.broadcast(_fitted(labelled, ratios, sample, int(max(sums[-1, 2 * i : 2 * i + 2].sum() for i in range(len(HEADS))))))
     once = known.groupBy("l_id").agg(*(F.avg((F.col(f"l_{x}") > 0).cast("double")).alias(f"l_{x}") for x in HEADS))
     judged = slim.select("doc_id", "host", "path", _evidence_udf(model)("text").alias("e"))
     judged = judged.select("doc_id", "host", "path", *(F.get("e", F.lit(i)).alias(f"{x}_evidence") for i, x in enumerate(HEADS)))
