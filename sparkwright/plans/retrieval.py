@@ -16,11 +16,18 @@ from ..sources.tables import table
 #: Fixed values of Okapi BM25 and of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 TOP = 10
+#: Runs of letters and digits of any script.
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of any script."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def each_token(df: DataFrame, *keep: Column) -> DataFrame:
+    """A row for each token of df.text with the columns to keep. The outer form spares the filters that Spark would infer, which split every text twice more."""
+    return df.select(*keep, F.explode_outer(tokens(F.col("text"))).alias("term")).where(F.col("term").isNotNull())
 
 
 T = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents"
@@ -91,9 +98,8 @@ def chunk_recursive(spark, d) -> DataFrame:
 
 
 def inverted(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, dl) of docs(doc_id, text)."""
-    w = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    return w.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    """(doc_id, term, tf) of docs(doc_id, text)."""
+    return each_token(docs, F.col("doc_id")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @query("inverted_index", f"WITH t AS ({T}) SELECT term, count(*)::BIGINT AS cf, count(DISTINCT doc_id)::BIGINT AS df, min(doc_id)::BIGINT AS first_doc FROM t GROUP BY term")
@@ -121,9 +127,9 @@ def bm25_ranks(docs: DataFrame, passages: DataFrame, k: int = TOP) -> DataFrame:
     """(item_id, doc_id, score, rank): only terms of the passages are counted, as a semi-join drops all others before the shuffle."""
     asked = passages.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = small(asked.select("term").distinct())
-    w = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    w = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
     f = w.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    n, mean = docs.select(F.count("*"), F.avg(F.size(tokens(F.col("text"))))).first()
+    n, mean = docs.select(F.count("*"), F.avg(F.regexp_count(F.lower("text"), F.lit(TOKEN)))).first()
     df = f.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
@@ -148,7 +154,7 @@ def bm25(spark, d) -> DataFrame:
 def overlap_ranks(docs: DataFrame, passages: DataFrame, k: int = TOP) -> DataFrame:
     """A second list: documents by the number of distinct words that they share with the passage."""
     asked = passages.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    held = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
     return top_k(held.join(small(asked), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score")), "item_id", "doc_id", k)
 
 
