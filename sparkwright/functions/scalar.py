@@ -137,8 +137,25 @@ def udf_agg(spark, d) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg("sq")), 6).alias("rms"))
 
 
+@query("udtf", r"SELECT item_id, len(w)::INT AS n, list_sort(list_distinct(list_filter(w, lambda x: length(x) > 6))) AS longest FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)")
+def udtf(spark, d) -> DataFrame:
+    """A Python table function, called by LATERAL: rows out of each passage, grouped again by Spark."""
+
+    class Words:
+        def eval(self, text: str) -> Iterator[tuple[str, bool]]:
+            import regex
+
+            for w in regex.findall(r"[\p{L}\p{N}]+", (text or "").lower()):
+                yield w, len(w) > 6
+
+    spark.udtf.register("sparkwright_words", F.udtf(Words, returnType="word string, is_long boolean"))
+    table(spark, d, "benchmark").createOrReplaceTempView("sparkwright_benchmark")
+    words = spark.sql("SELECT item_id, t.word, t.is_long FROM sparkwright_benchmark, LATERAL sparkwright_words(text) t")
+    return words.groupBy("item_id").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_set(F.when(F.col("is_long"), F.col("word")))).alias("longest"))
+
+
 @query("udtf_words", r"SELECT item_id, unnest(range(len(w)))::INT AS place, unnest(w) AS word FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)")
 def udtf_words(spark, d) -> DataFrame:
-    """A table function: several rows out of one, by a lateral generator."""
+    """The built-in generator, which stays in the JVM."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return table(spark, d, "benchmark").select("item_id", F.posexplode(words).alias("place", "word"))
