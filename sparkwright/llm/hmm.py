@@ -25,6 +25,7 @@ token is unknown. Other columns are passed over. An empty table gives an empty r
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, table, text_bytes
+from .common import col, materialize, table
 
 CLASS_BITS, STATES, ROUNDS, SEED = 16, 8, 6, 17
 CLASSES = 1 << CLASS_BITS
@@ -76,8 +77,15 @@ def unpack(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
+def numbered() -> defaultdict[bytes, int]:
+    """A dictionary that numbers its keys as they come."""
+    d: defaultdict[bytes, int] = defaultdict()
+    d.default_factory = d.__len__
+    return d
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
+    known = numbered()
     ids: list[str | None] = []
     held: list[bool] = []
     tokens: list[np.ndarray] = []
@@ -97,12 +105,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in BLOCK_TYPE.split(", ")])
 
     for batch in batches:
-        for doc_id, h, text in zip(*batch.columns, strict=True):
-            words = [*text_bytes(text.as_py()).lower().split(), END]
+        for doc_id, h, text in zip(*batch.columns[:2], batch.column(2).cast(pa.binary()), strict=True):
+            words = (text.as_py() or b"").lower().split()
+            words.append(END)
             if size and size + len(words) > BLOCK:
                 yield block()
-                known, ids, held, tokens, size = {}, [], [], [], 0
-            tokens.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
+                known, ids, held, tokens, size = numbered(), [], [], [], 0
+            tokens.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
             ids.append(doc_id.as_py())
             held.append(h.as_py())
             size += len(words)
@@ -124,32 +133,50 @@ def class_prior(class_counts: np.ndarray) -> np.ndarray:
     return (class_counts + 1) / (class_counts.sum() + CLASSES)
 
 
-def expected(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward and backward over all sequences at once: state weights of each token, of the texts' first tokens, and of the turns."""
+def by_step(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the sequences, the longest first; how many go on at each step; and the tokens' places, step by step."""
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths, begins = starts[order], lengths[order], begins[order]
+    starts, lengths = starts[order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left") if len(lengths) else np.zeros(0, np.int64)
-    alphas, scales = [], []
-    a = np.where(begins[:, None], p.first, p.later)
-    for t, m in enumerate(active):
-        a = (a[:m] if t == 0 else a[:m] @ p.turn) * p.emit[cls[starts[:m] + t]]
+    return order, active, np.concatenate([starts[:m] + t for t, m in enumerate(active)]) if len(active) else np.zeros(0, np.int64)
+
+
+def expected(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward and backward over all sequences at once: the tokens' classes step by step, their state weights, those of the texts' first tokens, and of the turns."""
+    order, active, places = by_step(starts, lengths)
+    begins = begins[order]
+    first, later, turn = (x.astype(np.float32) for x in (p.first, p.later, p.turn))
+    seen = cls[places]
+    emit = (p.emit * (1 / class_scale(p)))[seen].astype(np.float32)  # what all states share says nothing about the state
+    alphas, scales, turns = np.empty_like(emit), np.empty((len(emit), 1), np.float32), np.zeros_like(p.turn)
+    ends = np.cumsum(active)
+    a = np.where(begins[:, None], first, later)
+    for t, (m, e) in enumerate(zip(active, ends, strict=True)):
+        a = (a[:m] if t == 0 else a[:m] @ turn) * emit[e - m : e]
         s = a.sum(1, keepdims=True)
         a = a / s
-        alphas.append(a)
-        scales.append(s)
-    weights, turns = np.zeros((len(cls), p.turn.shape[0])), np.zeros_like(p.turn)
-    beta = np.ones((0, p.turn.shape[0]))
+        alphas[e - m : e], scales[e - m : e] = a, s
+    beta = np.ones((active[0] if len(active) else 0, len(first)), np.float32)
+    n, weights = 0, emit[:0]  # the sequences that go on after the step, and their weights
     for t in range(len(active) - 1, -1, -1):
-        m = active[t]
-        if len(beta) < m:
-            beta = np.concatenate([beta, np.ones((m - len(beta), beta.shape[1]))])
-        g = alphas[t] * beta
-        weights[starts[:m] + t] = g / g.sum(1, keepdims=True)
-        if t:
-            x = p.emit[cls[starts[:m] + t]] * beta / scales[t]
-            turns += alphas[t - 1][:m].T @ x * p.turn
-            beta = x @ p.turn.T
-    return weights, weights[starts[begins]].sum(0), turns
+        m, e = active[t], ends[t]
+        here = beta[:m]
+        if n:
+            f = ends[t + 1]
+            x = emit[f - n : f] * beta[:n] / scales[f - n : f]
+            turns += alphas[e - m : e - m + n].T @ x
+            here[:n] = x @ turn.T
+            emit[f - n : f] = weights  # in the place of what is no longer needed
+        weights = alphas[e - m : e] * here
+        n = m
+    if len(active):
+        emit[: active[0]] = weights
+    return seen, emit, emit[: len(begins)][begins].sum(0), turns * p.turn
+
+
+def class_scale(p: Params) -> np.ndarray:
+    """The mean of a class's row, so that float32 holds the ratios."""
+    return p.emit.mean(1, keepdims=True)
 
 
 def _train(params, states: int) -> Callable:
@@ -171,9 +198,9 @@ def _train(params, states: int) -> Callable:
                 for lot in np.unique(lots):
                     of = np.flatnonzero(lots == lot)
                     lo, hi = starts[of[0]], starts[of[-1]] + sizes[of[-1]]
-                    w, f, x = expected(cls[lo:hi], starts[of] - lo, sizes[of], k[of] == 0, p)
+                    seen, w, f, x = expected(cls[lo:hi], starts[of] - lo, sizes[of], k[of] == 0, p)
                     for s in range(states):
-                        emit[:, s] += np.bincount(cls[lo:hi], weights=w[:, s], minlength=CLASSES)
+                        emit[:, s] += np.bincount(seen, weights=w[:, s], minlength=CLASSES)
                     first, turn = first + f, turn + x
         rows = np.concatenate([emit, first[None], turn])  # the last 1 + states rows are not classes
         hit = np.flatnonzero(rows.sum(1) > 0)
@@ -208,13 +235,12 @@ def _score(params, states: int, word_mass: np.ndarray, total: int) -> Callable:
 
 def forward(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Params) -> np.ndarray:
     """Log10 likelihood of the class sequence of each text, all at once, the longest first."""
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    like = np.zeros(len(starts))
-    a = np.tile(p.first, (len(starts), 1))
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    order, active, places = by_step(starts, lengths)
+    seen, like = cls[places], np.zeros(len(starts))
+    a, at = np.tile(p.first, (len(starts), 1)), 0
     for t, m in enumerate(active):
-        a = (a[:m] if t == 0 else a[:m] @ p.turn) * p.emit[cls[starts[:m] + t]]
+        a = (a[:m] if t == 0 else a[:m] @ p.turn) * p.emit[seen[at : at + m]]
+        at += m
         s = a.sum(1)
         like[:m] += np.log10(s)
         a = a / s[:, None]
