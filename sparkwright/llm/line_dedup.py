@@ -63,7 +63,7 @@ def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
 
 def _with_result(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
     keys = materialize(docs.select(col(id_col).alias("doc_id"), F.explode(_keys_udf(min_chars)(col(text_col))).alias("key")), "line_keys")
-    hot = shared_lines(keys, min_docs)
+    hot = materialize(shared_lines(keys, min_docs), "shared_lines")  # a table, so Spark can split the join's hot keys
     drops = keys.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
     out, did, drop = fresh(docs, "line_dedup"), fresh(docs, "drop_doc_id"), fresh(docs, "drop_keys")
     drops = drops.select(F.col("doc_id").alias(did), F.col("drops").alias(drop))
