@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import fresh_path
+
 #: The white space that ends words and lines, [\x20\x09-\x0D]; bytes.split() uses the same.
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,3 +57,19 @@ def smallest_hashes(df: DataFrame, name: str, k: int, n: int) -> DataFrame:
     share = min(1.0, (3 * k + 100) / max(1, n))
     h = F.xxhash64(col(name))
     return df.where(F.pmod(h, F.lit(1 << 32)) < int(share * (1 << 32))).orderBy(F.pmod(h, F.lit(1 << 32)), col(name)).limit(k)
+
+
+def bitmap_of(df: DataFrame, name: str, bits: int) -> bytes:
+    """A bit for the leading `bits` bits of each hash in a column of longs; Spark builds the words, 2**bits / 64 of them at most."""
+    at = df.select(F.shiftrightunsigned(col(name), 64 - bits).alias("at")).where(F.col("at").isNotNull())
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for part in words.toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.tobytes()
+
+
+def in_bitmap(h: np.ndarray, bitmap: bytes, bits: int) -> np.ndarray:
+    """Whether the bit of each unsigned hash is set: always for those that made the bitmap, by chance for others."""
+    at = h >> np.uint64(64 - bits)
+    return (np.frombuffer(bitmap, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

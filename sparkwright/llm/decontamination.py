@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, materialize, table, text_bytes
+from .common import bitmap_of, col, fresh, in_bitmap, materialize, table, text_bytes
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bits of the seed bitmap, as a power of two.
@@ -106,15 +106,13 @@ def _item_udf(min_match: int) -> Callable:
 
 def _hits(text: pa.Array, widths: list[int], bitmap: bytes) -> pa.Array:
     """The parts of each document that may match: words, their positions, and the seeds; null if there are none."""
-    bits = np.frombuffer(bitmap, np.uint8)
     words, positions, seeds, null = [], [], [], []
     for t in text:
         w, found = tokens(t.as_py()), [np.zeros(0, np.uint64)]
         hit = np.zeros(len(w) + 1, np.int64)
         for width in widths:
             h = rolled(w, width)
-            at = h >> np.uint64(64 - BITMAP_BITS)
-            k = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+            k = np.flatnonzero(in_bitmap(h, bitmap, BITMAP_BITS))
             np.add.at(hit, k, 1)
             np.add.at(hit, k + width, -1)
             found.append(np.unique(h[k]))
@@ -141,16 +139,6 @@ def _tile_udf(min_match: int) -> Callable:
     return tile_pairs
 
 
-def _bitmap(seeds: DataFrame) -> bytes:
-    """A bit for each seed's leading bits; Spark builds the words, 2**BITMAP_BITS / 64 of them at most."""
-    at = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
-    words = seeds.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for part in words.toArrow().to_batches():
-        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return out.tobytes()
-
-
 def _pairs(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_match: int, coverage: float) -> DataFrame:
     """(doc_id, text_key, item_id, n_words, covered, n_tiles, tiles, coverage) of contaminated rows."""
     spark = docs.sparkSession
@@ -159,7 +147,7 @@ def _pairs(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     seeds = items.select("item_id", "item_key", F.size("item_words").alias("n"), F.explode("item_seeds").alias("seed"))
     seeds = materialize(seeds.groupBy("item_id", "item_key", "n", "seed").agg(F.count("*").alias("times")), "bench_seeds")
     widths = sorted(r[0] for r in seeds.select(F.least("n", F.lit(min_match))).distinct().collect())  # min_match values at most
-    bitmap = spark.sparkContext.broadcast(_bitmap(seeds))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(seeds, "seed", BITMAP_BITS))
     hits = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"), _hits_of(bitmap, widths)(col(text_col)).alias("h"))
     hits = materialize(hits.where(F.col("h").isNotNull()).select("doc_id", "text_key", "h.*").dropDuplicates(["doc_id", "text_key"]), "seed_hits")
     met = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
