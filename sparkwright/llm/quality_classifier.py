@@ -4,7 +4,7 @@
    how many documents of each class have it. The log ratio of a feature is shrunk toward zero by its own
    uncertainty, so rare and indifferent features say nothing. Every feature has two buckets of fixed tables and counts
    by the weaker one, so a chance collision in one of them does no harm. As features depend on each other, a logistic
-   regression weighs the ratios; it is fitted on a bounded sample of labelled documents (SAMPLE rows of the smallest hash).
+   regression weighs the ratios; it is fitted on a bounded sample of labelled documents (SAMPLE labels of the smallest hash of their id).
 2. Sites: every document counts toward its host and path with its label, or else with the classifier's belief. A host's
    rate is shrunk toward the global rate, and a path's toward its host's; how far follows from how much
    hosts (paths) differ beyond chance, by the method of moments. Sums are grouped in Spark, partially before the shuffle.
@@ -31,12 +31,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, materialize, smallest_hashes, table, text_bytes
+from .common import bitmap_of, col, in_bitmap, materialize, smallest_hashes, table, text_bytes
 
 HEADS = ("quality", "toxic")
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
+#: Bits of the bitmap of labelled ids, as a power of two: 8 MB, however many there are.
+BITMAP_BITS = 26
 #: Labelled rows that the regression is fitted on, and passes over them.
 SAMPLE, PASSES, SEED = 20_000, 6, 5
 #: A log ratio counts from so many standard errors; the evidence of a document and the prior weight of a site, in documents, lie within bounds.
@@ -134,10 +137,10 @@ def evidence(h: np.ndarray, m: Model) -> np.ndarray:
 
 
 def _active_udf(ratios) -> Callable:
-    @F.arrow_udf("struct<at:array<bigint>,x:array<double>>")
+    @F.arrow_udf("struct<at:array<int>,x:array<float>>")
     def active_features(text: pa.Array) -> pa.Array:
         rows = [active(features(t.as_py()), ratios.value) for t in text]
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in rows], pa.list_(pa.int64())), pa.array([x.ravel().astype(float) for _, x in rows], pa.list_(pa.float64()))], ["at", "x"])
+        return pa.StructArray.from_arrays([pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32).ravel() for _, x in rows], pa.list_(pa.float32()))], ["at", "x"])
 
     return active_features
 
@@ -180,9 +183,19 @@ def site_rates(judged: DataFrame, head: str) -> tuple[DataFrame, DataFrame]:
     return hosts, paths.select("host", "path", "host_rate", F.col("rate").alias("path_rate"))
 
 
-def _fitted(labelled: DataFrame, ratios: np.ndarray, sample: int, n: int) -> Model:
-    sent = labelled.sparkSession.sparkContext.broadcast(ratios)
-    few = smallest_hashes(labelled, "text", sample, n).select(_active_udf(sent)("text").alias("f"), *(F.col(f"l_{x}").cast("double") for x in HEADS)).toArrow()
+def _maybe_labelled(bitmap) -> Callable:
+    @F.arrow_udf(T.BooleanType())
+    def maybe_labelled(h: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(h.to_numpy().view(np.uint64), bitmap.value, BITMAP_BITS))
+
+    return maybe_labelled
+
+
+def _fitted(slim: DataFrame, known: DataFrame, ratios: np.ndarray, sample: int) -> Model:
+    """The regression over `sample` labels of the smallest hash of their id, which are few enough to be sent to the documents."""
+    sent = slim.sparkSession.sparkContext.broadcast(ratios)
+    chosen = F.broadcast(smallest_hashes(known, "l_id", sample, known.count()))
+    few = slim.join(chosen, F.col("doc_id") == F.col("l_id")).select(_active_udf(sent)("text").alias("f"), *(F.col(f"l_{x}").cast("double") for x in HEADS)).toArrow()
     at, x = few.column(0).combine_chunks().flatten() if len(few) else ([], [])
     rows = [(np.asarray(a.values), np.asarray(v.values).reshape(-1, len(HEADS))) for a, v in zip(at, x, strict=True)]
     labels = np.stack([np.minimum(1, few.column(1 + i).to_numpy()) for i in range(len(HEADS))], 1) if rows else np.zeros((0, len(HEADS)))
@@ -197,7 +210,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(host_col).alias("host"), col(path_col).alias("path"))
     known = labels.where(col(label_id).isNotNull()).select(col(label_id).alias("l_id"), *(col(x).cast("int").alias(f"l_{x}") for x in HEADS))
-    labelled = slim.join(known, F.col("doc_id") == F.col("l_id")).select("text", *(f"l_{x}" for x in HEADS))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(known.select(F.xxhash64("l_id").alias("h")), "h", BITMAP_BITS))
+    some = slim.select("doc_id", "text").where(_maybe_labelled(bitmap)(F.xxhash64("doc_id")))  # spares the shuffle most texts without a label
+    # one way to join at every size, as Spark would send few labels to all tasks
+    labelled = some.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("text", *(f"l_{x}" for x in HEADS))
     counted = labelled.mapInArrow(_count, "bucket bigint, " + ", ".join(f"n{k} bigint" for k in range(2 * len(HEADS)))).groupBy("bucket").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * len(HEADS))))
     sums = np.zeros((2 * BUCKETS + 1, 2 * len(HEADS)), np.int64)
     for part in counted.toArrow().to_batches():  # a row for each bucket at most
@@ -205,7 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ratios = log_ratios(sums)
     rates = {x: (sums[-1, 2 * i + 1] + 1) / (sums[-1, 2 * i : 2 * i + 2].sum() + 2) for i, x in enumerate(HEADS)}
     prior = {x: float(np.log(p / (1 - p))) for x, p in rates.items()}
-    model = spark.sparkContext.broadcast(_fitted(labelled, ratios, sample, int(max(sums[-1, 2 * i : 2 * i + 2].sum() for i in range(len(HEADS))))))
+    model = spark.sparkContext.broadcast(_fitted(slim, known, ratios, sample))
     once = known.groupBy("l_id").agg(*(F.avg((F.col(f"l_{x}") > 0).cast("double")).alias(f"l_{x}") for x in HEADS))
     judged = slim.select("doc_id", "host", "path", _evidence_udf(model)("text").alias("e"))
     judged = judged.select("doc_id", "host", "path", *(F.get("e", F.lit(i)).alias(f"{x}_evidence") for i, x in enumerate(HEADS)))
