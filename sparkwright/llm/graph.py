@@ -10,7 +10,7 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("hi", "lo").union(edges.select("lo", "hi")).toDF("v", "u")
-    least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), F.least("v", "m").alias("m"))
+    least = materialize(both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), F.least("v", "m").alias("m")), "least")  # a table, so Spark can split the join's hot nodes
     return both.where("u > v").join(least, F.col("v") == F.col("w")).select(F.col("u").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
