@@ -24,12 +24,11 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: SimHash of five-word shingles.
+    """Keeps one document of each group of near duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    A similarity of 0.8 makes about ten bits of 64 differ, so links reach that far; a second fingerprint
-    of another seed must agree, as one of 64 bits links strangers by chance at that radius.
+    Fingerprints within 10 bits and bands of minima give the candidates only; each link is verified on the whole sets of shingles.
     """
-    return simhash.one_of_each(docs, width=5, radius=10, more_radius=12)
+    return simhash.one_of_similar(docs, width=5, similarity=0.8, radius=10)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

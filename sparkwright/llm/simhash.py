@@ -28,6 +28,11 @@ from .common import col, fresh, materialize, table, text_bytes
 from .graph import components
 
 BITS, SEED = 64, 42
+#: Bands of minima of the shingle hashes, and minima in a band: of pairs of similarity 0.8, 0.04 % share no band.
+BANDS, MINIMA = 20, 5
+MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles, about, of a side of a tile of texts that are compared exactly.
+TILE_SHINGLES = 1 << 18
 #: Fingerprints of a tile, about, before it is cut; and of a sub-tile that numpy compares at once.
 TILE, SUB = 4096, 1024
 
@@ -180,10 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classified(docs, id_col, text_col, radius, width, more_radius).select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, more_radius: int | None = None) -> DataFrame:
-    """docs with one row of each component, that of its smallest id (ids before null; of rows that repeat it, one of the smallest text)."""
-    row = F.struct("doc_id", "text_key")
-    best = _classified(docs, id_col, text_col, radius, width, more_radius).groupBy("root").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
+def _chosen(docs: DataFrame, best: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that best(best) names by doc_id and text_key, each once."""
     kid, key = fresh(docs, "kept_id"), fresh(docs, "kept_key")
     best = best.select(F.col("best.doc_id").alias(kid), F.col("best.text_key").alias(key)).distinct()
     found = docs.join(best, col(id_col).eqNullSafe(F.col(kid)) & (F.xxhash64(col(text_col)) == F.col(key)))
@@ -191,6 +194,155 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return once.select("row.*")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, more_radius: int | None = None) -> DataFrame:
+    """docs with one row of each component, that of its smallest id (ids before null; of rows that repeat it, one of the smallest text)."""
+    row = F.struct("doc_id", "text_key")
+    best = _classified(docs, id_col, text_col, radius, width, more_radius).groupBy("root").agg(F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
+    return _chosen(docs, best, id_col, text_col)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles; of all words if they are fewer than width, so never empty."""
+    words = text_bytes(text).lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :], strict=False)), np.uint64, len(words) - width + 1))
+
+
+def _set_sketch(h: np.ndarray) -> list[int]:
+    """Key of a set of hashes, its fingerprint, and a key for each band of minima."""
+    ones, least = np.zeros(BITS, np.int64), np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 1 << 13):
+        x = h[at : at + (1 << 13)]
+        ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, ((x[:, None] ^ x[:, None] >> np.uint64(31)) * MULTIPLIERS).min(axis=0))
+    fp = int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return [xxhash.xxh64_intdigest(h.tobytes(), SEED), fp, *(xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, MINIMA)))]
+
+
+def _sketch_udf(width: int) -> Callable:
+    @F.arrow_udf("array<bigint>")
+    def sketch(text: pa.Array) -> pa.Array:
+        rows = np.array([_set_sketch(shingle_set(t.as_py(), width)) for t in text], np.uint64).view(np.int64)
+        return pa.array(list(rows.reshape(-1, 2 + BANDS)), pa.list_(pa.int64()))
+
+    return sketch
+
+
+def _set_udf(width: int) -> Callable:
+    @F.arrow_udf("array<bigint>")
+    def shingles(text: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in text], pa.list_(pa.int64()))
+
+    return shingles
+
+
+def similar_forest(values: np.ndarray, starts: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (node, root) of a spanning forest of the pairs of sets, of one tile or between its two sides, whose Jaccard similarity is reached.
+
+    values holds the sets one after the other and starts where each begins. A set is compared with all others at
+    once, unless they are joined to it already.
+    """
+    n = len(starts)
+    sizes, root = np.diff(np.append(starts, len(values))), np.arange(n)
+    codes = np.unique(values, return_inverse=True)[1]
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    of_right = codes[np.isin(np.repeat(side, sizes), side.max())]
+    right_starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+    mark = np.zeros(codes.max() + 1, bool)
+    for i in left:
+        if (root[right] == root[i]).all():
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[of_right].astype(np.int64), right_starts)
+        mark[own] = False
+        near = right[shared + 1e-9 >= similarity * (sizes[right] + sizes[i] - shared)]
+        trees = np.unique(np.append(root[near], root[i]))
+        if len(trees) > 1:
+            root[np.isin(root, trees)] = trees[0]
+    node = np.flatnonzero(root != np.arange(n))
+    return node, root[node]
+
+
+def _verify(similarity: float) -> Callable:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the tile so far: its keys, and what its batches hold of it
+        tile: tuple | None = None
+
+        def links() -> Iterator[pa.RecordBatch]:
+            side, key, sizes, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(key) > 1:
+                node, root = similar_forest(values, np.cumsum(sizes) - sizes, side, similarity)
+                if len(node):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[node]), pa.array(key[root])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *keys, side, key = (batch.column(i).to_numpy() for i in range(5))
+            sets = batch.column(5)
+            sizes, values = sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy()
+            ends = np.cumsum(sizes)
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            for s, e in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                this = tuple(k[s] for k in keys)
+                if held and this != tile:
+                    yield from links()
+                    held.clear()
+                tile = this
+                held.append([side[s:e], key[s:e], sizes[s:e], values[ends[s] - sizes[s] : ends[e - 1]]])
+        if held:
+            yield from links()
+
+    return verify
+
+
+def similar_links(sets: DataFrame, similarity: float, tile: int = TILE_SHINGLES) -> DataFrame:
+    """sets(root, key, shingles) to links (a, b) that join the same components as all pairs under one root whose similarity is reached."""
+    cuts = sets.groupBy("root").agg(F.ceil(F.sum(F.size("shingles").cast("long")) / tile).cast("int").alias("cuts"))
+    cut = sets.join(cuts, "root").withColumn("side", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    tiles = met.select("root", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "key", "shingles")
+    return tiles.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(_verify(similarity), "a bigint, b bigint")
+
+
+def candidate_links(classes: DataFrame, radius: int) -> DataFrame:
+    """classes(key, fp, bands) to links (a, b) of keys: fingerprints within the radius, or a band of minima in common."""
+    first = materialize(classes.groupBy("fp").agg(F.min("key").alias("a")), "fp_keys")
+    same_fp = classes.join(first, "fp").select("a", F.col("key").alias("b"))
+    names = first.select("fp", F.col("a").alias("of"))
+    near = fingerprint_links(first.select(F.col("fp").alias("fp0")), radius)
+    near = near.join(names.toDF("a0", "a"), "a0").join(names.toDF("b0", "b"), "b0").select("a", "b")
+    banded = classes.select("key", F.explode("bands").alias("band"))
+    least = materialize(banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "band_keys")
+    return same_fp.union(near).union(banded.join(least, "band").select("a", F.col("key").alias("b"))).where("a <> b").distinct()
+
+
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 10) -> DataFrame:
+    """docs with one row, as in one_of_each, of each group that links of texts join whose sets of shingles have the Jaccard similarity or more.
+
+    Texts that fingerprints or minima of the shingles join are candidates, and all pairs of each group of those are
+    compared exactly. Texts of the same set are one class.
+    """
+    text, row = col(text_col), F.struct("doc_id", "text_key")
+    prints = docs.select(col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), _sketch_udf(width)(text).alias("f"))
+    prints = prints.select("doc_id", "text_key", F.get("f", F.lit(0)).alias("key"), F.get("f", F.lit(1)).alias("fp"), F.slice("f", 3, BANDS).alias("bands"))
+    best = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")
+    classes = materialize(materialize(prints, "sketches").groupBy("key").agg(best, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "set_classes")
+    groups = components(candidate_links(classes.select("key", "fp", "bands"), radius))
+    wanted = classes.join(groups, F.col("key") == F.col("node")).select("root", "key", F.col("best.doc_id").alias("w_id"), F.col("best.text_key").alias("w_key"))
+    texts = docs.select(col(id_col).alias("doc_id"), text.alias("text"))
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_key")))
+    sets = materialize(held.select("root", "key", _set_udf(width)(F.col("text")).alias("shingles")), "shingle_sets")
+    roots = components(similar_links(sets, similarity))
+    rooted = classes.select("key", "best").join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "best.*")
+    return _chosen(docs, rooted.groupBy("root").agg(best), id_col, text_col)
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
