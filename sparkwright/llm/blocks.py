@@ -12,15 +12,23 @@ import xxhash
 
 #: Fixed values of HTML: elements whose content is not markup or not shown, elements that never close, inline elements,
 #: and what a start tag closes.
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|select|option|audio|video"
+RAW = "noscript|template|svg|math|iframe|object|canvas|select|audio|video"
+#: Those whose content goes on to the end of the page if they are not closed; others are then left out as a tag alone.
+RAW_TO_END = "script|style|textarea|title"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
 #: A start tag closes nothing beyond these.
 WALLS = frozenset("ul ol dl table td th div article section main aside nav body html form blockquote".split())
+ATTR = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)"
+    rf"|<(?:svg|math)(?=[\s/>]){ATTR}(?<=/)>"
+    rf"|<(?P<raw>{RAW_TO_END})(?=[\s/>]){ATTR}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<closed>{RAW})(?=[\s/>]){ATTR}>.*?</(?P=closed)(?=[\s/>])[^>]*>"
+    rf"|<option(?=[\s/>]){ATTR}>.*?(?=</?(?:option|optgroup|datalist|select)[\s/>])(?:</option(?=[\s/>])[^>]*>)?"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>{ATTR})>|<[!?/][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
