@@ -4,29 +4,32 @@ A page becomes the sequence of its leaf blocks; each block is a vector of hashed
 and a few plain figures. A bidirectional LSTM reads the whole sequence and labels every block, and the text of a
 page is its main blocks in order.
 
-There are no hand-made labels. The labeller is trained on a bounded sample (TRAIN_PAGES pages of the smallest hash of
-their content, none over TRAIN_CHARS characters) that is labelled by structure: what an article, main or like element
+There are no hand-made labels. The labeller is trained on a bounded sample (of the distinct pages with text, the TRAIN_PAGES of
+the smallest hash of their content; of a longer page blocks of its start, end and inside, TRAIN_CHARS characters at most) that is labelled by structure: what an article, main or like element
 holds, but for menus, notes and so on inside. The sample is also varied: further blocks under the names that boilerplate
 usually has go in between, and the article's element changes its name, so that the labels of names that the sample itself lacks
 are learnt. All pages are then labelled by the LSTM alone.
 
 Defined results: a null or empty page has the text ''. Repeated rows are labelled alike. A null url or id is carried.
 Markup that is cut off or badly nested is read as far as it goes. Other columns are passed over. An empty table gives
-an empty result.
+an empty result. If no page has any text there is no sample, nothing is trained and all texts are ''. A block of over TRAIN_CHARS characters
+is learnt by its first ones, but labelled and returned whole.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .block_lstm import Weights, logits, train
 from .blocks import Block, blocks_of, vectors
-from .common import col, smallest_hashes, table
+from .common import col, table
 
 TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 20_000, 8, 24, 8, 11
 #: Pages that are labelled at once, and blocks.
@@ -100,17 +103,65 @@ def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> t
 
 def fit(sample: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED, variants: int = VARIANTS) -> Weights | None:
     """Weights from a sample of pages; None if it has no blocks."""
+    return fit_blocks([(page, structural_labels(page)) for page in map(blocks_of, sample)], hidden, epochs, seed, variants)
+
+
+def fit_blocks(sample: list[tuple[list[Block], np.ndarray]], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED, variants: int = VARIANTS) -> Weights | None:
+    """Weights from labelled pages, or windows of them; None if they have no blocks."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
-    for page in filter(None, map(blocks_of, sample)):
-        labels = structural_labels(page)
-        for k in range(max(variants, 400 // max(1, len(sample)))):
+    for page, labels in sample:
+        for k in range(max(variants, 400 // max(1, len(sample))) if page else 0):
             p, y = (page, labels) if k == 0 else varied(page, labels, rng)
             xs.append(vectors(p))
             ys.append(y)
     return train(xs, ys, hidden, epochs, seed) if xs else None
 
 
+def window(html: str, chars: int = TRAIN_CHARS) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page, labelled as parts of all of it; of a page of over chars characters of text those at its start, at its end and from a place given by its hash."""
+    page = blocks_of(html)
+    labels, sizes = structural_labels(page), [len(b.text) for b in page]
+    if sum(sizes) <= chars:
+        return page, labels
+    start = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")) % len(page)
+    taken: set[int] = set()
+    for run, most in ((range(len(page)), chars // 4), (range(len(page) - 1, -1, -1), chars // 4), ([*range(start, len(page)), *range(start)], chars // 2)):
+        for i in run:
+            if i not in taken:
+                most -= sizes[i]
+                if most < 0:
+                    break
+                taken.add(i)
+    at = sorted(taken) or [start]
+    return [page[i]._replace(text=page[i].text[:chars], linked=min(page[i].linked, chars)) for i in at], labels[at]
+
+
+def _window_udf(chars: int) -> Callable:
+    @F.arrow_udf("string")
+    def windows(html: pa.Array) -> pa.Array:
+        found = (window(x.as_py(), chars) for x in html)
+        return pa.array([json.dumps([page, labels.tolist()]) if page else None for page, labels in found], pa.string())
+
+    return windows
+
+
+def training_sample(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> list[tuple[list[Block], np.ndarray]]:
+    """Labelled windows of the train_pages distinct pages with text that have the smallest hashes: the same ones in every run."""
+    full = pages.select(col(html_col).alias("html")).where(F.length("html") > 0)
+    h = F.pmod(F.xxhash64("html"), F.lit(1 << 32))
+    n = full.select(F.approx_count_distinct(F.xxhash64("html"))).first()[0]
+    share = min(1.0, (3 * train_pages + 100) / max(1, n))
+    while True:
+        some = full.where(h < int(share * (1 << 32))).distinct().select(h.alias("h"), F.xxhash64("html").alias("key"), _window_udf(train_chars)(F.col("html")).alias("piece"))
+        found = some.where(F.col("piece").isNotNull()).orderBy("h", "key").limit(train_pages).collect()  # train_pages * train_chars characters of text at most
+        if len(found) == train_pages or share == 1.0:
+            break
+        share = min(1.0, 8 * share)  # many of them have no text
+    read = (json.loads(r["piece"]) for r in found)
+    return [([Block(tuple(path), text, linked) for path, text, linked in page], np.array(labels, np.float32)) for page, labels in read]
+
+
 def label_pages(pages: list[list[Block]], weights: Weights) -> list[np.ndarray]:
     """Whether each block is main text; pages of like length go together."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -131,6 +182,8 @@ def _text_udf(weights) -> Callable:
     @F.arrow_udf("string")
     def main_text(html: pa.Array) -> pa.Array:
         out: list[str] = []
+        if weights.value is None:  # no page has text
+            return pa.array([""] * len(html), pa.string())
         for at in range(0, len(html), 4 * LOT):
             pages = [blocks_of(x.as_py()) for x in html[at : at + 4 * LOT]]
             out += [" ".join(b.text for b, k in zip(p, y, strict=True) if k) for p, y in zip(pages, label_pages(pages, weights.value), strict=True)]
@@ -141,9 +194,7 @@ def _text_udf(weights) -> Callable:
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> DataFrame:
     """One row for each row of pages: the columns to keep, text and n_chars."""
-    short = pages.select(col(html_col).alias("html")).where(F.length("html").between(1, train_chars))
-    sample = [r["html"] for r in smallest_hashes(short, "html", train_pages, short.count()).collect()]  # train_pages * train_chars characters at most
-    weights = fit(sample) or fit(["<p>a</p>"])
+    weights = fit_blocks(training_sample(pages, html_col, train_pages, train_chars))
     sent = pages.sparkSession.sparkContext.broadcast(weights)
     out = pages.select(*(col(c).alias(c) for c in keep), _text_udf(sent)(col(html_col)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
