@@ -15,7 +15,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "w")
+    least = materialize(edges.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "w"), "least")
     moved = edges.join(least, F.col("hi") == F.col("w")).where("lo <> m").select("lo", "m")
     return moved.union(least.select("w", "m")).toDF("hi", "lo").distinct()
 

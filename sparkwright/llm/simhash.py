@@ -1,22 +1,26 @@
 """SimHash near-dedup: tiled exact comparison of 64-bit fingerprints.
 
 Distinct fingerprints are dealt into tiles: with a radius of r bits and r + 2 blocks of bits, two linked
-fingerprints agree in two blocks at least, so a tile holds fingerprints that agree in one pair of blocks and a
-tile that is too large is cut into smaller ones, each pair of which is compared. Inside, numpy
-exclusive-or and bit counts compare sub-tiles sorted by population count, and pairs of sub-tiles whose counts
-differ beyond the radius are skipped. Nothing is approximated: every link within the radius is found. A tile
-hands on a spanning forest of its links, never all pairs, and components are joined from those.
+fingerprints agree in two blocks at least, so a tile holds fingerprints that agree in one pair of blocks. Tiles are
+also dealt by bands of the population count, r + 1 counts wide: a fingerprint is a member of its own band's tile and a
+guest of the tile below, so bands whose counts differ beyond the radius never meet. A tile that is too large is cut
+into smaller ones, each pair of which is compared. Inside, numpy exclusive-or and bit counts compare sub-tiles sorted
+by population count, and pairs of sub-tiles whose counts differ beyond the radius, or that hold guests
+only, are skipped. Nothing is approximated: every link within the radius is found. A tile hands on a spanning
+forest of its links, never all pairs, and components are joined from those.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other. Rows with
 the same text always share a component. A null id has a fingerprint and a component but is never a
 component's id, which is null only if the component has no other. Other columns are passed over. An
-empty table gives an empty result.
+empty table gives an empty result. A very long text is hashed 2**15 shingles at a time, so its memory grows with its words only. There
+are no ties: a bit set in exactly half of the shingles is 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -76,62 +80,77 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in (a | b for a, b in combinations(blocks, 2))]
 
 
-def _sub_tiles(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+class SubTile(NamedTuple):
+    at: np.ndarray  # places in the tile
+    fps: np.ndarray
+    low: int  # the least population count
+    high: int
+    guest: bool
+
+
+def _sub_tiles(fps: np.ndarray, at: np.ndarray, guest: np.ndarray, size: int = SUB) -> list[SubTile]:
+    """The fingerprints at these places, members and guests apart, each sorted by population count."""
     pops = np.bitwise_count(fps)
-    order = np.argsort(pops, kind="stable")
-    return [(i, fps[i], int(pops[i[0]]), int(pops[i[-1]])) for i in (order[k : k + SUB] for k in range(0, len(fps), SUB))]
+    out = []
+    for g in (False, True):
+        of = at[guest[at] == g]
+        of = of[np.argsort(pops[of], kind="stable")]
+        out += [SubTile(i, fps[i], int(pops[i[0]]), int(pops[i[-1]]), g) for i in (of[k : k + size] for k in range(0, len(of), size))]
+    return out
+
+
+def tile_pairs(fps: np.ndarray, side: np.ndarray, guest: np.ndarray, radius: int, size: int = SUB) -> Iterator[tuple[SubTile, SubTile]]:
+    """Pairs of sub-tiles of one tile, or of its two sides, that can hold links of a member."""
+    halves = [_sub_tiles(fps, np.flatnonzero(side == s), guest, size) for s in np.unique(side)]
+    for n, x in enumerate(halves[0]):
+        for y in halves[-1][n if len(halves) == 1 else 0 :]:
+            if not (x.guest and y.guest or y.low - x.high > radius or x.low - y.high > radius):
+                yield x, y
 
 
-def link_forest(fps: np.ndarray, side: np.ndarray, radius: int, more: np.ndarray | None = None, more_radius: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (node, root) of a spanning forest of the links of one tile, or of those between its two sides; more: second fingerprints that must agree too."""
+def link_forest(fps: np.ndarray, side: np.ndarray, radius: int, more: np.ndarray | None = None, more_radius: int = BITS, guest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (node, root) of a spanning forest of the links of one tile, or of those between its two sides; more: second fingerprints that must agree too."""
     ids = np.arange(len(fps))
     root = ids.copy()
-    halves = [ids[side == s] for s in np.unique(side)]
-    left, right = halves[0], halves[-1]
-    one = len(halves) == 1
-    right_tiles = _sub_tiles(fps[right])
-    for n, (i, x, x_low, x_high) in enumerate(_sub_tiles(fps[left])):
-        for j, y, y_low, y_high in right_tiles[n if one else 0 :]:
-            if y_low - x_high > radius or x_low - y_high > radius:
-                continue
-            a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-            a, b = left[i[a]], right[j[b]]
-            if more is not None:
-                near = np.bitwise_count(more[a] ^ more[b]) <= more_radius
-                a, b = a[near], b[near]
-            while True:  # hook the larger root under the smaller one and shorten the paths, until no link is left between trees
-                p, q = root[a], root[b]
-                apart = p != q
-                if not apart.any():
-                    break
-                a, b, p, q = a[apart], b[apart], p[apart], q[apart]
-                np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
-                while (shorter := root[root]).tobytes() != root.tobytes():
-                    root = shorter
+    for x, y in tile_pairs(fps, side, np.zeros(len(fps), bool) if guest is None else guest, radius):
+        a, b = np.nonzero(np.bitwise_count(x.fps[:, None] ^ y.fps[None, :]) <= radius)
+        a, b = x.at[a], y.at[b]
+        if more is not None:
+            near = np.bitwise_count(more[a] ^ more[b]) <= more_radius
+            a, b = a[near], b[near]
+        while True:  # hook the larger root under the smaller one and shorten the paths, until no link is left between trees
+            p, q = root[a], root[b]
+            apart = p != q
+            if not apart.any():
+                break
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while (shorter := root[root]).tobytes() != root.tobytes():
+                root = shorter
     node = np.flatnonzero(root != ids)
     return node, root[node]
 
 
 def _compare(radius: int, more_radius: int | None) -> Callable:
-    keys = 4  # pair, block, x, y; then side, and one or two fingerprints
+    keys = 5  # pair, block, band, x, y; then side, whether a guest, and one or two fingerprints
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def links(parts: list[np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-            side, prints = parts[keys], parts[keys + 1 :]
+            side, guest, prints = parts[keys], parts[keys + 1], parts[keys + 2 :]
             fps, more = prints[0].view(np.uint64), prints[1].view(np.uint64) if more_radius is not None else None
             found = []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if e - s > 1:
-                    node, root = link_forest(fps[s:e], side[s:e], radius, more[s:e] if more is not None else None, more_radius or 0)
+                    node, root = link_forest(fps[s:e], side[s:e], radius, more[s:e] if more is not None else None, more_radius or 0, guest[s:e])
                     if len(node):
                         found.append([p[s:e][k] for k in (node, root) for p in prints])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], [f"{k}{i}" for k in "ab" for i in range(len(prints))])
 
         for batch in batches:
-            parts = [c.to_numpy() for c in batch.columns]
+            parts = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 parts = [np.concatenate(x) for x in zip(rest, parts, strict=True)]
             if not len(parts[0]):
@@ -150,13 +169,18 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, more_radius: int | None =
     """Distinct fps(fp0), or fps(fp0, fp1) if more_radius is given, to links (a0, b0) or (a0, a1, b0, b1) that join the same components as all pairs within the radius would."""
     prints = ["fp0"] if more_radius is None else ["fp0", "fp1"]
     masks = F.array(*(F.lit(m).cast("long") for m in block_masks(radius)))
-    dealt = fps.select(*prints, F.posexplode(masks).alias("pair", "mask")).select("pair", F.col("fp0").bitwiseAND(F.col("mask")).alias("block"), *prints)
-    large = dealt.groupBy("pair", "block").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    cut = dealt.join(large, ["pair", "block"], "left").withColumn("cuts", F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int"))
+    dealt = fps.select(*prints, F.posexplode(masks).alias("pair", "mask"), F.floor(F.bit_count("fp0") / (radius + 1)).cast("int").alias("own"))
+    dealt = dealt.select("pair", F.col("fp0").bitwiseAND(F.col("mask")).alias("block"), "own", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest"), *prints)
+    dealt = dealt.withColumn("band", F.col("own") - F.col("guest").cast("int")).drop("own")
+    tile_of = ["pair", "block", "band"]
+    sizes = dealt.groupBy(*tile_of).agg(F.count("*").alias("n"), F.count_if(~F.col("guest")).alias("members")).where("n > 1 AND members > 0")
+    # most tiles are small: only the large ones are joined, to be cut
+    large = materialize(sizes.where(F.col("n") > tile).select(*tile_of, F.ceil(F.col("n") / tile).cast("int").alias("cuts")), "large_tiles")
+    cut = dealt.join(large, tile_of, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     cut = cut.withColumn("side", F.pmod(F.xxhash64(*prints), F.col("cuts")).cast("int"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiles = met.select("pair", "block", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", *prints)
-    sorted_tiles = tiles.repartition("pair", "block", "x", "y").sortWithinPartitions("pair", "block", "x", "y")
+    tiles = met.select(*tile_of, F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "guest", *prints)
+    sorted_tiles = tiles.repartition(*tile_of, "x", "y").sortWithinPartitions(*tile_of, "x", "y")
     return sorted_tiles.mapInArrow(_compare(radius, more_radius), ", ".join(f"{k}{i} bigint" for k in "ab" for i in range(len(prints))))
 
 
@@ -240,14 +264,16 @@ def _set_udf(width: int) -> Callable:
     return shingles
 
 
-def similar_forest(values: np.ndarray, starts: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (node, root) of a spanning forest of the pairs of sets, of one tile or between its two sides, whose Jaccard similarity is reached.
+def similar_forest(values: np.ndarray, starts: np.ndarray, side: np.ndarray, similarity: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (node, root) of a forest that joins the pairs of sets, of one tile or between its two sides, whose Jaccard similarity is reached.
 
-    values holds the sets one after the other and starts where each begins. A set is compared with all others at
-    once, unless they are joined to it already.
+    values holds the sets one after the other and starts where each begins; sets of one number in known are joined already. A set
+    is compared with all others at once, unless they are joined to it by then.
     """
     n = len(starts)
-    sizes, root = np.diff(np.append(starts, len(values))), np.arange(n)
+    sizes = np.diff(np.append(starts, len(values)))
+    _, heads, tree = np.unique(np.arange(n) if known is None else known, return_index=True, return_inverse=True)
+    root = heads[tree]
     codes = np.unique(values, return_inverse=True)[1]
     left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
     of_right = codes[np.isin(np.repeat(side, sizes), side.max())]
@@ -264,7 +290,7 @@ def similar_forest(values: np.ndarray, starts: np.ndarray, side: np.ndarray, sim
         trees = np.unique(np.append(root[near], root[i]))
         if len(trees) > 1:
             root[np.isin(root, trees)] = trees[0]
-    node = np.flatnonzero(root != np.arange(n))
+    node = heads[root[heads] != heads]
     return node, root[node]
 
 
@@ -274,17 +300,17 @@ def _verify(similarity: float) -> Callable:
         tile: tuple | None = None
 
         def links() -> Iterator[pa.RecordBatch]:
-            side, key, sizes, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            side, key, comp, sizes, values = (np.concatenate(x) for x in zip(*held, strict=True))
             if len(key) > 1:
-                node, root = similar_forest(values, np.cumsum(sizes) - sizes, side, similarity)
+                node, root = similar_forest(values, np.cumsum(sizes) - sizes, side, similarity, comp)
                 if len(node):
                     yield pa.RecordBatch.from_arrays([pa.array(key[node]), pa.array(key[root])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            *keys, side, key = (batch.column(i).to_numpy() for i in range(5))
-            sets = batch.column(5)
+            *keys, side, key, comp = (batch.column(i).to_numpy() for i in range(6))
+            sets = batch.column(6)
             sizes, values = sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy()
             ends = np.cumsum(sizes)
             cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
@@ -294,7 +320,7 @@ def _verify(similarity: float) -> Callable:
                     yield from links()
                     held.clear()
                 tile = this
-                held.append([side[s:e], key[s:e], sizes[s:e], values[ends[s] - sizes[s] : ends[e - 1]]])
+                held.append([side[s:e], key[s:e], comp[s:e], sizes[s:e], values[ends[s] - sizes[s] : ends[e - 1]]])
         if held:
             yield from links()
 
@@ -302,16 +328,25 @@ def _verify(similarity: float) -> Callable:
 
 
 def similar_links(sets: DataFrame, similarity: float, tile: int = TILE_SHINGLES) -> DataFrame:
-    """sets(root, key, shingles) to links (a, b) that join the same components as all pairs under one root whose similarity is reached."""
-    cuts = sets.groupBy("root").agg(F.ceil(F.sum(F.size("shingles").cast("long")) / tile).cast("int").alias("cuts"))
-    cut = sets.join(cuts, "root").withColumn("side", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiles = met.select("root", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "key", "shingles")
+    """sets(root, key, shingles) to links (a, b) that join the same components as all pairs under one root whose similarity is reached.
+
+    With a column comp, keys of one comp are joined already and are not compared: the largest comp under a root is cut into
+    blocks that meet the blocks of the others only, and a root with one comp falls out.
+    """
+    sets = sets if "comp" in sets.columns else sets.withColumn("comp", F.col("key"))
+    by_comp = sets.groupBy("root", "comp").agg(F.sum(F.size("shingles").cast("long")).alias("n"))
+    roots = by_comp.groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = [F.greatest(F.lit(1), F.ceil(n / tile)).cast("int").alias(k) for n, k in ((F.col("all") - F.col("most"), "few"), (F.col("most"), "many"))]
+    cut = sets.join(materialize(roots.select("root", "main", *blocks), "similar_tiles"), "root")
+    in_main = F.col("comp") == F.col("main")
+    cut = cut.withColumn("side", F.when(in_main, F.col("few") + F.pmod(F.xxhash64("key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("key"), F.col("few"))).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    tiles = met.select("root", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "key", "comp", "shingles")
     return tiles.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(_verify(similarity), "a bigint, b bigint")
 
 
 def candidate_links(classes: DataFrame, radius: int) -> DataFrame:
-    """classes(key, fp, bands) to links (a, b) of keys: fingerprints within the radius, or a band of minima in common."""
+    """classes(key, fp, bands) to (a, b, n): how often b is linked to a, the least key of a band of minima or of a fingerprint, or one near it."""
     first = materialize(classes.groupBy("fp").agg(F.min("key").alias("a")), "fp_keys")
     same_fp = classes.join(first, "fp").select("a", F.col("key").alias("b"))
     names = first.select("fp", F.col("a").alias("of"))
@@ -319,26 +354,58 @@ def candidate_links(classes: DataFrame, radius: int) -> DataFrame:
     near = near.join(names.toDF("a0", "a"), "a0").join(names.toDF("b0", "b"), "b0").select("a", "b")
     banded = classes.select("key", F.explode("bands").alias("band"))
     least = materialize(banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "band_keys")
-    return same_fp.union(near).union(banded.join(least, "band").select("a", F.col("key").alias("b"))).where("a <> b").distinct()
+    every = same_fp.union(near).union(banded.join(least, "band").select("a", F.col("key").alias("b")))
+    return every.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of links(a, b) whose sets(key, shingles) reach the similarity."""
+    one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return links.select("a", "b").join(one, "a").join(two, "b").where(shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_components(classes: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE_SHINGLES) -> DataFrame:
+    """(node, root) of classes(key, bands) that verified links join. Three steps, each on what those before left apart:
+
+    the likeliest link of each class; its other links; then all pairs of a band. A large group of near copies is one component after the first
+    two, whose work grows in proportion, so that the last one compares what the group leaves apart with it and not the group with itself.
+    """
+    likely = links.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    found = materialize(verified(likely, sets, similarity), "likely_links")
+    joined = components(found)
+
+    def tree(of: str) -> DataFrame:
+        return joined.select(F.col("node").alias(of), F.col("root").alias(f"tree_{of}"))
+
+    rest = links.join(likely.withColumnRenamed("a", "tried"), "b").where("a <> tried").join(tree("a"), "a", "left").join(tree("b"), "b", "left")
+    rest = rest.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b"))
+    found = materialize(found.union(verified(rest, sets, similarity)), "band_links")
+    joined = materialize(components(found), "joined")
+    banded = classes.select("key", F.explode("bands").alias("band")).join(joined, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("comp"))
+    apart = materialize(banded.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("band"), "bands_apart")
+    left = banded.join(apart, "band").join(sets, "key").select(F.col("band").alias("root"), "key", "comp", "shingles")
+    return components(found.union(similar_links(left, similarity, tile)))
 
 
-def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 10) -> DataFrame:
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, radius: int = 3) -> DataFrame:
     """docs with one row, as in one_of_each, of each group that links of texts join whose sets of shingles have the Jaccard similarity or more.
 
-    Texts that fingerprints or minima of the shingles join are candidates, and all pairs of each group of those are
-    compared exactly. Texts of the same set are one class.
+    Texts of near fingerprints, or with a band of minima of the shingles in common, are candidates, and a link is made only if the
+    whole sets reach the similarity. Texts of the same set are one class.
     """
     text, row = col(text_col), F.struct("doc_id", "text_key")
     prints = docs.select(col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), _sketch_udf(width)(text).alias("f"))
     prints = prints.select("doc_id", "text_key", F.get("f", F.lit(0)).alias("key"), F.get("f", F.lit(1)).alias("fp"), F.slice("f", 3, BANDS).alias("bands"))
     best = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best")
     classes = materialize(materialize(prints, "sketches").groupBy("key").agg(best, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "set_classes")
-    groups = components(candidate_links(classes.select("key", "fp", "bands"), radius))
-    wanted = classes.join(groups, F.col("key") == F.col("node")).select("root", "key", F.col("best.doc_id").alias("w_id"), F.col("best.text_key").alias("w_key"))
+    links = materialize(candidate_links(classes.select("key", "fp", "bands"), radius), "candidates")
+    linked = links.select(F.col("a").alias("of")).union(links.select("b")).distinct()
+    wanted = classes.join(linked, F.col("key") == F.col("of")).select("key", F.col("best.doc_id").alias("w_id"), F.col("best.text_key").alias("w_key"))
     texts = docs.select(col(id_col).alias("doc_id"), text.alias("text"))
-    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_key")))
-    sets = materialize(held.select("root", "key", _set_udf(width)(F.col("text")).alias("shingles")), "shingle_sets")
-    roots = components(similar_links(sets, similarity))
+    held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_key"))).dropDuplicates(["key"])
+    sets = materialize(held.select("key", _set_udf(width)(F.col("text")).alias("shingles")), "shingle_sets")
+    roots = similar_components(classes.select("key", "bands"), links, sets, similarity)
     rooted = classes.select("key", "best").join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "best.*")
     return _chosen(docs, rooted.groupBy("root").agg(best), id_col, text_col)
 

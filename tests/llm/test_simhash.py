@@ -113,3 +113,26 @@ def test_second_fingerprint(spark):
     rows = [(1, text), (2, text.replace(text.split()[200], "changed")), (3, prose(6, 400)), (4, "")]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), radius=10, width=5, more_radius=12).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_tile_pairs_skip_by_population_count():
+    """Of two bands whose counts differ, only pairs of sub-tiles within the radius meet, and guests never meet guests."""
+    rng = np.random.default_rng(4)
+    fps = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(8, 56, 400)], np.uint64)
+    pops, guest, one = np.bitwise_count(fps).astype(int), np.arange(400) % 2 == 1, np.zeros(400, np.int64)
+    met = {(int(i), int(j)) for x, y in simhash.tile_pairs(fps, one, guest, 3, size=16) for i in x.at for j in y.at}
+    assert len(met) < 400 * 401 / 4
+    near = {(i, j) for i in range(400) for j in range(i) if abs(pops[i] - pops[j]) <= 3 and not (guest[i] and guest[j])}
+    assert near <= met | {(j, i) for i, j in met}
+    every = simhash._sub_tiles(fps, np.arange(400), guest, 16)
+    assert sum(1 for _ in simhash.tile_pairs(fps, one, guest, 3, size=16)) < len(every) * (len(every) + 1) // 3
+
+
+def test_bands_of_population_meet_their_neighbours_only(spark):
+    """Fingerprints that agree in all dealt blocks but one, with counts 0, 1 ... : links go to counts within the radius, as for all pairs."""
+    fps = [(1 << k) - 1 for k in range(20)]
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp0 bigint"), 1)
+    got = {r["node"]: r["root"] for r in components(links.toDF("a", "b")).collect()}
+    assert got == {x: 0 for x in fps}
+    far = [(1 << k) - 1 for k in range(0, 40, 4)]
+    assert simhash.fingerprint_links(spark.createDataFrame([(x,) for x in far], "fp0 bigint"), 3).count() == 0

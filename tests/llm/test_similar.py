@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkwright.llm import line_dedup, quality_rules, simhash
@@ -80,3 +81,33 @@ def test_odd_and_empty_tables(spark):
     assert out.columns == df.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([1, 2, 5, 7, 8, None, 10], key=str)
     assert simhash.one_of_similar(empty(spark)).count() == 0
+
+
+def test_candidates_grow_in_proportion(spark):
+    """A group of like texts has a star for each band and a forest for each tile of fingerprints, not all its pairs."""
+    base = prose(3, 300)
+    counts = []
+    for n in (80, 240):
+        rows = [(k, changed(base, 1 + k % 3, k)) for k in range(n)] + [(1000 + k, prose(100 + k, 300)) for k in range(n)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        f = simhash._sketch_udf(5)("text")
+        prints = df.select(f.alias("f")).select(F.get("f", F.lit(0)).alias("key"), F.get("f", F.lit(1)).alias("fp"), F.slice("f", 3, simhash.BANDS).alias("bands"))
+        counts.append(simhash.candidate_links(prints, 3).count())
+    most = simhash.BANDS + 1 + len(simhash.block_masks(3))  # links of a text, at most
+    assert 80 <= counts[0] <= most * 80 and 240 <= counts[1] <= most * 240 and counts[1] < 5 * counts[0] < 240 * 239 / 2
+
+
+def test_known_components_are_not_compared(spark):
+    """A root of one component falls out; of others, the largest meets the rest, and the links are those that all pairs give."""
+    base = prose(11, 300)
+    rows = [(k, changed(base, 2 + k % 3, k)) for k in range(40)] + [(100 + k, changed(base, 14 + k, 50 + k)) for k in range(6)]
+    sets = [(0, k, min(k, 1), simhash.shingle_set(t, 5).view(np.int64).tolist()) for k, t in rows if k < 40] + [(0, k, k, simhash.shingle_set(t, 5).view(np.int64).tolist()) for k, t in rows if k >= 100]
+    sets += [(1, k, 7, [1, 2, 3]) for k in range(200, 230)]
+    df = spark.createDataFrame(sets, "root bigint, key bigint, comp bigint, shingles array<bigint>")
+    kept = {k for k, _ in brute_kept(rows)[0]}
+    for tile in (1500, 1 << 18):
+        links = simhash.similar_links(df, 0.8, tile).collect()
+        assert all(r["a"] < 200 and r["b"] < 200 for r in links) and len(links) < 40
+        known = [(1, k) for k in range(2, 40)]
+        roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(known + [(r["a"], r["b"]) for r in links], "a bigint, b bigint")).collect()}
+        assert {roots.get(k, k) for k, _ in rows} == kept
