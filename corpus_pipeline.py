@@ -26,9 +26,9 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Fingerprints within 10 bits and bands of minima give the candidates only; each link is verified on the whole sets of shingles.
+    Fingerprints within 3 bits and bands of minima give the candidates only; each link is verified on the whole sets of shingles.
     """
-    return simhash.one_of_similar(docs, width=5, similarity=0.8, radius=10)
+    return simhash.one_of_similar(docs, width=5, similarity=0.8, radius=3)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
