@@ -2,18 +2,19 @@
 
 Each rule's regular expression gives a Boolean trigram query. The index has a posting for each document and
 each trigram that some rule asks for; the postings of a clause are intersected by document, and
-only the candidates are verified by the expression itself. A rule without mandatory trigrams scans every document.
+only the candidates are verified by the expression itself. A rule without mandatory trigrams scans every document. The lengths of the
+matches and of what stands between them become rows, and a running sum over a text's rows gives the positions.
 
 Defined results: a null or empty text has no spans. Rows that repeat an id are each scanned by their own text. A null id
 is carried as null. Spans of one start are ordered by the rules' order. Other columns are passed over. An empty table gives an empty
-result. Positions are code points, the end exclusive.
+result. Positions are code points, the end exclusive. A very long text is scanned whole, and its work grows with its length and matches.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, materialize, table
@@ -38,11 +39,11 @@ RULES = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,10}://[A-Za-z0-9._~%-]{1,64}:[A-Za-z0-9._~%!-]{1,64}@"),
+    Rule("url_login", r"[a-z0-9]://[^\x09-\x0D\x20/@:]+:[^\x09-\x0D\x20/@:]+@"),
 )
-SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+SPANS, STEPS = "array<struct<start:int,rank:int,end:int,kind:string>>", "array<struct<rank:int,gap:int,length:int,judged:int>>"
 
 
 def _clauses(rules: tuple[Rule, ...]) -> list[tuple[int, int, int, int, str]]:
@@ -72,32 +73,33 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return full.groupBy("doc_id", "text_key").agg(F.collect_set("rule").alias("rules"))
 
 
-def _spans(text: Column, rank: int, rule: Rule) -> Column:
-    """The spans of a rule: what stands between the matches, and the matches, give the positions."""
+def _steps(text: Column, rank: int, rule: Rule) -> Column:
+    """For each match of a rule the lengths of what stands before it, of itself, and of the group that is judged."""
     pattern = F.lit(rule.pattern)
     found, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    steps = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m"), judged.alias("g"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, begin, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPANS))
+    zipped = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m"), judged.alias("g"))
+    return F.transform(zipped, lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("length"), F.length(x["g"]).alias("judged")))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each row of docs: its id and spans, an array of (start, rank, end, kind) in order."""
     slim = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     listed = candidates(slim, rules).select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "rules")
-    joined = slim.join(listed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.xxhash64("text") == F.col("c_key")), "left")
+    joined = slim.withColumn("text_key", F.xxhash64("text")).join(listed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
     indexed = {x[0] for x in _clauses(rules)}
-    none = F.array().cast(SPANS)
-    per_rule = [_spans(F.col("text"), r, rule) if r not in indexed else F.when(F.array_contains("rules", r), _spans(F.col("text"), r, rule)).otherwise(none) for r, rule in enumerate(rules)]
-    return joined.select(F.col("doc_id").alias(id_col), F.array_sort(F.concat(*per_rule)).alias("spans"))
+    text, none = F.col("text"), F.array().cast(STEPS)
+    per_rule = [F.when(F.array_contains("rules", r) if r in indexed else F.lit(True), _steps(text, r, rule)).otherwise(none) for r, rule in enumerate(rules)]
+    scanned = materialize(joined.select("doc_id", "text_key", F.concat(*per_rule).alias("steps")), "secret_steps")
+    rows = scanned.where(F.size("steps") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.posexplode("steps").alias("i", "s")).select("doc_id", "text_key", "i", "s.*")
+    place = Window.partitionBy("doc_id", "text_key", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ended = rows.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(place).cast("int"))
+    known = F.create_map(*(x for r, rule in enumerate(rules) for x in (F.lit(r), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least")))))
+    ended = ended.withColumn("rule", F.element_at(known, F.col("rank"))).where(F.col("judged") >= F.col("rule.least"))
+    span = F.struct((F.col("end") - F.col("length")).alias("start"), "rank", "end", F.col("rule.kind").alias("kind"))
+    found = ended.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    out = scanned.select("doc_id", "text_key").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
+    return out.select(F.col("doc_id").alias(id_col), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -65,3 +66,15 @@ def test_odd_documents(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "password=abcdefgh"), (1, "password=abcdefgh"), (1, "none"), (None, "token=12345678")], "doc_id bigint, text string")
     assert sorted((str(r["doc_id"]), len(r["spans"])) for r in secrets.find_secrets(twice).collect()) == [("1", 0), ("1", 1), ("1", 1), ("None", 1)]
+
+
+def test_very_long_texts(spark):
+    """A text of 100,000 keys, a long lower-case run and long keys: the work grows with the length, and nothing is cut."""
+    many = "token=abcdefgh " * 100_000
+    key, login = "-----BEGIN " + "A" * 50 + " PRIVATE KEY-----", "https://" + "u" * 90 + ":" + "p+=$" * 40 + "@host"
+    df = spark.createDataFrame([(1, many), (2, "z" * 300_000 + " ://"), (3, key + " " + login)], "doc_id bigint, text string").coalesce(1)
+    began = time.perf_counter()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find_secrets(df).collect()}
+    assert time.perf_counter() - began < 30
+    assert len(got[1]) == 100_000 and got[1][-1] == (15 * 99_999, 0, 15 * 99_999 + 14, "assign") and got[2] == []
+    assert got[3] == brute(key + " " + login) and [s[3] for s in got[3]] == ["private_key", "url_login"]
