@@ -12,21 +12,27 @@ are of fixed size while the counts of words, which know no bound, stay a Spark t
 4. The counts are joined to the dictionaries, and each block scores its documents by the scaled forward recursion,
    which gives the exact likelihood of the whole text.
 
-Training cuts texts into sequences of SEQUENCE tokens (all of them are used); scoring cuts nothing. The parameters start
-from a seeded perturbation of the class counts, so reruns agree up to the order in which floats are added.
+Neither training nor scoring cuts a text: each is one sequence, from its first word to its end. Sequences of like length are trained together,
+LOT tokens at a time. A longer one passes in stretches of LOT tokens: the forward state at the end of each is kept, and
+the stretches are computed again from the last to the first with the backward state of the one after, so memory is bounded and the
+expected counts are those of the whole. The parameters start from a seeded perturbation of the class counts, so reruns agree up to
+the order in which floats are added.
+
+A state's tables are by class, so states tell classes apart but not the words of one class.
 
 Smoothing: a class gives unknown words one count, and each known word one more than its own. The base score is
 the add-one unigram model.
 
 Defined results: a null or empty text has the end as its only token. A null id counts as an empty one when held-out documents are
 chosen, so it is a training document. Rows that repeat are each counted and scored. Without training tokens, every
-token is unknown. Other columns are passed over. An empty table gives an empty result.
+token is unknown. There are no ties. Other columns are passed over. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,18 +45,18 @@ from .common import col, materialize, table
 
 CLASS_BITS, STATES, ROUNDS, SEED = 16, 8, 6, 17
 CLASSES = 1 << CLASS_BITS
-#: Tokens of a block, of a training sequence, and of the sequences that are trained on at once.
-BLOCK, SEQUENCE, LOT = 1 << 22, 1024, 1 << 19
+#: Tokens of a block, of a longer text alone if need be, and of the sequences that are trained on at once.
+BLOCK, LOT = 1 << 20, 1 << 19
 #: Weight of the prior of a state's classes, in tokens, and of its transitions.
 PRIOR, TURN_PRIOR = 200.0, 10.0
 #: White space cannot be a word, so this stands for the end.
 END, END_CLASS = b"\n", 0
-BLOCK_TYPE = "block_id string, doc_ids array<string>, held array<boolean>, lengths array<bigint>, tokens binary, classes binary, words array<bigint>, counts array<bigint>"
+BLOCK_TYPE = "block0 bigint, block1 bigint, doc_ids array<string>, held array<boolean>, lengths array<bigint>, tokens binary, classes binary, words array<bigint>, counts array<bigint>"
 
 
 class Params(NamedTuple):
     first: np.ndarray  # of a text
-    later: np.ndarray  # of a training sequence that goes on in a text
+    later: np.ndarray  # of a stretch of a text, given what comes before it
     turn: np.ndarray
     emit: np.ndarray  # a row for each class
 
@@ -99,9 +105,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wids = np.array([word_id(w) for w in words], np.int64)
         classes = wids.view(np.uint64) >> np.uint64(48)
         # by content, so a task that runs again gives the same name
-        name = xxhash.xxh3_128_hexdigest(repr(ids).encode() + wids.tobytes() + flat.tobytes())
-        columns = [[name], [ids], [held], [lengths], [pack(flat)], [pack(classes)], [wids], [np.bincount(trained, minlength=len(words))]]
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        name = np.frombuffer(xxhash.xxh3_128_digest(repr(ids).encode() + wids.tobytes() + flat.tobytes()), np.int64).tolist()
+        columns = [*([x] for x in name), [ids], [held], [lengths], [pack(flat)], [pack(classes)], [wids], [np.bincount(trained, minlength=len(words))]]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in BLOCK_TYPE.split(", ")])
 
     for batch in batches:
@@ -141,8 +147,21 @@ def by_step(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, active, np.concatenate([starts[:m] + t for t, m in enumerate(active)]) if len(active) else np.zeros(0, np.int64)
 
 
+class Counts(NamedTuple):
+    seen: np.ndarray  # the tokens' classes, step by step
+    weights: np.ndarray  # their state weights
+    first: np.ndarray  # the weights of the texts' first tokens
+    turns: np.ndarray
+    before: np.ndarray  # for the sequence's first token, what the state before it is multiplied by in its backward state
+
+
 def expected(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward and backward over all sequences at once: the tokens' classes step by step, their state weights, those of the texts' first tokens, and of the turns."""
+    return recursions(cls, starts, lengths, begins, p)[:4]
+
+
+def recursions(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params, after: np.ndarray | None = None) -> Counts:
+    """The forward and backward recursions of expected; after: the backward state at the end, if what is given goes on."""
     order, active, places = by_step(starts, lengths)
     begins = begins[order]
     first, later, turn = (x.astype(np.float32) for x in (p.first, p.later, p.turn))
@@ -157,6 +176,8 @@ def expected(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: n
         a = a / s
         alphas[e - m : e], scales[e - m : e] = a, s
     beta = np.ones((active[0] if len(active) else 0, len(first)), np.float32)
+    if after is not None:
+        beta[:] = after
     n, weights = 0, emit[:0]  # the sequences that go on after the step, and their weights
     for t in range(len(active) - 1, -1, -1):
         m, e = active[t], ends[t]
@@ -169,9 +190,29 @@ def expected(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: n
             emit[f - n : f] = weights  # in the place of what is no longer needed
         weights = alphas[e - m : e] * here
         n = m
+    before = emit[:1] * beta[:1] / scales[:1]
     if len(active):
         emit[: active[0]] = weights
-    return seen, emit, emit[: len(begins)][begins].sum(0), turns * p.turn
+    return Counts(seen, emit, emit[: len(begins)][begins].sum(0), turns * p.turn, before)
+
+
+def stretches(cls: np.ndarray, p: Params, lot: int = 0) -> Iterator[Counts]:
+    """The counts of one long text, stretch by stretch from the last to the first."""
+    cuts = list(range(0, len(cls), lot or LOT))
+    entries, a = [p.first], None  # the state's distribution before the first token of each stretch
+    scale = class_scale(p)
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        for k in cls[s:e]:
+            a = (entries[0] if a is None else a @ p.turn) * (p.emit[k] / scale[k])
+            a = a / a.sum()
+        entries.append(a)
+    after, end = None, len(cls)
+    for i in range(len(cuts) - 1, -1, -1):
+        here = p._replace(later=entries[i] @ p.turn) if i else p
+        got = recursions(cls, np.array([cuts[i]]), np.array([end - cuts[i]]), np.array([i == 0]), here, after)
+        across = np.outer(entries[i], got.before[0]) * p.turn if i else 0.0
+        yield got._replace(turns=got.turns + across)
+        after, end = got.before @ p.turn.T.astype(np.float32), cuts[i]
 
 
 def class_scale(p: Params) -> np.ndarray:
@@ -190,18 +231,16 @@ def _train(params, states: int) -> Callable:
                 cls = unpack(classes.as_py(), n_words.as_py())[flat]
                 at = np.cumsum(lengths) - lengths
                 at, n = at[~held], lengths[~held]
-                parts = -(-n // SEQUENCE)
-                k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                starts = np.repeat(at, parts) + k * SEQUENCE
-                sizes = np.minimum(SEQUENCE, np.repeat(n, parts) - k * SEQUENCE)
-                lots = np.cumsum(sizes) // LOT
-                for lot in np.unique(lots):
-                    of = np.flatnonzero(lots == lot)
-                    lo, hi = starts[of[0]], starts[of[-1]] + sizes[of[-1]]
-                    seen, w, f, x = expected(cls[lo:hi], starts[of] - lo, sizes[of], k[of] == 0, p)
+                order = np.argsort(-n, kind="stable")  # texts of like length go together, so few steps have few of them
+                at, n = at[order], n[order]
+                long = int((n > LOT).sum())
+                lots = np.cumsum(n[long:]) // LOT
+                of = (np.flatnonzero(lots == lot) + long for lot in np.unique(lots))
+                found = (recursions(cls, at[k], n[k], np.ones(len(k), bool), p) for k in of)
+                for got in chain(found, *(stretches(cls[at[k] : at[k] + n[k]], p) for k in range(long))):
                     for s in range(states):
-                        emit[:, s] += np.bincount(seen, weights=w[:, s], minlength=CLASSES)
-                    first, turn = first + f, turn + x
+                        emit[:, s] += np.bincount(got.seen, weights=got.weights[:, s], minlength=CLASSES)
+                    first, turn = first + got.first, turn + got.turns
         rows = np.concatenate([emit, first[None], turn])  # the last 1 + states rows are not classes
         hit = np.flatnonzero(rows.sum(1) > 0)
         yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(rows[hit, s]) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
@@ -261,8 +300,8 @@ def train(blocks: DataFrame, class_counts: np.ndarray, states: int = STATES, rou
         for part in sums.toArrow().to_batches():  # a row for each class at most
             rows[part.column(0).to_numpy()] = np.stack([part.column(1 + s).to_numpy() for s in range(states)], 1)
         emit, first, turn = rows[:CLASSES], rows[CLASSES], rows[CLASSES + 1 :]
-        held = emit.sum(0)
-        p = Params((first + 1) / (first + 1).sum(), (held + 1) / (held + 1).sum(), (turn + TURN_PRIOR / states) / (turn + TURN_PRIOR / states).sum(1, keepdims=True), (emit + PRIOR * prior[:, None]) / (held + PRIOR))
+        held, start_of = emit.sum(0), (first + 1) / (first + 1).sum()
+        p = Params(start_of, start_of, (turn + TURN_PRIOR / states) / (turn + TURN_PRIOR / states).sum(1, keepdims=True), (emit + PRIOR * prior[:, None]) / (held + PRIOR))
     return p
 
 
@@ -280,8 +319,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for part in by_class.toArrow().to_batches():  # a row for each class at most
         class_counts[part.column(0).to_numpy()], class_words[part.column(0).to_numpy()] = part.column(1).to_numpy(), part.column(2).to_numpy()
     sent = spark.sparkContext.broadcast(train(blocks, class_counts, states, rounds))
-    held = blocks.select(F.col("block_id").alias("of"), F.posexplode("words").alias("place", "word")).join(vocabulary, "word").select("of", "place", "c")
-    scored = blocks.drop("words", "counts").groupBy("block_id").cogroup(held.groupBy("of")).applyInArrow(
+    held = blocks.select(F.col("block0").alias("of0"), F.col("block1").alias("of1"), F.posexplode("words").alias("place", "word")).join(vocabulary, "word").select("of0", "of1", "place", "c")
+    scored = blocks.drop("words", "counts").groupBy("block0", "block1").cogroup(held.groupBy("of0", "of1")).applyInArrow(
         _score(sent, states, class_counts + class_words + 1, n + v + 1), "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

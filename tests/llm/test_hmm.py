@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparkwright.llm import hmm
-from tests.llm.helpers import empty, odd
+from tests.llm.helpers import empty, odd, prose
 
 
 def counts(docs):
@@ -108,3 +108,58 @@ def test_odd_documents(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
     alone = hmm.score_documents(spark.createDataFrame([(held[0], "a b")], "doc_id bigint, text string")).collect()
     assert alone[0]["train_tokens"] == alone[0]["n_known"] == 0 and alone[0]["base_score"] == 0
+
+
+def test_stretches_of_a_long_text_give_the_counts_of_the_whole():
+    p, rng = params(4), np.random.default_rng(8)
+    cls = rng.integers(0, 50, 1001)
+    whole = hmm.recursions(cls, np.array([0]), np.array([1001]), np.array([True]), p)
+    want = np.stack([np.bincount(whole.seen, weights=whole.weights[:, k], minlength=50) for k in range(4)], 1)
+    for lot in (100, 1000, 1001, 5000):
+        parts = list(hmm.stretches(cls, p, lot))
+        got = np.stack([sum(np.bincount(x.seen, weights=x.weights[:, k], minlength=50) for x in parts) for k in range(4)], 1)
+        assert np.allclose(got, want, atol=1e-3) and np.allclose(sum(x.first for x in parts), whole.first, atol=1e-4) and np.allclose(sum(x.turns for x in parts), whole.turns, atol=1e-2)
+
+
+def test_score_by_brute_force(spark):
+    """Baum-Welch over whole texts and the scaled forward recursion, both by plain loops, give the query's scores."""
+    rows = [(i, prose(i + 1, 5 + 7 * i)) for i in range(12)] + [(50, None)]
+    docs = [(i, [*(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+    train = [w for i, w in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for d in train for w in d)
+    k, n = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, m in c.items():
+        k[hmm.word_class(w)] += m
+        n[hmm.word_class(w)] += 1
+    states, prior, p = 3, hmm.class_prior(k), hmm.start(k, 3, hmm.SEED)
+    for _ in range(2):
+        emit, first, turn = np.zeros((hmm.CLASSES, states)), np.zeros(states), np.zeros((states, states))
+        for cls in ([hmm.word_class(w) for w in d] for d in train):
+            a = [p.first * p.emit[cls[0]]]
+            for x in cls[1:]:
+                a.append(a[-1] / a[-1].sum() @ p.turn * p.emit[x])
+            b = np.ones(states)
+            for t in range(len(cls) - 1, -1, -1):
+                g = a[t] / a[t].sum() * b
+                emit[cls[t]] += g / g.sum()
+                if t:
+                    y = np.outer(a[t - 1] / a[t - 1].sum(), p.emit[cls[t]] * b) * p.turn
+                    turn += y / y.sum()
+                    b = p.turn @ (p.emit[cls[t]] * b)
+                    b = b / (a[t - 1] / a[t - 1].sum() @ b)
+                else:
+                    first += g / g.sum()
+        one = (first + 1) / (first + 1).sum()
+        turn = turn + hmm.TURN_PRIOR / states
+        p = hmm.Params(one, one, turn / turn.sum(1, keepdims=True), (emit + hmm.PRIOR * prior[:, None]) / (emit.sum(0) + hmm.PRIOR))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in hmm.score_documents(df, states=3, rounds=2).collect()}
+    for i, d in docs:
+        cls = [hmm.word_class(w) for w in d]
+        like, a = 0.0, p.first
+        for t, x in enumerate(cls):
+            a = (a if t == 0 else a @ p.turn) * p.emit[x]
+            like += math.log10(a.sum())
+            a = a / a.sum()
+        like += sum(math.log10((c[w] + 1) / (k[x] + n[x] + 1)) for w, x in zip(d, cls, strict=True))
+        assert got[i] == pytest.approx(like, rel=1e-4)
