@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -67,3 +69,64 @@ def test_repeats(text):
 
 def test_scripts():
     assert [qr.script(t) for t in ("abc", "Привет", "καλη", "日本語", "123", "漢字 かな", "ابت")] == ["LATIN", "CYRILLIC", "GREEK", "CJK", "", "CJK", ""]
+
+
+def brute_figures(t):
+    """Tokens, characters per token, fallback share, relative entropy and spelled share, straight from the libraries."""
+    import base64
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(qr.VOCABULARY), "rb"))}
+    ids = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(t)
+    words = {v: k for k, v in ranks.items()}
+
+    def part(b):
+        try:
+            return not b.decode()
+        except UnicodeDecodeError:
+            return True
+
+    n, c = len(ids), Counter(ids)
+    entropy = -sum(k / n * math.log2(k / n) for k in c.values()) / max(1.0, math.log2(min(n, 512)))
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path(qr.PIECES))
+    rare = {x for x in set(t) if not x.isspace() and any(p.startswith("<0x") for p in model.encode(x, out_type=str))}
+    return n, len(t) / n, sum(part(words[i]) for i in ids) / n, entropy, sum(x in rare for x in t) / len(t)
+
+
+def test_figures_and_verdict_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    rows_of = list(rows.values())[:40]
+    got = {r["doc_id"]: r for r in qr.judge(docs).collect()}
+    for r in rows_of:
+        g, (n, per, part, entropy, spelled) = got[r["doc_id"]], brute_figures(r["text"])
+        assert (g["n_tokens"], g["chars_per_token"]) == (n, per)
+        assert (g["fallback_share"], g["rel_entropy"], g["spelled_share"]) == pytest.approx((part, entropy, spelled))
+        low, high, share, least = qr.BANDS[r["lang"]]
+        assert g["kept"] == (not g["base_failed"] and low <= per <= high and part <= share and entropy >= least and spelled <= qr.PIECE_BANDS[r["lang"]])
+
+
+def test_pieces_have_the_tokens_of_the_text():
+    encode, _ = qr.encoder(qr.VOCABULARY)
+    rng = random.Random(5)
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(120_001)), "".join(rng.choice("ab \n\t.'é") for _ in range(180_000)), "x  y\n " * 30_000, " " * 120_000 + "a"):
+        parts = qr.pieces(text)
+        assert "".join(parts) == text and [i for p in parts for i in encode(p)] == encode(text)
+
+
+def test_scripts_without_a_band_get_one_from_the_table(spark):
+    """Arabic prose keeps to the fences of its own documents; Arabic noise does not."""
+    letters = "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
+    rng = random.Random(7)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose_of = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(300)]
+    noise = [" ".join(rng.choice(words) + "".join(rng.choice("٪ﷺ※⁂") for _ in range(9)) for _ in range(120)) for _ in range(5)]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(prose_of + noise)], "doc_id bigint, text string, lang string")
+    rules = qr.with_script_bands(df, "text", "lang", qr.Rules())
+    assert set(rules.bands) - set(qr.BANDS) == {"ARABIC"} and rules.bands["ARABIC"][0] > qr.BANDS[""][0]
+    kept = {r["doc_id"] for r in qr.judge(df).where("kept").collect()}
+    assert len(kept & set(range(300))) >= 297 and not kept & set(range(300, 305))
+    assert set(qr.with_script_bands(df.limit(0), "text", "lang", qr.Rules()).bands) == set(qr.BANDS)
