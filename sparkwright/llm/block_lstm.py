@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 Weights = dict[str, np.ndarray]
@@ -68,6 +70,33 @@ def _back(x: np.ndarray, mask: np.ndarray, w: Weights, d: str, kept: list, dout:
     grad[f"c{d}"] += dz_all.sum((0, 1))
 
 
+def _read(x: np.ndarray, w: Weights, d: str, state: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """What one direction puts out for (steps, pages, dim) without padding, from a state on; only the outputs are kept."""
+    hidden = w[f"h{d}"].shape[0]
+    (h, c), turn = state, w[f"h{d}"]
+    pre, out = x @ w[f"x{d}"] + w[f"c{d}"], np.empty((*x.shape[:2], hidden), np.float32)
+    for t in range(len(x)):
+        z = pre[t] + h @ turn
+        gates = sigmoid(z[:, : 3 * hidden])
+        c = gates[:, hidden : 2 * hidden] * c + gates[:, :hidden] * np.tanh(z[:, 3 * hidden :])
+        h = out[t] = gates[:, 2 * hidden :] * np.tanh(c)
+    return out, (h, c)
+
+
+def long_logits(n: int, of: Callable[[int, int], np.ndarray], w: Weights, step: int) -> np.ndarray:
+    """As logits, for one page of n blocks whose rows of(first, last) gives, `step` at a time: the rows are never held all at once."""
+    hidden = w["hf"].shape[0]
+    y = np.full(n, w["bias"][0], np.float32)
+    none = np.zeros((1, hidden), np.float32)
+    cuts = [(s, min(n, s + step)) for s in range(0, n, step)]
+    for d, part, turn in (("f", slice(0, hidden), 1), ("b", slice(hidden, None), -1)):
+        state = (none, none)
+        for s, e in cuts[::turn]:
+            out, state = _read(of(s, e)[::turn, None], w, d, state)
+            y[s:e] += (out[::turn, 0] @ w["out"][part])[:, 0]
+    return y
+
+
 def logits(pages: list[np.ndarray], w: Weights) -> list[np.ndarray]:
     """For each page, a number for each block that is over 0 for main text."""
     x, mask, turn = padded(pages)

@@ -4,37 +4,46 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import xxhash
 
 #: Fixed values of HTML: elements whose content is not markup or not shown, elements that never close, inline elements,
-#: and what a start tag closes.
-RAW = "noscript|template|svg|math|iframe|object|canvas|select|audio|video"
+#: those of formulas, and what a start tag closes.
+RAW = frozenset("noscript template svg iframe object canvas select audio video annotation annotation-xml".split())
 #: Those whose content goes on to the end of the page if they are not closed; others are then left out as a tag alone.
-RAW_TO_END = "script|style|textarea|title"
+RAW_TO_END = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+FORMULA = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
+INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
 #: A start tag closes nothing beyond these.
 WALLS = frozenset("ul ol dl table td th div article section main aside nav body html form blockquote".split())
-ATTR = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
-MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)"
-    rf"|<(?:svg|math)(?=[\s/>]){ATTR}(?<=/)>"
-    rf"|<(?P<raw>{RAW_TO_END})(?=[\s/>]){ATTR}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    rf"|<(?P<closed>{RAW})(?=[\s/>]){ATTR}>.*?</(?P=closed)(?=[\s/>])[^>]*>"
-    rf"|<option(?=[\s/>]){ATTR}>.*?(?=</?(?:option|optgroup|datalist|select)[\s/>])(?:</option(?=[\s/>])[^>]*>)?"
-    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>{ATTR})>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+#: Elements nested deeper count as the innermost of so many, as in browsers; and names that a path takes from one attribute.
+MAX_DEPTH, MAX_NAMES = 256, 16
+MARK = re.compile(r"<(?:!--|[!?]|(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)|/)", re.IGNORECASE)
+#: What goes on to the > of a tag: a quoted value after = may hold one. Possessive, so nothing is tried twice.
+REST = re.compile(r"(?P<attr>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW | RAW_TO_END}
+OPTION_END = re.compile(r"</?(?:option|optgroup|datalist|select)(?=[\s/>])", re.IGNORECASE)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[^\W_]+")
 
-PATH_DIM, WORD_DIM, PLAIN_DIM = 160, 24, 6
+#: Names of tags, classes and ids by which the training sample is labelled, and which a block is told of.
+MAIN = ("article", "main", ".main", ".content", ".article", ".post", ".entry", ".story", ".body")
+NOT_MAIN_TAGS = ("nav", "footer", "aside", "form", "menu", "dialog", "button", "head")
+NOT_MAIN_NAMES = (
+    "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer",
+    "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
+    "promoted", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
+)
+
+PATH_DIM, WORD_DIM, PLAIN_DIM = 160, 24, 8
 DIM = PATH_DIM + WORD_DIM + PLAIN_DIM
 
 
@@ -44,69 +53,121 @@ class Block(NamedTuple):
     linked: int  # characters inside links
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it closes, attributes) of each piece of markup, in order; the tag is empty for what only goes: comments, declarations and elements that are not shown.
+
+    Every character is looked at a bounded number of times: what does not close is found out once.
+    """
+    at, unclosed = 0, set()  # elements that nothing closes from here on
+    while m := MARK.search(page, at):
+        start, tag, closes = m.start(), (m["tag"] or "").lower(), bool(m["end"])
+        if not tag:
+            comment = m[0] == "<!--"
+            end = page.find("-->" if comment else ">", m.end())
+            if end < 0 and not comment:
+                return
+            at = end + (3 if comment else 1) if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        rest = REST.match(page, m.end())
+        if not rest:  # no > outside of quotes is left, so no tag either
+            return
+        at, attr = rest.end(), rest["attr"]
+        hidden = END_OF.get(tag) or (OPTION_END if tag == "option" else None)
+        if hidden and not closes and tag not in unclosed and not (tag == "svg" and attr.endswith("/")):
+            end = hidden.search(page, at)
+            if end or tag in RAW_TO_END:
+                after = page.find(">", end.end()) if end else -1
+                at = end.start() if end and tag == "option" else after + 1 if after >= 0 else len(page)
+                yield start, at, "", False, ""
+                continue
+            unclosed.add(tag)
+        yield start, at, tag, closes, attr
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order: character references decoded, white space turned into one space, none empty."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # elements that are not inline, each with the path to it
     parts: list[str] = []
     path: tuple[str, ...] = ()
-    links = [0]
+    linked, link, deeper = 0, -1, 0  # characters in links; how deep a link began; elements open beyond MAX_DEPTH
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(path, text, min(links[0], len(text))))
+            out.append(Block(path, text, min(linked, len(text))))
         parts.clear()
-        links[0] = 0
+        linked = 0
 
     def add(text: str) -> None:
-        nonlocal path
+        nonlocal path, linked
         if not text:
             return
         if not parts:
-            path = tuple(x for tag, names in stack if tag not in INLINE for x in (tag, *names))
+            path = stack[-1][1] if stack else ()
         parts.append(text)
-        if any(tag == "a" for tag, _ in stack):
-            links[0] += len(text)
+        if link >= 0:
+            linked += len(text)
 
-    def close(tags: tuple[str, ...]) -> None:
+    def close(tags: tuple[str, ...], walls: frozenset[str] = WALLS) -> None:
+        nonlocal link
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
                 del stack[i:]
+                link = link if link <= i else -1
                 return
-            if stack[i][0] in WALLS:
+            if stack[i][0] in walls:
                 return
 
     at = 0
-    for m in MARKUP.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+    for start, end, tag, closes, attr in markup(page):
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        if m["end"]:
-            if tag not in INLINE:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if tag in INLINE:
+            if tag == "a":
+                link = -1 if closes else len(stack)
+            continue
+        flush()
+        optional = tag == "p" or tag in CLOSES
+        if closes:
+            if deeper and not optional:
+                deeper -= 1
+            elif not deeper:
+                close((tag,), frozenset())
             continue
-        if tag not in INLINE:
-            flush()
         if tag in P_CLOSERS:
             close(("p",))
         if tag in CLOSES:
             close(CLOSES[tag])
-        if tag not in VOID and not m["attr"].endswith("/"):
-            names = tuple(f".{w.lower()}" for g in NAMES.findall(m["attr"]) for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(g)))) if m["attr"] else ()
-            stack.append((tag, names))
+        if tag in VOID or attr.endswith("/"):
+            continue
+        if len(stack) >= MAX_DEPTH:
+            deeper += not optional
+            continue
+        words = (w for g in NAMES.findall(attr) for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(g)))) if attr else ()
+        names = tuple(f".{w.lower()}" for w in itertools.islice(words, MAX_NAMES))
+        stack.append((tag, (*(stack[-1][1] if stack else ()), tag, *names)))
     add(page[at:])
     flush()
     return out
 
 
+OFF = frozenset((*NOT_MAIN_TAGS, *(f".{n}" for n in NOT_MAIN_NAMES)))
+
+
+@functools.lru_cache(maxsize=4096)
+def named(path: tuple[str, ...]) -> tuple[bool, bool]:
+    """Whether a name on the path is one of an article, and whether one is of what is not its text."""
+    first = next((i for i, x in enumerate(path) if x in MAIN), None)
+    page_header = "header" in path and (first is None or path.index("header") < first)
+    return first is not None, page_header or not OFF.isdisjoint(path)
+
+
 @functools.lru_cache(maxsize=4096)
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Signed hashes of the path's tags and names, and of the innermost tag."""
@@ -120,14 +181,15 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block."""
-    out = np.zeros((len(page), DIM), np.float32)
-    for i, b in enumerate(page):
+def vectors(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row for each block, or for those from first to last."""
+    some = page[first:last]
+    out = np.zeros((len(some), DIM), np.float32)
+    for i, b in enumerate(some):
         out[i, :PATH_DIM] = path_vector(b.path)
         words = b.text.split()
         hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) % WORD_DIM
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(hashed.astype(np.int64), minlength=WORD_DIM) / len(words)
         stops = sum(b.text.count(x) for x in ".!?")
-        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 4, b.linked / len(b.text), min(1.0, 5 * stops / len(words)), i / len(page), min(1.0, len(page) / 100), 1.0)
+        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 4, b.linked / len(b.text), min(1.0, 5 * stops / len(words)), (first + i) / len(page), min(1.0, len(page) / 100), 1.0, *named(b.path))
     return out

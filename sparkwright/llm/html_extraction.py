@@ -1,19 +1,21 @@
 """HTML extraction by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks; each block is a vector of hashed tag-path names, hashed words
-and a few plain figures. A bidirectional LSTM reads the whole sequence and labels every block, and the text of a
+and a few plain figures, among them whether a known name of an article, or of what is none, is on its path. A bidirectional LSTM reads the whole sequence and labels every block, and the text of a
 page is its main blocks in order.
 
 There are no hand-made labels. The labeller is trained on a bounded sample (of the distinct pages with text, the TRAIN_PAGES of
 the smallest hash of their content; of a longer page blocks of its start, end and inside, TRAIN_CHARS characters at most) that is labelled by structure: what an article, main or like element
 holds, but for menus, notes and so on inside. The sample is also varied: further blocks under the names that boilerplate
-usually has go in between, and the article's element changes its name, so that the labels of names that the sample itself lacks
-are learnt. All pages are then labelled by the LSTM alone.
+usually has go in between, as do tables, lists, links and captions of the article, the article's element changes its name, and in
+three of ten variants class and id names are hidden, so that structure, links and place must tell. All pages are then
+labelled by the LSTM alone.
 
 Defined results: a null or empty page has the text ''. Repeated rows are labelled alike. A null url or id is carried.
 Markup that is cut off or badly nested is read as far as it goes. Other columns are passed over. An empty table gives
 an empty result. If no page has any text there is no sample, nothing is trained and all texts are ''. A block of over TRAIN_CHARS characters
-is learnt by its first ones, but labelled and returned whole.
+is learnt by its first ones, but labelled and returned whole. A block whose number is exactly 0, neither side, is not main text. A very long page
+is read LONG_PAGE blocks at a time, each way; elements nested deeper than MAX_DEPTH count as that deep.
 """
 
 from __future__ import annotations
@@ -27,48 +29,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block_lstm import Weights, logits, train
-from .blocks import Block, blocks_of, vectors
+from .block_lstm import Weights, logits, long_logits, train
+from .blocks import MAIN, NOT_MAIN_NAMES, NOT_MAIN_TAGS, Block, blocks_of, named, vectors
 from .common import col, table
 
-TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 20_000, 8, 24, 8, 11
-#: Pages that are labelled at once, and blocks.
-LOT, LOT_BLOCKS = 256, 20_000
-#: Names of tags, classes and ids by which the training sample is labelled and varied.
-MAIN = ("article", "main", ".main", ".content", ".article", ".post", ".entry", ".story", ".body")
+TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 20_000, 12, 24, 8, 11
+#: Pages that are labelled at once, and blocks; and blocks of a page that is read in parts.
+LOT, LOT_BLOCKS, LONG_PAGE = 256, 20_000, 4_000
+#: Paths by which the training sample is varied.
 MAIN_PATHS = (("article",), ("main",), ("div", ".content"), ("div", ".main"), ("div", ".article", ".body"), ("div", ".post"), ("section", ".entry"), ("div", ".story"), ("main", "article"), ("div", ".main", ".content", "article"), ("section", "article"), ())
-NOT_MAIN_TAGS = ("nav", "footer", "aside", "form", "menu", "dialog", "button", "head")
-NOT_MAIN_NAMES = (
-    "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer",
-    "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
-    "promoted", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
-)
-INNER = (("p",), ("p",), ("ul", "li"), ("div",), ("h2",), ("h3",), ("blockquote", "p"), ("ol", "li"), ("table", "tr", "td"), ("section", "p"), ("figure", "figcaption"), ("pre",))
+INNER = (("p",), ("p",), ("ul", "li"), ("div",), ("h2",), ("h3",), ("blockquote", "p"), ("ol", "li"), ("table", "tr", "td"), ("section", "p"), ("figure", "figcaption"), ("pre",), ())
 
 
 def structural_labels(page: list[Block]) -> np.ndarray:
     """1 for blocks of the article by the names on their path; without an article, for all that has no other name."""
-    bad = {*NOT_MAIN_TAGS, *(f".{n}" for n in NOT_MAIN_NAMES)}
-
-    def place(b: Block) -> tuple[bool, bool]:
-        first = next((i for i, x in enumerate(b.path) if x in MAIN), None)
-        page_header = "header" in b.path and (first is None or b.path.index("header") < first)
-        return first is not None, bool(bad & set(b.path)) or page_header
-
-    places = [place(b) for b in page]
+    places = [named(b.path) for b in page]
     some = any(inside and not off for inside, off in places)
     return np.array([not off and (inside or not some) for inside, off in places], np.float32)
 
 
+def unnamed(page: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The page with its class and id names hidden: each replaced by a word that says nothing, or all left out."""
+    drop, salt = rng.random() < 0.5, int(rng.integers(1 << 30))
+
+    def hidden(path: tuple[str, ...]) -> tuple[str, ...]:
+        return tuple(x if x[0] != "." else f".{xxhash.xxh3_64_hexdigest(f'{salt}{x}')[:6]}" for x in path if x[0] != "." or not drop)
+
+    return [b._replace(path=hidden(b.path)) for b in page]
+
+
 def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """The page with its article under another name and with boilerplate put in between."""
+    """The page with its article under another name, with boilerplate and further kinds of blocks of the article put in between, and often with its names hidden."""
     words = [w for b in page for w in b.text.split()]
+    hide = rng.random() < 0.3
     new = MAIN_PATHS[rng.integers(len(MAIN_PATHS))] if rng.random() < 0.8 else None
     out: list[tuple[Block, float]] = []
     top = ("html", "body")
 
-    def text(linked: bool) -> tuple[str, int]:
-        n = int(rng.integers(1, 6 if linked else 60))
+    def text(linked: bool, most: int = 0) -> tuple[str, int]:
+        n = int(rng.integers(1, most or (6 if linked else 60)))
         t = " ".join(words[i] for i in rng.integers(len(words), size=n))
         return t, len(t) if linked else 0
 
@@ -77,28 +76,33 @@ def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> t
         return b.path[: at + 1] if at is not None else b.path[:-1]
 
     for b, k in zip(page, labels, strict=True):
-        if k and new:
+        if k and new is not None:
             head = inside(b)
             b = b._replace(path=(*top, *new, *b.path[len(head) :]))
         out.append((b, float(k)))
     for _ in range(int(rng.integers(0, 6))):
         at = int(rng.integers(len(out) + 1))
-        near = out[min(at, len(out) - 1)][0]
-        if rng.random() < 0.25:  # more of the article
-            if not out[min(at, len(out) - 1)][1]:
+        near, is_main = out[min(at, len(out) - 1)]
+        if rng.random() < 0.35:  # more of the article
+            if not is_main:
                 continue
             body, k = inside(near) or top, 1.0
         else:
-            name = (NOT_MAIN_TAGS[rng.integers(6)],) if rng.random() < 0.35 else ("header",) if rng.random() < 0.15 else (("div", "section", "p", "ul", "aside")[rng.integers(5)], f".{NOT_MAIN_NAMES[rng.integers(len(NOT_MAIN_NAMES))]}")
-            host = inside(near) if rng.random() < 0.5 and name != ("header",) else top
-            body, k = (*host, *name), 0.0
+            tag = rng.random() < (0.8 if hide else 0.35)
+            name = ("header",) if rng.random() < 0.2 else (NOT_MAIN_TAGS[rng.integers(6)],) if tag else (("div", "section", "p", "ul", "aside")[rng.integers(5)], f".{NOT_MAIN_NAMES[rng.integers(len(NOT_MAIN_NAMES))]}")
+            within = rng.random() < 0.5 and name != ("header",) and (tag or not hide)
+            if hide and not within:  # without names, only its place and its links tell it from the article
+                at = 0 if rng.random() < 0.5 else len(out)
+            body, k = (*(inside(near) if within else top), *name), 0.0
         inner = ("header", "h1") if k and rng.random() < 0.2 else INNER[rng.integers(len(INNER))]
+        linked = rng.random() < (0.2 if k and inner[:1] in (("ul",), ("ol",), ("table",)) else 0.0 if k else 0.7 if hide and not tag else 0.4)
         for _ in range(int(rng.integers(1, 6))):
-            t, n = text(not k and rng.random() < 0.4)
+            t, n = text(linked, 12 if k and linked else 0)
             if t:
                 out.insert(at, (Block((*body, *inner), t, n), k))
                 at += 1
-    return [b for b, _ in out], np.array([k for _, k in out], np.float32)
+    blocks = [b for b, _ in out]
+    return unnamed(blocks, rng) if hide else blocks, np.array([k for _, k in out], np.float32)
 
 
 def fit(sample: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED, variants: int = VARIANTS) -> Weights | None:
@@ -168,6 +172,11 @@ def label_pages(pages: list[list[Block]], weights: Weights) -> list[np.ndarray]:
     order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if pages[i]]
     at = 0
     while at < len(order):
+        if len(pages[order[at]]) > LONG_PAGE:
+            page = pages[order[at]]
+            out[order[at]] = long_logits(len(page), lambda first, last, page=page: vectors(page, first, last), weights, LONG_PAGE) > 0
+            at += 1
+            continue
         n = 1
         while n < LOT and at + n < len(order) and (n + 1) * len(pages[order[at + n]]) <= LOT_BLOCKS:
             n += 1

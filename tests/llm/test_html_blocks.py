@@ -1,6 +1,11 @@
+import time
+
+import numpy as np
 import pytest
 
-from sparkwright.llm.blocks import blocks_of
+from sparkwright.llm.block_lstm import fresh_weights, logits, long_logits
+from sparkwright.llm.blocks import DIM, MAX_DEPTH, MAX_NAMES, Block, blocks_of, vectors
+from sparkwright.llm.html_extraction import label_pages
 
 
 @pytest.mark.parametrize(
@@ -19,3 +24,48 @@ from sparkwright.llm.blocks import blocks_of
 )
 def test_raw_elements_end(page, want):
     assert [b.text for b in blocks_of(page)] == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", ["Where x=2 holds."]),
+        ("<p>a</p><math/><p>b</p>", ["a", "b"]),
+        ("<p>a <annotation>no</annotation> b</p>", ["a b"]),
+        ("<p title='x > y' class=\"a>b\" data-x=\">\">a</p>", ["a"]),
+        ("<p>a</p><p class=\"x>b</p><p>c</p>", ["a", "b", "c"]),
+        ("<p>a < b and c <d", ["a < b and c <d"]),
+        ("<p>a<span>b<p>c</span>d", ["ab", "cd"]),
+        ("<a href=x>l<p>m</a>n</p>", ["l", "mn"]),
+    ],
+)
+def test_markup(page, want):
+    assert [b.text for b in blocks_of(page)] == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>a" * 100_000, "<p>a" * 200_000, "<svg>" * 200_000, "<option>" * 120_000, "<a b=\">\" " * 110_000, "<!--" * 250_000, "<b>" * 200_000 + "<div>a</div>" * 20_000, "<p class='" + "x " * 500_000, "<" * 1_000_000, "</x" * 300_000, "<p class=" + "x=" * 400_000 + ">a"],
+    ids=["tags", "nested", "paragraphs", "svg", "options", "quotes", "comments", "inline", "names", "angles", "ends", "equals"],
+)
+def test_a_megabyte_of_odd_markup_is_read_in_linear_time(page):
+    began = time.perf_counter()
+    blocks = blocks_of(page)
+    assert time.perf_counter() - began < 5
+    assert max((len(b.path) for b in blocks), default=0) <= MAX_DEPTH * (1 + MAX_NAMES)
+
+
+def test_deep_elements_close_again():
+    page = "<article>" + "<div>" * 1000 + "a" + "</div>" * 1000 + "</article><footer>b</footer>"
+    a, b = blocks_of(page)
+    assert len(a.path) == MAX_DEPTH and a.path[0] == "article" and b.path == ("footer",)
+
+
+def test_long_pages_are_labelled_in_parts_as_whole():
+    rng = np.random.default_rng(2)
+    w = fresh_weights(DIM, 6, 3)
+    page = [Block(("body", "p"), f"word{int(k)} and more.", 0) for k in rng.integers(0, 99, 500)]
+    whole = logits([vectors(page)], w)[0]
+    for step in (64, 500, 1000):
+        assert np.allclose(long_logits(500, lambda s, e: vectors(page, s, e), w, step), whole, atol=1e-5)
+    assert np.allclose(label_pages([page[:40], page], w)[1], whole > 0)
