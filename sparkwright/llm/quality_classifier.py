@@ -4,12 +4,14 @@
    how many documents of each class have it. The log ratio of a feature is shrunk toward zero by its own
    uncertainty, so rare and indifferent features say nothing. Every feature has two buckets of fixed tables and counts
    by the weaker one, so a chance collision in one of them does no harm. As features depend on each other, a logistic
-   regression weighs the ratios; it is fitted on a bounded sample of labelled documents (SAMPLE labels of the smallest hash of their id).
+   regression weighs the ratios; it is fitted on a bounded sample of labelled documents (SAMPLE of them, those of the smallest hash of their id, and of
+   each the FIT_FEATURES features of the smallest hash). The ratios that it is fitted on leave out a document's own fold of the labels, so a
+   document does not vouch for its own words.
 2. Sites: every document counts toward its host and path with its label, or else with the classifier's belief. A host's
    rate is shrunk toward the global rate, and a path's toward its host's; how far follows from how much
    hosts (paths) differ beyond chance, by the method of moments. Sums are grouped in Spark, partially before the shuffle.
-3. Posterior: the log odds of the site plus the evidence. A document is kept if it is probably good and
-   probably not toxic.
+3. Posterior: the log odds of the site, as all its other documents give it, plus the evidence of the document, which so counts once. A
+   document is kept if it is probably good and probably not toxic.
 
 `documents` has a source but no url, so the source is the host, and the language under it is the path; both
 are parameters.
@@ -17,7 +19,8 @@ are parameters.
 Defined results: a null or empty text has few features and is judged by them and its site. Null hosts and paths are sites of their own.
 Labels without a document and null labels are passed over; a document with several labels counts once for each. Without labels of both classes
 there is no evidence, and the rates stay at the prior. Rows that repeat are each counted and judged; other columns are passed over. An
-empty table gives an empty result.
+empty table gives an empty result. A quality posterior of exactly 0.5 keeps a document, a toxic one of 0.5 does not. A very long text counts by its
+distinct features, however many.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ BUCKETS = 1 << BUCKET_BITS
 BITMAP_BITS = 26
 #: Labelled rows that the regression is fitted on, and passes over them.
 SAMPLE, PASSES, SEED = 20_000, 6, 5
+#: Features of a sampled row, at most, and folds of the labels, for the fit alone.
+FIT_FEATURES, FOLDS = 1024, 4
 #: A log ratio counts from so many standard errors; the evidence of a document and the prior weight of a site, in documents, lie within bounds.
 LEAST_Z, MOST_EVIDENCE, WEIGHT_RANGE = 2.5, 12.0, (2.0, 10_000.0)
 PUNCTUATION = string.punctuation.encode()
@@ -69,18 +74,21 @@ def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), BUCKETS + (h >> np.uint64(32) & mask).astype(np.int64)
 
 
+KINDS = 2 * len(HEADS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that have each bucket, by head and class."""
-    sums = np.zeros((2 * BUCKETS + 1, 2 * len(HEADS)), np.int64)  # the last row counts all documents
+    """(text, fold, labels) to the documents that have each bucket, by fold, head and class."""
+    sums = np.zeros((2 * BUCKETS + 1, FOLDS * KINDS), np.int32)  # the last row counts all documents
     for batch in batches:
-        for text, *labels in zip(*batch.columns, strict=True):
-            kinds = [2 * i + int(k.as_py() > 0) for i, k in enumerate(labels) if k.is_valid]
+        for text, fold, *labels in zip(*batch.columns, strict=True):
+            kinds = [KINDS * fold.as_py() + 2 * i + int(k.as_py() > 0) for i, k in enumerate(labels) if k.is_valid]
             if kinds:
                 hit = np.append(np.unique(np.concatenate(buckets(features(text.as_py())))), 2 * BUCKETS)
                 for k in kinds:
                     sums[hit, k] += 1
     hit = np.flatnonzero(sums.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(sums[hit, k]) for k in range(sums.shape[1]))], ["bucket", *(f"n{k}" for k in range(sums.shape[1]))])
+    yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(sums[hit, k].astype(np.int64)) for k in range(sums.shape[1]))], ["bucket", *(f"n{k}" for k in range(sums.shape[1]))])
 
 
 def log_ratios(sums: np.ndarray) -> np.ndarray:
@@ -136,10 +144,19 @@ def evidence(h: np.ndarray, m: Model) -> np.ndarray:
     return np.clip((m.weights[at] * x).sum(0) + m.offset, -MOST_EVIDENCE, MOST_EVIDENCE)
 
 
-def _active_udf(ratios) -> Callable:
+def fit_rows(text: str | None, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The active features of a sampled text, FIT_FEATURES at most."""
+    at, x = active(features(text), ratios)
+    few = np.sort(np.argsort(at, kind="stable")[:FIT_FEATURES])
+    return at[few], x[few]
+
+
+def _active_udf(by_fold) -> Callable:
+    """by_fold: for each fold the ratios that the other folds give."""
+
     @F.arrow_udf("struct<at:array<int>,x:array<float>>")
-    def active_features(text: pa.Array) -> pa.Array:
-        rows = [active(features(t.as_py()), ratios.value) for t in text]
+    def active_features(text: pa.Array, fold: pa.Array) -> pa.Array:
+        rows = [fit_rows(t.as_py(), by_fold.value[k.as_py()]) for t, k in zip(text, fold, strict=True)]
         return pa.StructArray.from_arrays([pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32).ravel() for _, x in rows], pa.list_(pa.float32()))], ["at", "x"])
 
     return active_features
@@ -161,26 +178,52 @@ def _belief(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
 
 
-def _shrunk(groups: DataFrame, toward: Column) -> DataFrame:
-    """groups with n, s (sum of beliefs) and a rate that is shrunk toward another rate, by moments over all groups."""
-    low, high = map(F.lit, WEIGHT_RANGE)
-    spread = F.col("s") / F.col("n") - toward
-    sums = groups.agg(F.sum(F.col("n") * spread * spread).alias("q"), F.sum(toward * (1 - toward)).alias("chance"), F.sum("n").alias("n"), F.sum(toward * (1 - toward) * F.col("n")).alias("var")).first()
+def prior_weight(groups: DataFrame, s: str, toward: Column) -> float:
+    """How many documents a rate that groups(n, and s: sum of beliefs) shrink toward counts for, by moments over all groups."""
+    low, high = WEIGHT_RANGE
+    spread = F.col(s) / F.col("n") - toward
+    sums = groups.agg(F.sum(F.col("n") * spread * spread).alias("q"), F.sum(toward * (1 - toward)).alias("chance"), F.sum(toward * (1 - toward) * F.col("n")).alias("var")).first()
     beyond = (sums["q"] or 0.0) - (sums["chance"] or 0.0)  # squared differences beyond what chance gives
-    weight = (sums["var"] or 0.0) / beyond - 1 if beyond > 0 else WEIGHT_RANGE[1]
-    kappa = F.least(high, F.greatest(low, F.lit(float(weight))))
-    return groups.withColumn("rate", (F.col("s") + kappa * toward) / (F.col("n") + kappa))
+    return min(high, max(low, (sums["var"] or 0.0) / beyond - 1 if beyond > 0 else high))
+
+
+class Shrinkage(NamedTuple):
+    """Of one head: sums over all documents, and the prior weights of hosts and paths, in documents."""
+
+    n: int
+    s: float
+    host_weight: float
+    path_weight: float
+
+    def rates(self, s: Column, host_s: Column, own: Column | float = 0.0, out: int = 0) -> tuple[Column, Column]:
+        """Rates of the host and of the path; with out = 1 those that a site has without one document and its own belief."""
+        world = (F.lit(self.s) - own + 0.5) / (self.n - out + 1)
+        host = (host_s - own + self.host_weight * world) / (F.col("host_n") - out + self.host_weight)
+        return host, (s - own + self.path_weight * host) / (F.col("n") - out + self.path_weight)
+
+
+def site_sums(judged: DataFrame, heads: tuple[str, ...] = HEADS) -> DataFrame:
+    """judged(host, path, and a belief for each head) to a row for each path: n and sums, of itself and of its host."""
+    paths = materialize(judged.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"{x}_s") for x in heads)), "paths")
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("host_n"), *(F.sum(f"{x}_s").alias(f"{x}_host_s") for x in heads))
+    return materialize(paths.join(materialize(hosts, "hosts"), F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
+
+
+def shrinkage(sites: DataFrame, head: str) -> Shrinkage:
+    n, s = sites.agg(F.sum("n"), F.sum(f"{head}_s")).first()
+    world = ((s or 0.0) + 0.5) / ((n or 0) + 1)
+    hosts = sites.groupBy("host").agg(F.first("host_n").alias("n"), F.first(f"{head}_host_s").alias("s"))
+    found = Shrinkage(n or 0, s or 0.0, prior_weight(hosts, "s", F.lit(world)), 0.0)
+    host, _ = found.rates(F.col(f"{head}_s"), F.col(f"{head}_host_s"))
+    return found._replace(path_weight=prior_weight(sites, f"{head}_s", host))
 
 
 def site_rates(judged: DataFrame, head: str) -> tuple[DataFrame, DataFrame]:
     """judged(host, path, belief of the head) to the rates of hosts, and of paths under hosts."""
-    paths = materialize(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(head).alias("s")), f"{head}_paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    all_n, all_s = paths.agg(F.sum("n"), F.sum("s")).first()
-    world = F.lit(((all_s or 0.0) + 0.5) / ((all_n or 0) + 1))
-    hosts = materialize(_shrunk(hosts, world).select(F.col("host").alias("h"), F.col("rate").alias("host_rate")), f"{head}_hosts")
-    paths = _shrunk(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))), F.col("host_rate"))
-    return hosts, paths.select("host", "path", "host_rate", F.col("rate").alias("path_rate"))
+    sites = site_sums(judged, (head,))
+    host, path = shrinkage(sites, head).rates(F.col(f"{head}_s"), F.col(f"{head}_host_s"))
+    paths = sites.select("host", "path", host.alias("host_rate"), path.alias("path_rate"))
+    return paths.select(F.col("host").alias("h"), "host_rate").distinct(), paths
 
 
 def _maybe_labelled(bitmap) -> Callable:
@@ -191,11 +234,18 @@ def _maybe_labelled(bitmap) -> Callable:
     return maybe_labelled
 
 
-def _fitted(slim: DataFrame, known: DataFrame, ratios: np.ndarray, sample: int) -> Model:
-    """The regression over `sample` labels of the smallest hash of their id, which are few enough to be sent to the documents."""
-    sent = slim.sparkSession.sparkContext.broadcast(ratios)
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _fitted(slim: DataFrame, known: DataFrame, ratios: np.ndarray, by_fold: list[np.ndarray], sample: int) -> Model:
+    """The regression over `sample` labelled rows of the smallest hash of their id, each by the ratios of the other folds."""
+    sent = slim.sparkSession.sparkContext.broadcast(by_fold)
     chosen = F.broadcast(smallest_hashes(known, "l_id", sample, known.count()))
-    few = slim.join(chosen, F.col("doc_id") == F.col("l_id")).select(_active_udf(sent)("text").alias("f"), *(F.col(f"l_{x}").cast("double") for x in HEADS)).toArrow()
+    rows = slim.join(chosen, F.col("doc_id") == F.col("l_id")).select("doc_id", F.xxhash64("text").alias("key"), "text", *(F.col(f"l_{x}").cast("double").alias(f"l_{x}") for x in HEADS))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("key"), *(F.col(f"l_{x}") for x in HEADS)]
+    some = rows.dropDuplicates(["doc_id", "key", *(f"l_{x}" for x in HEADS)]).select(*order[:1], "doc_id", "key", _active_udf(sent)("text", fold_of(F.col("doc_id"))).alias("f"), *(f"l_{x}" for x in HEADS))
+    few = some.orderBy(*order).limit(sample).select("f", *(f"l_{x}" for x in HEADS)).toArrow()  # sample rows of FIT_FEATURES features at most
     at, x = few.column(0).combine_chunks().flatten() if len(few) else ([], [])
     rows = [(np.asarray(a.values), np.asarray(v.values).reshape(-1, len(HEADS))) for a, v in zip(at, x, strict=True)]
     labels = np.stack([np.minimum(1, few.column(1 + i).to_numpy()) for i in range(len(HEADS))], 1) if rows else np.zeros((0, len(HEADS)))
@@ -206,32 +256,34 @@ def _fitted(slim: DataFrame, known: DataFrame, ratios: np.ndarray, sample: int)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """One row for each row of docs: id, evidence, site rate and posterior of each head, and kept."""
+    """One row for each row of docs: id, evidence, site rate (of the site's other documents) and posterior of each head, and kept."""
     spark = docs.sparkSession
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(host_col).alias("host"), col(path_col).alias("path"))
     known = labels.where(col(label_id).isNotNull()).select(col(label_id).alias("l_id"), *(col(x).cast("int").alias(f"l_{x}") for x in HEADS))
     bitmap = spark.sparkContext.broadcast(bitmap_of(known.select(F.xxhash64("l_id").alias("h")), "h", BITMAP_BITS))
     some = slim.select("doc_id", "text").where(_maybe_labelled(bitmap)(F.xxhash64("doc_id")))  # spares the shuffle most texts without a label
     # one way to join at every size, as Spark would send few labels to all tasks
-    labelled = some.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("text", *(f"l_{x}" for x in HEADS))
-    counted = labelled.mapInArrow(_count, "bucket bigint, " + ", ".join(f"n{k} bigint" for k in range(2 * len(HEADS)))).groupBy("bucket").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * len(HEADS))))
-    sums = np.zeros((2 * BUCKETS + 1, 2 * len(HEADS)), np.int64)
+    labelled = some.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("text", fold_of(F.col("doc_id")), *(f"l_{x}" for x in HEADS))
+    columns = [f"n{k}" for k in range(FOLDS * KINDS)]
+    counted = labelled.mapInArrow(_count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
+    each = np.zeros((2 * BUCKETS + 1, FOLDS, KINDS), np.int64)
     for part in counted.toArrow().to_batches():  # a row for each bucket at most
-        sums[part.column(0).to_numpy()] = np.stack([part.column(1 + k).to_numpy() for k in range(2 * len(HEADS))], 1)
+        each[part.column(0).to_numpy()] = np.stack([part.column(1 + k).to_numpy() for k in range(len(columns))], 1).reshape(-1, FOLDS, KINDS)
+    sums = each.sum(1)
     ratios = log_ratios(sums)
     rates = {x: (sums[-1, 2 * i + 1] + 1) / (sums[-1, 2 * i : 2 * i + 2].sum() + 2) for i, x in enumerate(HEADS)}
     prior = {x: float(np.log(p / (1 - p))) for x, p in rates.items()}
-    model = spark.sparkContext.broadcast(_fitted(slim, known, ratios, sample))
+    model = spark.sparkContext.broadcast(_fitted(slim, known, ratios, [log_ratios(sums - each[:, k]) for k in range(FOLDS)], sample))
     once = known.groupBy("l_id").agg(*(F.avg((F.col(f"l_{x}") > 0).cast("double")).alias(f"l_{x}") for x in HEADS))
     judged = slim.select("doc_id", "host", "path", _evidence_udf(model)("text").alias("e"))
     judged = judged.select("doc_id", "host", "path", *(F.get("e", F.lit(i)).alias(f"{x}_evidence") for i, x in enumerate(HEADS)))
     judged = judged.join(once, F.col("doc_id") == F.col("l_id"), "left")
     judged = materialize(judged.withColumns({x: F.coalesce(f"l_{x}", _belief(F.col(f"{x}_evidence") + prior[x])) for x in HEADS}), "evidence")
-    out = judged
-    for x in HEADS:
-        _, paths = site_rates(judged, x)
-        paths = paths.select(F.col("host").alias(f"{x}_host"), F.col("path").alias(f"{x}_path"), F.col("path_rate").alias(f"{x}_site"))
-        out = out.join(paths, F.col("host").eqNullSafe(F.col(f"{x}_host")) & F.col("path").eqNullSafe(F.col(f"{x}_path")))
+    sites = site_sums(judged)
+    known_sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
+    out = judged.join(known_sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    site = {x: shrinkage(sites, x).rates(F.col(f"{x}_s"), F.col(f"{x}_host_s"), F.col(x), 1)[1] for x in HEADS}
+    out = out.withColumns({f"{x}_site": F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c)) for x, c in site.items()})
     p = {x: _belief(F.col(f"{x}_evidence") + _log_odds(F.col(f"{x}_site"))) for x in HEADS}
     shown = [c for x in HEADS for c in (F.col(f"{x}_evidence"), F.col(f"{x}_site"), p[x].alias(f"{x}_posterior"))]
     return out.select(F.col("doc_id").alias(id_col), *shown, ((p["quality"] >= 0.5) & (p["toxic"] < 0.5)).alias("kept"))

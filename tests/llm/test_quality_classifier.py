@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkwright.llm import quality_classifier as qc
@@ -42,3 +45,71 @@ def test_sparse_sites_shrink(spark):
     assert rate["h", "big"][1] > 0.9 and rate["h", "other"][1] < 0.1
     host, tiny = rate["h", "tiny"]
     assert host < tiny < 0.9
+
+
+def test_by_brute_force(spark):
+    """Ratios, regression rows, evidence, site rates and posteriors of a small table, all by plain loops."""
+    good, bad = ("clear", "plain", "useful", "sound"), ("vile", "awful", "nasty", "foul")
+    rows = [(k, " ".join([*([good, bad][k % 3 == 0][i % 4] for i in range(k % 5 + 3)), f"word{k % 7}"]), "ab"[k % 2], "xyz"[k % 3]) for k in range(60)] + [(60, None, None, "x")]
+    labels = {k: (int(k % 3 != 0), int(k % 3 == 0)) for k in range(0, 50)}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    df = spark.createDataFrame([(k, *v) for k, v in labels.items()], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in qc.classify(docs, df).collect()}
+    of = {r[0]: (r[1], r[2]) for r in docs.select("doc_id", qc.fold_of(F.col("doc_id")), F.xxhash64("doc_id")).collect()}
+    text, have = {r[0]: r[1] for r in rows}, {}
+    for k, *_ in rows:
+        have[k] = {int(b) for b in np.concatenate(qc.buckets(qc.features(text[k])))}
+
+    def ratios(keys):
+        table = {}
+        for i in range(2):
+            yes, no = [k for k in keys if labels[k][i]], [k for k in keys if not labels[k][i]]
+            for b in set().union(*(have[k] for k in keys)):
+                y, n = sum(b in have[k] for k in yes) + 0.5, sum(b in have[k] for k in no) + 0.5
+                r = math.log(y / (len(yes) + 1)) - math.log(n / (len(no) + 1))
+                table[b, i] = r * max(0.0, 1 - 2.5**2 * (1 / y + 1 / n) / max(r * r, 1e-12))
+        return table
+
+    def values(k, table):
+        out = []
+        for x, y in zip(*map(np.ndarray.tolist, qc.buckets(qc.features(text[k]))), strict=True):
+            v = [min(p, q, key=abs) if p * q > 0 else 0.0 for p, q in ((table.get((x, i), 0.0), table.get((y, i), 0.0)) for i in range(2))]
+            if any(v):
+                out.append((x, v))
+        return out
+
+    fit = []
+    for k in sorted(labels, key=lambda k: of[k][1]):
+        v = values(k, ratios([j for j in labels if of[j][0] != of[k][0]]))
+        fit.append((np.array([a for a, _ in v], np.int64), np.array([x for _, x in v]).reshape(-1, 2)))
+    y = np.array([labels[k] for k in sorted(labels, key=lambda k: of[k][1])], float)
+    w, offset = qc.regress(fit, y)
+    share = (y.sum(0) + 1) / (len(y) + 2)
+    offset = offset - np.log(share / (1 - share))
+    full = ratios(list(labels))
+    for i, head in enumerate(qc.HEADS):
+        e = {k: max(-12.0, min(12.0, sum(w[a, i] * x[i] for a, x in values(k, full)) + offset[i])) for k, *_ in rows}
+        for k in e:
+            assert got[k][f"{head}_evidence"] == pytest.approx(e[k], abs=1e-3)
+        p = (sum(v[i] for v in labels.values()) + 1) / (len(labels) + 2)
+        belief = {k: float(labels[k][i]) if k in labels else 1 / (1 + math.exp(-(got[k][f"{head}_evidence"] + math.log(p / (1 - p))))) for k in e}
+        judged = spark.createDataFrame([(r[2], r[3], belief[r[0]]) for r in rows], f"host string, path string, {head} double")
+        shrink = qc.shrinkage(qc.site_sums(judged, (head,)), head)
+        for k, _, host, path in rows:
+            others = [(r[2], r[3], belief[r[0]]) for r in rows if r[0] != k]
+            world = (sum(b for *_, b in others) + 0.5) / (len(others) + 1)
+            in_host = [b for h, _, b in others if h == host]
+            rate = (sum(in_host) + shrink.host_weight * world) / (len(in_host) + shrink.host_weight)
+            in_path = [b for h, q, b in others if h == host and q == path]
+            rate = (sum(in_path) + shrink.path_weight * rate) / (len(in_path) + shrink.path_weight)
+            assert got[k][f"{head}_site"] == pytest.approx(rate, abs=1e-6)
+            assert got[k][f"{head}_posterior"] == pytest.approx(1 / (1 + math.exp(-(got[k][f"{head}_evidence"] + math.log(rate / (1 - rate))))), abs=1e-6)
+    assert all(r["kept"] == (r["quality_posterior"] >= 0.5 and r["toxic_posterior"] < 0.5) for r in got.values())
+    assert qc.WEIGHT_RANGE[0] <= shrink.host_weight <= qc.WEIGHT_RANGE[1]
+
+
+def test_prior_weight_by_plain_sums(spark):
+    groups = [(10, 9.0), (20, 4.0), (5, 2.5)]
+    got = qc.prior_weight(spark.createDataFrame(groups, "n bigint, s double"), "s", F.lit(0.4))
+    q = sum(n * (s / n - 0.4) ** 2 for n, s in groups) - 3 * 0.24
+    assert got == pytest.approx(min(10_000, max(2, 35 * 0.24 / q - 1)))
