@@ -1,4 +1,6 @@
 import re
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -81,3 +83,34 @@ def test_odd_documents(spark):
     assert left.columns == df.columns and {1, 5, 6, 9}.isdisjoint(r["doc_id"] for r in left.collect()) and left.count() == df.count() - 4
     assert dc.decontaminate(df, bench.limit(0)).count() == df.count()
     assert dc.contaminated(empty(spark), bench).count() == 0
+
+
+def test_lots_change_no_tile():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        doc, item = rng.integers(0, 3, int(rng.integers(0, 60))).astype(np.uint64), rng.integers(0, 3, int(rng.integers(1, 25))).astype(np.uint64)
+        pos = np.cumsum(rng.integers(1, 3, len(doc)) if rng.random() < 0.5 else np.ones(len(doc), int))
+        whole = dc.greedy_tiles(doc, pos, item, min(3, len(item)))
+        assert all(dc.greedy_tiles(doc, pos, item, min(3, len(item)), lot) == whole for lot in (1, 2, 7, 30))
+
+
+def test_a_repetitive_document_is_bounded():
+    doc, item = np.full(60_000, 7, np.uint64), np.full(300, 7, np.uint64)
+    began = time.perf_counter()
+    tracemalloc.start()
+    tiles = dc.greedy_tiles(doc, np.arange(len(doc)), item, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, 300)] and peak < 200e6 and time.perf_counter() - began < 60
+
+
+def test_common_seeds_bring_no_pairs(spark):
+    """A phrase that every document has is among the seeds that an item's candidates may lack."""
+    phrase = "all of the rights are reserved here"
+    docs = spark.createDataFrame([(k, f"{prose(k + 1, 30)} {phrase}") for k in range(50)] + [(100, f"{prose(400, 60)} {phrase}")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, f"{prose(400, 60)} {phrase}")], BENCH)
+    seeds = [(1, 1, 67, s, 1) for s in range(63)]
+    held = spark.createDataFrame([(s,) for s in range(61) for _ in range(2)] + [(s,) for s in (61, 62) for _ in range(51)], "seed bigint")
+    rare = {r["seed"] for r in dc.rare_seeds(spark.createDataFrame(seeds, "item_id bigint, item_key bigint, n int, seed bigint, times bigint"), held, 5, 0.5).collect()}
+    assert 61 not in rare and 62 not in rare and len(rare) == 57  # 7 shared seeds are needed, so 6 may be left out
+    assert [(r["doc_id"], r["coverage"]) for r in dc.contaminated(docs, bench).collect()] == [(100, 1.0)]
