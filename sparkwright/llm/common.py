@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.shared import fresh_path
 
@@ -43,10 +41,10 @@ def text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-@F.arrow_udf(T.LongType())
-def word_count(text: pa.Array) -> pa.Array:
-    """Number of words [^\\x20\\x09-\\x0D]+; null and empty texts have none."""
-    return pa.array([len(text_bytes(t.as_py()).split()) for t in text], pa.int64())
+def word_count(text: Column) -> Column:
+    """Number of words [^\\x20\\x09-\\x0D]+; null and empty texts have none. Each word becomes one letter, so no array of words is held."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "w")
+    return F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def smallest_hashes(df: DataFrame, name: str, k: int, n: int) -> DataFrame:

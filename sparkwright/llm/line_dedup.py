@@ -7,7 +7,8 @@ together again from the lines left, in their old order.
 Defined results: a null or empty text is one empty line. Rows that repeat a doc_id count as one
 document and are each rewritten. A row with a null doc_id does not count as a document and is never the
 one that keeps a shared line. Other columns are passed over (`dedup_lines`) or kept
-(`apply_line_dedup`), whatever their names. An empty table gives an empty result.
+(`apply_line_dedup`), whatever their names. An empty table gives an empty result. A very long text is handled whole, and each of its
+lines counts. There are no ties: a row's id alone says whether it keeps a line.
 """
 
 from __future__ import annotations
@@ -62,13 +63,15 @@ def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
 
 
 def _with_result(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
-    keys = materialize(docs.select(col(id_col).alias("doc_id"), F.explode(_keys_udf(min_chars)(col(text_col))).alias("key")), "line_keys")
+    # rows without an id are told apart by their text, so they do not all meet in one task
+    text_key = F.when(col(id_col).isNull(), F.xxhash64(col(text_col)))
+    keys = materialize(docs.select(col(id_col).alias("doc_id"), text_key.alias("text_key"), F.explode(_keys_udf(min_chars)(col(text_col))).alias("key")), "line_keys")
     hot = materialize(shared_lines(keys, min_docs), "shared_lines")  # a table, so Spark can split the join's hot keys
-    drops = keys.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
-    out, did, drop = fresh(docs, "line_dedup"), fresh(docs, "drop_doc_id"), fresh(docs, "drop_keys")
-    drops = drops.select(F.col("doc_id").alias(did), F.col("drops").alias(drop))
-    joined = docs.join(drops, col(id_col).eqNullSafe(F.col(did)), "left")
-    return joined.withColumn(out, _drop_udf(min_chars)(col(text_col), F.col(drop))).drop(did, drop), out
+    drops = keys.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("drops"))
+    out, did, key, drop = fresh(docs, "line_dedup"), fresh(docs, "drop_doc_id"), fresh(docs, "drop_text_key"), fresh(docs, "drop_keys")
+    drops = drops.select(F.col("doc_id").alias(did), F.col("text_key").alias(key), F.col("drops").alias(drop))
+    joined = docs.join(drops, col(id_col).eqNullSafe(F.col(did)) & text_key.eqNullSafe(F.col(key)), "left")
+    return joined.withColumn(out, _drop_udf(min_chars)(col(text_col), F.col(drop))).drop(did, key, drop), out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -7,7 +7,8 @@ sorted and larger budgets take supersets of smaller ones.
 
 Defined results: a null source is a source of its own, last in order; an empty or null text has size
 0 and takes 0; rows with one id share a hash and are taken together; a null id hashes as an empty
-string. With no words at all every target is 0. An empty table gives an empty result.
+string. With no words at all every target is 0. An empty table gives an empty result. A very long text counts with all its words, and may be
+what holds a source's boundary. Documents of one hash are taken together; if taking and leaving the boundary come as near, it is left.
 """
 
 from __future__ import annotations
@@ -25,24 +26,35 @@ def doc_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with, for each of sums, its sum over the rows before: ranges are dealt out, and the driver adds up one row for each range."""
+    spark = df.sparkSession
+    ranged = materialize(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    each = ranged.groupBy("part").agg(*(F.sum(c).alias(k) for k, c in sums.items())).orderBy("part").collect()
+    rows, so_far = [], dict.fromkeys(sums, 0.0)
+    for r in each:
+        rows.append((r["part"], *so_far.values()))
+        so_far = {k: v + float(r[k]) for k, v in so_far.items()}
+    starts = spark.createDataFrame(rows or [(0, *so_far.values())], "part int, " + ", ".join(f"start_{k} double" for k in sums))
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {k: F.coalesce(F.sum(c).over(before), F.lit(0.0)) + F.col(f"start_{k}") for k, c in sums.items()}
+    return ranged.join(F.broadcast(starts), "part").withColumns(added).select(*df.columns, *sums)
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """totals(source, source_size) with target: share of all sizes by weight, at most `most` times the size, the excess shared again."""
-    spark = totals.sparkSession
-    ranged = materialize(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix_sources")
-    before = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    starts = spark.createDataFrame([(p, sum(n for q, n in before.items() if q < p)) for p in before] or [(0, 0)], "part int, start long")
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("start")
+    """totals(source, source_size) with target: share of all sizes by weight, at most `most` times the size, the excess shared again.
+
+    Sources are capped in the order of cap over weight; the first that its share does not reach gives the level of all the rest.
+    """
+    placed = in_order(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1.0)}, "mix_sources")
     order = F.array(*map(F.lit, weights))
-    placed = ranged.join(F.broadcast(starts), "part").withColumn("weight", F.get(order, (rank % len(weights)).cast("int")).cast("double")).withColumn("most", most * F.col("source_size"))
-    placed = materialize(placed.select("source", "source_size", "weight", "most"), "mix_weights")
-    level, found = None, -1
-    while True:  # each turn caps at least one more source, or is the last
-        free = F.lit(True) if level is None else F.col("most") > level * F.col("weight")
-        row = placed.agg(F.sum("source_size").alias("all"), F.sum(F.when(free, F.col("weight"))).alias("w"), F.sum(F.when(~free, F.col("most"))).alias("capped"), F.count(F.when(~free, 1)).alias("n")).first()
-        if not row["w"] or row["n"] == found:
-            break
-        found, level = row["n"], (share * (row["all"] or 0) - (row["capped"] or 0.0)) / row["w"]
-    return placed.select("source", "source_size", F.least("most", F.lit(level or 0.0) * F.col("weight")).alias("target"))
+    placed = placed.withColumn("weight", F.get(order, (F.col("rank") % len(weights)).cast("int")).cast("double")).withColumn("most", most * F.col("source_size")).drop("rank")
+    placed = placed.withColumn("ratio", F.col("most") / F.col("weight"))
+    whole = placed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    capped = in_order(placed, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"capped": F.col("most"), "used": F.col("weight")}, "mix_weights")
+    level = (F.lit(share * (whole["size"] or 0)) - F.col("capped")) / (F.lit(whole["weight"] or 0.0) - F.col("used"))
+    found = capped.withColumn("level", level).where(F.col("level") < F.col("ratio")).agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source"))).first()[0]
+    return capped.select("source", "source_size", F.least("most", F.lit(float(found) if found is not None else float("inf")) * F.col("weight")).alias("target"))
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:

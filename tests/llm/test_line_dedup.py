@@ -49,3 +49,11 @@ def test_columns_are_kept_and_may_clash(spark):
 def test_digest(spark, sf):
     r = line_dedup.op1_line_dedup(spark, sf).join(line_dedup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "kept_text"), "doc_id").first()
     assert r["kept_sha256"] == hashlib.sha256(r["kept_text"].encode()).hexdigest()
+
+
+def test_rows_without_an_id_are_each_rewritten(spark):
+    shared = "this line is in many of the documents"
+    rows = [(k, f"{shared}\nown {k}") for k in range(4)] + [(None, f"{shared}\nnone {k}") for k in range(50)] + [(None, f"{shared}\nnone 1")]
+    got = line_dedup.apply_line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted([f"none {k}" for k in range(50)] + ["none 1"])
+    assert sum(shared in r["text"] for r in got) == 1
