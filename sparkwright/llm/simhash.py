@@ -256,10 +256,19 @@ def _sketch_udf(width: int) -> Callable:
     return sketch
 
 
-def _set_udf(width: int) -> Callable:
-    @F.arrow_udf("array<bigint>")
-    def shingles(text: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in text], pa.list_(pa.int64()))
+def _sets(width: int, lot: int = TILE_SHINGLES) -> Callable:
+    """(key, text) to (key, shingles) in batches of about `lot` shingles, as a batch of texts may have many times more of them than fit in memory twice."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, held, size, first = batch.column(0), [], 0, 0
+            for i, t in enumerate(batch.column(1)):
+                held.append(shingle_set(t.as_py(), width).view(np.int64))
+                size += len(held[-1])
+                if size >= lot or i == batch.num_rows - 1:
+                    ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([keys[first : i + 1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], ["key", "shingles"])
+                    held, size, first = [], 0, i + 1
 
     return shingles
 
@@ -404,7 +413,7 @@ def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = classes.join(linked, F.col("key") == F.col("of")).select("key", F.col("best.doc_id").alias("w_id"), F.col("best.text_key").alias("w_key"))
     texts = docs.select(col(id_col).alias("doc_id"), text.alias("text"))
     held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_key"))).dropDuplicates(["key"])
-    sets = materialize(held.select("key", _set_udf(width)(F.col("text")).alias("shingles")), "shingle_sets")
+    sets = materialize(held.select("key", "text").mapInArrow(_sets(width), "key bigint, shingles array<bigint>"), "shingle_sets")
     roots = similar_components(classes.select("key", "bands"), links, sets, similarity)
     rooted = classes.select("key", "best").join(roots, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "best.*")
     return _chosen(docs, rooted.groupBy("root").agg(best), id_col, text_col)
