@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -27,6 +28,15 @@ def fn_string(spark, d) -> DataFrame:
         F.startswith(n, F.lit("Cust")).alias("starts"), F.expr("repeat('x', c_nationkey % 4)").alias("xs"))
 
 
+@query("fn_string_more", """SELECT c_custkey, list_aggregate(list_transform(string_split(lower(c_mktsegment), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS titled, substr(c_name, 1, 2) || '##' || substr(c_name, 5) AS laid_over,
+ url_decode(url_encode(c_name)) AS again, left(c_name, 4) AS first4, right(c_name, 3) AS last3, ascii(c_mktsegment)::INT AS code, rpad(c_mktsegment, 12, '.') AS padded, length(c_name) - length(replace(c_name, '0', '')) AS zeros FROM customer""")
+def fn_string_more(spark, d) -> DataFrame:
+    n, m = F.col("c_name"), F.col("c_mktsegment")
+    return table(spark, d, "customer").select(
+        "c_custkey", F.initcap(m).alias("titled"), F.overlay(n, F.lit("##"), 3).alias("laid_over"), F.url_decode(F.url_encode(n)).alias("again"), F.left(n, F.lit(4)).alias("first4"), F.right(n, F.lit(3)).alias("last3"),
+        F.ascii(m).alias("code"), F.rpad(m, 12, ".").alias("padded"), (F.length(n) - F.length(F.replace(n, F.lit("0"), F.lit("")))).cast("bigint").alias("zeros"))
+
+
 @query("fn_regex", r"""SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)', 2) AS host, len(regexp_extract_all(url, '[0-9]+'))::INT AS numbers, regexp_replace(url, '[0-9]+', '#', 'g') AS masked,
  regexp_matches(url, 'page=[0-9]+') AS paged FROM pages""")
 def fn_regex(spark, d) -> DataFrame:
@@ -64,14 +74,34 @@ def fn_array(spark, d) -> DataFrame:
     return e.select("vec_id", F.slice(v, 1, 3).alias("head"), F.size(F.filter(v, lambda x: x > 0)).alias("n_positive"), F.round(norm2, 6).alias("norm2"), F.array_contains(F.sequence(F.lit(0), F.lit(4)), (F.col("vec_id") % 7).cast("int")).alias("has"), F.array_max(v).alias("top"), F.array_min(v).alias("least"))
 
 
-@query("fn_map", "SELECT n_regionkey, list_sort(list(n_name)) AS names, sum(length(n_name))::BIGINT AS letters FROM nation GROUP BY n_regionkey")
+@query("fn_map", "SELECT o_custkey, list_sort(list(o_orderkey)) AS orders, sum(length(o_orderpriority))::BIGINT AS letters FROM orders GROUP BY o_custkey")
 def fn_map(spark, d) -> DataFrame:
-    """Maps arise in between: names to lengths, doubled, filtered and summed."""
-    m = F.map_from_entries(F.collect_list(F.struct("n_name", F.length("n_name").alias("n"))))
-    g = table(spark, d, "nation").groupBy("n_regionkey").agg(m.alias("m")).withColumn("twice", F.transform_values("m", lambda k, v: v * 2))
+    """Maps arise in between: each customer's orders to the lengths of their priorities, doubled, filtered and summed."""
+    m = F.map_from_entries(F.collect_list(F.struct("o_orderkey", F.length("o_orderpriority").alias("n"))))
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(m.alias("m")).withColumn("twice", F.transform_values("m", lambda k, v: v * 2))
     kept = F.map_filter("twice", lambda k, v: v > 0)
     letters = F.aggregate(F.map_values(kept), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
-    return g.select("n_regionkey", F.array_sort(F.map_keys("m")).alias("names"), letters.alias("twice_letters")).select("n_regionkey", "names", F.expr("twice_letters div 2").alias("letters"))
+    return g.select("o_custkey", F.array_sort(F.map_keys("m")).alias("orders"), letters.alias("twice_letters")).select("o_custkey", "orders", F.expr("twice_letters div 2").alias("letters"))
+
+
+@query("fn_map_more", """SELECT event_id, (user_id % 5)::BIGINT AS a, (user_id % 7)::BIGINT AS b, 3::INT AS n FROM events""")
+def fn_map_more(spark, d) -> DataFrame:
+    one = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("user_id") % 5, F.col("user_id") % 7))
+    both = table(spark, d, "events").select("event_id", F.map_concat(one, F.create_map(F.lit("c"), F.lit(0).cast("bigint"))).alias("m"))
+    return both.select("event_id", F.element_at("m", "a").alias("a"), F.element_at("m", "b").alias("b"), F.cardinality("m").alias("n"))
+
+
+@query("fn_array_more", """SELECT vec_id, list_transform(range(1, 4), lambda i: round(v[i] + v[i + 3], 6)) AS sums, list_sort(list_intersect(range(0, 6), [vec_id % 9, vec_id % 4])) AS shared,
+ len(list_intersect(range(0, 3), [vec_id % 5])) > 0 AS meets, flatten([v[1:2], v[3:4]]) AS flat, list_distinct([vec_id % 3, vec_id % 3, 9])::BIGINT[].len()::INT AS kinds, list_position([5, 6, 7], vec_id % 9)::BIGINT AS at
+ FROM (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 4)) AS v FROM embeddings)""")
+def fn_array_more(spark, d) -> DataFrame:
+    v, k = F.col("v"), F.col("vec_id")
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("v"))
+    up_to = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint"))
+    return e.select(
+        "vec_id", F.zip_with(F.slice(v, 1, 3), F.slice(v, 4, 3), lambda x, y: F.round(x + y, 6)).alias("sums"), F.array_sort(F.array_intersect(up_to(5), F.array(k % 9, k % 4))).alias("shared"),
+        F.arrays_overlap(up_to(2), F.array(k % 5)).alias("meets"), F.flatten(F.array(F.slice(v, 1, 2), F.slice(v, 3, 2))).alias("flat"), F.size(F.array_distinct(F.array(k % 3, k % 3, F.lit(9)))).alias("kinds"),
+        F.nullif(F.array_position(F.array(F.lit(5), F.lit(6), F.lit(7)).cast("array<bigint>"), k % 9), F.lit(0)).alias("at"))
 
 
 @query("fn_json", "SELECT event_id, (props ->> '$.k')::INT AS k, (props ->> '$.missing') AS missing FROM events")
@@ -127,14 +157,34 @@ def map_partitions(spark, d) -> DataFrame:
 
 @query("udf_agg", "SELECT event_type, count(*)::BIGINT AS n, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY event_type")
 def udf_agg(spark, d) -> DataFrame:
-    """A custom aggregate in two steps: an Arrow function makes what is summed, and Spark sums it."""
+    """A custom aggregate with partial states: each batch gives count, mean and mean square of a type, and a grouped Arrow function merges the states, not the rows."""
+    states = table(spark, d, "events").select("event_type", "value").mapInArrow(_partial_moments, "event_type string, n bigint, square double")
+    merged = states.groupBy("event_type").agg(merged_square("n", "square").alias("square"), merged_count("n").alias("n"))
+    return merged.select("event_type", "n", F.round(F.sqrt("square"), 6).alias("rms"))
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A state for each type of a task: its rows and their mean square."""
+    states: dict[str, tuple[int, float]] = {}
+    for b in batches:
+        t = pa.table({"k": b.column(0), "sq": pc.multiply(b.column(1), b.column(1))}).group_by("k").aggregate([("sq", "count"), ("sq", "sum")])
+        for k, n, total in zip(*(t.column(c).to_pylist() for c in ("k", "sq_count", "sq_sum")), strict=True):
+            had, mean = states.get(k, (0, 0.0))
+            states[k] = (had + n, mean + ((total or 0.0) - n * mean) / max(1, had + n))
+    if states:
+        kinds, rows = list(states), list(states.values())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.float64())], ["event_type", "n", "square"])
+
+
+@F.pandas_udf(T.DoubleType())
+def merged_square(n: pd.Series, square: pd.Series) -> float:
+    """One state out of those of all tasks, of which there is one for each task and type."""
+    return float((n * square).sum() / max(1, n.sum()))
 
-    @F.arrow_udf("double")
-    def squared(x: pa.Array) -> pa.Array:
-        return pc.multiply(x, x)
 
-    e = table(spark, d, "events").select("event_type", squared("value").alias("sq"))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg("sq")), 6).alias("rms"))
+@F.pandas_udf(T.LongType())
+def merged_count(n: pd.Series) -> int:
+    return int(n.sum())
 
 
 @query("udtf", r"SELECT item_id, len(w)::INT AS n, list_sort(list_distinct(list_filter(w, lambda x: length(x) > 6))) AS longest FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark)")

@@ -105,9 +105,9 @@ def agg_argmax(spark, d) -> DataFrame:
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("richest"), F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("poorest"))
 
 
-@query("agg_string", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+@query("agg_string", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey")
 def agg_string(spark, d) -> DataFrame:
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderpriority")), ",").alias("priorities"))
 
 
 @query("agg_centroid", "SELECT label, i::INT AS i, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i")
@@ -124,3 +124,34 @@ def agg_filtered(spark, d) -> DataFrame:
 @query("agg_histogram", "SELECT floor(value / 10)::BIGINT AS bin, count(*)::BIGINT AS n FROM events GROUP BY bin")
 def agg_histogram(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("agg_sketch_sets")
+def agg_sketch_sets(spark, d) -> DataFrame:
+    """Users by theta sketches of each type and day, united over the month; tests/ hold them within 5 % of the exact counts."""
+    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.theta_sketch_agg("user_id").alias("users"))
+    return e.groupBy("event_type").agg(F.theta_sketch_estimate(F.theta_union_agg("users")).alias("users"))
+
+
+@query("agg_top_k")
+def agg_top_k(spark, d) -> DataFrame:
+    """The most frequent parts by a bounded sketch, estimated counts and all."""
+    table(spark, d, "lineitem").createOrReplaceTempView("sparkwright_top_k")
+    return spark.sql("SELECT l_returnflag, explode(top) AS t FROM (SELECT l_returnflag, approx_top_k(l_suppkey, 5, 20000) AS top FROM sparkwright_top_k GROUP BY l_returnflag)").select("l_returnflag", F.col("t.item").alias("item"), F.col("t.count").alias("n"))
+
+
+@query("label_eval", """WITH p AS (SELECT quality, (n_chars >= 300)::INT AS predicted FROM documents JOIN labels USING (doc_id))
+ SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE quality = 1 AND predicted = 1)::BIGINT AS tp, count(*) FILTER (WHERE quality = 0 AND predicted = 1)::BIGINT AS fp, count(*) FILTER (WHERE quality = 1 AND predicted = 0)::BIGINT AS fn,
+ count(*) FILTER (WHERE quality = 0 AND predicted = 0)::BIGINT AS tn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM p""")
+def label_eval(spark, d) -> DataFrame:
+    """A verdict, here a rule on length, against the labels: the confusion counts and what follows from them."""
+    j = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return evaluated(j.select(F.col("quality").alias("label"), (F.col("n_chars") >= 300).cast("int").alias("predicted")))
+
+
+def evaluated(pairs: DataFrame) -> DataFrame:
+    """One row for pairs(label, predicted) of 0 and 1."""
+    counts = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    c = pairs.agg(F.count("*").alias("n"), *(F.count_if((F.col("label") == a) & (F.col("predicted") == b)).alias(k) for k, (a, b) in counts.items()))
+    tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
+    return c.select("n", *counts, F.round(F.try_divide(tp, tp + fp), 6).alias("precision"), F.round(F.try_divide(tp, tp + fn), 6).alias("recall"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))

@@ -10,9 +10,10 @@ from ..sources.tables import table
 from .rows import money
 
 
-def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has most_rows rows at most; or else Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if it has most_rows rows and most_bytes bytes, as JSON, at most; or else Spark joins by shuffle."""
+    rows, size = df.limit(most_rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if rows <= most_rows and (size or 0) <= most_bytes else df
 
 
 @query("join_inner", """SELECT n_name, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS revenue, count(*)::BIGINT AS n FROM lineitem
@@ -45,7 +46,7 @@ def join_full(spark, d) -> DataFrame:
 
 @query("join_broadcast", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_broadcast(spark, d) -> DataFrame:
-    """Nations and regions are broadcast after their number was checked."""
+    """Nations and regions are broadcast after their number and bytes were checked."""
     s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
     places = n.join(small(r), F.col("n_regionkey") == F.col("r_regionkey"))
     return s.join(small(places), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
@@ -97,11 +98,11 @@ def range_join(left: DataFrame, right: DataFrame, at: Column, low: Column, high:
     return left.join(right, "bucket_").where((at >= low) & (at < high)).drop("bucket_")
 
 
-@query("join_theta_range", """SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 50 WHERE o_orderstatus = 'P'""")
+@query("join_theta_range", """SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 10""")
 def join_theta_range(spark, d) -> DataFrame:
-    o, p = table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "part")
+    o, p = table(spark, d, "orders"), table(spark, d, "part")
     low = F.col("p_retailprice") * 200
-    return range_join(o, p, F.col("o_totalprice"), low, low + 50, 200.0).select("o_orderkey", "p_partkey")
+    return range_join(o, p, F.col("o_totalprice"), low, low + 10, 40.0).select("o_orderkey", "p_partkey")
 
 
 @query("join_asof", """SELECT e.event_id, p.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e

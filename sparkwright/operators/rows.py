@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.shared import written
 from ..sources.tables import table
 
 
@@ -45,8 +46,8 @@ def sample_hashed(spark, d) -> DataFrame:
 def sort_total(spark, d) -> DataFrame:
     """Places in a total order without a single task: rows are dealt by range, and each range adds the counts of those before it."""
     order = [F.col("s_acctbal").desc_nulls_last(), F.col("s_suppkey").asc()]
-    ranged = table(spark, d, "supplier").select("s_suppkey", "s_acctbal").repartitionByRange(*order)
-    local = ranged.withColumn("part", F.spark_partition_id()).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    ranged = table(spark, d, "supplier").select("s_suppkey", "s_acctbal").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    local = written(ranged, "ranges").withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     counts = local.groupBy("part").agg(F.max("nth").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     starts = counts.select("part", before.alias("start"))

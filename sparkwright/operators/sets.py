@@ -62,6 +62,13 @@ def drop_duplicates(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("least"))
 
 
+@query("drop_duplicates_row", """SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+def drop_duplicates_row(spark, d) -> DataFrame:
+    """The whole row of the latest event of each user and type: a maximum with partial aggregation, where dropDuplicates would leave the row to chance."""
+    row = F.struct("event_id", "value")
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("user_id", "event_type", "r.*")
+
+
 @query("cte_recursive", """WITH RECURSIVE m(o_orderkey, step, left_over) AS (SELECT o_orderkey, 0, floor(o_totalprice)::BIGINT FROM orders
  UNION ALL SELECT o_orderkey, step + 1, left_over // 8 FROM m WHERE left_over >= 8) SELECT o_orderkey, max(step)::INT AS digits FROM m GROUP BY o_orderkey""")
 def cte_recursive(spark, d) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import small
 from ..registry import query
+from ..sources.shared import written
 from ..sources.tables import table
 
 #: Fixed values of Okapi BM25 and of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 TOP = 10
+#: Terms of a passage, those of the largest weights, that set the bar for the rest.
+FEW = 4
 #: Runs of letters and digits of any script.
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -117,25 +121,71 @@ def tfidf(spark, d) -> DataFrame:
     return f.join(idf, "term").groupBy("doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 3).alias("weight"), F.count("*").alias("terms"))
 
 
-def top_k(scored: DataFrame, by: str, item: str, k: int = TOP) -> DataFrame:
+def top_k(scored: DataFrame, by: str, item: str | list[str], k: int = TOP) -> DataFrame:
     """The k best items of each query, ties by item; Spark limits each group before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), item)
+    w = Window.partitionBy(by).orderBy(F.desc("score"), *([item] if isinstance(item, str) else item))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_ranks(docs: DataFrame, passages: DataFrame, k: int = TOP) -> DataFrame:
-    """(item_id, doc_id, score, rank): only terms of the passages are counted, as a semi-join drops all others before the shuffle."""
-    asked = passages.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = small(asked.select("term").distinct())
-    w = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
-    f = w.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    n, mean = docs.select(F.count("*"), F.avg(F.regexp_count(F.lower("text"), F.lit(TOKEN)))).first()
-    df = f.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
-    weights = f.join(df, "term").select("doc_id", "term", part.alias("weight"))
-    scored = weights.join(small(asked), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    return top_k(scored, "item_id", "doc_id", k)
+def passage_terms(passages: DataFrame) -> DataFrame:
+    """(item_id, term) of passages(item_id, text), each once."""
+    return passages.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+
+
+class Index(NamedTuple):
+    """What a set of passages needs of the documents: rows (*keys, term, tf, dl) of the passages' terms, and the number and mean length of all documents."""
+
+    rows: DataFrame
+    asked: DataFrame
+    keys: list[str]
+    n: int
+    mean: float
+
+
+def index_for(docs: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Index:
+    """One pass over docs(*keys, text): each text is split once, and all that follows reads the table that is written here."""
+    asked = passage_terms(passages)
+    wanted = small(asked.select("term").distinct().withColumn("wanted", F.lit(True)))
+    w = docs.select(*keys, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    # the null at the end gives every document one row for its length, whatever its terms
+    each = w.select(*keys, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    kept = each.join(wanted, "term", "left").where(F.col("wanted") | F.col("term").isNull())
+    rows = written(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "index")
+    n, mean = rows.where(F.col("term").isNull()).agg(F.count("*"), F.avg("dl")).first()
+    return Index(rows.where(F.col("term").isNotNull()), asked, list(keys), n, float(mean or 1.0))
+
+
+def weighted(index: Index) -> DataFrame:
+    """(*keys, term, weight): what a term of a document adds to the score of each passage that has it."""
+    df = index.rows.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln(F.lit(1.0) + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean)))
+    return index.rows.join(df, "term").select(*index.keys, "term", part.alias("weight"))
+
+
+def bm25_ranks(docs: DataFrame | Index, passages: DataFrame | None = None, k: int = TOP) -> DataFrame:
+    """(item_id, *keys, score, rank) of the k best documents of each passage; docs: documents, or their index.
+
+    Terms that most documents have would bring nearly all pairs of documents and passages. So the rarest terms of a passage
+    (FEW of the largest weights) are added up first; the k-th best of those sums is a bar that a document outside must pass by its other terms
+    alone. Terms whose largest weights together stay under the bar bring no candidates, and only candidates get
+    their whole score. The ranks are those of all pairs.
+    """
+    index = docs if isinstance(docs, Index) else index_for(docs, passages)
+    keys = index.keys
+    weights = written(weighted(index), "weights")
+    most = weights.groupBy("term").agg(F.max("weight").alias("most"))
+    asked = written(index.asked.join(most, "term"), "asked")  # terms that no document has fall out
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("most"), "term"))
+    first = asked.withColumn("nth", nth).where(F.col("nth") <= FEW).select("item_id", "term")
+    sums = weights.join(small(first), "term").groupBy("item_id", *keys).agg(F.sum("weight").alias("score"))
+    bars = top_k(sums, "item_id", keys, k).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar"))
+    rest = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    # scores are rounded to six places before they are ranked
+    needed = asked.withColumn("rest", rest).join(small(bars), "item_id").where(F.col("rest") + 1e-5 >= F.col("bar")).select("item_id", "term")
+    candidates = weights.join(small(needed), "term").select("item_id", *keys).distinct()
+    whole = candidates.join(weights, keys).join(small(asked.select("item_id", "term")), ["item_id", "term"])
+    return top_k(whole.groupBy("item_id", *keys).agg(F.round(F.sum("weight"), 6).alias("score")), "item_id", keys, k)
 
 
 BM25_SQL = rf"""WITH t AS ({T}), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS dl FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
@@ -151,11 +201,10 @@ def bm25(spark, d) -> DataFrame:
     return bm25_ranks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
-def overlap_ranks(docs: DataFrame, passages: DataFrame, k: int = TOP) -> DataFrame:
-    """A second list: documents by the number of distinct words that they share with the passage."""
-    asked = passages.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    held = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
-    return top_k(held.join(small(asked), "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score")), "item_id", "doc_id", k)
+def overlap_ranks(index: Index, k: int = TOP) -> DataFrame:
+    """A second list, from the same index: documents by the number of distinct words that they share with the passage."""
+    shared = index.rows.select(*index.keys, "term").join(small(index.asked), "term")
+    return top_k(shared.groupBy("item_id", *index.keys).agg(F.count("*").cast("double").alias("score")), "item_id", index.keys, k)
 
 
 OVERLAP_SQL = rf"""o AS (SELECT item_id, doc_id, count(*)::DOUBLE AS score FROM a JOIN (SELECT DISTINCT doc_id, term FROM t) USING (term) GROUP BY ALL),
@@ -172,8 +221,8 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
 
 @query("rrf", f"{BM25_SQL}, {OVERLAP_SQL} SELECT item_id, doc_id, round(sum(1e0 / ({RRF_K} + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM overlap) GROUP BY ALL")
 def rrf(spark, d) -> DataFrame:
-    docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return fuse([bm25_ranks(docs, passages), overlap_ranks(docs, passages)]).select("item_id", "doc_id", F.round("score", 9).alias("score"))
+    index = index_for(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return fuse([bm25_ranks(index), overlap_ranks(index)]).select("item_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query("score_fusion", f"""{BM25_SQL}, {OVERLAP_SQL}, m AS (SELECT item_id, doc_id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS s, 0.7e0 AS f FROM bm25 WINDOW w AS (PARTITION BY item_id)
@@ -181,16 +230,93 @@ def rrf(spark, d) -> DataFrame:
  SELECT item_id, doc_id, round(sum(f * coalesce(s, 0)), 4) AS score FROM m GROUP BY ALL""")
 def score_fusion(spark, d) -> DataFrame:
     """Scores of each list brought to 0 ... 1 and added by weight."""
-    docs, passages, w = table(spark, d, "documents"), table(spark, d, "benchmark"), Window.partitionBy("item_id")
+    index, w = index_for(table(spark, d, "documents"), table(spark, d, "benchmark")), Window.partitionBy("item_id")
 
     def scaled(x: DataFrame, share: float) -> DataFrame:
         low, high = F.min("score").over(w), F.max("score").over(w)
         return x.select("item_id", "doc_id", (share * F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(0.0))).alias("s"))
 
-    both = scaled(bm25_ranks(docs, passages), 0.7).unionByName(scaled(overlap_ranks(docs, passages), 0.3))
+    both = scaled(bm25_ranks(index), 0.7).unionByName(scaled(overlap_ranks(index), 0.3))
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 
+@query("score_fusion_z", f"""{BM25_SQL}, {OVERLAP_SQL}, m AS (SELECT item_id, doc_id, (score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0) AS s FROM bm25 WINDOW w AS (PARTITION BY item_id)
+ UNION ALL SELECT item_id, doc_id, (score - avg(score) OVER w) / nullif(stddev_pop(score) OVER w, 0) FROM overlap WINDOW w AS (PARTITION BY item_id))
+ SELECT item_id, doc_id, round(sum(coalesce(s, 0)), 4) AS score FROM m GROUP BY ALL""")
+def score_fusion_z(spark, d) -> DataFrame:
+    """Scores of each list as standard deviations from its mean, added."""
+    index, w = index_for(table(spark, d, "documents"), table(spark, d, "benchmark")), Window.partitionBy("item_id")
+
+    def scaled(x: DataFrame) -> DataFrame:
+        return x.select("item_id", "doc_id", F.coalesce(F.try_divide(F.col("score") - F.avg("score").over(w), F.stddev_pop("score").over(w)), F.lit(0.0)).alias("s"))
+
+    both = scaled(bm25_ranks(index)).unionByName(scaled(overlap_ranks(index)))
+    return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
+
+
+@query("tfidf_cosine", f"""WITH t AS ({T}), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM f GROUP BY term),
+ a AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) GROUP BY ALL),
+ dn AS (SELECT doc_id, sqrt(sum((tf * idf) ** 2)) AS norm FROM f JOIN v USING (term) GROUP BY doc_id), an AS (SELECT item_id, sqrt(sum((tf * idf) ** 2)) AS norm FROM a JOIN v USING (term) GROUP BY item_id),
+ s AS (SELECT item_id, doc_id, round(sum(a.tf * f.tf * idf * idf) / (any_value(an.norm) * any_value(dn.norm)), 6) AS score FROM a JOIN f USING (term) JOIN v USING (term) JOIN dn USING (doc_id) JOIN an USING (item_id) WHERE dn.norm > 0 AND an.norm > 0 GROUP BY ALL)
+ SELECT item_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s) WHERE rank <= {TOP}""")
+def tfidf_cosine(spark, d) -> DataFrame:
+    """The ten documents nearest to each passage by the cosine of TF-IDF weights."""
+    docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
+    f, n = written(inverted(docs), "postings"), docs.count()
+    v = f.groupBy("term").agg(F.ln(F.lit(float(n)) / F.count("*")).alias("idf"))
+    f = written(f.join(v, "term").withColumn("x", F.col("tf") * F.col("idf")), "weighted")
+    a = inverted(passages.withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "item_id").join(v, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("y"))
+    norm = F.sqrt(F.sum(F.pow("x", F.lit(2)))).alias("norm")
+    a = written(a, "passage_weights")
+    of_docs, of_items = f.groupBy("doc_id").agg(norm), a.groupBy("item_id").agg(F.sqrt(F.sum(F.pow("y", F.lit(2)))).alias("own"))
+    dot = f.join(small(a), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dot.join(of_docs, "doc_id").join(small(of_items), "item_id").where("norm > 0 AND own > 0").select("item_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score"))
+    return top_k(scored, "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+GRAM = 5
+
+
+def grams(text: Column, inner: bool = False) -> Column:
+    """Hashes of the runs of GRAM tokens; inner: without the first and the last token, which may be parts of words where a text is cut out of another."""
+    w = tokens(text)
+    n = F.greatest(F.size(w) - GRAM + 1 - (2 if inner else 0), F.lit(0))
+    parts = F.arrays_zip(*(F.slice(w, i + (2 if inner else 1), n).alias(f"w{i}") for i in range(GRAM)))
+    return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(*(x[f"w{i}"] for i in range(GRAM)))))
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of documents that hold a whole passage: one run of five tokens of each passage joins, and only what it finds is compared.
+
+    Passages too short to have such a run are looked for in every document, all of them at once.
+    """
+    p = passages.select("item_id", F.col("text").alias("passage"), F.array_min(grams(F.col("text"), inner=True)).alias("gram"))
+    found = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(small(p.where("gram IS NOT NULL").select("item_id", "gram")), "gram").select("item_id", "doc_id")
+    whole = found.join(docs.select("doc_id", "text"), "doc_id").join(p.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = p.where("gram IS NULL").select("item_id", "passage")
+    if short.isEmpty():
+        return whole
+    listed = F.broadcast(short.agg(F.collect_list(F.struct("item_id", "passage")).alias("short")))
+    each = docs.select("doc_id", "text", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one").select("doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["passage"]))).alias("s"))
+    return whole.union(each.select("s.item_id", "doc_id"))
+
+
+@query("ir_ndcg", rf"""{BM25_SQL}, r AS (SELECT b.item_id, x.rank, (contains(d.text, b.text))::INT AS hit FROM bm25 x JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
+ n AS (SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+ i AS (SELECT item_id, sum(1 / log2(k + 1e0)) AS best FROM (SELECT item_id, unnest(range(1, least(n, {TOP}) + 1)) AS k FROM n) GROUP BY item_id)
+ SELECT item_id, round(sum(hit / log2(rank + 1e0)) / any_value(best), 6) AS ndcg FROM r JOIN i USING (item_id) GROUP BY item_id""")
+def ir_ndcg(spark, d) -> DataFrame:
+    """DCG of BM25 over that of the best order, for passages that some document holds."""
+    docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
+    holds = written(holders(docs, passages), "holders")
+    ranked = bm25_ranks(docs, passages).join(holds, ["item_id", "doc_id"], "left_semi")
+    dcg = ranked.groupBy("item_id").agg(F.sum(1 / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg"))
+    places = F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(TOP).cast("bigint")))
+    best = F.aggregate(F.transform(places, lambda k: 1 / F.log2(k + F.lit(1.0))), F.lit(0.0), lambda a, x: a + x)
+    ideal = holds.groupBy("item_id").agg(F.count("*").alias("n")).select("item_id", best.alias("best"))
+    return ideal.join(dcg, "item_id", "left").select("item_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("best"), 6).alias("ndcg"))
+
+
 @query("ir_metrics", rf"""{BM25_SQL}, r AS (SELECT b.item_id, x.doc_id, x.rank, (contains(d.text, b.text))::INT AS hit FROM bm25 x JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
  n AS (SELECT b.item_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1)
  SELECT item_id, round(sum(hit) / {TOP}e0, 6) AS precision, coalesce(round(max(hit / rank::DOUBLE), 6), 0) AS reciprocal, max(hit)::INT AS hit, round(sum(hit / log2(rank + 1e0)), 6) AS dcg,
@@ -198,8 +324,7 @@ def score_fusion(spark, d) -> DataFrame:
 def ir_metrics(spark, d) -> DataFrame:
     """P@10, reciprocal rank, hit@10, DCG and recall of BM25; a document is relevant if it holds the whole passage."""
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
-    p = passages.select("item_id", F.col("text").alias("passage"))
-    holds = docs.join(small(p), F.contains("text", "passage")).select("item_id", "doc_id")
+    holds = written(holders(docs, passages), "holders")
     ranked = bm25_ranks(docs, passages).join(holds.withColumn("is", F.lit(1)), ["item_id", "doc_id"], "left").withColumn("hit", F.coalesce("is", F.lit(0)))
     gain = F.col("hit") / F.log2(F.col("rank") + F.lit(1.0))
     sums = ranked.groupBy("item_id").agg(F.round(F.sum("hit") / TOP, 6).alias("precision"), F.round(F.max(F.col("hit") / F.col("rank")), 6).alias("reciprocal"), F.max("hit").alias("hit"), F.round(F.sum(gain), 6).alias("dcg"), F.sum("hit").alias("hits"))
@@ -207,15 +332,24 @@ def ir_metrics(spark, d) -> DataFrame:
     return sums.join(n, "item_id", "left").select("item_id", "precision", "reciprocal", "hit", "dcg", F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
 
 
-@query("prompt_assemble", f"""{BM25_SQL}, x AS (SELECT item_id, doc_id, rank, substr(text, 1, 500) AS chunk FROM bm25 JOIN documents USING (doc_id)),
- c AS (SELECT *, sum(length(chunk)) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM x)
- SELECT item_id, string_agg('[' || doc_id || '] ' || chunk, chr(10) ORDER BY rank) AS prompt, count(*)::BIGINT AS n FROM c WHERE used <= 2000 GROUP BY item_id""")
+CHUNKS_SQL = """SELECT doc_id, i::INT AS chunk_no, substr(text, (i * 400 + 1)::BIGINT, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - 100) / 400e0)::BIGINT - 1) + 1)) AS i FROM documents)"""
+
+
+@query("prompt_assemble", rf"""WITH k AS ({CHUNKS_SQL}), t AS (SELECT doc_id, chunk_no, unnest(regexp_extract_all(lower(chunk), '[\p{{L}}\p{{N}}]+')) AS term FROM k),
+ l AS (SELECT doc_id, chunk_no, len(regexp_extract_all(lower(chunk), '[\p{{L}}\p{{N}}]+')) AS dl FROM k), f AS (SELECT doc_id, chunk_no, term, count(*) AS tf FROM t GROUP BY ALL),
+ v AS (SELECT term, ln(1 + ((SELECT count(*) FROM k) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM f GROUP BY term),
+ a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
+ s AS (SELECT item_id, doc_id, chunk_no, round(sum(idf * tf * {K1 + 1}e0 / (tf + {K1}e0 * (1 - {B}e0 + {B}e0 * dl / (SELECT avg(dl) FROM l)))), 6) AS score FROM a JOIN f USING (term) JOIN v USING (term) JOIN l USING (doc_id, chunk_no) GROUP BY ALL),
+ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM s) WHERE rank <= {TOP}),
+ c AS (SELECT *, sum(length(chunk)) OVER (PARTITION BY item_id ORDER BY rank) AS used FROM r JOIN k USING (doc_id, chunk_no))
+ SELECT item_id, string_agg('[' || doc_id || ':' || chunk_no || '] ' || chunk, chr(10) ORDER BY rank) AS prompt, count(*)::BIGINT AS n FROM c WHERE used <= 2000 GROUP BY item_id""")
 def prompt_assemble(spark, d) -> DataFrame:
-    """The first chunks of the best documents, cited by id, as far as a budget of 2000 characters goes."""
-    docs = table(spark, d, "documents")
-    ranked = bm25_ranks(docs, table(spark, d, "benchmark")).join(docs, "doc_id").select("item_id", "doc_id", "rank", F.substring("text", 1, 500).alias("chunk"))
-    used = F.sum(F.length("chunk")).over(Window.partitionBy("item_id").orderBy("rank"))  # TOP rows of an item
-    cited = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.col("chunk"))
+    """The best chunks of all documents for each passage, cited by document and chunk, as far as a budget of 2000 characters goes. Chunks cover whole texts."""
+    chunks = written(chunks_by_chars(table(spark, d, "documents"), 500, 100).select("doc_id", "chunk_no", F.col("chunk").alias("text")), "chunks")
+    keys = ["doc_id", "chunk_no"]
+    ranked = bm25_ranks(index_for(chunks, table(spark, d, "benchmark"), tuple(keys))).select("item_id", *keys, "rank").join(chunks, keys)
+    used = F.sum(F.length("text")).over(Window.partitionBy("item_id").orderBy("rank"))  # TOP rows of an item
+    cited = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_no").cast("string"), F.lit("] "), F.col("text"))
     kept = ranked.withColumn("used", used).where("used <= 2000").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", cited.alias("line")))).alias("lines"))
     return kept.select("item_id", F.array_join(F.col("lines.line"), "\n").alias("prompt"), F.size("lines").cast("bigint").alias("n"))
 

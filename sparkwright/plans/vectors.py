@@ -1,7 +1,10 @@
-"""Exact vector search in blocks, and diverse reranking."""
+"""Vector search, exact in blocks and approximate by an inverted file, and diverse reranking."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.shared import written
 from ..sources.tables import table
 
 BLOCK, TOP = 4096, 10
@@ -19,16 +23,8 @@ def _blocks(vectors: DataFrame, id_col: str, block: int) -> tuple[DataFrame, int
     return vectors.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot", block: int = BLOCK) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k best rows for each of queries(query_id, q); rows(vec_id, v). Ties go to the smaller id.
-
-    Every block of queries meets every block of rows once, as one product of matrices in one task; k rows of each
-    meeting go on. Blocks are of bounded size, so memory is too; a row is never its own neighbour.
-    """
-    q, n_q = _blocks(queries, "query_id", block)
-    r, n_r = _blocks(rows, "vec_id", block)
-    q = q.select("query_id", "q", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
-    r = r.select("vec_id", "v", F.col("block").alias("rb2"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb2"))
+def _meet(k: int, metric: str) -> Callable:
+    """The k best of some rows for each of some queries, as one product of matrices."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -50,7 +46,21 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "do
                     out["score"] += row[best].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    return meet
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot", block: int = BLOCK) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k best rows for each of queries(query_id, q); rows(vec_id, v). Ties go to the smaller id.
+
+    Every block of queries meets every block of rows once, as one product of matrices in one task; k rows of each
+    meeting go on. Blocks are of bounded size, so memory is too; a row is never its own neighbour.
+    """
+    q, n_q = _blocks(queries, "query_id", block)
+    r, n_r = _blocks(rows, "vec_id", block)
+    q = q.select("query_id", "q", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
+    r = r.select("vec_id", "v", F.col("block").alias("rb2"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb2"))
+
+    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInArrow(_meet(k, metric), "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -86,6 +96,89 @@ def knn_filtered(spark, d) -> DataFrame:
     return nearest(q, table(spark, d, "embeddings").where("label < 5").select("vec_id", F.col("embedding").alias("v")))
 
 
+#: Of the cells' training: rows of the sample at most, rounds, and cells at most, which bounds what is broadcast.
+IVF_SAMPLE, IVF_ROUNDS, IVF_CELLS, IVF_SEED = 20_000, 8, 4096, 3
+#: Queries whose exact neighbours set the number of probes, and the share of those neighbours that the probes must reach.
+IVF_TRIED, IVF_REACH = 64, 0.97
+
+
+class Cells(NamedTuple):
+    """An inverted file: rows(cell, part, vec_id, v), all of them, and the cells' centres."""
+
+    rows: DataFrame
+    centres: np.ndarray
+
+
+def _near_cells(centres, probes: int) -> Callable:
+    """The nearest cells of each vector, by distance."""
+
+    @F.arrow_udf("array<int>")
+    def near_cells(v: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(v), BLOCK):
+            x = np.stack(v[at : at + BLOCK].to_numpy(zero_copy_only=False)).astype(np.float32)
+            far = (centres.value**2).sum(1) - 2 * x @ centres.value.T
+            out += list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return near_cells
+
+
+def ivf_index(rows: DataFrame, cells: int | None = None, block: int = BLOCK) -> Cells:
+    """rows(vec_id, v) dealt to cells by k-means; the centres come from a bounded sample, but every row is indexed. Cells of more than a block are cut into parts."""
+    spark, n = rows.sparkSession, rows.count()
+    cells = min(cells or max(1, round(np.sqrt(n))), IVF_CELLS)
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32))
+    few = rows.where(h < int(min(1.0, (3 * IVF_SAMPLE + 100) / max(1, n)) * (1 << 32))).orderBy(h, "vec_id").limit(IVF_SAMPLE).select("v").toArrow()
+    x = np.stack(few.column(0).to_numpy()).astype(np.float32) if len(few) else np.zeros((1, 1), np.float32)
+    centres = x[np.random.default_rng(IVF_SEED).permutation(len(x))[:cells]]
+    for _ in range(IVF_ROUNDS):
+        own = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, x)
+        centres = np.where(counts[:, None] > 0, sums / np.maximum(1, counts)[:, None], centres)
+    sent = spark.sparkContext.broadcast(centres)
+    dealt = written(rows.select(F.get(_near_cells(sent, 1)("v"), F.lit(0)).alias("cell"), "vec_id", "v"), "ivf")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    rows = dealt.join(F.broadcast(parts), "cell")  # IVF_CELLS rows at most
+    return Cells(rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")), centres)
+
+
+def ivf_probes(index: Cells, queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot") -> int:
+    """The fewest cells of a query that reach IVF_REACH of the exact neighbours of IVF_TRIED queries: one exact pass for them."""
+    sent = rows.sparkSession.sparkContext.broadcast(index.centres)
+    tried = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(IVF_TRIED)
+    order = tried.select("query_id", _near_cells(sent, len(index.centres))("q").alias("order"))
+    found = nearest(tried, rows, k, metric).join(index.rows.select("vec_id", "cell"), "vec_id").join(order, "query_id")
+    ranks = sorted(r[0] for r in found.select(F.array_position("order", F.col("cell"))).collect())  # IVF_TRIED * k numbers at most
+    return int(ranks[max(0, int(np.ceil(IVF_REACH * len(ranks))) - 1)]) if ranks else 1
+
+
+def ivf_search(index: Cells, queries: DataFrame, probes: int, k: int = TOP, metric: str = "dot") -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k best rows in the `probes` cells nearest to each of queries(query_id, q).
+
+    Rows and queries of a cell are cut into parts of about a block, and each pair of parts meets once: an equi-join on the cell and both parts.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(index.centres)
+    asked = written(queries.select("query_id", "q", F.explode(_near_cells(sent, probes)("q")).alias("cell")), "asked")
+    lots = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots")))  # a row for each cell
+    parts = F.broadcast(index.rows.select("cell", "parts").distinct())
+    asked = asked.join(lots, "cell").join(parts, "cell").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
+    asked = asked.select("cell", "lot", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = index.rows.join(lots, "cell").select("cell", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    met = asked.groupBy("cell", "part", "lot").cogroup(rows.groupBy("cell", "part", "lot")).applyInArrow(_meet(k, metric), "query_id bigint, vec_id bigint, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+@query("knn_ivf")
+def knn_ivf(spark, d) -> DataFrame:
+    """Approximate neighbours of the same queries as knn_exact; tests/ measure recall against it."""
+    q, rows = _sides(spark, d)
+    index = ivf_index(rows)
+    return ivf_search(index, q, ivf_probes(index, q, rows))
+
+
 @query("mmr")
 def mmr(spark, d) -> DataFrame:
     """Maximal marginal relevance: of each query's ten nearest, five that differ from each other. Greedy, so no SQL; tests/ hold a brute-force version."""

@@ -76,8 +76,47 @@ def st_join(spark, d) -> DataFrame:
     return drained(j.select("click_id", "purchase_id"), "join")
 
 
+CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("st_tumbling_stream", f"""SELECT start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= {CLOSED}""")
+def st_tumbling_stream(spark, d) -> DataFrame:
+    """The hours that the watermark has closed, as a stream appends them."""
+    g = timed(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return drained(g.select(F.col("w.start").alias("start"), "event_type", "n"), "tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("st_sliding_stream", f"""SELECT start, n FROM (SELECT (time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM (SELECT ts, unnest([0, 1, 2, 3]) AS i FROM events) GROUP BY ALL)
+ WHERE start + INTERVAL 1 HOUR <= {CLOSED}""")
+def st_sliding_stream(spark, d) -> DataFrame:
+    g = timed(spark, d).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return drained(g.select(F.col("w.start").alias("start"), "n"), "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("st_session_stream", f"""WITH a AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a)
+ SELECT user_id, min(ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {CLOSED}""")
+def st_session_stream(spark, d) -> DataFrame:
+    g = timed(spark, d).groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    return drained(g.select("user_id", F.col("w.start").alias("start"), "n"), "session").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("st_dedup_watermark", "SELECT event_id, user_id FROM events")
+def st_dedup_watermark(spark, d) -> DataFrame:
+    """A stream that delivers every event twice, each kept once: ids are forgotten when the watermark has passed them, so the state is bounded by the delay."""
+    twice = timed(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return drained(twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id"), "dedup-watermark")
+
+
+#: How long the state of a user who sends nothing is kept, in milliseconds of event time.
+IDLE_MS = 60 * 86_400_000
+
+
 def running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events and the largest gap in seconds of a user so far; the state is three numbers, whatever the user's rows."""
+    """Events and the largest gap in seconds of a user so far; the state is three numbers, whatever the user's rows, and goes when the user is long idle."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     n, last, gap = state.get if state.exists else (0, 0, 0)
     for b in batches:
         t = b["us"].sort_values().to_numpy()
@@ -87,13 +126,14 @@ def running(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             last = max(last, int(t[-1])) if n else int(t[-1])
             n += len(t)
     state.update((n, last, gap))
+    state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + IDLE_MS)
     yield pd.DataFrame({"user_id": [key[0]], "n": [n], "gap": [gap // 1_000_000]})
 
 
 @query("st_stateful")
 def st_stateful(spark, d) -> DataFrame:
     """Custom state by applyInPandasWithState: the last word on each user. No SQL; tests/ hold it against a batch version."""
-    s = stream(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    s = timed(spark, d).select("user_id", "ts", F.unix_micros("ts").alias("us"))
     kind = "user_id bigint, n bigint, gap bigint"
-    out = s.groupBy("user_id").applyInPandasWithState(running, kind, "n bigint, last bigint, gap bigint", "append", GroupStateTimeout.NoTimeout)
+    out = s.groupBy("user_id").applyInPandasWithState(running, kind, "n bigint, last bigint, gap bigint", "append", GroupStateTimeout.EventTimeTimeout)
     return drained(out, "stateful").groupBy("user_id").agg(F.max("n").alias("n"), F.max("gap").alias("gap"))

@@ -4,14 +4,17 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwright import catalogue
-from sparkwright.operators.joins import range_join, salted_join
+from sparkwright.operators.joins import range_join, salted_join, small
+from sparkwright.plans import retrieval, vectors
 from sparkwright.plans.retrieval import split_text
 from sparkwright.plans.vectors import diverse, nearest
+from sparkwright.sources.shared import shared_dir
 from sparkwright.sources.tables import table
 
 
@@ -72,3 +75,93 @@ def test_stateful_stream_equals_batch(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).toPandas().sort_values("us")
     want = {u: (len(g), int(g["us"].diff().max() // 1_000_000) if len(g) > 1 else 0) for u, g in e.groupby("user_id")}
     assert got == want
+
+
+def test_sketches_of_sets_and_top_items(spark, sf):
+    users = {r[0]: r[1] for r in table(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id")).collect()}
+    for r in catalogue.QUERIES["agg_sketch_sets"](spark, sf).collect():
+        assert abs(r["users"] - users[r["event_type"]]) <= 0.05 * users[r["event_type"]]
+    counts = {(r[0], r[1]): r[2] for r in table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").count().collect()}
+    for r in catalogue.QUERIES["agg_top_k"](spark, sf).collect():
+        assert abs(r["n"] - counts[r["l_returnflag"], r["item"]]) <= 0.05 * r["n"]
+    mids = {r[0]: (r[1], r[2]) for r in table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.45)), F.percentile("value", F.lit(0.55))).collect()}
+    for r in catalogue.QUERIES["agg_sketch"](spark, sf).collect():
+        assert mids[r["event_type"]][0] <= r["mid"] <= mids[r["event_type"]][1]
+
+
+def recall(approximate, exact):
+    got, want = ({(r["query_id"], r["vec_id"]) for r in x.collect()} for x in (approximate, exact))
+    return len(got & want) / len(want)
+
+
+def test_ivf_recall_on_the_table(spark):
+    d = "/root/testdata/sf0.01"
+    assert recall(catalogue.QUERIES["knn_ivf"](spark, d), catalogue.QUERIES["knn_exact"](spark, d)) >= 0.9
+
+
+def test_ivf_probes_few_cells_of_clustered_vectors(spark):
+    """Where vectors have structure, few cells are read, and recall stays; small blocks cut cells and queries into parts."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 1200)] + 0.1 * rng.normal(size=(1200, 16))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, v array<float>")
+    q = rows.where("vec_id % 20 = 0").toDF("query_id", "q")
+    for block in (16, vectors.BLOCK):
+        index = vectors.ivf_index(rows, block=block)
+        probes = vectors.ivf_probes(index, q, rows, metric="l2")
+        assert index.rows.count() == 1200 and 1 <= probes <= len(index.centres) // 3
+        assert recall(vectors.ivf_search(index, q, probes, metric="l2"), nearest(q, rows, metric="l2")) >= 0.9
+
+
+def test_bar_of_few_terms_loses_no_rank(spark):
+    """BM25 over candidates equals BM25 over all pairs, with terms that all documents have."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(["the", "of", *(words[min(59, int(x))] for x in rng.exponential(12, 30))])) for k in range(150)]
+    passages = [(k, " ".join(["the", "of", *(words[int(x)] for x in rng.integers(0, 60, 8))])) for k in range(12)] + [(99, "the of"), (98, "nowhere")]
+    df, p = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, text string")
+    index = retrieval.index_for(df, p)
+    whole = retrieval.weighted(index).join(index.asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    want = retrieval.top_k(whole, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+    assert sorted(map(tuple, retrieval.bm25_ranks(index).select("item_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_holders_find_what_is_cut_out_of_words(spark):
+    docs = [(1, "xx alpha beta gamma delta epsilon zeta yy"), (2, "alpha beta gamma delta epsilon zeta"), (3, "no such text"), (4, "A,b"), (5, "alpha beta Gamma delta epsilon zeta yy")]
+    passages = [(1, "lpha beta gamma delta epsilon zeta y"), (2, "alpha beta gamma delta epsilon zet"), (3, ",b"), (4, "a beta gamma delta epsilon zeta")]
+    got = retrieval.holders(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k) for i, p in passages for k, t in docs if p in t)
+
+
+def test_mmr_query_against_plain_loops(spark, sf):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in table(spark, sf, "embeddings").collect()}
+    got = {}
+    for r in catalogue.QUERIES["mmr"](spark, sf).orderBy("query_id", "place").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in [k for k in rows if k % 20 == 0][:5]:
+        near = sorted(((round(float(rows[q] @ v), 6), -k) for k, v in rows.items() if k != q), reverse=True)[:10]
+        chosen = []
+        while len(chosen) < 5:
+            chosen.append(max(((round(0.7 * s - 0.3 * max((float(rows[-k] @ rows[c]) for c in chosen), default=0), 9), s, k) for s, k in near if -k not in chosen))[2] * -1)
+        assert got[q] == chosen
+
+
+def test_small_checks_rows_and_bytes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.range(100).withColumn("text", F.repeat(F.lit("x"), F.lit(1000)))
+    assert hinted(small(df)) and not hinted(small(df, most_rows=99)) and not hinted(small(df, most_bytes=50_000))
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    assert shared_dir(Session(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y" and shared_dir(Session(spark_master="local[4]")).startswith("file:")
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(spark_master=master))
