@@ -1,8 +1,11 @@
 """The document pipeline: each stage works on what the one before it kept.
 
-Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns have the results that the operators of
-sparkwright.llm state. All stages but the last return the columns of their input; the last one adds how
-often a document is taken and how many words that makes.
+Defined results, from those that the operators of sparkwright.llm state: a document with a null or empty text fails the quality rules,
+so no later stage gets one from run(), but each stage takes one by itself. A null id, language or source is carried; rows that repeat are
+judged alike, and near_duplicates keeps one of them. Of near duplicates the smallest id stays, ids before null. Very long texts go
+through whole, and an empty table gives an empty result. Further columns are kept, whatever their names. All stages but
+the last return the columns of their input; the last one adds how often a document is taken and how many words
+that makes.
 """
 
 from __future__ import annotations
