@@ -18,8 +18,8 @@ from ..sources.tables import table
 #: Fixed values of Okapi BM25 and of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 TOP = 10
-#: Terms of a passage, those of the largest weights, that set the bar for the rest.
-FEW = 4
+#: Rows for each of the k ranks, about, that the rarest terms of a passage give to set the bar for the rest.
+SEEDS = 50
 #: Runs of letters and digits of any script.
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -144,7 +144,7 @@ class Index(NamedTuple):
 
 def index_for(docs: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Index:
     """One pass over docs(*keys, text): each text is split once, and all that follows reads the table that is written here."""
-    asked = passage_terms(passages)
+    asked = written(passage_terms(passages), "passage_terms")
     wanted = small(asked.select("term").distinct().withColumn("wanted", F.lit(True)))
     w = docs.select(*keys, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
     # the null at the end gives every document one row for its length, whatever its terms
@@ -167,25 +167,29 @@ def bm25_ranks(docs: DataFrame | Index, passages: DataFrame | None = None, k: in
     """(item_id, *keys, score, rank) of the k best documents of each passage; docs: documents, or their index.
 
     Terms that most documents have would bring nearly all pairs of documents and passages. So the rarest terms of a passage
-    (FEW of the largest weights) are added up first; the k-th best of those sums is a bar that a document outside must pass by its other terms
-    alone. Terms whose largest weights together stay under the bar bring no candidates, and only candidates get
-    their whole score. The ranks are those of all pairs.
+    (until they bring SEEDS * k rows) are added up first; the k-th best of those sums is a bar that a document must reach. Terms
+    whose largest weights together stay under the bar are spared: they bring no candidates, and are added only to documents whose
+    other terms, with all that the spared ones could give, reach the bar. The ranks are those of all pairs.
     """
     index = docs if isinstance(docs, Index) else index_for(docs, passages)
     keys = index.keys
     weights = written(weighted(index), "weights")
-    most = weights.groupBy("term").agg(F.max("weight").alias("most"))
+    most = weights.groupBy("term").agg(F.max("weight").alias("most"), F.count("*").alias("df"))
     asked = written(index.asked.join(most, "term"), "asked")  # terms that no document has fall out
-    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("most"), "term"))
-    first = asked.withColumn("nth", nth).where(F.col("nth") <= FEW).select("item_id", "term")
+    before = F.sum("df").over(Window.partitionBy("item_id").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1))
+    first = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SEEDS * k).select("item_id", "term")
     sums = weights.join(small(first), "term").groupBy("item_id", *keys).agg(F.sum("weight").alias("score"))
-    bars = top_k(sums, "item_id", keys, k).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar"))
+    bars = written(top_k(sums, "item_id", keys, k).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar")), "bars")
     rest = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-    # scores are rounded to six places before they are ranked
-    needed = asked.withColumn("rest", rest).join(small(bars), "item_id").where(F.col("rest") + 1e-5 >= F.col("bar")).select("item_id", "term")
-    candidates = weights.join(small(needed), "term").select("item_id", *keys).distinct()
-    whole = candidates.join(weights, keys).join(small(asked.select("item_id", "term")), ["item_id", "term"])
-    return top_k(whole.groupBy("item_id", *keys).agg(F.round(F.sum("weight"), 6).alias("score")), "item_id", keys, k)
+    # scores are rounded to six places before they are ranked, hence the margin
+    dealt = asked.withColumn("rest", rest).join(small(bars), "item_id").withColumn("spared", F.col("rest") + 1e-5 < F.col("bar"))
+    dealt = written(dealt.select("item_id", "term", "rest", "bar", "spared"), "dealt")
+    bounds = dealt.groupBy("item_id").agg(F.first("bar").alias("bar"), F.max(F.when(F.col("spared"), F.col("rest")).otherwise(0.0)).alias("slack"))
+    sums = weights.join(small(dealt.where("not spared").select("item_id", "term")), "term").groupBy("item_id", *keys).agg(F.sum("weight").alias("part"))
+    likely = written(sums.join(small(bounds), "item_id").where(F.col("part") + F.col("slack") + 1e-5 >= F.col("bar")).select("item_id", *keys, "part"), "likely")
+    more = likely.select("item_id", *keys).join(small(dealt.where("spared").select("item_id", "term")), "item_id").join(weights, [*keys, "term"]).select("item_id", *keys, F.col("weight").alias("part"))
+    whole = likely.unionByName(more).groupBy("item_id", *keys).agg(F.round(F.sum("part"), 6).alias("score"))
+    return top_k(whole, "item_id", keys, k)
 
 
 BM25_SQL = rf"""WITH t AS ({T}), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS dl FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
