@@ -46,7 +46,7 @@ from .common import col, materialize, table
 CLASS_BITS, STATES, ROUNDS, SEED = 16, 8, 6, 17
 CLASSES = 1 << CLASS_BITS
 #: Tokens of a block, of a longer text alone if need be, and of the sequences that are trained on at once.
-BLOCK, LOT = 1 << 20, 1 << 19
+BLOCK, LOT = 1 << 22, 1 << 19
 #: Weight of the prior of a state's classes, in tokens, and of its transitions.
 PRIOR, TURN_PRIOR = 200.0, 10.0
 #: White space cannot be a word, so this stands for the end.
