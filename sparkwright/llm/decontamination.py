@@ -6,7 +6,7 @@ each such pair the longest common runs that do not overlap are marked, again and
 min_match words is left. A document is contaminated by an item if the marks cover `coverage` of the item's words;
 as marks may lie in any order, reordered passages are caught.
 
-Before the join a bitmap of fixed size (2 MB, however large the benchmark is) drops most seeds that no item has;
+Before the join a bitmap (2 MB, and up to 32 MB for a large benchmark, but never more) drops most seeds that no item has;
 what it lets through by chance falls in the join. To reach the coverage a document must share so many of an item's
 seeds that it has one of the rarer ones: only these are joined, and the commonest seeds of each item, as many as a document may
 lack, bring no pairs. Pairs that share too few seeds are not tiled. Neither bound loses a pair.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, col, fresh, in_bitmap, materialize, table, text_bytes
 
 MIN_MATCH, COVERAGE = 5, 0.5
-#: Bits of the seed bitmap, as a power of two.
-BITMAP_BITS = 24
+#: Least and most bits of the seed bitmap, as powers of two, and bits for each seed between them.
+BITMAP_BITS, BITS_PER_SEED = (24, 28), 32
 #: Pairs of places with one seed, about, that tiling holds at once.
 PAIR_LOT = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -145,7 +145,7 @@ def _item_udf(min_match: int) -> Callable:
     return item_words
 
 
-def _hits(text: pa.Array, widths: list[int], bitmap: bytes) -> pa.Array:
+def _hits(text: pa.Array, widths: list[int], bitmap: bytes, bits: int) -> pa.Array:
     """The parts of each document that may match: words, their positions, and the seeds; null if there are none."""
     words, positions, seeds, null = [], [], [], []
     for t in text:
@@ -153,7 +153,7 @@ def _hits(text: pa.Array, widths: list[int], bitmap: bytes) -> pa.Array:
         hit = np.zeros(len(w) + 1, np.int64)
         for width in widths:
             h = rolled(w, width)
-            k = np.flatnonzero(in_bitmap(h, bitmap, BITMAP_BITS))
+            k = np.flatnonzero(in_bitmap(h, bitmap, bits))
             np.add.at(hit, k, 1)
             np.add.at(hit, k + width, -1)
             found.append(np.unique(h[k]))
@@ -207,8 +207,9 @@ def _pairs(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     seeds = items.select("item_id", "item_key", F.size("item_words").alias("n"), F.explode("item_seeds").alias("seed"))
     seeds = materialize(seeds.groupBy("item_id", "item_key", "n", "seed").agg(F.count("*").alias("times")), "bench_seeds")
     widths = sorted(r[0] for r in seeds.select(F.least("n", F.lit(min_match))).distinct().collect())  # min_match values at most
-    bitmap = spark.sparkContext.broadcast(bitmap_of(seeds, "seed", BITMAP_BITS))
-    hits = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"), _hits_of(bitmap, widths)(col(text_col)).alias("h"))
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (BITS_PER_SEED * seeds.count()).bit_length()))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(seeds, "seed", bits))
+    hits = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"), _hits_of(bitmap, widths, bits)(col(text_col)).alias("h"))
     hits = materialize(hits.where(F.col("h").isNotNull()).select("doc_id", "text_key", "h.*").dropDuplicates(["doc_id", "text_key"]), "seed_hits")
     held = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed"))
     joined = materialize(rare_seeds(seeds, held.select("seed"), min_match, coverage), "rare_seeds")
@@ -220,12 +221,12 @@ def _pairs(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_c
     return out.where(F.col("coverage") >= coverage)
 
 
-def _hits_of(bitmap, widths: list[int]) -> Callable:
+def _hits_of(bitmap, widths: list[int], bits: int) -> Callable:
     """The hits of a batch, by the bitmap that Spark sent to each executor once."""
 
     @F.arrow_udf("struct<words:array<bigint>,pos:array<int>,seeds:array<bigint>>")
     def seed_hits(text: pa.Array) -> pa.Array:
-        return _hits(text, widths, bitmap.value)
+        return _hits(text, widths, bitmap.value, bits)
 
     return seed_hits
 
