@@ -44,7 +44,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", shared_lines), ("near_duplicates", near_duplicates), ("decontamination", benchmark_passages), ("mixing", mix_sources)]
+STAGES = [
+    ("quality_rules", quality), ("line_dedup", shared_lines), ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_passages), ("mixing", mix_sources),
+]
 
 #: The tokeniser, the fingerprint links and the tiling are not SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None

@@ -14,29 +14,50 @@ from .rows import money
  min(l_discount) AS min_discount, max(l_tax) AS max_tax, count(*)::BIGINT AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL""")
 def agg_hash(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_price"), F.min("l_discount").alias("min_discount"), F.max("l_tax").alias("max_tax"), F.count("*").alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(
+        money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_price"),
+        F.min("l_discount").alias("min_discount"), F.max("l_tax").alias("max_tax"), F.count("*").alias("n"),
+    )
 
 
-@query("agg_object", "SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS segments FROM customer GROUP BY c_nationkey")
+@query(
+    "agg_object",
+    "SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS segments FROM customer GROUP BY c_nationkey",
+)
 def agg_object(spark, d) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("segments"))
+    return table(
+        spark, d, "customer",
+    ).groupBy("c_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("segments"))
 
 
-@query("agg_sort", "SELECT o_orderstatus, max(o_orderpriority) AS top, min(o_orderpriority) AS least FROM orders GROUP BY o_orderstatus")
+@query(
+    "agg_sort",
+    "SELECT o_orderstatus, max(o_orderpriority) AS top, min(o_orderpriority) AS least FROM orders GROUP BY o_orderstatus",
+)
 def agg_sort(spark, d) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.max("o_orderpriority").alias("top"), F.min("o_orderpriority").alias("least"))
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(
+        F.max("o_orderpriority").alias("top"), F.min("o_orderpriority").alias("least"),
+    )
 
 
-@query("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY l_returnflag")
+@query(
+    "agg_distinct",
+    "SELECT l_returnflag, count(DISTINCT l_partkey)::BIGINT AS parts, count(DISTINCT l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY l_returnflag",
+)
 def agg_distinct(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"),
+    )
 
 
 LEVELS = "sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total, count(*)::BIGINT AS n, grouping(o_orderstatus)::INT AS g1, grouping(o_orderpriority)::INT AS g2 FROM orders GROUP BY"
 
 
 def _levels(grouped) -> DataFrame:
-    return grouped.agg(money("o_totalprice").alias("total"), F.count("*").alias("n"), F.grouping("o_orderstatus").cast("int").alias("g1"), F.grouping("o_orderpriority").cast("int").alias("g2"))
+    return grouped.agg(
+        money("o_totalprice").alias("total"), F.count("*").alias("n"),
+        F.grouping("o_orderstatus").cast("int").alias("g1"), F.grouping("o_orderpriority").cast("int").alias("g2"),
+    )
 
 
 @query("agg_cube", f"SELECT o_orderstatus, o_orderpriority, {LEVELS} CUBE (o_orderstatus, o_orderpriority)")
@@ -49,50 +70,83 @@ def agg_rollup(spark, d) -> DataFrame:
     return _levels(table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority"))
 
 
-@query("agg_grouping_sets", f"SELECT o_orderstatus, o_orderpriority, {LEVELS} GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+@query(
+    "agg_grouping_sets",
+    f"SELECT o_orderstatus, o_orderpriority, {LEVELS} GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+)
 def agg_grouping_sets(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
-    return _levels(o.groupingSets([[F.col("o_orderstatus")], [F.col("o_orderpriority")], []], "o_orderstatus", "o_orderpriority"))
+    return _levels(o.groupingSets(
+        [[F.col("o_orderstatus")], [F.col("o_orderpriority")], []], "o_orderstatus", "o_orderpriority",
+    ))
 
 
 @query("agg_pivot", """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS f, count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS o,
  count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS p FROM orders GROUP BY o_orderpriority""")
 def agg_pivot(spark, d) -> DataFrame:
-    wide = table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    wide = table(spark, d, "orders").groupBy("o_orderpriority").pivot(
+        "o_orderstatus", ["F", "O", "P"],
+    ).count().na.fill(0)
     return wide.select("o_orderpriority", *(F.col(x).alias(x.lower()) for x in "FOP"))
 
 
-@query("unpivot", "SELECT s_suppkey, name, amount FROM (SELECT s_suppkey, s_acctbal AS balance, s_nationkey::DOUBLE AS nation FROM supplier) UNPIVOT (amount FOR name IN (balance, nation))")
+@query(
+    "unpivot",
+    "SELECT s_suppkey, name, amount FROM (SELECT s_suppkey, s_acctbal AS balance, s_nationkey::DOUBLE AS nation FROM supplier) UNPIVOT (amount FOR name IN (balance, nation))",
+)
 def unpivot(spark, d) -> DataFrame:
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    s = table(spark, d, "supplier").select(
+        "s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"),
+    )
     return s.unpivot("s_suppkey", ["balance", "nation"], "name", "amount")
 
 
-@query("agg_quantile", "SELECT p_brand, round(median(p_retailprice), 6) AS mid, round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY p_brand")
+@query(
+    "agg_quantile",
+    "SELECT p_brand, round(median(p_retailprice), 6) AS mid, round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY p_brand",
+)
 def agg_quantile(spark, d) -> DataFrame:
-    return table(spark, d, "part").groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 6).alias("mid"), F.round(F.percentile("p_retailprice", F.lit(0.9)), 6).alias("p90"))
+    return table(spark, d, "part").groupBy("p_brand").agg(
+        F.round(F.median("p_retailprice"), 6).alias("mid"),
+        F.round(F.percentile("p_retailprice", F.lit(0.9)), 6).alias("p90"),
+    )
 
 
 @query("agg_approx_distinct")
 def agg_approx_distinct(spark, d) -> DataFrame:
     """Estimates; engines differ, so rows only. tests/ holds them within 5 % of the exact counts."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    return table(
+        spark, d, "lineitem",
+    ).groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
 @query("agg_sketch")
 def agg_sketch(spark, d) -> DataFrame:
     """Sketches by day, merged over the month: what a rollup keeps so that no raw row is read again."""
-    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id").alias("users"), F.kll_sketch_agg_double("value").alias("amounts"))
-    merged = e.groupBy("event_type").agg(F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("amounts").alias("amounts"))
-    return merged.select("event_type", F.hll_sketch_estimate("users").alias("users"), F.kll_sketch_get_quantile_double("amounts", F.lit(0.5)).alias("mid"))
+    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(
+        F.hll_sketch_agg("user_id").alias("users"), F.kll_sketch_agg_double("value").alias("amounts"),
+    )
+    merged = e.groupBy("event_type").agg(
+        F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("amounts").alias("amounts"),
+    )
+    return merged.select(
+        "event_type", F.hll_sketch_estimate("users").alias("users"),
+        F.kll_sketch_get_quantile_double("amounts", F.lit(0.5)).alias("mid"),
+    )
 
 
 @query("agg_stats", """SELECT l_linestatus, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS var, round(corr(l_quantity, l_extendedprice), 6) AS cor,
  round(covar_samp(l_quantity, l_discount), 6) AS cov, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY l_linestatus""")
 def agg_stats(spark, d) -> DataFrame:
     q = "l_quantity"
-    stats = {"sd": F.stddev_samp(q), "var": F.var_pop(q), "cor": F.corr(q, "l_extendedprice"), "cov": F.covar_samp(q, "l_discount")}
-    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(*(F.round(c, 6).alias(k) for k, c in stats.items()), F.round(F.regr_slope("l_extendedprice", q), 4).alias("slope"))
+    stats = {
+        "sd": F.stddev_samp(q), "var": F.var_pop(q), "cor": F.corr(q, "l_extendedprice"),
+        "cov": F.covar_samp(q, "l_discount"),
+    }
+    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(
+        *(F.round(c, 6).alias(k) for k, c in stats.items()),
+        F.round(F.regr_slope("l_extendedprice", q), 4).alias("slope"),
+    )
 
 
 @query("agg_kurtosis", "SELECT event_type, round(kurtosis_pop(value), 5) AS kurt FROM events GROUP BY event_type")
@@ -100,25 +154,45 @@ def agg_kurtosis(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.kurtosis("value"), 5).alias("kurt"))
 
 
-@query("agg_argmax", "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS richest, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey")
+@query(
+    "agg_argmax",
+    "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS richest, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey",
+)
 def agg_argmax(spark, d) -> DataFrame:
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("richest"), F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("poorest"))
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(
+        F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("richest"),
+        F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("poorest"),
+    )
 
 
-@query("agg_string", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey")
+@query(
+    "agg_string",
+    "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey",
+)
 def agg_string(spark, d) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderpriority")), ",").alias("priorities"))
+    return table(
+        spark, d, "orders",
+    ).groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderpriority")), ",").alias("priorities"))
 
 
-@query("agg_centroid", "SELECT label, i::INT AS i, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i")
+@query(
+    "agg_centroid",
+    "SELECT label, i::INT AS i, round(avg(x::DOUBLE), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i",
+)
 def agg_centroid(spark, d) -> DataFrame:
     long = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     return long.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
-@query("agg_filtered", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase')::BIGINT AS bought, bool_or(value > 90) AS large, bit_xor(event_id)::BIGINT AS mark FROM events GROUP BY user_id")
+@query(
+    "agg_filtered",
+    "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase')::BIGINT AS bought, bool_or(value > 90) AS large, bit_xor(event_id)::BIGINT AS mark FROM events GROUP BY user_id",
+)
 def agg_filtered(spark, d) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("bought"), F.bool_or(F.col("value") > 90).alias("large"), F.bit_xor("event_id").alias("mark"))
+    return table(spark, d, "events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "purchase").alias("bought"), F.bool_or(F.col("value") > 90).alias("large"),
+        F.bit_xor("event_id").alias("mark"),
+    )
 
 
 @query("agg_histogram", "SELECT floor(value / 10)::BIGINT AS bin, count(*)::BIGINT AS n FROM events GROUP BY bin")
@@ -129,7 +203,9 @@ def agg_histogram(spark, d) -> DataFrame:
 @query("agg_sketch_sets")
 def agg_sketch_sets(spark, d) -> DataFrame:
     """Users by theta sketches of each type and day, united over the month; tests/ hold them within 5 % of the exact counts."""
-    e = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.theta_sketch_agg("user_id").alias("users"))
+    e = table(spark, d, "events").groupBy(
+        "event_type", F.to_date("ts").alias("day"),
+    ).agg(F.theta_sketch_agg("user_id").alias("users"))
     return e.groupBy("event_type").agg(F.theta_sketch_estimate(F.theta_union_agg("users")).alias("users"))
 
 
@@ -145,13 +221,24 @@ def agg_top_k(spark, d) -> DataFrame:
  count(*) FILTER (WHERE quality = 0 AND predicted = 0)::BIGINT AS tn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM p""")
 def label_eval(spark, d) -> DataFrame:
     """A verdict, here a rule on length, against the labels: the confusion counts and what follows from them."""
-    j = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
-    return evaluated(j.select(F.col("quality").alias("label"), (F.col("n_chars") >= 300).cast("int").alias("predicted")))
+    j = table(spark, d, "documents").select("doc_id", "n_chars").join(
+        table(spark, d, "labels").select("doc_id", "quality"), "doc_id",
+    )
+    return evaluated(j.select(
+        F.col("quality").alias("label"), (F.col("n_chars") >= 300).cast("int").alias("predicted"),
+    ))
 
 
 def evaluated(pairs: DataFrame) -> DataFrame:
     """One row for pairs(label, predicted) of 0 and 1."""
     counts = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
-    c = pairs.agg(F.count("*").alias("n"), *(F.count_if((F.col("label") == a) & (F.col("predicted") == b)).alias(k) for k, (a, b) in counts.items()))
+    c = pairs.agg(
+        F.count("*").alias("n"),
+        *(F.count_if((F.col("label") == a) & (F.col("predicted") == b)).alias(k) for k, (a, b) in counts.items()),
+    )
     tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
-    return c.select("n", *counts, F.round(F.try_divide(tp, tp + fp), 6).alias("precision"), F.round(F.try_divide(tp, tp + fn), 6).alias("recall"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1"))
+    return c.select(
+        "n", *counts, F.round(F.try_divide(tp, tp + fp), 6).alias("precision"),
+        F.round(F.try_divide(tp, tp + fn), 6).alias("recall"),
+        F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1"),
+    )

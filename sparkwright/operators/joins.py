@@ -20,20 +20,32 @@ def small(df: DataFrame, most_rows: int = 100_000, most_bytes: int = 32 << 20) -
  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def join_inner(spark, d) -> DataFrame:
     li, o, c, n = (table(spark, d, x) for x in ("lineitem", "orders", "customer", "nation"))
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(
+        n, F.col("c_nationkey") == F.col("n_nationkey"),
+    )
     return j.groupBy("n_name").agg(money("l_extendedprice").alias("revenue"), F.count("*").alias("n"))
 
 
-@query("join_left", "SELECT c_custkey, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query(
+    "join_left",
+    "SELECT c_custkey, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+)
 def join_left(spark, d) -> DataFrame:
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
+    return c.join(
+        o, F.col("c_custkey") == F.col("o_custkey"), "left",
+    ).groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("join_right", "SELECT o_orderkey, l_linenumber FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey AND l_quantity > 48")
+@query(
+    "join_right",
+    "SELECT o_orderkey, l_linenumber FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey AND l_quantity > 48",
+)
 def join_right(spark, d) -> DataFrame:
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return li.join(o, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_quantity") > 48), "right").select("o_orderkey", "l_linenumber")
+    return li.join(
+        o, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_quantity") > 48), "right",
+    ).select("o_orderkey", "l_linenumber")
 
 
 @query("join_full", """SELECT c_nationkey, s_nationkey, n_c, n_s FROM (SELECT c_nationkey, count(*)::BIGINT AS n_c FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
@@ -41,10 +53,15 @@ def join_right(spark, d) -> DataFrame:
 def join_full(spark, d) -> DataFrame:
     c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n_c"))
     s = table(spark, d, "supplier").where("s_acctbal < 2000").groupBy("s_nationkey").agg(F.count("*").alias("n_s"))
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "full").select("c_nationkey", "s_nationkey", "n_c", "n_s")
+    return c.join(
+        s, F.col("c_nationkey") == F.col("s_nationkey"), "full",
+    ).select("c_nationkey", "s_nationkey", "n_c", "n_s")
 
 
-@query("join_broadcast", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "join_broadcast",
+    "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+)
 def join_broadcast(spark, d) -> DataFrame:
     """Nations and regions are broadcast after their number and bytes were checked."""
     s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
@@ -52,10 +69,15 @@ def join_broadcast(spark, d) -> DataFrame:
     return s.join(small(places), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
 
 
-@query("join_shuffle_hash", "SELECT p_brand, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+@query(
+    "join_shuffle_hash",
+    "SELECT p_brand, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
+)
 def join_shuffle_hash(spark, d) -> DataFrame:
     p = table(spark, d, "part").hint("shuffle_hash")
-    return table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(money("l_quantity").alias("quantity"))
+    return table(spark, d, "lineitem").join(
+        p, F.col("l_partkey") == F.col("p_partkey"),
+    ).groupBy("p_brand").agg(money("l_quantity").alias("quantity"))
 
 
 def salted_join(big: DataFrame, other: DataFrame, key: str, other_key: str, salts: int = 8) -> DataFrame:
@@ -65,30 +87,50 @@ def salted_join(big: DataFrame, other: DataFrame, key: str, other_key: str, salt
     return left.join(right, (F.col(key) == F.col(other_key)) & (left["salt_"] == right["salt_"])).drop("salt_")
 
 
-@query("join_salted", "SELECT o_orderpriority, n_items, count(*)::BIGINT AS n FROM orders JOIN (SELECT o_orderpriority AS p, count(*)::BIGINT AS n_items FROM orders GROUP BY 1) ON o_orderpriority = p GROUP BY 1, 2")
+@query(
+    "join_salted",
+    "SELECT o_orderpriority, n_items, count(*)::BIGINT AS n FROM orders JOIN (SELECT o_orderpriority AS p, count(*)::BIGINT AS n_items FROM orders GROUP BY 1) ON o_orderpriority = p GROUP BY 1, 2",
+)
 def join_salted(spark, d) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     sums = o.groupBy(F.col("o_orderpriority").alias("p")).agg(F.count("*").alias("n_items"))
-    return salted_join(o, sums, "o_orderpriority", "p").groupBy("o_orderpriority", "n_items").agg(F.count("*").alias("n"))
+    return salted_join(
+        o, sums, "o_orderpriority", "p",
+    ).groupBy("o_orderpriority", "n_items").agg(F.count("*").alias("n"))
 
 
-@query("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+@query(
+    "join_semi",
+    "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
+)
 def join_semi(spark, d) -> DataFrame:
     o = table(spark, d, "orders").where("o_totalprice > 400000")
-    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    return table(spark, d, "customer").join(
+        o, F.col("c_custkey") == F.col("o_custkey"), "left_semi",
+    ).select("c_custkey", "c_name")
 
 
-@query("join_anti", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query(
+    "join_anti",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
+)
 def join_anti(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+    return table(spark, d, "orders").join(
+        li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti",
+    ).select("o_orderkey", "o_custkey")
 
 
-@query("join_one_row", "SELECT c_custkey, round(c_acctbal / t.top, 6) AS share FROM customer, (SELECT max(c_acctbal) AS top FROM customer) t")
+@query(
+    "join_one_row",
+    "SELECT c_custkey, round(c_acctbal / t.top, 6) AS share FROM customer, (SELECT max(c_acctbal) AS top FROM customer) t",
+)
 def join_one_row(spark, d) -> DataFrame:
     """Each row against one row of totals, as a scalar subquery."""
     table(spark, d, "customer").createOrReplaceTempView("sparkwright_customer")
-    return spark.sql("SELECT c_custkey, round(c_acctbal / (SELECT max(c_acctbal) FROM sparkwright_customer), 6) AS share FROM sparkwright_customer")
+    return spark.sql(
+        "SELECT c_custkey, round(c_acctbal / (SELECT max(c_acctbal) FROM sparkwright_customer), 6) AS share FROM sparkwright_customer"
+    )
 
 
 def range_join(left: DataFrame, right: DataFrame, at: Column, low: Column, high: Column, width: float) -> DataFrame:
@@ -98,7 +140,10 @@ def range_join(left: DataFrame, right: DataFrame, at: Column, low: Column, high:
     return left.join(right, "bucket_").where((at >= low) & (at < high)).drop("bucket_")
 
 
-@query("join_theta_range", """SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 10""")
+@query(
+    "join_theta_range",
+    """SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 200 AND o_totalprice < p_retailprice * 200 + 10""",
+)
 def join_theta_range(spark, d) -> DataFrame:
     o, p = table(spark, d, "orders"), table(spark, d, "part")
     low = F.col("p_retailprice") * 200
@@ -112,7 +157,9 @@ def join_asof(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     bought = F.col("event_type") == "purchase"
     both = e.select("user_id", "ts", "event_id", bought.alias("bought"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.desc("bought"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("user_id").orderBy(
+        "ts", F.desc("bought"), "event_id",
+    ).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last_value(F.when(F.col("bought"), F.col("event_id")), ignoreNulls=True).over(w)
     return both.withColumn("last_purchase", last).where("not bought").select("event_id", "last_purchase")
 
@@ -121,15 +168,25 @@ def join_asof(spark, d) -> DataFrame:
  AND a.event_id <> b.event_id GROUP BY a.event_id""")
 def join_interval(spark, d) -> DataFrame:
     """Other events of the user within an hour on either side: equi-join on the user and the hour, with one hour to each side."""
-    e = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = table(spark, d, "events").select(
+        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+    )
     hour = 3_600_000_000
     a = e.withColumn("bucket", F.floor(F.col("us") / hour))
-    b = e.select(F.col("event_id").alias("b_id"), "user_id", F.col("us").alias("b_us"), F.explode(F.sequence(F.floor(F.col("us") / hour) - 1, F.floor(F.col("us") / hour) + 1)).alias("bucket"))
-    near = a.join(b, ["user_id", "bucket"]).where((F.abs(F.col("us") - F.col("b_us")) <= hour) & (F.col("event_id") != F.col("b_id")))
+    b = e.select(
+        F.col("event_id").alias("b_id"), "user_id", F.col("us").alias("b_us"),
+        F.explode(F.sequence(F.floor(F.col("us") / hour) - 1, F.floor(F.col("us") / hour) + 1)).alias("bucket"),
+    )
+    near = a.join(
+        b, ["user_id", "bucket"],
+    ).where((F.abs(F.col("us") - F.col("b_us")) <= hour) & (F.col("event_id") != F.col("b_id")))
     return near.groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("join_lateral", "SELECT n_nationkey, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t")
+@query(
+    "join_lateral",
+    "SELECT n_nationkey, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t",
+)
 def join_lateral(spark, d) -> DataFrame:
     for t in ("nation", "customer"):
         table(spark, d, t).createOrReplaceTempView(f"sparkwright_{t}")
@@ -137,7 +194,12 @@ def join_lateral(spark, d) -> DataFrame:
       WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t""")
 
 
-@query("subquery_scalar_corr", "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = l.l_partkey)")
+@query(
+    "subquery_scalar_corr",
+    "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem x WHERE x.l_partkey = l.l_partkey)",
+)
 def subquery_scalar_corr(spark, d) -> DataFrame:
     table(spark, d, "lineitem").createOrReplaceTempView("sparkwright_lineitem")
-    return spark.sql("SELECT l_orderkey, l_partkey, l_quantity FROM sparkwright_lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM sparkwright_lineitem x WHERE x.l_partkey = l.l_partkey)")
+    return spark.sql(
+        "SELECT l_orderkey, l_partkey, l_quantity FROM sparkwright_lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM sparkwright_lineitem x WHERE x.l_partkey = l.l_partkey)"
+    )

@@ -12,7 +12,9 @@ C, S = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM su
 
 
 def _keys(spark, d) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return table(
+        spark, d, "customer",
+    ).select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
 
 
 @query("union_all", f"{C} UNION ALL {S}")
@@ -56,17 +58,27 @@ def distinct(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
 
 
-@query("drop_duplicates", "SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS least FROM lineitem GROUP BY l_orderkey, l_linenumber")
+@query(
+    "drop_duplicates",
+    "SELECT l_orderkey, l_linenumber, min(l_extendedprice) AS least FROM lineitem GROUP BY l_orderkey, l_linenumber",
+)
 def drop_duplicates(spark, d) -> DataFrame:
     """One line for each order and number; which one is stated, not left to chance."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_extendedprice").alias("least"))
+    return table(spark, d, "lineitem").groupBy(
+        "l_orderkey", "l_linenumber",
+    ).agg(F.min("l_extendedprice").alias("least"))
 
 
-@query("drop_duplicates_row", """SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""")
+@query(
+    "drop_duplicates_row",
+    """SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
+)
 def drop_duplicates_row(spark, d) -> DataFrame:
     """The whole row of the latest event of each user and type: a maximum with partial aggregation, where dropDuplicates would leave the row to chance."""
     row = F.struct("event_id", "value")
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("user_id", "event_type", "r.*")
+    return table(spark, d, "events").groupBy(
+        "user_id", "event_type",
+    ).agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("user_id", "event_type", "r.*")
 
 
 @query("cte_recursive", """WITH RECURSIVE m(o_orderkey, step, left_over) AS (SELECT o_orderkey, 0, floor(o_totalprice)::BIGINT FROM orders

@@ -37,7 +37,10 @@ def each_token(df: DataFrame, *keep: Column) -> DataFrame:
 T = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents"
 
 
-@query("tokenize", r"SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)")
+@query(
+    "tokenize",
+    r"SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)",
+)
 def tokenize(spark, d) -> DataFrame:
     w = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
@@ -47,8 +50,15 @@ def chunks_by_chars(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """(doc_id, chunk_no, start, chunk) of `size` characters, each beginning `size - overlap` after the one before."""
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - overlap) / step) - 1)
-    at = docs.select("doc_id", "text", F.posexplode(F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i * step)).alias("chunk_no", "start"))
-    return at.select("doc_id", "chunk_no", "start", F.substring("text", F.col("start").cast("int") + 1, F.lit(size)).alias("chunk"))
+    at = docs.select(
+        "doc_id", "text",
+        F.posexplode(F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i * step)).alias(
+            "chunk_no", "start",
+        ),
+    )
+    return at.select(
+        "doc_id", "chunk_no", "start", F.substring("text", F.col("start").cast("int") + 1, F.lit(size)).alias("chunk"),
+    )
 
 
 @query("chunk_chars", """SELECT doc_id, i::INT AS chunk_no, (i * 400)::BIGINT AS start, substr(text, (i * 400 + 1)::BIGINT, 500) AS chunk FROM (SELECT doc_id, text,
@@ -63,8 +73,13 @@ def chunk_words(spark, d) -> DataFrame:
     """Windows of 200 words that overlap by 50."""
     w = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - 50) / 150) - 1)
-    at = w.select("doc_id", "w", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i.cast("int"))).alias("chunk_no"))
-    return at.select("doc_id", "chunk_no", F.array_join(F.slice("w", F.col("chunk_no") * 150 + 1, 200), " ").alias("chunk"))
+    at = w.select(
+        "doc_id", "w",
+        F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i.cast("int"))).alias("chunk_no"),
+    )
+    return at.select(
+        "doc_id", "chunk_no", F.array_join(F.slice("w", F.col("chunk_no") * 150 + 1, 200), " ").alias("chunk"),
+    )
 
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -98,7 +113,9 @@ def chunk_recursive(spark, d) -> DataFrame:
             out["chunk_no"] = out.groupby(level=0).cumcount().astype("int32")
             yield out[["doc_id", "chunk_no", "chunk"]]
 
-    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(split, "doc_id bigint, chunk_no int, chunk string")
+    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(
+        split, "doc_id bigint, chunk_no int, chunk string",
+    )
 
 
 def inverted(docs: DataFrame) -> DataFrame:
@@ -106,9 +123,14 @@ def inverted(docs: DataFrame) -> DataFrame:
     return each_token(docs, F.col("doc_id")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-@query("inverted_index", f"WITH t AS ({T}) SELECT term, count(*)::BIGINT AS cf, count(DISTINCT doc_id)::BIGINT AS df, min(doc_id)::BIGINT AS first_doc FROM t GROUP BY term")
+@query(
+    "inverted_index",
+    f"WITH t AS ({T}) SELECT term, count(*)::BIGINT AS cf, count(DISTINCT doc_id)::BIGINT AS df, min(doc_id)::BIGINT AS first_doc FROM t GROUP BY term",
+)
 def inverted_index(spark, d) -> DataFrame:
-    return inverted(table(spark, d, "documents")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"), F.min("doc_id").alias("first_doc"))
+    return inverted(table(spark, d, "documents")).groupBy("term").agg(
+        F.sum("tf").alias("cf"), F.count("*").alias("df"), F.min("doc_id").alias("first_doc"),
+    )
 
 
 @query("tfidf", f"""WITH t AS ({T}), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM f GROUP BY term)
@@ -118,7 +140,9 @@ def tfidf(spark, d) -> DataFrame:
     f = inverted(docs)
     n = docs.count()
     idf = f.groupBy("term").agg(F.ln(F.lit(float(n)) / F.count("*")).alias("idf"))
-    return f.join(idf, "term").groupBy("doc_id").agg(F.round(F.sum(F.col("tf") * F.col("idf")), 3).alias("weight"), F.count("*").alias("terms"))
+    return f.join(idf, "term").groupBy("doc_id").agg(
+        F.round(F.sum(F.col("tf") * F.col("idf")), 3).alias("weight"), F.count("*").alias("terms"),
+    )
 
 
 def top_k(scored: DataFrame, by: str, item: str | list[str], k: int = TOP) -> DataFrame:
@@ -148,7 +172,9 @@ def index_for(docs: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ("do
     wanted = small(asked.select("term").distinct().withColumn("wanted", F.lit(True)))
     w = docs.select(*keys, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
     # the null at the end gives every document one row for its length, whatever its terms
-    each = w.select(*keys, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"))
+    each = w.select(
+        *keys, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"),
+    )
     kept = each.join(wanted, "term", "left").where(F.col("wanted") | F.col("term").isNull())
     rows = written(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "index")
     n, mean = rows.where(F.col("term").isNull()).agg(F.count("*"), F.avg("dl")).first()
@@ -176,18 +202,42 @@ def bm25_ranks(docs: DataFrame | Index, passages: DataFrame | None = None, k: in
     weights = written(weighted(index), "weights")
     most = weights.groupBy("term").agg(F.max("weight").alias("most"), F.count("*").alias("df"))
     asked = written(index.asked.join(most, "term"), "asked")  # terms that no document has fall out
-    before = F.sum("df").over(Window.partitionBy("item_id").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1))
-    first = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SEEDS * k).select("item_id", "term")
+    before = F.sum("df").over(Window.partitionBy("item_id").orderBy(F.desc("most"), "term").rowsBetween(
+        Window.unboundedPreceding, -1,
+    ))
+    first = asked.withColumn(
+        "before", F.coalesce(before, F.lit(0)),
+    ).where(F.col("before") < SEEDS * k).select("item_id", "term")
     sums = weights.join(small(first), "term").groupBy("item_id", *keys).agg(F.sum("weight").alias("score"))
-    bars = written(top_k(sums, "item_id", keys, k).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar")), "bars")
-    rest = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    bars = written(
+        top_k(
+            sums, "item_id", keys, k,
+        ).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar")),
+        "bars",
+    )
+    rest = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(
+        Window.unboundedPreceding, 0,
+    ))
     # scores are rounded to six places before they are ranked, hence the margin
-    dealt = asked.withColumn("rest", rest).join(small(bars), "item_id").withColumn("spared", F.col("rest") + 1e-5 < F.col("bar"))
+    dealt = asked.withColumn("rest", rest).join(small(bars), "item_id").withColumn(
+        "spared", F.col("rest") + 1e-5 < F.col("bar"),
+    )
     dealt = written(dealt.select("item_id", "term", "rest", "bar", "spared"), "dealt")
-    bounds = dealt.groupBy("item_id").agg(F.first("bar").alias("bar"), F.max(F.when(F.col("spared"), F.col("rest")).otherwise(0.0)).alias("slack"))
-    sums = weights.join(small(dealt.where("not spared").select("item_id", "term")), "term").groupBy("item_id", *keys).agg(F.sum("weight").alias("part"))
-    likely = written(sums.join(small(bounds), "item_id").where(F.col("part") + F.col("slack") + 1e-5 >= F.col("bar")).select("item_id", *keys, "part"), "likely")
-    more = likely.select("item_id", *keys).join(small(dealt.where("spared").select("item_id", "term")), "item_id").join(weights, [*keys, "term"]).select("item_id", *keys, F.col("weight").alias("part"))
+    bounds = dealt.groupBy("item_id").agg(
+        F.first("bar").alias("bar"), F.max(F.when(F.col("spared"), F.col("rest")).otherwise(0.0)).alias("slack"),
+    )
+    sums = weights.join(
+        small(dealt.where("not spared").select("item_id", "term")), "term",
+    ).groupBy("item_id", *keys).agg(F.sum("weight").alias("part"))
+    likely = written(
+        sums.join(
+            small(bounds), "item_id",
+        ).where(F.col("part") + F.col("slack") + 1e-5 >= F.col("bar")).select("item_id", *keys, "part"),
+        "likely",
+    )
+    more = likely.select("item_id", *keys).join(
+        small(dealt.where("spared").select("item_id", "term")), "item_id",
+    ).join(weights, [*keys, "term"]).select("item_id", *keys, F.col("weight").alias("part"))
     whole = likely.unionByName(more).groupBy("item_id", *keys).agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(whole, "item_id", keys, k)
 
@@ -202,13 +252,18 @@ BM25_SQL = rf"""WITH t AS ({T}), l AS (SELECT doc_id, len(regexp_extract_all(low
 @query("bm25", f"{BM25_SQL} SELECT item_id, doc_id, round(score, 3) AS score, rank FROM bm25")
 def bm25(spark, d) -> DataFrame:
     """For each benchmark passage, the ten best documents."""
-    return bm25_ranks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id", F.round("score", 3).alias("score"), "rank")
+    return bm25_ranks(table(spark, d, "documents"), table(spark, d, "benchmark")).select(
+        "item_id", "doc_id", F.round("score", 3).alias("score"), "rank",
+    )
 
 
 def overlap_ranks(index: Index, k: int = TOP) -> DataFrame:
     """A second list, from the same index: documents by the number of distinct words that they share with the passage."""
     shared = index.rows.select(*index.keys, "term").join(small(index.asked), "term")
-    return top_k(shared.groupBy("item_id", *index.keys).agg(F.count("*").cast("double").alias("score")), "item_id", index.keys, k)
+    return top_k(
+        shared.groupBy("item_id", *index.keys).agg(F.count("*").cast("double").alias("score")), "item_id", index.keys,
+        k,
+    )
 
 
 OVERLAP_SQL = rf"""o AS (SELECT item_id, doc_id, count(*)::DOUBLE AS score FROM a JOIN (SELECT DISTINCT doc_id, term FROM t) USING (term) GROUP BY ALL),
@@ -223,10 +278,15 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return both.groupBy("item_id", "doc_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
-@query("rrf", f"{BM25_SQL}, {OVERLAP_SQL} SELECT item_id, doc_id, round(sum(1e0 / ({RRF_K} + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM overlap) GROUP BY ALL")
+@query(
+    "rrf",
+    f"{BM25_SQL}, {OVERLAP_SQL} SELECT item_id, doc_id, round(sum(1e0 / ({RRF_K} + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM overlap) GROUP BY ALL",
+)
 def rrf(spark, d) -> DataFrame:
     index = index_for(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    return fuse([bm25_ranks(index), overlap_ranks(index)]).select("item_id", "doc_id", F.round("score", 9).alias("score"))
+    return fuse([bm25_ranks(index), overlap_ranks(index)]).select(
+        "item_id", "doc_id", F.round("score", 9).alias("score"),
+    )
 
 
 @query("score_fusion", f"""{BM25_SQL}, {OVERLAP_SQL}, m AS (SELECT item_id, doc_id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS s, 0.7e0 AS f FROM bm25 WINDOW w AS (PARTITION BY item_id)
@@ -238,7 +298,10 @@ def score_fusion(spark, d) -> DataFrame:
 
     def scaled(x: DataFrame, share: float) -> DataFrame:
         low, high = F.min("score").over(w), F.max("score").over(w)
-        return x.select("item_id", "doc_id", (share * F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(0.0))).alias("s"))
+        return x.select(
+            "item_id", "doc_id",
+            (share * F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(0.0))).alias("s"),
+        )
 
     both = scaled(bm25_ranks(index), 0.7).unionByName(scaled(overlap_ranks(index), 0.3))
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
@@ -252,7 +315,12 @@ def score_fusion_z(spark, d) -> DataFrame:
     index, w = index_for(table(spark, d, "documents"), table(spark, d, "benchmark")), Window.partitionBy("item_id")
 
     def scaled(x: DataFrame) -> DataFrame:
-        return x.select("item_id", "doc_id", F.coalesce(F.try_divide(F.col("score") - F.avg("score").over(w), F.stddev_pop("score").over(w)), F.lit(0.0)).alias("s"))
+        return x.select(
+            "item_id", "doc_id",
+            F.coalesce(
+                F.try_divide(F.col("score") - F.avg("score").over(w), F.stddev_pop("score").over(w)), F.lit(0.0),
+            ).alias("s"),
+        )
 
     both = scaled(bm25_ranks(index)).unionByName(scaled(overlap_ranks(index)))
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
@@ -269,12 +337,18 @@ def tfidf_cosine(spark, d) -> DataFrame:
     f, n = written(inverted(docs), "postings"), docs.count()
     v = f.groupBy("term").agg(F.ln(F.lit(float(n)) / F.count("*")).alias("idf"))
     f = written(f.join(v, "term").withColumn("x", F.col("tf") * F.col("idf")), "weighted")
-    a = inverted(passages.withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "item_id").join(v, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("y"))
+    a = inverted(passages.withColumnRenamed("item_id", "doc_id")).withColumnRenamed(
+        "doc_id", "item_id",
+    ).join(v, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("y"))
     norm = F.sqrt(F.sum(F.pow("x", F.lit(2)))).alias("norm")
     a = written(a, "passage_weights")
-    of_docs, of_items = f.groupBy("doc_id").agg(norm), a.groupBy("item_id").agg(F.sqrt(F.sum(F.pow("y", F.lit(2)))).alias("own"))
+    of_docs, of_items = f.groupBy("doc_id").agg(norm), a.groupBy("item_id").agg(F.sqrt(F.sum(F.pow(
+        "y", F.lit(2),
+    ))).alias("own"))
     dot = f.join(small(a), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dot.join(of_docs, "doc_id").join(small(of_items), "item_id").where("norm > 0 AND own > 0").select("item_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score"))
+    scored = dot.join(of_docs, "doc_id").join(small(of_items), "item_id").where("norm > 0 AND own > 0").select(
+        "item_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score"),
+    )
     return top_k(scored, "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -294,14 +368,22 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     Passages too short to have such a run are looked for in every document, all of them at once.
     """
-    p = passages.select("item_id", F.col("text").alias("passage"), F.array_min(grams(F.col("text"), inner=True)).alias("gram"))
-    found = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(small(p.where("gram IS NOT NULL").select("item_id", "gram")), "gram").select("item_id", "doc_id")
-    whole = found.join(docs.select("doc_id", "text"), "doc_id").join(p.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    p = passages.select(
+        "item_id", F.col("text").alias("passage"), F.array_min(grams(F.col("text"), inner=True)).alias("gram"),
+    )
+    found = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(
+        small(p.where("gram IS NOT NULL").select("item_id", "gram")), "gram",
+    ).select("item_id", "doc_id")
+    whole = found.join(docs.select("doc_id", "text"), "doc_id").join(
+        p.select("item_id", "passage"), "item_id",
+    ).where(F.contains("text", "passage")).select("item_id", "doc_id")
     short = p.where("gram IS NULL").select("item_id", "passage")
     if short.isEmpty():
         return whole
     listed = F.broadcast(short.agg(F.collect_list(F.struct("item_id", "passage")).alias("short")))
-    each = docs.select("doc_id", "text", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one").select("doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["passage"]))).alias("s"))
+    each = docs.select("doc_id", "text", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one").select(
+        "doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["passage"]))).alias("s"),
+    )
     return whole.union(each.select("s.item_id", "doc_id"))
 
 
@@ -318,7 +400,9 @@ def ir_ndcg(spark, d) -> DataFrame:
     places = F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(TOP).cast("bigint")))
     best = F.aggregate(F.transform(places, lambda k: 1 / F.log2(k + F.lit(1.0))), F.lit(0.0), lambda a, x: a + x)
     ideal = holds.groupBy("item_id").agg(F.count("*").alias("n")).select("item_id", best.alias("best"))
-    return ideal.join(dcg, "item_id", "left").select("item_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("best"), 6).alias("ndcg"))
+    return ideal.join(dcg, "item_id", "left").select(
+        "item_id", F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("best"), 6).alias("ndcg"),
+    )
 
 
 @query("ir_metrics", rf"""{BM25_SQL}, r AS (SELECT b.item_id, x.doc_id, x.rank, (contains(d.text, b.text))::INT AS hit FROM bm25 x JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
@@ -329,11 +413,19 @@ def ir_metrics(spark, d) -> DataFrame:
     """P@10, reciprocal rank, hit@10, DCG and recall of BM25; a document is relevant if it holds the whole passage."""
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
     holds = written(holders(docs, passages), "holders")
-    ranked = bm25_ranks(docs, passages).join(holds.withColumn("is", F.lit(1)), ["item_id", "doc_id"], "left").withColumn("hit", F.coalesce("is", F.lit(0)))
+    ranked = bm25_ranks(docs, passages).join(
+        holds.withColumn("is", F.lit(1)), ["item_id", "doc_id"], "left",
+    ).withColumn("hit", F.coalesce("is", F.lit(0)))
     gain = F.col("hit") / F.log2(F.col("rank") + F.lit(1.0))
-    sums = ranked.groupBy("item_id").agg(F.round(F.sum("hit") / TOP, 6).alias("precision"), F.round(F.max(F.col("hit") / F.col("rank")), 6).alias("reciprocal"), F.max("hit").alias("hit"), F.round(F.sum(gain), 6).alias("dcg"), F.sum("hit").alias("hits"))
+    sums = ranked.groupBy("item_id").agg(
+        F.round(F.sum("hit") / TOP, 6).alias("precision"),
+        F.round(F.max(F.col("hit") / F.col("rank")), 6).alias("reciprocal"), F.max("hit").alias("hit"),
+        F.round(F.sum(gain), 6).alias("dcg"), F.sum("hit").alias("hits"),
+    )
     n = holds.groupBy("item_id").agg(F.count("*").alias("n"))
-    return sums.join(n, "item_id", "left").select("item_id", "precision", "reciprocal", "hit", "dcg", F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
+    return sums.join(n, "item_id", "left").select(
+        "item_id", "precision", "reciprocal", "hit", "dcg", F.round(F.col("hits") / F.col("n"), 6).alias("recall"),
+    )
 
 
 CHUNKS_SQL = """SELECT doc_id, i::INT AS chunk_no, substr(text, (i * 400 + 1)::BIGINT, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(greatest(0, ceil((length(text) - 100) / 400e0)::BIGINT - 1) + 1)) AS i FROM documents)"""
@@ -349,15 +441,33 @@ CHUNKS_SQL = """SELECT doc_id, i::INT AS chunk_no, substr(text, (i * 400 + 1)::B
  SELECT item_id, string_agg('[' || doc_id || ':' || chunk_no || '] ' || chunk, chr(10) ORDER BY rank) AS prompt, count(*)::BIGINT AS n FROM c WHERE used <= 2000 GROUP BY item_id""")
 def prompt_assemble(spark, d) -> DataFrame:
     """The best chunks of all documents for each passage, cited by document and chunk, as far as a budget of 2000 characters goes. Chunks cover whole texts."""
-    chunks = written(chunks_by_chars(table(spark, d, "documents"), 500, 100).select("doc_id", "chunk_no", F.col("chunk").alias("text")), "chunks")
+    chunks = written(
+        chunks_by_chars(table(spark, d, "documents"), 500, 100).select(
+            "doc_id", "chunk_no", F.col("chunk").alias("text"),
+        ),
+        "chunks",
+    )
     keys = ["doc_id", "chunk_no"]
-    ranked = bm25_ranks(index_for(chunks, table(spark, d, "benchmark"), tuple(keys))).select("item_id", *keys, "rank").join(chunks, keys)
+    ranked = bm25_ranks(index_for(chunks, table(spark, d, "benchmark"), tuple(keys))).select(
+        "item_id", *keys, "rank",
+    ).join(chunks, keys)
     used = F.sum(F.length("text")).over(Window.partitionBy("item_id").orderBy("rank"))  # TOP rows of an item
-    cited = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_no").cast("string"), F.lit("] "), F.col("text"))
-    kept = ranked.withColumn("used", used).where("used <= 2000").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", cited.alias("line")))).alias("lines"))
-    return kept.select("item_id", F.array_join(F.col("lines.line"), "\n").alias("prompt"), F.size("lines").cast("bigint").alias("n"))
+    cited = F.concat(
+        F.lit("["), F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_no").cast("string"), F.lit("] "),
+        F.col("text"),
+    )
+    kept = ranked.withColumn(
+        "used", used,
+    ).where("used <= 2000").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", cited.alias("line"),
+    ))).alias("lines"))
+    return kept.select(
+        "item_id", F.array_join(F.col("lines.line"), "\n").alias("prompt"), F.size("lines").cast("bigint").alias("n"),
+    )
 
 
 @query("html_title", "SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages")
 def html_title(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    return table(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+    )

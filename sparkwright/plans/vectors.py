@@ -44,7 +44,10 @@ def _meet(k: int, metric: str) -> Callable:
                     out["query_id"] += [qi[at + i]] * len(best)
                     out["vec_id"] += vi[best].tolist()
                     out["score"] += row[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+        return pa.table({
+            "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()),
+            "score": pa.array(out["score"], pa.float64()),
+        })
 
     return meet
 
@@ -57,17 +60,25 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "do
     """
     q, n_q = _blocks(queries, "query_id", block)
     r, n_r = _blocks(rows, "vec_id", block)
-    q = q.select("query_id", "q", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
-    r = r.select("vec_id", "v", F.col("block").alias("rb2"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb2"))
-
-    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInArrow(_meet(k, metric), "query_id bigint, vec_id bigint, score double")
+    q = q.select(
+        "query_id", "q", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"),
+    )
+    r = r.select(
+        "vec_id", "v", F.col("block").alias("rb2"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb2"),
+    )
+
+    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInArrow(
+        _meet(k, metric), "query_id bigint, vec_id bigint, score double",
+    )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v"))
+    return e.where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"),
+    ), e.select("vec_id", F.col("embedding").alias("v"))
 
 
 def _sql(score: str, more: str = "") -> str:
@@ -129,7 +140,9 @@ def ivf_index(rows: DataFrame, cells: int | None = None, block: int = BLOCK) ->
     spark, n = rows.sparkSession, rows.count()
     cells = min(cells or max(1, round(np.sqrt(n))), IVF_CELLS)
     h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32))
-    few = rows.where(h < int(min(1.0, (3 * IVF_SAMPLE + 100) / max(1, n)) * (1 << 32))).orderBy(h, "vec_id").limit(IVF_SAMPLE).select("v").toArrow()
+    few = rows.where(h < int(min(1.0, (3 * IVF_SAMPLE + 100) / max(1, n)) * (1 << 32))).orderBy(
+        h, "vec_id",
+    ).limit(IVF_SAMPLE).select("v").toArrow()
     x = np.stack(few.column(0).to_numpy()).astype(np.float32) if len(few) else np.zeros((1, 1), np.float32)
     centres = x[np.random.default_rng(IVF_SEED).permutation(len(x))[:cells]]
     for _ in range(IVF_ROUNDS):
@@ -163,10 +176,18 @@ def ivf_search(index: Cells, queries: DataFrame, probes: int, k: int = TOP, metr
     asked = written(queries.select("query_id", "q", F.explode(_near_cells(sent, probes)("q")).alias("cell")), "asked")
     lots = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots")))  # a row for each cell
     parts = F.broadcast(index.rows.select("cell", "parts").distinct())
-    asked = asked.join(lots, "cell").join(parts, "cell").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
-    asked = asked.select("cell", "lot", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = index.rows.join(lots, "cell").select("cell", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    met = asked.groupBy("cell", "part", "lot").cogroup(rows.groupBy("cell", "part", "lot")).applyInArrow(_meet(k, metric), "query_id bigint, vec_id bigint, score double")
+    asked = asked.join(lots, "cell").join(parts, "cell").withColumn(
+        "lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"),
+    )
+    asked = asked.select(
+        "cell", "lot", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    )
+    rows = index.rows.join(lots, "cell").select(
+        "cell", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
+    )
+    met = asked.groupBy("cell", "part", "lot").cogroup(rows.groupBy("cell", "part", "lot")).applyInArrow(
+        _meet(k, metric), "query_id bigint, vec_id bigint, score double",
+    )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -183,7 +204,9 @@ def knn_ivf(spark, d) -> DataFrame:
 def mmr(spark, d) -> DataFrame:
     """Maximal marginal relevance: of each query's ten nearest, five that differ from each other. Greedy, so no SQL; tests/ hold a brute-force version."""
     q, rows = _sides(spark, d)
-    near = nearest(q, rows).join(rows, "vec_id").join(q.select("query_id"), "query_id").select("query_id", "vec_id", "score", "v")
+    near = nearest(q, rows).join(rows, "vec_id").join(q.select("query_id"), "query_id").select(
+        "query_id", "vec_id", "score", "v",
+    )
     return near.groupBy("query_id").applyInPandas(lambda g: diverse(g), "query_id bigint, vec_id bigint, place int")  # TOP rows of a query
 
 
@@ -196,6 +219,9 @@ def diverse(g: pd.DataFrame, keep: int = 5, trade: float = 0.7) -> pd.DataFrame:
         gain = np.round(trade * g["score"].to_numpy() - (1 - trade) * worst, 9)
         gain[chosen] = -np.inf
         chosen.append(int(np.argmax(gain)))
-    return pd.DataFrame({"query_id": g["query_id"].iloc[chosen], "vec_id": g["vec_id"].iloc[chosen], "place": np.arange(1, len(chosen) + 1, dtype=np.int32)})
+    return pd.DataFrame({
+        "query_id": g["query_id"].iloc[chosen], "vec_id": g["vec_id"].iloc[chosen],
+        "place": np.arange(1, len(chosen) + 1, dtype=np.int32),
+    })
 
 

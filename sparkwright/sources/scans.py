@@ -10,12 +10,18 @@ from .shared import fresh_path
 from .tables import table
 
 
-@query("scan_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query(
+    "scan_parquet",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
+)
 def scan_parquet(spark, d) -> DataFrame:
     return table(spark, d, "orders")
 
 
-@query("scan_pruned", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_shipdate >= TIMESTAMP '1998-01-01'")
+@query(
+    "scan_pruned",
+    "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_shipdate >= TIMESTAMP '1998-01-01'",
+)
 def scan_pruned(spark, d) -> DataFrame:
     """Two columns out and two filters that reach the Parquet reader."""
     wanted = (F.col("l_quantity") >= 45) & (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
@@ -50,21 +56,30 @@ def scan_orc(spark, d) -> DataFrame:
 
 @query("scan_text", "SELECT o_orderpriority AS value, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def scan_text(spark, d) -> DataFrame:
-    return copied(table(spark, d, "orders").select(F.col("o_orderpriority").alias("value")), "text").groupBy("value").agg(F.count("*").alias("n"))
+    return copied(
+        table(spark, d, "orders").select(F.col("o_orderpriority").alias("value")), "text",
+    ).groupBy("value").agg(F.count("*").alias("n"))
 
 
 #: Files of one folder that are written side by side, so that a hot type is not one task.
 SALTS = 16
 
 
-@query("sink_parquet", "SELECT event_type, count(*)::BIGINT AS n, min(event_id)::BIGINT AS first_id FROM events WHERE event_type <> 'view' GROUP BY event_type")
+@query(
+    "sink_parquet",
+    "SELECT event_type, count(*)::BIGINT AS n, min(event_id)::BIGINT AS first_id FROM events WHERE event_type <> 'view' GROUP BY event_type",
+)
 def sink_parquet(spark, d) -> DataFrame:
     """Written by partition; the filter on the partition column then prunes folders."""
     path = fresh_path(spark, "events-by-type")
     events = table(spark, d, "events").select("event_id", "ts", "event_type")
-    events.repartition("event_type", F.pmod(F.xxhash64("event_id"), F.lit(SALTS))).write.partitionBy("event_type").parquet(path)
+    events.repartition(
+        "event_type", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)),
+    ).write.partitionBy("event_type").parquet(path)
     again = spark.read.schema("event_id bigint, ts timestamp_ntz, event_type string").parquet(path)
-    return again.where("event_type <> 'view'").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return again.where("event_type <> 'view'").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.min("event_id").alias("first_id"),
+    )
 
 
 @query("from_json_struct", "SELECT event_id, (props ->> 'k')::BIGINT AS k FROM events")
@@ -77,10 +92,17 @@ def from_csv_struct(spark, d) -> DataFrame:
     """Lines of CSV in a column, parsed by a declared schema."""
     o = table(spark, d, "orders")
     line = F.to_csv(F.struct("o_totalprice", "o_orderstatus"))
-    return o.select("o_orderkey", F.from_csv(line, "price double, status string").alias("r")).select("o_orderkey", "r.price", "r.status")
+    return o.select(
+        "o_orderkey", F.from_csv(line, "price double, status string").alias("r"),
+    ).select("o_orderkey", "r.price", "r.status")
 
 
 @query("from_xml_struct", "SELECT c_custkey, c_name AS name, c_nationkey AS nation FROM customer")
 def from_xml_struct(spark, d) -> DataFrame:
-    text = F.concat(F.lit("<c><name>"), F.replace("c_name", F.lit("&"), F.lit("&amp;")), F.lit("</name><nation>"), F.col("c_nationkey").cast("string"), F.lit("</nation></c>"))
-    return table(spark, d, "customer").select("c_custkey", F.from_xml(text, "name string, nation int").alias("r")).select("c_custkey", "r.name", "r.nation")
+    text = F.concat(
+        F.lit("<c><name>"), F.replace("c_name", F.lit("&"), F.lit("&amp;")), F.lit("</name><nation>"),
+        F.col("c_nationkey").cast("string"), F.lit("</nation></c>"),
+    )
+    return table(spark, d, "customer").select(
+        "c_custkey", F.from_xml(text, "name string, nation int").alias("r"),
+    ).select("c_custkey", "r.name", "r.nation")

@@ -28,4 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 8) -> DataFrame:
     """The table as a stream of its files."""
-    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+    return spark.readStream.schema(SCHEMAS[name]).option(
+        "maxFilesPerTrigger", files_per_trigger,
+    ).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")

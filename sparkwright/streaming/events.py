@@ -17,7 +17,9 @@ from ..sources.tables import stream, table
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input there is now, through a Parquet sink with its own checkpoint in the shared folder."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, f"stream-{name}")
-    run = df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run = df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option(
+        "checkpointLocation", f"{path}/checkpoint",
+    ).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
@@ -32,23 +34,35 @@ def scan_stream(spark, d) -> DataFrame:
     return drained(stream(spark, d, "events").where("event_type = 'purchase'").select("event_id", "user_id"), "scan")
 
 
-@query("st_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(sum(value::DECIMAL(18,6))::DOUBLE, 3) AS total FROM events GROUP BY ALL")
+@query(
+    "st_tumbling",
+    "SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(sum(value::DECIMAL(18,6))::DOUBLE, 3) AS total FROM events GROUP BY ALL",
+)
 def st_tumbling(spark, d) -> DataFrame:
     """The batch form: the same expression serves both."""
     g = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-    return g.agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double"), 3).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return g.agg(
+        F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double"), 3).alias("total"),
+    ).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-@query("st_sliding", """SELECT (time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM (SELECT ts, unnest([0, 1, 2, 3]) AS i FROM events) GROUP BY ALL""")
+@query(
+    "st_sliding",
+    """SELECT (time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM (SELECT ts, unnest([0, 1, 2, 3]) AS i FROM events) GROUP BY ALL""",
+)
 def st_sliding(spark, d) -> DataFrame:
-    g = table(spark, d, "events").groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))
+    g = table(
+        spark, d, "events",
+    ).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("start"), "n")
 
 
 @query("st_session", """WITH a AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a) SELECT user_id, min(ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM b GROUP BY user_id, s""")
 def st_session(spark, d) -> DataFrame:
-    g = table(spark, d, "events").groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    g = table(spark, d, "events").groupBy(
+        "user_id", F.session_window("ts", "12 hours").alias("w"),
+    ).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
@@ -57,20 +71,26 @@ def st_session(spark, d) -> DataFrame:
 def st_watermark(spark, d) -> DataFrame:
     """Days that the watermark has closed; the last one stays open."""
     g = timed(spark, d).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
-    return drained(g.select(F.col("w.start").alias("start"), "n"), "watermark").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return drained(
+        g.select(F.col("w.start").alias("start"), "n"), "watermark",
+    ).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("st_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def st_dedup(spark, d) -> DataFrame:
     """Each pair once, by state over the whole stream."""
-    return drained(stream(spark, d, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
+    return drained(
+        stream(spark, d, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type"), "dedup",
+    )
 
 
 @query("st_join", """SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR
  WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
 def st_join(spark, d) -> DataFrame:
     """Clicks and the user's purchases within two hours: two streams, each with a watermark, so state is dropped."""
-    a = timed(spark, d).where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("u"), F.col("ts").alias("clicked"))
+    a = timed(spark, d).where("event_type = 'click'").select(
+        F.col("event_id").alias("click_id"), F.col("user_id").alias("u"), F.col("ts").alias("clicked"),
+    )
     b = timed(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", "ts")
     j = a.join(b, F.expr("u = user_id AND ts >= clicked AND ts <= clicked + INTERVAL 2 HOURS"))
     return drained(j.select("click_id", "purchase_id"), "join")
@@ -79,18 +99,25 @@ def st_join(spark, d) -> DataFrame:
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
-@query("st_tumbling_stream", f"""SELECT start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= {CLOSED}""")
+@query(
+    "st_tumbling_stream",
+    f"""SELECT start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= {CLOSED}""",
+)
 def st_tumbling_stream(spark, d) -> DataFrame:
     """The hours that the watermark has closed, as a stream appends them."""
     g = timed(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return drained(g.select(F.col("w.start").alias("start"), "event_type", "n"), "tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return drained(
+        g.select(F.col("w.start").alias("start"), "event_type", "n"), "tumbling",
+    ).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("st_sliding_stream", f"""SELECT start, n FROM (SELECT (time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM (SELECT ts, unnest([0, 1, 2, 3]) AS i FROM events) GROUP BY ALL)
  WHERE start + INTERVAL 1 HOUR <= {CLOSED}""")
 def st_sliding_stream(spark, d) -> DataFrame:
     g = timed(spark, d).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return drained(g.select(F.col("w.start").alias("start"), "n"), "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return drained(
+        g.select(F.col("w.start").alias("start"), "n"), "sliding",
+    ).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("st_session_stream", f"""WITH a AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 12 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -98,7 +125,9 @@ def st_sliding_stream(spark, d) -> DataFrame:
  SELECT user_id, min(ts)::TIMESTAMP AS start, count(*)::BIGINT AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {CLOSED}""")
 def st_session_stream(spark, d) -> DataFrame:
     g = timed(spark, d).groupBy("user_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
-    return drained(g.select("user_id", F.col("w.start").alias("start"), "n"), "session").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return drained(
+        g.select("user_id", F.col("w.start").alias("start"), "n"), "session",
+    ).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("st_dedup_watermark", "SELECT event_id, user_id FROM events")
@@ -135,5 +164,7 @@ def st_stateful(spark, d) -> DataFrame:
     """Custom state by applyInPandasWithState: the last word on each user. No SQL; tests/ hold it against a batch version."""
     s = timed(spark, d).select("user_id", "ts", F.unix_micros("ts").alias("us"))
     kind = "user_id bigint, n bigint, gap bigint"
-    out = s.groupBy("user_id").applyInPandasWithState(running, kind, "n bigint, last bigint, gap bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    out = s.groupBy("user_id").applyInPandasWithState(
+        running, kind, "n bigint, last bigint, gap bigint", "append", GroupStateTimeout.EventTimeTimeout,
+    )
     return drained(out, "stateful").groupBy("user_id").agg(F.max("n").alias("n"), F.max("gap").alias("gap"))
