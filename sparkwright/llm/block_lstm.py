@@ -43,7 +43,9 @@ def _run(x: np.ndarray, mask: np.ndarray, w: Weights, d: str) -> tuple[np.ndarra
     pre, out, kept = x @ w[f"x{d}"] + w[f"c{d}"], [], []
     for t in range(len(x)):
         z = pre[t] + h @ w[f"h{d}"]
-        i, f, o, g = sigmoid(z[:, :hidden]), sigmoid(z[:, hidden : 2 * hidden]), sigmoid(z[:, 2 * hidden : 3 * hidden]), np.tanh(z[:, 3 * hidden :])
+        i, f, o, g = sigmoid(z[:, :hidden]), sigmoid(z[:, hidden : 2 * hidden]), sigmoid(z[
+            :, 2 * hidden : 3 * hidden,
+        ]), np.tanh(z[:, 3 * hidden :])
         c2 = f * c + i * g
         y = np.tanh(c2)
         kept.append((h, c, i, f, o, g, y))
@@ -62,7 +64,9 @@ def _back(x: np.ndarray, mask: np.ndarray, w: Weights, d: str, kept: list, dout:
         dh = dh + dout[t]
         dh2 = dh * m
         dc2 = dc * m + dh2 * o * (1 - y * y)
-        dz = np.concatenate([dc2 * g * i * (1 - i), dc2 * c * f * (1 - f), dh2 * y * o * (1 - o), dc2 * i * (1 - g * g)], 1)
+        dz = np.concatenate(
+            [dc2 * g * i * (1 - i), dc2 * c * f * (1 - f), dh2 * y * o * (1 - o), dc2 * i * (1 - g * g)], 1,
+        )
         dz_all[t] = dz
         grad[f"h{d}"] += h.T @ dz
         dh, dc = dh * (1 - m) + dz @ w[f"h{d}"].T, dc * (1 - m) + dc2 * f
@@ -70,7 +74,9 @@ def _back(x: np.ndarray, mask: np.ndarray, w: Weights, d: str, kept: list, dout:
     grad[f"c{d}"] += dz_all.sum((0, 1))
 
 
-def _read(x: np.ndarray, w: Weights, d: str, state: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def _read(
+    x: np.ndarray, w: Weights, d: str, state: tuple[np.ndarray, np.ndarray],
+) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """What one direction puts out for (steps, pages, dim) without padding, from a state on; only the outputs are kept."""
     hidden = w[f"h{d}"].shape[0]
     (h, c), turn = state, w[f"h{d}"]
@@ -127,7 +133,10 @@ def gradient(pages: list[np.ndarray], labels: list[np.ndarray], w: Weights) -> t
     return loss, grad
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], hidden: int, epochs: int, seed: int, lot: int = 32, rate: float = 0.01) -> Weights:
+def train(
+    pages: list[np.ndarray], labels: list[np.ndarray], hidden: int, epochs: int, seed: int, lot: int = 32,
+    rate: float = 0.01,
+) -> Weights:
     rng = np.random.default_rng(seed)
     w = fresh_weights(pages[0].shape[1], hidden, seed)
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
@@ -141,5 +150,7 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], hidden: int, epochs
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
-                w[k] = (w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                w[k] = (
+                    w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                ).astype(np.float32)
     return w

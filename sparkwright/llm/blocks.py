@@ -18,10 +18,19 @@ RAW = frozenset("noscript template svg iframe object canvas select audio video a
 #: Those whose content goes on to the end of the page if they are not closed; others are then left out as a tag alone.
 RAW_TO_END = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-FORMULA = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
-INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
+FORMULA = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics".split()
+)
+INLINE = FORMULA | frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
+P_CLOSERS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+)
+CLOSES = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
+    "th": ("td", "th"), "body": ("head",),
+}
 #: A start tag closes nothing beyond these.
 WALLS = frozenset("ul ol dl table td th div article section main aside nav body html form blockquote".split())
 #: Elements nested deeper count as the innermost of so many, as in browsers; and names that a path takes from one attribute.
@@ -149,7 +158,9 @@ def blocks_of(page: str | None) -> list[Block]:
         if len(stack) >= MAX_DEPTH:
             deeper += not optional
             continue
-        words = (w for g in NAMES.findall(attr) for w in WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(g)))) if attr else ()
+        words = (w for g in NAMES.findall(attr) for w in WORDS.findall(re.sub(
+            r"([a-z])([A-Z])", r"\1 \2", "".join(g),
+        ))) if attr else ()
         names = tuple(f".{w.lower()}" for w in itertools.islice(words, MAX_NAMES))
         stack.append((tag, (*(stack[-1][1] if stack else ()), tag, *names)))
     add(page[at:])
@@ -191,5 +202,8 @@ def vectors(page: list[Block], first: int = 0, last: int | None = None) -> np.nd
         hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) % WORD_DIM
         out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(hashed.astype(np.int64), minlength=WORD_DIM) / len(words)
         stops = sum(b.text.count(x) for x in ".!?")
-        out[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(words)) / 4, b.linked / len(b.text), min(1.0, 5 * stops / len(words)), (first + i) / len(page), min(1.0, len(page) / 100), 1.0, *named(b.path))
+        out[i, PATH_DIM + WORD_DIM :] = (
+            np.log1p(len(words)) / 4, b.linked / len(b.text), min(1.0, 5 * stops / len(words)), (first + i) / len(page),
+            min(1.0, len(page) / 100), 1.0, *named(b.path),
+        )
     return out

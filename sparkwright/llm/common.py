@@ -54,13 +54,17 @@ def smallest_hashes(df: DataFrame, name: str, k: int, n: int) -> DataFrame:
     """
     share = min(1.0, (3 * k + 100) / max(1, n))
     h = F.xxhash64(col(name))
-    return df.where(F.pmod(h, F.lit(1 << 32)) < int(share * (1 << 32))).orderBy(F.pmod(h, F.lit(1 << 32)), col(name)).limit(k)
+    return df.where(F.pmod(h, F.lit(1 << 32)) < int(share * (1 << 32))).orderBy(
+        F.pmod(h, F.lit(1 << 32)), col(name),
+    ).limit(k)
 
 
 def bitmap_of(df: DataFrame, name: str, bits: int) -> bytes:
     """A bit for the leading `bits` bits of each hash in a column of longs; Spark builds the words, 2**bits / 64 of them at most."""
     at = df.select(F.shiftrightunsigned(col(name), 64 - bits).alias("at")).where(F.col("at").isNotNull())
-    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    words = at.groupBy(F.shiftright(
+        "at", 6,
+    ).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
     out = np.zeros(1 << (bits - 6), np.int64)
     for part in words.toArrow().to_batches():
         out[part.column(0).to_numpy()] = part.column(1).to_numpy()
@@ -70,4 +74,6 @@ def bitmap_of(df: DataFrame, name: str, bits: int) -> bytes:
 def in_bitmap(h: np.ndarray, bitmap: bytes, bits: int) -> np.ndarray:
     """Whether the bit of each unsigned hash is set: always for those that made the bitmap, by chance for others."""
     at = h >> np.uint64(64 - bits)
-    return (np.frombuffer(bitmap, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return (np.frombuffer(
+        bitmap, np.uint8,
+    )[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

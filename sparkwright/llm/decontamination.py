@@ -59,7 +59,9 @@ def rolled(t: np.ndarray, width: int) -> np.ndarray:
         return h * BASE ^ (h >> np.uint64(29))
 
 
-def longest_runs(d: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray, lot: int) -> tuple[int, list[tuple[int, int]]]:
+def longest_runs(
+    d: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray, lot: int,
+) -> tuple[int, list[tuple[int, int]]]:
     """Windows of the longest runs and where they begin; place d[k] of the document meets the places i[low[k]:high[k]] of the item.
 
     Runs lie on diagonals. Those that reach the end of a lot are open and may go on in the next, so lots change nothing.
@@ -86,7 +88,9 @@ def longest_runs(d: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray
         order = np.lexsort((p, p - q))  # along diagonals
         p, q = p[order], q[order]
         follows = (np.diff(p) == 1) & (np.diff(q) == 1)
-        first, end = np.concatenate([[0], np.flatnonzero(~follows) + 1]), np.concatenate([np.flatnonzero(~follows), [len(p) - 1]])
+        first, end = np.concatenate([[0], np.flatnonzero(~follows) + 1]), np.concatenate([
+            np.flatnonzero(~follows), [len(p) - 1],
+        ])
         start, stop, diagonal = p[first], p[end], p[first] - q[first]
         before, opened_now = opened if d[part[0]] == last + 1 else {}, {}
         for k in np.flatnonzero(start == d[part[0]]) if before else ():
@@ -99,14 +103,19 @@ def longest_runs(d: np.ndarray, low: np.ndarray, high: np.ndarray, i: np.ndarray
         if closed.any():
             length = (stop - start + 1)[closed]
             longest = length == length.max()
-            take(int(length.max()), list(zip(start[closed][longest].tolist(), (start - diagonal)[closed][longest].tolist(), strict=True)))
+            take(
+                int(length.max()),
+                list(zip(start[closed][longest].tolist(), (start - diagonal)[closed][longest].tolist(), strict=True)),
+            )
         opened = opened_now
     for x, s in opened.items():
         take(last - s + 1, [(s, s - x)])
     return most, sorted(found)
 
 
-def greedy_tiles(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, min_match: int, lot: int = PAIR_LOT) -> list[tuple[int, int, int]]:
+def greedy_tiles(
+    doc: np.ndarray, pos: np.ndarray, item: np.ndarray, min_match: int, lot: int = PAIR_LOT,
+) -> list[tuple[int, int, int]]:
     """(doc position, item position, length) of the tiles; pos are the positions of the tokens of doc, which may have gaps."""
     doc_free, item_free, out = np.ones(len(doc), bool), np.ones(len(item), bool), []
     joined = np.concatenate([np.diff(pos) == 1, [False]]) if len(pos) else np.zeros(0, bool)
@@ -124,7 +133,9 @@ def greedy_tiles(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, min_match:
     while True:
         d, i = runs(doc, doc_free, joined), runs(item, item_free, np.ones(len(item), bool))
         i = i[np.argsort(ih[i], kind="stable")] if len(i) else i
-        windows, found = longest_runs(d, np.searchsorted(ih[i], dh[d], "left"), np.searchsorted(ih[i], dh[d], "right"), i, lot) if len(d) and len(i) else (0, [])
+        windows, found = longest_runs(
+            d, np.searchsorted(ih[i], dh[d], "left"), np.searchsorted(ih[i], dh[d], "right"), i, lot,
+        ) if len(d) and len(i) else (0, [])
         if not found:
             return out
         most = windows + min_match - 1
@@ -140,7 +151,9 @@ def _item_udf(min_match: int) -> Callable:
         words = [tokens(t.as_py()) for t in text]
         seeds = [rolled(w, min(min_match, len(w))).view(np.int64).tolist() for w in words]
         kind = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array([w.view(np.int64).tolist() for w in words], kind), pa.array(seeds, kind)], ["words", "seeds"])
+        return pa.StructArray.from_arrays(
+            [pa.array([w.view(np.int64).tolist() for w in words], kind), pa.array(seeds, kind)], ["words", "seeds"],
+        )
 
     return item_words
 
@@ -163,7 +176,10 @@ def _hits(text: pa.Array, widths: list[int], bitmap: bytes, bits: int) -> pa.Arr
         seeds.append(np.concatenate(found).view(np.int64))
         null.append(not len(k))
     kind = pa.list_(pa.int64())
-    return pa.StructArray.from_arrays([pa.array(words, kind), pa.array(positions, pa.list_(pa.int32())), pa.array(seeds, kind)], ["words", "pos", "seeds"], mask=pa.array(null, pa.bool_()))
+    return pa.StructArray.from_arrays(
+        [pa.array(words, kind), pa.array(positions, pa.list_(pa.int32())), pa.array(seeds, kind)],
+        ["words", "pos", "seeds"], mask=pa.array(null, pa.bool_()),
+    )
 
 
 def shared_seeds(doc_seeds: np.ndarray, item: np.ndarray, width: int) -> int:
@@ -180,7 +196,10 @@ def _tile_udf(min_match: int, coverage: float) -> Callable:
             i, width = i.view(np.uint64), min(min_match, len(i))
             enough = shared_seeds(h, i, width) * min_match >= coverage * len(i)
             tiles = greedy_tiles(w.view(np.uint64), p, i, width) if enough else []
-            rows.append({"covered": sum(t[2] for t in tiles), "n_tiles": len(tiles), "tiles": [dict(zip(("doc_pos", "item_pos", "length"), t, strict=True)) for t in tiles]})
+            rows.append({
+                "covered": sum(t[2] for t in tiles), "n_tiles": len(tiles),
+                "tiles": [dict(zip(("doc_pos", "item_pos", "length"), t, strict=True)) for t in tiles],
+            })
         tile = pa.struct([("doc_pos", pa.int32()), ("item_pos", pa.int32()), ("length", pa.int32())])
         return pa.array(rows, pa.struct([("covered", pa.int32()), ("n_tiles", pa.int32()), ("tiles", pa.list_(tile))]))
 
@@ -194,30 +213,62 @@ def rare_seeds(seeds: DataFrame, held: DataFrame, min_match: int, coverage: floa
     """
     often = materialize(held.groupBy(F.col("seed").alias("s")).agg(F.count("*").alias("docs")), "seed_counts")
     placed = seeds.join(often, F.col("seed") == F.col("s"))  # a seed that no document has needs no join
-    rarest = Window.partitionBy("item_id", "item_key", "n").orderBy(F.desc("docs"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    rarest = Window.partitionBy("item_id", "item_key", "n").orderBy(F.desc("docs"), "seed").rowsBetween(
+        Window.unboundedPreceding, 0,
+    )
     up_to = placed.withColumn("up_to", F.sum("times").over(rarest))  # of this seed and the commoner ones
-    return up_to.where(F.col("up_to") * min_match >= coverage * F.col("n")).select("seed", F.col("item_id").alias("c_item_id"), F.col("item_key").alias("c_item_key")).distinct()
+    return up_to.where(F.col("up_to") * min_match >= coverage * F.col("n")).select(
+        "seed", F.col("item_id").alias("c_item_id"), F.col("item_key").alias("c_item_key"),
+    ).distinct()
 
 
-def _pairs(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_match: int, coverage: float) -> DataFrame:
+def _pairs(
+    docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, min_match: int,
+    coverage: float,
+) -> DataFrame:
     """(doc_id, text_key, item_id, n_words, covered, n_tiles, tiles, coverage) of contaminated rows."""
     spark = docs.sparkSession
-    items = bench.select(F.xxhash64(col(item_text)).alias("item_key"), col(item_col).alias("item_id"), _item_udf(min_match)(col(item_text)).alias("i"))
-    items = materialize(items.where(F.size("i.words") > 0).select("item_id", "item_key", F.col("i.words").alias("item_words"), F.col("i.seeds").alias("item_seeds")), "bench_items")
+    items = bench.select(
+        F.xxhash64(col(item_text)).alias("item_key"), col(item_col).alias("item_id"),
+        _item_udf(min_match)(col(item_text)).alias("i"),
+    )
+    items = materialize(
+        items.where(F.size("i.words") > 0).select(
+            "item_id", "item_key", F.col("i.words").alias("item_words"), F.col("i.seeds").alias("item_seeds"),
+        ),
+        "bench_items",
+    )
     seeds = items.select("item_id", "item_key", F.size("item_words").alias("n"), F.explode("item_seeds").alias("seed"))
-    seeds = materialize(seeds.groupBy("item_id", "item_key", "n", "seed").agg(F.count("*").alias("times")), "bench_seeds")
+    seeds = materialize(
+        seeds.groupBy("item_id", "item_key", "n", "seed").agg(F.count("*").alias("times")), "bench_seeds",
+    )
     widths = sorted(r[0] for r in seeds.select(F.least("n", F.lit(min_match))).distinct().collect())  # min_match values at most
     bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (BITS_PER_SEED * seeds.count()).bit_length()))
     bitmap = spark.sparkContext.broadcast(bitmap_of(seeds, "seed", bits))
-    hits = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"), _hits_of(bitmap, widths, bits)(col(text_col)).alias("h"))
-    hits = materialize(hits.where(F.col("h").isNotNull()).select("doc_id", "text_key", "h.*").dropDuplicates(["doc_id", "text_key"]), "seed_hits")
+    hits = docs.select(
+        col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_key"),
+        _hits_of(bitmap, widths, bits)(col(text_col)).alias("h"),
+    )
+    hits = materialize(
+        hits.where(F.col("h").isNotNull()).select("doc_id", "text_key", "h.*").dropDuplicates(["doc_id", "text_key"]),
+        "seed_hits",
+    )
     held = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed"))
     joined = materialize(rare_seeds(seeds, held.select("seed"), min_match, coverage), "rare_seeds")
-    near = held.join(joined, "seed").select(F.col("doc_id").alias("c_doc_id"), F.col("text_key").alias("c_text_key"), "c_item_id", "c_item_key").distinct()
+    near = held.join(joined, "seed").select(
+        F.col("doc_id").alias("c_doc_id"), F.col("text_key").alias("c_text_key"), "c_item_id", "c_item_key",
+    ).distinct()
     both = near.join(hits, F.col("c_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("c_text_key") == F.col("text_key")))
-    both = both.join(items.dropDuplicates(["item_id", "item_key"]), F.col("c_item_id").eqNullSafe(F.col("item_id")) & (F.col("c_item_key") == F.col("item_key")))
-    tiled = both.withColumn("t", _tile_udf(min_match, coverage)("words", "pos", "seeds", "item_words")).withColumn("n_words", F.size("item_words"))
-    out = tiled.select("doc_id", "text_key", "item_id", "n_words", "t.*").withColumn("coverage", F.col("covered") / F.col("n_words"))
+    both = both.join(
+        items.dropDuplicates(["item_id", "item_key"]),
+        F.col("c_item_id").eqNullSafe(F.col("item_id")) & (F.col("c_item_key") == F.col("item_key")),
+    )
+    tiled = both.withColumn(
+        "t", _tile_udf(min_match, coverage)("words", "pos", "seeds", "item_words"),
+    ).withColumn("n_words", F.size("item_words"))
+    out = tiled.select(
+        "doc_id", "text_key", "item_id", "n_words", "t.*",
+    ).withColumn("coverage", F.col("covered") / F.col("n_words"))
     return out.where(F.col("coverage") >= coverage)
 
 
@@ -231,10 +282,17 @@ def _hits_of(bitmap, widths: list[int], bits: int) -> Callable:
     return seed_hits
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE,
+) -> DataFrame:
     """One row for each contaminated document and item: ids, n_words of the item, covered, coverage, n_tiles and the tiles."""
     out = _pairs(docs, bench, id_col, text_col, item_col, item_text, min_match, coverage)
-    best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_words", "covered", "coverage", "n_tiles", "tiles"), F.struct("coverage", "covered", "text_key")).alias("b"))
+    best = out.groupBy(
+        "doc_id", "item_id",
+    ).agg(F.max_by(
+        F.struct("n_words", "covered", "coverage", "n_tiles", "tiles"), F.struct("coverage", "covered", "text_key"),
+    ).alias("b"))
     return best.select(F.col("doc_id").alias(id_col), "item_id", "b.*")
 
 

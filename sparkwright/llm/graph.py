@@ -11,7 +11,9 @@ from .common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("hi", "lo").union(edges.select("lo", "hi")).toDF("v", "u")
     least = materialize(both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), F.least("v", "m").alias("m")), "least")  # a table, so Spark can split the join's hot nodes
-    return both.where("u > v").join(least, F.col("v") == F.col("w")).select(F.col("u").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.where("u > v").join(least, F.col("v") == F.col("w")).select(
+        F.col("u").alias("hi"), F.col("m").alias("lo"),
+    ).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     Every step is a grouped minimum and a join on the node, whose large partitions Spark splits; the steps
     stop when the set of edges, which are stars then, no longer changes.
     """
-    stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    stars = materialize(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
+        "edges",
+    )
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")))
     before, now = None, stars.select(mark).first()[0]
     while now != before:

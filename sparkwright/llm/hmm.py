@@ -75,7 +75,9 @@ def word_class(word: bytes) -> int:
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers under 2**32 in planes of bytes, compressed."""
-    return pa.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    return pa.compress(
+        np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True,
+    )
 
 
 def unpack(b: bytes, n: int) -> np.ndarray:
@@ -105,10 +107,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wids = np.array([word_id(w) for w in words], np.int64)
         classes = wids.view(np.uint64) >> np.uint64(48)
         # by content, so a task that runs again gives the same name
-        name = np.frombuffer(xxhash.xxh3_128_digest(repr(ids).encode() + wids.tobytes() + flat.tobytes()), np.int64).tolist()
-        columns = [*([x] for x in name), [ids], [held], [lengths], [pack(flat)], [pack(classes)], [wids], [np.bincount(trained, minlength=len(words))]]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in BLOCK_TYPE.split(", ")])
+        name = np.frombuffer(
+            xxhash.xxh3_128_digest(repr(ids).encode() + wids.tobytes() + flat.tobytes()), np.int64,
+        ).tolist()
+        columns = [
+            *([x] for x in name), [ids], [held], [lengths], [pack(flat)], [pack(classes)], [wids],
+            [np.bincount(trained, minlength=len(words))],
+        ]
+        kinds = [
+            pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(),
+            pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            [x.split()[0] for x in BLOCK_TYPE.split(", ")],
+        )
 
     for batch in batches:
         for doc_id, h, text in zip(*batch.columns[:2], batch.column(2).cast(pa.binary()), strict=True):
@@ -144,7 +157,9 @@ def by_step(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left") if len(lengths) else np.zeros(0, np.int64)
-    return order, active, np.concatenate([starts[:m] + t for t, m in enumerate(active)]) if len(active) else np.zeros(0, np.int64)
+    return order, active, np.concatenate([starts[:m] + t for t, m in enumerate(active)]) if len(active) else np.zeros(
+        0, np.int64,
+    )
 
 
 class Counts(NamedTuple):
@@ -155,12 +170,17 @@ class Counts(NamedTuple):
     before: np.ndarray  # for the sequence's first token, what the state before it is multiplied by in its backward state
 
 
-def expected(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def expected(
+    cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward and backward over all sequences at once: the tokens' classes step by step, their state weights, those of the texts' first tokens, and of the turns."""
     return recursions(cls, starts, lengths, begins, p)[:4]
 
 
-def recursions(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params, after: np.ndarray | None = None) -> Counts:
+def recursions(
+    cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, p: Params,
+    after: np.ndarray | None = None,
+) -> Counts:
     """The forward and backward recursions of expected; after: the backward state at the end, if what is given goes on."""
     order, active, places = by_step(starts, lengths)
     begins = begins[order]
@@ -243,7 +263,10 @@ def _train(params, states: int) -> Callable:
                     first, turn = first + got.first, turn + got.turns
         rows = np.concatenate([emit, first[None], turn])  # the last 1 + states rows are not classes
         hit = np.flatnonzero(rows.sum(1) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(rows[hit, s]) for s in range(states))], ["row", *(f"s{s}" for s in range(states))])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hit), *(pa.array(rows[hit, s]) for s in range(states))],
+            ["row", *(f"s{s}" for s in range(states))],
+        )
 
     return train
 
@@ -255,7 +278,9 @@ def _score(params, states: int, word_mass: np.ndarray, total: int) -> Callable:
         p: Params = params.value
         out = []
         for row in blocks.to_batches():
-            for ids, held, lengths, tokens, classes, n_words in zip(*(row.column(c) for c in ("doc_ids", "held", "lengths", "tokens", "classes", "n_words")), strict=True):
+            for ids, held, lengths, tokens, classes, n_words in zip(
+                *(row.column(c) for c in ("doc_ids", "held", "lengths", "tokens", "classes", "n_words")), strict=True,
+            ):
                 n = np.asarray(lengths.values)
                 flat = unpack(tokens.as_py(), int(n.sum()))
                 word_cls = unpack(classes.as_py(), n_words.as_py())
@@ -266,8 +291,15 @@ def _score(params, states: int, word_mass: np.ndarray, total: int) -> Callable:
                 base = np.log10((c + 1) / total)[flat]
                 likely = forward(word_cls[flat], at, n, p)
                 known = (c > 0).astype(np.int64)[flat]
-                out.append(pa.table({"doc_id": ids.values, "held_out": held.values, "n_tokens": pa.array(n), "n_known": np.add.reduceat(known, at), "base_score": np.add.reduceat(base, at), "score": likely + np.add.reduceat(in_class, at)}))
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
+                out.append(pa.table({
+                    "doc_id": ids.values, "held_out": held.values, "n_tokens": pa.array(n),
+                    "n_known": np.add.reduceat(known, at), "base_score": np.add.reduceat(base, at),
+                    "score": likely + np.add.reduceat(in_class, at),
+                }))
+        return pa.concat_tables(out) if out else pa.schema([
+            ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+            ("base_score", pa.float64()), ("score", pa.float64()),
+        ]).empty_table()
 
     return score
 
@@ -288,41 +320,65 @@ def forward(cls: np.ndarray, starts: np.ndarray, lengths: np.ndarray, p: Params)
     return out
 
 
-def train(blocks: DataFrame, class_counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Params:
+def train(
+    blocks: DataFrame, class_counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED,
+) -> Params:
     """Baum-Welch over the training documents of all blocks."""
     p, prior = start(class_counts, states, seed), class_prior(class_counts)
     columns = blocks.select("held", "lengths", "tokens", "classes", "n_words")
     kind = "row bigint, " + ", ".join(f"s{s} double" for s in range(states))
     for _ in range(rounds):
         sent = blocks.sparkSession.sparkContext.broadcast(p)
-        sums = columns.mapInArrow(_train(sent, states), kind).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states)))
+        sums = columns.mapInArrow(
+            _train(sent, states), kind,
+        ).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states)))
         rows = np.zeros((CLASSES + 1 + states, states))
         for part in sums.toArrow().to_batches():  # a row for each class at most
             rows[part.column(0).to_numpy()] = np.stack([part.column(1 + s).to_numpy() for s in range(states)], 1)
         emit, first, turn = rows[:CLASSES], rows[CLASSES], rows[CLASSES + 1 :]
         held, start_of = emit.sum(0), (first + 1) / (first + 1).sum()
-        p = Params(start_of, start_of, (turn + TURN_PRIOR / states) / (turn + TURN_PRIOR / states).sum(1, keepdims=True), (emit + PRIOR * prior[:, None]) / (held + PRIOR))
+        p = Params(
+            start_of, start_of, (turn + TURN_PRIOR / states) / (turn + TURN_PRIOR / states).sum(1, keepdims=True),
+            (emit + PRIOR * prior[:, None]) / (held + PRIOR),
+        )
     return p
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2,
+    states: int = STATES, rounds: int = ROUNDS,
+) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     key = F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")), F.lit(0))
-    slim = docs.select(col(id_col).cast("string").alias("doc_id"), (key % folds == held_fold).alias("held"), col(text_col).alias("text"))
+    slim = docs.select(
+        col(id_col).cast("string").alias("doc_id"), (key % folds == held_fold).alias("held"),
+        col(text_col).alias("text"),
+    )
     blocks = materialize(slim.mapInArrow(_blocks, BLOCK_TYPE), "token_blocks").withColumn("n_words", F.size("words"))
-    words = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n")).where("n > 0")
+    words = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
+        F.col("w.words").alias("word"), F.col("w.counts").alias("n"),
+    ).where("n > 0")
     vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     class_counts, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
-    by_class = vocabulary.groupBy(F.shiftrightunsigned("word", 48).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    by_class = vocabulary.groupBy(F.shiftrightunsigned("word", 48).alias("k")).agg(
+        F.sum("c").alias("c"), F.count("*").alias("v"),
+    )
     for part in by_class.toArrow().to_batches():  # a row for each class at most
         class_counts[part.column(0).to_numpy()], class_words[part.column(0).to_numpy()] = part.column(1).to_numpy(), part.column(2).to_numpy()
     sent = spark.sparkContext.broadcast(train(blocks, class_counts, states, rounds))
-    held = blocks.select(F.col("block0").alias("of0"), F.col("block1").alias("of1"), F.posexplode("words").alias("place", "word")).join(vocabulary, "word").select("of0", "of1", "place", "c")
+    held = blocks.select(
+        F.col("block0").alias("of0"), F.col("block1").alias("of1"), F.posexplode("words").alias("place", "word"),
+    ).join(vocabulary, "word").select("of0", "of1", "place", "c")
     scored = blocks.drop("words", "counts").groupBy("block0", "block1").cogroup(held.groupBy("of0", "of1")).applyInArrow(
-        _score(sent, states, class_counts + class_words + 1, n + v + 1), "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        _score(
+            sent, states, class_counts + class_words + 1, n + v + 1,
+        ), "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), "held_out", "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+    )
 
 
 def op8_hmm_scores(spark, sf_dir: str) -> DataFrame:

@@ -37,8 +37,15 @@ TRAIN_PAGES, TRAIN_CHARS, VARIANTS, HIDDEN, EPOCHS, SEED = 300, 20_000, 12, 24,
 #: Pages that are labelled at once, and blocks; and blocks of a page that is read in parts.
 LOT, LOT_BLOCKS, LONG_PAGE = 256, 20_000, 4_000
 #: Paths by which the training sample is varied.
-MAIN_PATHS = (("article",), ("main",), ("div", ".content"), ("div", ".main"), ("div", ".article", ".body"), ("div", ".post"), ("section", ".entry"), ("div", ".story"), ("main", "article"), ("div", ".main", ".content", "article"), ("section", "article"), ())
-INNER = (("p",), ("p",), ("ul", "li"), ("div",), ("h2",), ("h3",), ("blockquote", "p"), ("ol", "li"), ("table", "tr", "td"), ("section", "p"), ("figure", "figcaption"), ("pre",), ())
+MAIN_PATHS = (
+    ("article",), ("main",), ("div", ".content"), ("div", ".main"), ("div", ".article", ".body"), ("div", ".post"),
+    ("section", ".entry"), ("div", ".story"), ("main", "article"), ("div", ".main", ".content", "article"),
+    ("section", "article"), (),
+)
+INNER = (
+    ("p",), ("p",), ("ul", "li"), ("div",), ("h2",), ("h3",), ("blockquote", "p"), ("ol", "li"), ("table", "tr", "td"),
+    ("section", "p"), ("figure", "figcaption"), ("pre",), (),
+)
 
 
 def structural_labels(page: list[Block]) -> np.ndarray:
@@ -53,7 +60,9 @@ def unnamed(page: list[Block], rng: np.random.Generator) -> list[Block]:
     drop, salt = rng.random() < 0.5, int(rng.integers(1 << 30))
 
     def hidden(path: tuple[str, ...]) -> tuple[str, ...]:
-        return tuple(x if x[0] != "." else f".{xxhash.xxh3_64_hexdigest(f'{salt}{x}')[:6]}" for x in path if x[0] != "." or not drop)
+        return tuple(
+            x if x[0] != "." else f".{xxhash.xxh3_64_hexdigest(f'{salt}{x}')[:6]}" for x in path if x[0] != "." or not drop
+        )
 
     return [b._replace(path=hidden(b.path)) for b in page]
 
@@ -89,13 +98,18 @@ def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> t
             body, k = inside(near) or top, 1.0
         else:
             tag = rng.random() < (0.8 if hide else 0.35)
-            name = ("header",) if rng.random() < 0.2 else (NOT_MAIN_TAGS[rng.integers(6)],) if tag else (("div", "section", "p", "ul", "aside")[rng.integers(5)], f".{NOT_MAIN_NAMES[rng.integers(len(NOT_MAIN_NAMES))]}")
+            name = ("header",) if rng.random() < 0.2 else (NOT_MAIN_TAGS[rng.integers(6)],) if tag else (
+                ("div", "section", "p", "ul", "aside")[rng.integers(5)],
+                f".{NOT_MAIN_NAMES[rng.integers(len(NOT_MAIN_NAMES))]}",
+            )
             within = rng.random() < 0.5 and name != ("header",) and (tag or not hide)
             if hide and not within:  # without names, only its place and its links tell it from the article
                 at = 0 if rng.random() < 0.5 else len(out)
             body, k = (*(inside(near) if within else top), *name), 0.0
         inner = ("header", "h1") if k and rng.random() < 0.2 else INNER[rng.integers(len(INNER))]
-        linked = rng.random() < (0.2 if k and inner[:1] in (("ul",), ("ol",), ("table",)) else 0.0 if k else 0.7 if hide and not tag else 0.4)
+        linked = rng.random() < (0.2 if k and inner[:1] in (
+            ("ul",), ("ol",), ("table",),
+        ) else 0.0 if k else 0.7 if hide and not tag else 0.4)
         for _ in range(int(rng.integers(1, 6))):
             t, n = text(linked, 12 if k and linked else 0)
             if t:
@@ -105,12 +119,19 @@ def varied(page: list[Block], labels: np.ndarray, rng: np.random.Generator) -> t
     return unnamed(blocks, rng) if hide else blocks, np.array([k for _, k in out], np.float32)
 
 
-def fit(sample: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED, variants: int = VARIANTS) -> Weights | None:
+def fit(
+    sample: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED, variants: int = VARIANTS,
+) -> Weights | None:
     """Weights from a sample of pages; None if it has no blocks."""
-    return fit_blocks([(page, structural_labels(page)) for page in map(blocks_of, sample)], hidden, epochs, seed, variants)
+    return fit_blocks(
+        [(page, structural_labels(page)) for page in map(blocks_of, sample)], hidden, epochs, seed, variants,
+    )
 
 
-def fit_blocks(sample: list[tuple[list[Block], np.ndarray]], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED, variants: int = VARIANTS) -> Weights | None:
+def fit_blocks(
+    sample: list[tuple[list[Block], np.ndarray]], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED,
+    variants: int = VARIANTS,
+) -> Weights | None:
     """Weights from labelled pages, or windows of them; None if they have no blocks."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -130,7 +151,10 @@ def window(html: str, chars: int = TRAIN_CHARS) -> tuple[list[Block], np.ndarray
         return page, labels
     start = xxhash.xxh3_64_intdigest(html.encode("utf-8", "replace")) % len(page)
     taken: set[int] = set()
-    for run, most in ((range(len(page)), chars // 4), (range(len(page) - 1, -1, -1), chars // 4), ([*range(start, len(page)), *range(start)], chars // 2)):
+    for run, most in (
+        (range(len(page)), chars // 4), (range(len(page) - 1, -1, -1), chars // 4),
+        ([*range(start, len(page)), *range(start)], chars // 2),
+    ):
         for i in run:
             if i not in taken:
                 most -= sizes[i]
@@ -150,14 +174,18 @@ def _window_udf(chars: int) -> Callable:
     return windows
 
 
-def training_sample(pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> list[tuple[list[Block], np.ndarray]]:
+def training_sample(
+    pages: DataFrame, html_col: str = "html", train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS,
+) -> list[tuple[list[Block], np.ndarray]]:
     """Labelled windows of the train_pages distinct pages with text that have the smallest hashes: the same ones in every run."""
     full = pages.select(col(html_col).alias("html")).where(F.length("html") > 0)
     h = F.pmod(F.xxhash64("html"), F.lit(1 << 32))
     n = full.select(F.approx_count_distinct(F.xxhash64("html"))).first()[0]
     share = min(1.0, (3 * train_pages + 100) / max(1, n))
     while True:
-        some = full.where(h < int(share * (1 << 32))).distinct().select(h.alias("h"), F.xxhash64("html").alias("key"), _window_udf(train_chars)(F.col("html")).alias("piece"))
+        some = full.where(h < int(share * (1 << 32))).distinct().select(
+            h.alias("h"), F.xxhash64("html").alias("key"), _window_udf(train_chars)(F.col("html")).alias("piece"),
+        )
         found = some.where(F.col("piece").isNotNull()).orderBy("h", "key").limit(train_pages).collect()  # train_pages * train_chars characters of text at most
         if len(found) == train_pages or share == 1.0:
             break
@@ -174,7 +202,9 @@ def label_pages(pages: list[list[Block]], weights: Weights) -> list[np.ndarray]:
     while at < len(order):
         if len(pages[order[at]]) > LONG_PAGE:
             page = pages[order[at]]
-            out[order[at]] = long_logits(len(page), lambda first, last, page=page: vectors(page, first, last), weights, LONG_PAGE) > 0
+            out[order[at]] = long_logits(len(page), lambda first, last, page=page: vectors(
+                page, first, last,
+            ), weights, LONG_PAGE) > 0
             at += 1
             continue
         n = 1
@@ -201,7 +231,10 @@ def _text_udf(weights) -> Callable:
     return main_text
 
 
-def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS) -> DataFrame:
+def extract(
+    pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"),
+    train_pages: int = TRAIN_PAGES, train_chars: int = TRAIN_CHARS,
+) -> DataFrame:
     """One row for each row of pages: the columns to keep, text and n_chars."""
     weights = fit_blocks(training_sample(pages, html_col, train_pages, train_chars))
     sent = pages.sparkSession.sparkContext.broadcast(weights)

@@ -37,7 +37,10 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 def _keys_udf(min_chars: int) -> Callable:
     @F.arrow_udf(T.ArrayType(T.BinaryType()))
     def line_keys(text: pa.Array) -> pa.Array:
-        return pa.array([[*{k: 0 for x in text_bytes(t.as_py()).split(b"\n") if (k := line_key(x, min_chars))}] for t in text], pa.list_(pa.binary()))
+        return pa.array(
+            [[*{k: 0 for x in text_bytes(t.as_py()).split(b"\n") if (k := line_key(x, min_chars))}] for t in text],
+            pa.list_(pa.binary()),
+        )
 
     return line_keys
 
@@ -52,36 +55,55 @@ def _drop_udf(min_chars: int) -> Callable:
             texts.append(b"\n".join(kept).decode())
             counts.append(len(lines))
             gone.append(len(lines) - len(kept))
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["kept_text", "n_lines", "n_dropped"])
+        return pa.StructArray.from_arrays(
+            [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())],
+            ["kept_text", "n_lines", "n_dropped"],
+        )
 
     return without_lines
 
 
 def shared_lines(keys: DataFrame, min_docs: int) -> DataFrame:
     """(key, holder) of the keys found in at least min_docs documents; the distinct count is dealt by key and document first, so a hot line is spread."""
-    return keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs).select("key", "holder")
+    return keys.groupBy("key").agg(
+        F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder"),
+    ).where(F.col("n") >= min_docs).select("key", "holder")
 
 
 def _with_result(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
     # rows without an id are told apart by their text, so they do not all meet in one task
     text_key = F.when(col(id_col).isNull(), F.xxhash64(col(text_col)))
-    keys = materialize(docs.select(col(id_col).alias("doc_id"), text_key.alias("text_key"), F.explode(_keys_udf(min_chars)(col(text_col))).alias("key")), "line_keys")
+    keys = materialize(
+        docs.select(
+            col(id_col).alias("doc_id"), text_key.alias("text_key"),
+            F.explode(_keys_udf(min_chars)(col(text_col))).alias("key"),
+        ),
+        "line_keys",
+    )
     hot = materialize(shared_lines(keys, min_docs), "shared_lines")  # a table, so Spark can split the join's hot keys
-    drops = keys.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("drops"))
-    out, did, key, drop = fresh(docs, "line_dedup"), fresh(docs, "drop_doc_id"), fresh(docs, "drop_text_key"), fresh(docs, "drop_keys")
+    drops = keys.join(hot, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy(
+        "doc_id", "text_key",
+    ).agg(F.collect_set("key").alias("drops"))
+    out, did, key, drop = fresh(docs, "line_dedup"), fresh(docs, "drop_doc_id"), fresh(
+        docs, "drop_text_key",
+    ), fresh(docs, "drop_keys")
     drops = drops.select(F.col("doc_id").alias(did), F.col("text_key").alias(key), F.col("drops").alias(drop))
     joined = docs.join(drops, col(id_col).eqNullSafe(F.col(did)) & text_key.eqNullSafe(F.col(key)), "left")
     return joined.withColumn(out, _drop_udf(min_chars)(col(text_col), F.col(drop))).drop(did, key, drop), out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3,
+) -> DataFrame:
     """One row for each row of docs: its id, kept_text, n_lines (before) and n_dropped."""
     slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     done, out = _with_result(slim, "doc_id", "text", min_chars, min_docs)
     return done.select(F.col("doc_id").alias(id_col), F.col(f"{out}.*"))
 
 
-def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def apply_line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3,
+) -> DataFrame:
     """docs with the shared lines taken out of the text; a column n_chars, if there is one, follows."""
     done, out = _with_result(docs, id_col, text_col, min_chars, min_docs)
     new = {text_col: F.col(f"{out}.kept_text"), "n_chars": F.length(f"{out}.kept_text").cast("long")}

@@ -23,7 +23,9 @@ HASH_BITS, LEVEL_BITS = 60, 12
 
 def doc_hash(doc_id: Column) -> Column:
     """The first 60 bits of the md5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return F.conv(
+        F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10,
+    ).cast("long")
 
 
 def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
@@ -35,7 +37,9 @@ def in_order(df: DataFrame, order: list[Column], sums: dict[str, Column], name:
     for r in each:
         rows.append((r["part"], *so_far.values()))
         so_far = {k: v + float(r[k]) for k, v in so_far.items()}
-    starts = spark.createDataFrame(rows or [(0, *so_far.values())], "part int, " + ", ".join(f"start_{k} double" for k in sums))
+    starts = spark.createDataFrame(
+        rows or [(0, *so_far.values())], "part int, " + ", ".join(f"start_{k} double" for k in sums),
+    )
     before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     added = {k: F.coalesce(F.sum(c).over(before), F.lit(0.0)) + F.col(f"start_{k}") for k, c in sums.items()}
     return ranged.join(F.broadcast(starts), "part").withColumns(added).select(*df.columns, *sums)
@@ -48,30 +52,50 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, mo
     """
     placed = in_order(totals, [F.col("source").asc_nulls_last()], {"rank": F.lit(1.0)}, "mix_sources")
     order = F.array(*map(F.lit, weights))
-    placed = placed.withColumn("weight", F.get(order, (F.col("rank") % len(weights)).cast("int")).cast("double")).withColumn("most", most * F.col("source_size")).drop("rank")
+    placed = placed.withColumn(
+        "weight", F.get(order, (F.col("rank") % len(weights)).cast("int")).cast("double"),
+    ).withColumn("most", most * F.col("source_size")).drop("rank")
     placed = placed.withColumn("ratio", F.col("most") / F.col("weight"))
     whole = placed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
-    capped = in_order(placed, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"capped": F.col("most"), "used": F.col("weight")}, "mix_weights")
+    capped = in_order(
+        placed, [F.col("ratio").asc(), F.col("source").asc_nulls_last()],
+        {"capped": F.col("most"), "used": F.col("weight")}, "mix_weights",
+    )
     level = (F.lit(share * (whole["size"] or 0)) - F.col("capped")) / (F.lit(whole["weight"] or 0.0) - F.col("used"))
-    found = capped.withColumn("level", level).where(F.col("level") < F.col("ratio")).agg(F.min_by("level", F.struct("ratio", F.col("source").isNull(), "source"))).first()[0]
-    return capped.select("source", "source_size", F.least("most", F.lit(float(found) if found is not None else float("inf")) * F.col("weight")).alias("target"))
+    found = capped.withColumn(
+        "level", level,
+    ).where(F.col("level") < F.col("ratio")).agg(F.min_by(
+        "level", F.struct("ratio", F.col("source").isNull(), "source"),
+    )).first()[0]
+    return capped.select(
+        "source", "source_size",
+        F.least("most", F.lit(float(found) if found is not None else float("inf")) * F.col("weight")).alias("target"),
+    )
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with whole copies, and the hash under which a document takes one more."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    state = targets.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
+    state = targets.withColumn("copies", copies).withColumn(
+        "rest", F.col("target") - F.col("copies") * F.col("source_size"),
+    )
     state = state.withColumns({"start": F.lit(0).cast("long"), "below": F.lit(0).cast("long")})
     shift = HASH_BITS
     while shift > 0:
         width, shift = shift, shift - LEVEL_BITS
         state = state.select("source", "source_size", "target", "copies", "rest", "start", "below")
-        same = sized["source"].eqNullSafe(state["source"]) & (F.shiftright(sized["hash"], width) == F.shiftright(state["start"], width))
+        same = sized["source"].eqNullSafe(state["source"]) & (F.shiftright(sized["hash"], width) == F.shiftright(
+            state["start"], width,
+        ))
         bucket = F.shiftright(sized["hash"], shift).alias("bucket")
-        found = sized.join(state, same).groupBy(state["source"], bucket).agg(F.sum("size").alias("size"), F.count_distinct("hash").alias("n"))
+        found = sized.join(state, same).groupBy(state["source"], bucket).agg(
+            F.sum("size").alias("size"), F.count_distinct("hash").alias("n"),
+        )
         up_to = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))  # 4096 buckets of a source at most
         hist = found.withColumn("up_to", up_to).select(F.col("source").alias("s"), "bucket", "size", "n", "up_to")
-        here = state.join(hist, state["source"].eqNullSafe(hist["s"]) & (state["below"] + hist["up_to"] > state["rest"])).groupBy("source").agg(F.min_by(F.struct("bucket", "size", "up_to", "n"), "bucket").alias("b"))
+        here = state.join(
+            hist, state["source"].eqNullSafe(hist["s"]) & (state["below"] + hist["up_to"] > state["rest"]),
+        ).groupBy("source").agg(F.min_by(F.struct("bucket", "size", "up_to", "n"), "bucket").alias("b"))
         here = here.select(F.col("source").alias("s"), "b")
         state = state.join(here, state["source"].eqNullSafe(here["s"]), "left").select(
             "source", "source_size", "target", "copies", "rest",
@@ -85,29 +109,44 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         nearer = (F.col("below") + F.col("size") - F.col("rest")) < (F.col("rest") - F.col("below"))
         if alone:
             break
-    return state.select("source", "source_size", "target", "copies", F.when(nearer, end).otherwise(F.col("start")).alias("threshold"))
+    return state.select(
+        "source", "source_size", "target", "copies", F.when(nearer, end).otherwise(F.col("start")).alias("threshold"),
+    )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+) -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target, copies and taken (words, repeats counted)."""
-    sized = docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"))
+    sized = docs.select(
+        col(id_col).alias("doc_id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"),
+    )
     sized = materialize(sized.withColumn("hash", doc_hash(F.col("doc_id"))), "mix_sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = thresholds(sized, source_targets(totals, weights, share, most)).withColumnRenamed("source", "s")
     n = F.col("copies") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
     done = sized.join(state, sized["source"].eqNullSafe(state["s"])).withColumn("n", n)
-    return done.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", F.col("n").alias("copies"), (F.col("n") * F.col("size")).alias("taken"))
+    return done.select(
+        F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", F.col("n").alias("copies"),
+        (F.col("n") * F.col("size")).alias("taken"),
+    )
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of docs that the mix takes, with copies and taken (words) added under names that docs does not have."""
     n, taken = fresh(docs, "copies"), fresh(docs, "taken")
     key = fresh(docs, "mix_id")
-    mixed = mix(docs, id_col, **kw).select(F.col(id_col).alias(key), F.col("source").alias(f"{key}_source"), F.col("copies").alias(n), F.col("taken").alias(taken))
+    mixed = mix(docs, id_col, **kw).select(
+        F.col(id_col).alias(key), F.col("source").alias(f"{key}_source"), F.col("copies").alias(n),
+        F.col("taken").alias(taken),
+    )
     mixed = mixed.groupBy(key, f"{key}_source").agg(F.max(n).alias(n))  # rows with one id and source have one number of copies
     same = col(id_col).eqNullSafe(F.col(key)) & col(kw.get("source_col", "source")).eqNullSafe(F.col(f"{key}_source"))
     out = docs.join(mixed, same).where(F.col(n) > 0)
-    return out.select(*map(col, docs.columns), F.col(n), (F.col(n) * word_count(col(kw.get("text_col", "text")))).alias(taken))
+    return out.select(
+        *map(col, docs.columns), F.col(n), (F.col(n) * word_count(col(kw.get("text_col", "text")))).alias(taken),
+    )
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -64,7 +64,12 @@ def features(text: str | None) -> np.ndarray:
     n = max(1, len(words))
     size = n.bit_length()
     symbols = len(raw) - len(raw.translate(None, PUNCTUATION))
-    found |= {b"\x02size %d" % size, b"\x02distinct %d %d" % (size, 20 * len(found) // n), b"\x02symbols %d" % (20 * symbols // n), b"\x02length %d" % (len(raw) // n), b"\x02lines %d" % (20 * raw.count(b"\n") // n), b"\x02again %d" % (20 * sum(map(bytes.__eq__, words, words[1:])) // n)}
+    found |= {
+        b"\x02size %d" % size, b"\x02distinct %d %d" % (size, 20 * len(found) // n),
+        b"\x02symbols %d" % (20 * symbols // n), b"\x02length %d" % (len(raw) // n),
+        b"\x02lines %d" % (20 * raw.count(b"\n") // n),
+        b"\x02again %d" % (20 * sum(map(bytes.__eq__, words, words[1:])) // n),
+    }
     digest = xxhash.xxh3_64_intdigest
     return np.array([digest(w) for w in sorted(found)], np.uint64)
 
@@ -88,7 +93,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in kinds:
                     sums[hit, k] += 1
     hit = np.flatnonzero(sums.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(sums[hit, k].astype(np.int64)) for k in range(sums.shape[1]))], ["bucket", *(f"n{k}" for k in range(sums.shape[1]))])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(hit), *(pa.array(sums[hit, k].astype(np.int64)) for k in range(sums.shape[1]))],
+        ["bucket", *(f"n{k}" for k in range(sums.shape[1]))],
+    )
 
 
 def log_ratios(sums: np.ndarray) -> np.ndarray:
@@ -113,7 +121,9 @@ def active(h: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[some], weak[some]
 
 
-def regress(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def regress(
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = SEED,
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the buckets and the offset of each head, by AdaGrad; labels are NaN where unknown."""
     heads = labels.shape[1]
     w, g2 = np.zeros((BUCKETS, heads)), np.full((BUCKETS, heads), 1e-2)
@@ -157,7 +167,13 @@ def _active_udf(by_fold) -> Callable:
     @F.arrow_udf("struct<at:array<int>,x:array<float>>")
     def active_features(text: pa.Array, fold: pa.Array) -> pa.Array:
         rows = [fit_rows(t.as_py(), by_fold.value[k.as_py()]) for t, k in zip(text, fold, strict=True)]
-        return pa.StructArray.from_arrays([pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([x.astype(np.float32).ravel() for _, x in rows], pa.list_(pa.float32()))], ["at", "x"])
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())),
+                pa.array([x.astype(np.float32).ravel() for _, x in rows], pa.list_(pa.float32())),
+            ],
+            ["at", "x"],
+        )
 
     return active_features
 
@@ -182,7 +198,10 @@ def prior_weight(groups: DataFrame, s: str, toward: Column) -> float:
     """How many documents a rate that groups(n, and s: sum of beliefs) shrink toward counts for, by moments over all groups."""
     low, high = WEIGHT_RANGE
     spread = F.col(s) / F.col("n") - toward
-    sums = groups.agg(F.sum(F.col("n") * spread * spread).alias("q"), F.sum(toward * (1 - toward)).alias("chance"), F.sum(toward * (1 - toward) * F.col("n")).alias("var")).first()
+    sums = groups.agg(
+        F.sum(F.col("n") * spread * spread).alias("q"), F.sum(toward * (1 - toward)).alias("chance"),
+        F.sum(toward * (1 - toward) * F.col("n")).alias("var"),
+    ).first()
     beyond = (sums["q"] or 0.0) - (sums["chance"] or 0.0)  # squared differences beyond what chance gives
     return min(high, max(low, (sums["var"] or 0.0) / beyond - 1 if beyond > 0 else high))
 
@@ -204,8 +223,13 @@ class Shrinkage(NamedTuple):
 
 def site_sums(judged: DataFrame, heads: tuple[str, ...] = HEADS) -> DataFrame:
     """judged(host, path, and a belief for each head) to a row for each path: n and sums, of itself and of its host."""
-    paths = materialize(judged.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"{x}_s") for x in heads)), "paths")
-    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("host_n"), *(F.sum(f"{x}_s").alias(f"{x}_host_s") for x in heads))
+    paths = materialize(
+        judged.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"{x}_s") for x in heads)),
+        "paths",
+    )
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(
+        F.sum("n").alias("host_n"), *(F.sum(f"{x}_s").alias(f"{x}_host_s") for x in heads),
+    )
     return materialize(paths.join(materialize(hosts, "hosts"), F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
 
 
@@ -242,46 +266,77 @@ def _fitted(slim: DataFrame, known: DataFrame, ratios: np.ndarray, by_fold: list
     """The regression over `sample` labelled rows of the smallest hash of their id, each by the ratios of the other folds."""
     sent = slim.sparkSession.sparkContext.broadcast(by_fold)
     chosen = F.broadcast(smallest_hashes(known, "l_id", sample, known.count()))
-    rows = slim.join(chosen, F.col("doc_id") == F.col("l_id")).select("doc_id", F.xxhash64("text").alias("key"), "text", *(F.col(f"l_{x}").cast("double").alias(f"l_{x}") for x in HEADS))
+    rows = slim.join(chosen, F.col("doc_id") == F.col("l_id")).select(
+        "doc_id", F.xxhash64("text").alias("key"), "text",
+        *(F.col(f"l_{x}").cast("double").alias(f"l_{x}") for x in HEADS),
+    )
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("key"), *(F.col(f"l_{x}") for x in HEADS)]
-    some = rows.dropDuplicates(["doc_id", "key", *(f"l_{x}" for x in HEADS)]).select(*order[:1], "doc_id", "key", _active_udf(sent)("text", fold_of(F.col("doc_id"))).alias("f"), *(f"l_{x}" for x in HEADS))
+    some = rows.dropDuplicates(["doc_id", "key", *(f"l_{x}" for x in HEADS)]).select(
+        *order[:1], "doc_id", "key", _active_udf(sent)("text", fold_of(F.col("doc_id"))).alias("f"),
+        *(f"l_{x}" for x in HEADS),
+    )
     few = some.orderBy(*order).limit(sample).select("f", *(f"l_{x}" for x in HEADS)).toArrow()  # sample rows of FIT_FEATURES features at most
     at, x = few.column(0).combine_chunks().flatten() if len(few) else ([], [])
     rows = [(np.asarray(a.values), np.asarray(v.values).reshape(-1, len(HEADS))) for a, v in zip(at, x, strict=True)]
-    labels = np.stack([np.minimum(1, few.column(1 + i).to_numpy()) for i in range(len(HEADS))], 1) if rows else np.zeros((0, len(HEADS)))
+    labels = np.stack(
+        [np.minimum(1, few.column(1 + i).to_numpy()) for i in range(len(HEADS))], 1,
+    ) if rows else np.zeros((0, len(HEADS)))
     weights, offset = regress(rows, labels)
     known = ~np.isnan(labels)
     share = (np.where(known, labels, 0).sum(0) + 1) / (known.sum(0) + 2)
     return Model(ratios, weights, offset - np.log(share / (1 - share)) if rows else offset)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    path_col: str = "lang", label_id: str = "doc_id", sample: int = SAMPLE,
+) -> DataFrame:
     """One row for each row of docs: id, evidence, site rate (of the site's other documents) and posterior of each head, and kept."""
     spark = docs.sparkSession
-    slim = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(host_col).alias("host"), col(path_col).alias("path"))
-    known = labels.where(col(label_id).isNotNull()).select(col(label_id).alias("l_id"), *(col(x).cast("int").alias(f"l_{x}") for x in HEADS))
+    slim = docs.select(
+        col(id_col).alias("doc_id"), col(text_col).alias("text"), col(host_col).alias("host"),
+        col(path_col).alias("path"),
+    )
+    known = labels.where(col(label_id).isNotNull()).select(
+        col(label_id).alias("l_id"), *(col(x).cast("int").alias(f"l_{x}") for x in HEADS),
+    )
     bitmap = spark.sparkContext.broadcast(bitmap_of(known.select(F.xxhash64("l_id").alias("h")), "h", BITMAP_BITS))
     some = slim.select("doc_id", "text").where(_maybe_labelled(bitmap)(F.xxhash64("doc_id")))  # spares the shuffle most texts without a label
     # one way to join at every size, as Spark would send few labels to all tasks
-    labelled = some.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("text", fold_of(F.col("doc_id")), *(f"l_{x}" for x in HEADS))
+    labelled = some.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select(
+        "text", fold_of(F.col("doc_id")), *(f"l_{x}" for x in HEADS),
+    )
     columns = [f"n{k}" for k in range(FOLDS * KINDS)]
-    counted = labelled.mapInArrow(_count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
+    counted = labelled.mapInArrow(
+        _count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in columns),
+    ).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
     each = np.zeros((2 * BUCKETS + 1, FOLDS, KINDS), np.int64)
     for part in counted.toArrow().to_batches():  # a row for each bucket at most
-        each[part.column(0).to_numpy()] = np.stack([part.column(1 + k).to_numpy() for k in range(len(columns))], 1).reshape(-1, FOLDS, KINDS)
+        each[part.column(0).to_numpy()] = np.stack(
+            [part.column(1 + k).to_numpy() for k in range(len(columns))], 1,
+        ).reshape(-1, FOLDS, KINDS)
     sums = each.sum(1)
     ratios = log_ratios(sums)
     rates = {x: (sums[-1, 2 * i + 1] + 1) / (sums[-1, 2 * i : 2 * i + 2].sum() + 2) for i, x in enumerate(HEADS)}
     prior = {x: float(np.log(p / (1 - p))) for x, p in rates.items()}
-    model = spark.sparkContext.broadcast(_fitted(slim, known, ratios, [log_ratios(sums - each[:, k]) for k in range(FOLDS)], sample))
+    model = spark.sparkContext.broadcast(_fitted(
+        slim, known, ratios, [log_ratios(sums - each[:, k]) for k in range(FOLDS)], sample,
+    ))
     once = known.groupBy("l_id").agg(*(F.avg((F.col(f"l_{x}") > 0).cast("double")).alias(f"l_{x}") for x in HEADS))
     judged = slim.select("doc_id", "host", "path", _evidence_udf(model)("text").alias("e"))
-    judged = judged.select("doc_id", "host", "path", *(F.get("e", F.lit(i)).alias(f"{x}_evidence") for i, x in enumerate(HEADS)))
+    judged = judged.select(
+        "doc_id", "host", "path", *(F.get("e", F.lit(i)).alias(f"{x}_evidence") for i, x in enumerate(HEADS)),
+    )
     judged = judged.join(once, F.col("doc_id") == F.col("l_id"), "left")
-    judged = materialize(judged.withColumns({x: F.coalesce(f"l_{x}", _belief(F.col(f"{x}_evidence") + prior[x])) for x in HEADS}), "evidence")
+    judged = materialize(
+        judged.withColumns({x: F.coalesce(f"l_{x}", _belief(F.col(f"{x}_evidence") + prior[x])) for x in HEADS}),
+        "evidence",
+    )
     sites = site_sums(judged)
     known_sites = sites.withColumnsRenamed({"host": "site_host", "path": "site_path"})
-    out = judged.join(known_sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    out = judged.join(
+        known_sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")),
+    )
     site = {x: shrinkage(sites, x).rates(F.col(f"{x}_s"), F.col(f"{x}_host_s"), F.col(x), 1)[1] for x in HEADS}
     out = out.withColumns({f"{x}_site": F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c)) for x, c in site.items()})
     p = {x: _belief(F.col(f"{x}_evidence") + _log_odds(F.col(f"{x}_site"))) for x in HEADS}

@@ -48,7 +48,10 @@ BANDS = {
     "": (0.25, 12.0, 1.0, 0.40),
 }
 #: Fixed values, likewise: share of characters that the second vocabulary spells in bytes (most).
-PIECE_BANDS = {"en": 0.10, "de": 0.10, "es": 0.10, "fr": 0.10, "LATIN": 0.15, "CYRILLIC": 0.15, "GREEK": 0.25, "CJK": 0.60, "": 1.0}
+PIECE_BANDS = {
+    "en": 0.10, "de": 0.10, "es": 0.10, "fr": 0.10, "LATIN": 0.15, "CYRILLIC": 0.15, "GREEK": 0.25, "CJK": 0.60,
+    "": 1.0,
+}
 #: Quartile distances to a fence, and the weight of the widest band in documents.
 FENCE, PRIOR_DOCS = 3.0, 50
 #: Tokens from which prose no longer gains entropy by being longer.
@@ -129,7 +132,9 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     raw = text_bytes(text)
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip(WHITE)]
-    return len(words), len(raw.translate(None, WHITE).decode()), len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
+    return len(words), len(raw.translate(None, WHITE).decode()), len(raw) - len(raw.translate(
+        None, SYMBOLS,
+    )), len(lines) - len(set(lines)), repeat_words(words)
 
 
 def script_name(text: str) -> str:
@@ -222,8 +227,15 @@ def _figures_udf(rules: Rules) -> Callable:
             t = t.as_py() or ""
             name = script_name(t)
             measured = name and name not in rules.bands and not rules.failed(base_counts(t))
-            rows.append({"script": name} | dict(zip(("per", "fallback", "entropy"), fertility(t, rules.vocabulary)[1:], strict=True)) if measured else None)
-        return pa.array(rows, pa.struct([("script", pa.string()), ("per", pa.float64()), ("fallback", pa.float64()), ("entropy", pa.float64())]))
+            rows.append({"script": name} | dict(zip(
+                ("per", "fallback", "entropy"), fertility(t, rules.vocabulary)[1:], strict=True,
+            )) if measured else None)
+        return pa.array(
+            rows,
+            pa.struct([
+                ("script", pa.string()), ("per", pa.float64()), ("fallback", pa.float64()), ("entropy", pa.float64()),
+            ]),
+        )
 
     return figures
 
@@ -231,9 +243,13 @@ def _figures_udf(rules: Rules) -> Callable:
 def with_script_bands(docs: DataFrame, text_col: str, lang_col: str, rules: Rules) -> Rules:
     """The rules with bands, from all documents of docs, for each script that has none; there are no more rows to gather than scripts."""
     lang = col(lang_col).cast("string")
-    other = docs.where(lang.isNull() | ~lang.isin(*rules.bands)).select(_figures_udf(rules)(col(text_col)).alias("f")).where("f IS NOT NULL").select("f.*")
+    other = docs.where(lang.isNull() | ~lang.isin(*rules.bands)).select(
+        _figures_udf(rules)(col(text_col)).alias("f")
+    ).where("f IS NOT NULL").select("f.*")
     quartiles = {x: F.percentile_approx(x, [0.25, 0.75], 10_000).alias(x) for x in ("per", "fallback", "entropy")}
-    found = {r["script"]: r for r in other.groupBy("script").agg(F.count("*").alias("n"), *quartiles.values()).collect()}
+    found = {r["script"]: r for r in other.groupBy("script").agg(
+        F.count("*").alias("n"), *quartiles.values(),
+    ).collect()}
     widest = rules.bands[""]
 
     def band(r) -> tuple:
@@ -247,10 +263,14 @@ def with_script_bands(docs: DataFrame, text_col: str, lang_col: str, rules: Rule
     return rules._replace(bands=rules.bands | {k: band(r) for k, r in found.items()})
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **rules) -> DataFrame:
+def judge(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **rules,
+) -> DataFrame:
     """One row for each row of docs: its id, the counts and figures, base_failed and kept; rules: fields of Rules."""
     full = with_script_bands(docs, text_col, lang_col, Rules(**rules))
-    out = docs.select(col(id_col).alias("doc_id"), _judge_udf(full)(col(text_col), col(lang_col).cast("string")).alias("r"))
+    out = docs.select(
+        col(id_col).alias("doc_id"), _judge_udf(full)(col(text_col), col(lang_col).cast("string")).alias("r"),
+    )
     return out.select(F.col("doc_id").alias(id_col), "r.*")
 
 

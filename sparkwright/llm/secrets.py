@@ -66,9 +66,13 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, text_key, rules): the documents of docs(doc_id, text) that some rule's query lets through."""
     spark, clauses = docs.sparkSession, _clauses(rules)
-    wanted = spark.createDataFrame(clauses or [(0, 0, 0, 0, "")], "rule int, clause int, n int, place int, trigram string").where("n > 0")
+    wanted = spark.createDataFrame(
+        clauses or [(0, 0, 0, 0, "")], "rule int, clause int, n int, place int, trigram string",
+    ).where("n > 0")
     postings = materialize(trigram_index(docs, sorted({x[-1] for x in clauses})), "trigram_postings")
-    met = postings.join(F.broadcast(wanted), "trigram").groupBy("doc_id", "text_key", "rule", "clause", "n").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
+    met = postings.join(F.broadcast(wanted), "trigram").groupBy(
+        "doc_id", "text_key", "rule", "clause", "n",
+    ).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"))
     full = met.where(F.col("places") == F.expr("shiftleft(1L, n) - 1"))
     return full.groupBy("doc_id", "text_key").agg(F.collect_set("rule").alias("rules"))
 
@@ -79,32 +83,48 @@ def _steps(text: Column, rank: int, rule: Rule) -> Column:
     found, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     zipped = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), found.alias("m"), judged.alias("g"))
-    return F.transform(zipped, lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("length"), F.length(x["g"]).alias("judged")))
+    return F.transform(zipped, lambda x: F.struct(
+        F.lit(rank).alias("rank"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("length"),
+        F.length(x["g"]).alias("judged"),
+    ))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
     """One row for each row of docs: its id and spans, an array of (start, rank, end, kind) in order."""
     slim = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     listed = candidates(slim, rules).select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "rules")
-    joined = slim.withColumn("text_key", F.xxhash64("text")).join(listed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
+    joined = slim.withColumn("text_key", F.xxhash64("text")).join(
+        listed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left",
+    )
     indexed = {x[0] for x in _clauses(rules)}
     text, none = F.col("text"), F.array().cast(STEPS)
     per_rule = [F.when(F.array_contains("rules", r) if r in indexed else F.lit(True), _steps(text, r, rule)).otherwise(none) for r, rule in enumerate(rules)]
     scanned = materialize(joined.select("doc_id", "text_key", F.concat(*per_rule).alias("steps")), "secret_steps")
-    rows = scanned.where(F.size("steps") > 0).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.posexplode("steps").alias("i", "s")).select("doc_id", "text_key", "i", "s.*")
+    rows = scanned.where(F.size("steps") > 0).dropDuplicates(["doc_id", "text_key"]).select(
+        "doc_id", "text_key", F.posexplode("steps").alias("i", "s"),
+    ).select("doc_id", "text_key", "i", "s.*")
     place = Window.partitionBy("doc_id", "text_key", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ended = rows.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(place).cast("int"))
     known = F.create_map(*(x for r, rule in enumerate(rules) for x in (F.lit(r), F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least")))))
     ended = ended.withColumn("rule", F.element_at(known, F.col("rank"))).where(F.col("judged") >= F.col("rule.least"))
     span = F.struct((F.col("end") - F.col("length")).alias("start"), "rank", "end", F.col("rule.kind").alias("kind"))
-    found = ended.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    out = scanned.select("doc_id", "text_key").join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left")
+    found = ended.groupBy(
+        F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"),
+    ).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    out = scanned.select("doc_id", "text_key").join(
+        found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_key") == F.col("f_key")), "left",
+    )
     return out.select(F.col("doc_id").alias(id_col), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
@@ -114,7 +134,10 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long").alias(f"n_{RULES[k].kind}")
 
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    return found.select("doc_id", *map(count, range(3)), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *map(count, range(3)), F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
 
 
 def _sql() -> str:

@@ -298,11 +298,18 @@ def _count_udf(tokenizer: str) -> Callable:
     return n_tokens
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = LIMIT,
+) -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens and over_limit."""
     text = F.coalesce(col(text_col), F.lit(""))
-    out = docs.select(col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), _count_udf(tokenizer)(text).alias("n_tokens"))
-    return out.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = docs.select(
+        col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"),
+        _count_udf(tokenizer)(text).alias("n_tokens"),
+    )
+    return out.select(
+        F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"),
+    )
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
