@@ -46,7 +46,7 @@ BITMAP_BITS = 26
 #: Labelled rows that the regression is fitted on, and passes over them.
 SAMPLE, PASSES, SEED = 20_000, 6, 5
 #: Features of a sampled row, at most, and folds of the labels, for the fit alone.
-FIT_FEATURES, FOLDS = 1024, 4
+FIT_FEATURES, FOLDS = 1024, 2
 #: A log ratio counts from so many standard errors; the evidence of a document and the prior weight of a site, in documents, lie within bounds.
 LEAST_Z, MOST_EVIDENCE, WEIGHT_RANGE = 2.5, 12.0, (2.0, 10_000.0)
 PUNCTUATION = string.punctuation.encode()
@@ -99,12 +99,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def counts(labelled: DataFrame) -> np.ndarray:
+    """labelled(text, fold, labels) to the documents that have each bucket, in the last row all, by fold and kind: a row of each bucket at most comes to the driver."""
+    columns = [f"n{k}" for k in range(FOLDS * KINDS)]
+    counted = labelled.mapInArrow(_count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in columns))
+    out = np.zeros((2 * BUCKETS + 1, FOLDS, KINDS), np.float32)
+    for part in counted.groupBy("bucket").agg(*(F.sum(c).cast("float").alias(c) for c in columns)).toArrow().to_batches():
+        rows = part.column(0).to_numpy()
+        for k in range(len(columns)):
+            out[rows, k // KINDS, k % KINDS] = part.column(1 + k).to_numpy()
+    return out
+
+
 def log_ratios(sums: np.ndarray) -> np.ndarray:
     """For each bucket and head, the log ratio of having it in the class and outside, shrunk by its uncertainty; zero where a class is missing."""
     out = np.zeros((2 * BUCKETS, len(HEADS)), np.float32)
     for i in range(len(HEADS)):
-        no, yes = sums[:-1, 2 * i], sums[:-1, 2 * i + 1]
-        all_no, all_yes = sums[-1, 2 * i], sums[-1, 2 * i + 1]
+        no, yes = (sums[:, k].astype(np.float64) for k in (2 * i, 2 * i + 1))
+        (no, all_no), (yes, all_yes) = (no[:-1], no[-1]), (yes[:-1], yes[-1])
         if all_no and all_yes:
             ratio = np.log((yes + 0.5) / (all_yes + 1)) - np.log((no + 0.5) / (all_no + 1))
             error = 1 / (yes + 0.5) + 1 / (no + 0.5)
@@ -306,21 +318,13 @@ def classify(
     labelled = some.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select(
         "text", fold_of(F.col("doc_id")), *(f"l_{x}" for x in HEADS),
     )
-    columns = [f"n{k}" for k in range(FOLDS * KINDS)]
-    counted = labelled.mapInArrow(
-        _count, "bucket bigint, " + ", ".join(f"{c} bigint" for c in columns),
-    ).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
-    each = np.zeros((2 * BUCKETS + 1, FOLDS, KINDS), np.int64)
-    for part in counted.toArrow().to_batches():  # a row for each bucket at most
-        each[part.column(0).to_numpy()] = np.stack(
-            [part.column(1 + k).to_numpy() for k in range(len(columns))], 1,
-        ).reshape(-1, FOLDS, KINDS)
+    each = counts(labelled)
     sums = each.sum(1)
     ratios = log_ratios(sums)
     rates = {x: (sums[-1, 2 * i + 1] + 1) / (sums[-1, 2 * i : 2 * i + 2].sum() + 2) for i, x in enumerate(HEADS)}
     prior = {x: float(np.log(p / (1 - p))) for x, p in rates.items()}
     model = spark.sparkContext.broadcast(_fitted(
-        slim, known, ratios, [log_ratios(sums - each[:, k]) for k in range(FOLDS)], sample,
+        slim, known, ratios, [log_ratios(each[:, 1 - k]) for k in range(FOLDS)], sample,
     ))
     once = known.groupBy("l_id").agg(*(F.avg((F.col(f"l_{x}") > 0).cast("double")).alias(f"l_{x}") for x in HEADS))
     judged = slim.select("doc_id", "host", "path", _evidence_udf(model)("text").alias("e"))
