@@ -16,14 +16,26 @@ from sparkwright.llm import decontamination, line_dedup, mixing, quality_rules,
 from sparkwright.llm.common import materialize, table
 
 
+#: Whole texts are long: so many rows of an Arrow batch, at most, keep a task's buffers small.
+ARROW_ROWS = 1000
+
+
+def _batched(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs, after the session's Arrow batches were made as small as ARROW_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+    return docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that the quality rules reject."""
-    return quality_rules.keep_good(docs)
+    return quality_rules.keep_good(_batched(spark, docs))
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the lines that three or more documents share out of all but one holder."""
-    return line_dedup.apply_line_dedup(docs)
+    return line_dedup.apply_line_dedup(_batched(spark, docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +43,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Fingerprints within 3 bits and bands of minima give the candidates only; each link is verified on the whole sets of shingles.
     """
-    return simhash.one_of_similar(docs, width=5, similarity=0.8, radius=3)
+    return simhash.one_of_similar(_batched(spark, docs), width=5, similarity=0.8, radius=3)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents that a benchmark item contaminates."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(_batched(spark, docs), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the mix of sources takes, with its number of copies and of words."""
-    return mixing.apply_mix(docs)
+    return mixing.apply_mix(_batched(spark, docs))
 
 
 STAGES = [
