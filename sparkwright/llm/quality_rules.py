@@ -12,7 +12,8 @@ fences around the quartiles of its documents, drawn toward the widest band where
 
 Defined results: a null or empty text has no words, counts of zero, null figures, and fails the base rule. A
 language without a band, or null, takes the band of the text's script, or else the widest. Of scripts with as many letters the last by name
-counts, and a figure on the edge of its band is inside. A very long text is encoded whole, in pieces cut only where no token can lie across. Rows that repeat are
+counts, and a figure on the edge of its band is inside. A very long text is encoded whole, in pieces cut only where no token can lie across; so are long runs
+of white space. Rows that repeat are
 judged alike; other columns are passed over (`judge`) or kept (`keep_good`). An empty table gives an empty result.
 """
 
@@ -60,6 +61,9 @@ FULL_LENGTH = 512
 PIECE = 50_000
 RESULT = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,n_tokens:bigint,chars_per_token:double,fallback_share:double,rel_entropy:double,spelled_share:double,kept:boolean>"
 CUT = re.compile(r"(?<=\S) ")
+#: The white space of the vocabularies' pattern; runs of so many go to the vocabulary apart, as the pattern looks ahead from each.
+SPACE, LONG_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000
+RUN, WHOLE_RUN = re.compile(f"[{SPACE}]{{{LONG_RUN},}}"), re.compile(f"[{SPACE}]{{{LONG_RUN - 1},}}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -76,8 +80,13 @@ def encoder(name: str) -> tuple[Callable, np.ndarray]:
             piece.decode()
         except UnicodeDecodeError:
             partial[i] = True
-    enc = tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return enc.encode_ordinary, partial
+    by_pattern = tiktoken.Encoding("fertility", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = tiktoken.Encoding("runs", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        return [i for p in pieces(text) for i in (whole if WHOLE_RUN.fullmatch(p) else by_pattern).encode_ordinary(p)]
+
+    return encode, partial
 
 
 @functools.lru_cache(maxsize=2)
@@ -95,8 +104,8 @@ def speller(name: str) -> Callable[[str], bool]:
     return spelled
 
 
-def pieces(text: str) -> list[str]:
-    """The text in pieces of about PIECE characters, cut only before a space after another character: each begins a token there, so the pieces' tokens are the text's."""
+def _cut(text: str) -> list[str]:
+    """Pieces of about PIECE characters, cut only before a space after another character, where a token begins."""
     out, at = [], 0
     while len(text) - at > PIECE:
         m = CUT.search(text, at + PIECE)
@@ -104,7 +113,21 @@ def pieces(text: str) -> list[str]:
             break
         out.append(text[at : m.start()])
         at = m.start()
-    return [*out, text[at:]]
+    return [*out, text[at:]] if at < len(text) else out
+
+
+def pieces(text: str) -> list[str]:
+    """The text in pieces whose tokens, one after the other, are the text's.
+
+    A run of LONG_RUN white-space characters is a piece by itself, which the pattern takes as one: the whole run at the end of the text,
+    or else all but its last character, which may begin the next word's token.
+    """
+    out, at = [], 0
+    for m in RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += [*_cut(text[at : m.start()]), text[m.start() : end]]
+        at = end
+    return out + _cut(text[at:])
 
 
 def repeat_words(words: list[bytes], width: int = 3) -> int:
@@ -159,7 +182,7 @@ def script(text: str) -> str:
 def fertility(text: str, vocabulary: str) -> tuple[int, float | None, float | None, float | None]:
     """Tokens, characters per token, share of tokens that are part of a character, relative entropy."""
     encode, partial = encoder(vocabulary)
-    ids = np.concatenate([np.asarray(encode(p), np.int64) for p in pieces(text)])
+    ids = np.asarray(encode(text), np.int64)
     if not len(ids):
         return 0, None, None, None
     share = np.unique(ids, return_counts=True)[1] / len(ids)

@@ -130,3 +130,34 @@ def test_scripts_without_a_band_get_one_from_the_table(spark):
     kept = {r["doc_id"] for r in qr.judge(df).where("kept").collect()}
     assert len(kept & set(range(300))) >= 297 and not kept & set(range(300, 305))
     assert set(qr.with_script_bands(df.limit(0), "text", "lang", qr.Rules()).bands) == set(qr.BANDS)
+
+
+RUNS = [" ", "\n", "\t", "\xa0", "\u3000", " \n", "\r\n\t", "\x1c "]
+
+
+@pytest.mark.parametrize("run", RUNS)
+@pytest.mark.parametrize("n", [999, 1000, 1001, 5000])
+def test_runs_of_white_space_equal_the_library(run, n):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(qr.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    gap = run * (n // len(run))
+    for text in (gap, "one" + gap, gap + "two", f"one{gap}two {gap}\x1c{gap}3", f"a {gap} b\n" * 3):
+        assert "".join(qr.pieces(text)) == text
+        assert qr.encoder(qr.VOCABULARY)[0](text) == plain.encode_ordinary(text)
+
+
+def test_long_runs_of_white_space(spark):
+    words = prose(5, 300)
+    texts = [words + run * 2_000_000 + words for run in (" ", "\n", "\t", "\xa0", " \n\t")] + [" " * 2_000_000, "a" * 2_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'en' AS lang")
+    got = {r["doc_id"]: r for r in qr.judge(df).collect()}
+    for i, t in enumerate(texts):
+        assert tuple(got[i][c] for c in COUNTS) == brute(t)
+    assert got[0]["n_tokens"] > 1_000_000 and not any(r["kept"] for r in got.values())
+    assert qr.keep_good(df).count() == 0
