@@ -1,59 +1,43 @@
+"""The whole pipeline against plain loops, near duplicates by the exact similarity of five-word shingles."""
+
 import corpus_pipeline
 from sparkwright.llm import decontamination as dc
 from sparkwright.llm import quality_rules as qr
 from tests.llm.helpers import empty, odd
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_print
-
-
-def brute(docs, bench):
-    """(id, text) that reach the last stage, each stage by plain loops."""
-    judged = [(i, t, lang) for i, t, lang in docs if _good(t, lang)]
-    lines = [(i, t) for i, _, _, t in brute_lines([(i, t) for i, t, _ in judged])]
-    prints = [(brute_print(t, 5, 42), brute_print(t, 5, 43)) for _, t in lines]
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(lines)):
-        for j in range(i):
-            if (prints[i][0] ^ prints[j][0]).bit_count() <= 10 and (prints[i][1] ^ prints[j][1]).bit_count() <= 12:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    best = {}
-    for k, (i, t) in enumerate(lines):
-        best[find(k)] = min((i, t), best.get(find(k), (i, t)))
-    items = [dc.tokens(t) for t in bench]
-    out = []
-    for i, t in best.values():
-        w = dc.tokens(t)
-        if not any(sum(x[2] for x in dc.greedy_tiles(w, dc.np.arange(len(w)), item, min(5, len(item)))) >= 0.5 * len(item) for item in items):
-            out.append((i, t))
-    return sorted(out)
+from tests.llm.test_quality_rules import brute_figures
+from tests.llm.test_similar import brute_kept
 
 
-def _good(t, lang):
-    n, _, _, _, repeated = qr.base_counts(t)
+def good(text, lang):
+    n, _, _, _, repeated = qr.base_counts(text)
     if n < 50 or 2 * repeated > n:
         return False
-    tokens, per, part, entropy = qr.fertility(t, qr.VOCABULARY)
+    _, per, part, entropy, spelled = brute_figures(text)
     low, high, share, least = qr.BANDS[lang]
-    return tokens > 0 and low <= per <= high and part <= share and entropy >= least
+    return low <= per <= high and part <= share and entropy >= least and spelled <= qr.PIECE_BANDS[lang]
 
 
 def test_run_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = brute([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()], [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, sf)
-        assert kept.columns == docs.columns
-    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    items = [dc.tokens(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    judged = [(i, t) for i, t, lang in rows if good(t, lang)]
+    lines = [(i, t) for i, _, _, t in brute_lines(judged)]
+    kept, links = brute_kept(lines)
+    want = []
+    for i, t in kept:
+        w = dc.tokens(t)
+        if not any(sum(x[2] for x in dc.greedy_tiles(w, dc.np.arange(len(w)), item, min(5, len(item)))) >= 0.5 * len(item) for item in items):
+            want.append((i, t))
     got = corpus_pipeline.run(spark, sf).collect()
+    assert links and len(judged) < len(rows) and len(want) < len(kept) < len(lines)
     assert got and {(r["doc_id"], r["text"]) for r in got} <= set(want)
     assert all(r["copies"] in (1, 2) and r["taken"] == r["copies"] * len(r["text"].encode().split()) for r in got)
+    before = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = stage(spark, before, sf)
+    assert sorted((r["doc_id"], r["text"]) for r in before.collect()) == sorted(want)
 
 
 def test_stages_take_odd_and_empty_tables(spark, sf):
@@ -62,3 +46,13 @@ def test_stages_take_odd_and_empty_tables(spark, sf):
             out = stage(spark, docs, sf)
             assert out.columns[: len(docs.columns)] == docs.columns and (k == 4 or out.columns == docs.columns)
             assert out.count() <= docs.count()
+
+
+def test_run_takes_long_runs_of_white_space(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    row = docs.first()
+    gap = [(10**6 + k, row["text"] + run * 1_000_000, row["lang"], row["source"], 0) for k, run in enumerate((" ", "\n"))]
+    out = docs.union(spark.createDataFrame(gap, docs.schema))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, sf)
+    assert out.count() > 0
