@@ -1,6 +1,9 @@
 """The numbered queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import decontamination, hmm, html_extraction, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts
+from . import (
+    decontamination, filter_audit, fingerprints, hmm, html_extraction, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash,
+    token_counts, vector_codes,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,9 +16,15 @@ QUERIES = {
     "op8_hmm_scores": hmm.op8_hmm_scores,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_secrets": secrets.op10_secrets,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op6_mixing": mixing.SQL,
     "op10_secrets": secrets.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_fingerprints": fingerprints.SQL,
 }
