@@ -1,10 +1,9 @@
-"""Lexical retrieval: tokens, chunks, inverted index, TF-IDF, BM25, fusion, metrics and prompts."""
+"""Retrieval: tokens, chunks, TF-IDF, BM25 and dense search, fusion, metrics and prompts."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,19 +13,13 @@ from ..operators.joins import small
 from ..registry import query
 from ..sources.shared import written
 from ..sources.tables import table
+from . import postings
+from .encoding import ENCODE_SQL, dense_ranks, encoded, encoded_documents
+from .postings import K1, B, StoredIndex, build_index, passage_terms, stored_index, tokens
 
-#: Fixed values of Okapi BM25 and of reciprocal rank fusion.
-K1, B, RRF_K = 1.2, 0.75, 60
+#: Fixed value of reciprocal rank fusion.
+RRF_K = 60
 TOP = 10
-#: Rows for each of the k ranks, about, that the rarest terms of a passage give to set the bar for the rest.
-SEEDS = 50
-#: Runs of letters and digits of any script.
-TOKEN = r"[\p{L}\p{N}]+"
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits of any script."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def each_token(df: DataFrame, *keep: Column) -> DataFrame:
@@ -128,118 +121,35 @@ def inverted(docs: DataFrame) -> DataFrame:
     f"WITH t AS ({T}) SELECT term, count(*)::BIGINT AS cf, count(DISTINCT doc_id)::BIGINT AS df, min(doc_id)::BIGINT AS first_doc FROM t GROUP BY term",
 )
 def inverted_index(spark, d) -> DataFrame:
-    return inverted(table(spark, d, "documents")).groupBy("term").agg(
-        F.sum("tf").alias("cf"), F.count("*").alias("df"), F.min("doc_id").alias("first_doc"),
+    return stored_index(spark, d).blocks.groupBy("term").agg(
+        F.sum("cf").alias("cf"), F.sum("n").cast("bigint").alias("df"), F.min(F.get("docs", F.lit(0))["doc_id"]).alias("first_doc"),
     )
 
 
 @query("tfidf", f"""WITH t AS ({T}), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), v AS (SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM f GROUP BY term)
  SELECT doc_id, round(sum(tf * idf), 3) AS weight, count(*)::BIGINT AS terms FROM f JOIN v USING (term) GROUP BY doc_id""")
 def tfidf(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
-    f = inverted(docs)
-    n = docs.count()
-    idf = f.groupBy("term").agg(F.ln(F.lit(float(n)) / F.count("*")).alias("idf"))
-    return f.join(idf, "term").groupBy("doc_id").agg(
-        F.round(F.sum(F.col("tf") * F.col("idf")), 3).alias("weight"), F.count("*").alias("terms"),
-    )
-
-
-def top_k(scored: DataFrame, by: str, item: str | list[str], k: int = TOP) -> DataFrame:
-    """The k best items of each query, ties by item; Spark limits each group before the shuffle."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), *([item] if isinstance(item, str) else item))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def passage_terms(passages: DataFrame) -> DataFrame:
-    """(item_id, term) of passages(item_id, text), each once."""
-    return passages.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    f = tfidf_weights(stored_index(spark, d))
+    return f.groupBy("doc_id").agg(F.round(F.sum("x"), 3).alias("weight"), F.count("*").alias("terms"))
 
 
-class Index(NamedTuple):
-    """What a set of passages needs of the documents: rows (*keys, term, tf, dl) of the passages' terms, and the number and mean length of all documents."""
+def idf_table(index: StoredIndex) -> DataFrame:
+    """(term, idf) by the logarithm of the inverse share of documents, written: a table, so that Spark splits the hot keys of its joins."""
+    return written(index.terms().select("term", F.ln(F.lit(float(index.n)) / F.col("df")).alias("idf")), "idf")
 
-    rows: DataFrame
-    asked: DataFrame
-    keys: list[str]
-    n: int
-    mean: float
 
+def tfidf_weights(index: StoredIndex) -> DataFrame:
+    """(*keys, term, tf, x): blocks meet their term's idf before they are taken apart."""
+    hit = index.blocks.join(idf_table(index), "term")
+    return hit.select("term", "idf", F.inline("docs")).select(*index.keys, "term", "tf", (F.col("tf") * F.col("idf")).alias("x"))
 
-def index_for(docs: DataFrame, passages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Index:
-    """One pass over docs(*keys, text): each text is split once, and all that follows reads the table that is written here."""
-    asked = written(passage_terms(passages), "passage_terms")
-    wanted = small(asked.select("term").distinct().withColumn("wanted", F.lit(True)))
-    w = docs.select(*keys, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
-    # the null at the end gives every document one row for its length, whatever its terms
-    each = w.select(
-        *keys, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"),
-    )
-    kept = each.join(wanted, "term", "left").where(F.col("wanted") | F.col("term").isNull())
-    rows = written(kept.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "index")
-    n, mean = rows.where(F.col("term").isNull()).agg(F.count("*"), F.avg("dl")).first()
-    return Index(rows.where(F.col("term").isNotNull()), asked, list(keys), n, float(mean or 1.0))
-
-
-def weighted(index: Index) -> DataFrame:
-    """(*keys, term, weight): what a term of a document adds to the score of each passage that has it."""
-    df = index.rows.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(F.lit(1.0) + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean)))
-    return index.rows.join(df, "term").select(*index.keys, "term", part.alias("weight"))
 
+def top_k(scored: DataFrame, by: str, item: str | list[str], k: int = TOP) -> DataFrame:
+    return postings.top_k(scored, by, item, k)
 
-def bm25_ranks(docs: DataFrame | Index, passages: DataFrame | None = None, k: int = TOP) -> DataFrame:
-    """(item_id, *keys, score, rank) of the k best documents of each passage; docs: documents, or their index.
 
-    Terms that most documents have would bring nearly all pairs of documents and passages. So the rarest terms of a passage
-    (until they bring SEEDS * k rows) are added up first; the k-th best of those sums is a bar that a document must reach. Terms
-    whose largest weights together stay under the bar are spared: they bring no candidates, and are added only to documents whose
-    other terms, with all that the spared ones could give, reach the bar. The ranks are those of all pairs.
-    """
-    index = docs if isinstance(docs, Index) else index_for(docs, passages)
-    keys = index.keys
-    weights = written(weighted(index), "weights")
-    most = weights.groupBy("term").agg(F.max("weight").alias("most"), F.count("*").alias("df"))
-    asked = written(index.asked.join(most, "term"), "asked")  # terms that no document has fall out
-    before = F.sum("df").over(Window.partitionBy("item_id").orderBy(F.desc("most"), "term").rowsBetween(
-        Window.unboundedPreceding, -1,
-    ))
-    first = asked.withColumn(
-        "before", F.coalesce(before, F.lit(0)),
-    ).where(F.col("before") < SEEDS * k).select("item_id", "term")
-    sums = weights.join(small(first), "term").groupBy("item_id", *keys).agg(F.sum("weight").alias("score"))
-    bars = written(
-        top_k(
-            sums, "item_id", keys, k,
-        ).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar")),
-        "bars",
-    )
-    rest = F.sum("most").over(Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(
-        Window.unboundedPreceding, 0,
-    ))
-    # scores are rounded to six places before they are ranked, hence the margin
-    dealt = asked.withColumn("rest", rest).join(small(bars), "item_id").withColumn(
-        "spared", F.col("rest") + 1e-5 < F.col("bar"),
-    )
-    dealt = written(dealt.select("item_id", "term", "rest", "bar", "spared"), "dealt")
-    bounds = dealt.groupBy("item_id").agg(
-        F.first("bar").alias("bar"), F.max(F.when(F.col("spared"), F.col("rest")).otherwise(0.0)).alias("slack"),
-    )
-    sums = weights.join(
-        small(dealt.where("not spared").select("item_id", "term")), "term",
-    ).groupBy("item_id", *keys).agg(F.sum("weight").alias("part"))
-    likely = written(
-        sums.join(
-            small(bounds), "item_id",
-        ).where(F.col("part") + F.col("slack") + 1e-5 >= F.col("bar")).select("item_id", *keys, "part"),
-        "likely",
-    )
-    more = likely.select("item_id", *keys).join(
-        small(dealt.where("spared").select("item_id", "term")), "item_id",
-    ).join(weights, [*keys, "term"]).select("item_id", *keys, F.col("weight").alias("part"))
-    whole = likely.unionByName(more).groupBy("item_id", *keys).agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(whole, "item_id", keys, k)
+def bm25_ranks(index: StoredIndex, passages: DataFrame, k: int = TOP) -> DataFrame:
+    return postings.bm25_ranks(index, passages, k)
 
 
 BM25_SQL = rf"""WITH t AS ({T}), l AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS dl FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
@@ -252,18 +162,17 @@ BM25_SQL = rf"""WITH t AS ({T}), l AS (SELECT doc_id, len(regexp_extract_all(low
 @query("bm25", f"{BM25_SQL} SELECT item_id, doc_id, round(score, 3) AS score, rank FROM bm25")
 def bm25(spark, d) -> DataFrame:
     """For each benchmark passage, the ten best documents."""
-    return bm25_ranks(table(spark, d, "documents"), table(spark, d, "benchmark")).select(
+    return bm25_ranks(stored_index(spark, d), table(spark, d, "benchmark")).select(
         "item_id", "doc_id", F.round("score", 3).alias("score"), "rank",
     )
 
 
-def overlap_ranks(index: Index, k: int = TOP) -> DataFrame:
+def overlap_ranks(index: StoredIndex, passages: DataFrame, k: int = TOP) -> DataFrame:
     """A second list, from the same index: documents by the number of distinct words that they share with the passage."""
-    shared = index.rows.select(*index.keys, "term").join(small(index.asked), "term")
-    return top_k(
-        shared.groupBy("item_id", *index.keys).agg(F.count("*").cast("double").alias("score")), "item_id", index.keys,
-        k,
-    )
+    asked = written(passage_terms(passages), "passage_terms")
+    hits = index.of(asked.select("term").distinct()).join(small(asked), "term")
+    shared = hits.select("item_id", F.inline("docs")).groupBy("item_id", *index.keys).agg(F.count("*").cast("double").alias("score"))
+    return top_k(shared, "item_id", index.keys, k)
 
 
 OVERLAP_SQL = rf"""o AS (SELECT item_id, doc_id, count(*)::DOUBLE AS score FROM a JOIN (SELECT DISTINCT doc_id, term FROM t) USING (term) GROUP BY ALL),
@@ -278,23 +187,43 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return both.groupBy("item_id", "doc_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
+DENSE_SQL = f"""dense AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank
+ FROM (SELECT p.id AS item_id, e.id AS doc_id, round(list_inner_product(p.vector, e.vector), 6) AS score FROM encoded p, encoded e WHERE p.kind = 'benchmark' AND e.kind = 'documents')) WHERE rank <= {TOP})"""
+
+
+@query("encode_text", f"WITH {ENCODE_SQL} SELECT kind, id, vector FROM encoded")
+def encode_text(spark, d) -> DataFrame:
+    """Dense vectors of all documents and passages, in one space."""
+    index = stored_index(spark, d)
+    docs = encoded_documents(index).select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "vector")
+    p = encoded(index, table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return docs.unionByName(p.select(F.lit("benchmark").alias("kind"), F.col("doc_id").alias("id"), "vector"))
+
+
+@query("dense", f"WITH {ENCODE_SQL}, {DENSE_SQL} SELECT item_id, doc_id, score, rank FROM dense")
+def dense(spark, d) -> DataFrame:
+    """For each benchmark passage, the ten documents of the nearest vectors."""
+    return dense_ranks(stored_index(spark, d), table(spark, d, "benchmark"), TOP)
+
+
 @query(
     "rrf",
-    f"{BM25_SQL}, {OVERLAP_SQL} SELECT item_id, doc_id, round(sum(1e0 / ({RRF_K} + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM overlap) GROUP BY ALL",
+    f"{BM25_SQL}, {ENCODE_SQL}, {DENSE_SQL} SELECT item_id, doc_id, round(sum(1e0 / ({RRF_K} + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM bm25 UNION ALL SELECT item_id, doc_id, rank FROM dense) GROUP BY ALL",
 )
 def rrf(spark, d) -> DataFrame:
-    index = index_for(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    return fuse([bm25_ranks(index), overlap_ranks(index)]).select(
+    """A lexical and a dense list of the same documents, fused by rank."""
+    index, passages = stored_index(spark, d), table(spark, d, "benchmark")
+    return fuse([bm25_ranks(index, passages), dense_ranks(index, passages, TOP)]).select(
         "item_id", "doc_id", F.round("score", 9).alias("score"),
     )
 
 
-@query("score_fusion", f"""{BM25_SQL}, {OVERLAP_SQL}, m AS (SELECT item_id, doc_id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS s, 0.7e0 AS f FROM bm25 WINDOW w AS (PARTITION BY item_id)
- UNION ALL SELECT item_id, doc_id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.3e0 FROM overlap WINDOW w AS (PARTITION BY item_id))
+@query("score_fusion", f"""{BM25_SQL}, {ENCODE_SQL}, {DENSE_SQL}, m AS (SELECT item_id, doc_id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS s, 0.7e0 AS f FROM bm25 WINDOW w AS (PARTITION BY item_id)
+ UNION ALL SELECT item_id, doc_id, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.3e0 FROM dense WINDOW w AS (PARTITION BY item_id))
  SELECT item_id, doc_id, round(sum(f * coalesce(s, 0)), 4) AS score FROM m GROUP BY ALL""")
 def score_fusion(spark, d) -> DataFrame:
-    """Scores of each list brought to 0 ... 1 and added by weight."""
-    index, w = index_for(table(spark, d, "documents"), table(spark, d, "benchmark")), Window.partitionBy("item_id")
+    """Scores of a lexical and of a dense list, each brought to 0 ... 1 and added by weight."""
+    index, passages, w = stored_index(spark, d), table(spark, d, "benchmark"), Window.partitionBy("item_id")
 
     def scaled(x: DataFrame, share: float) -> DataFrame:
         low, high = F.min("score").over(w), F.max("score").over(w)
@@ -303,7 +232,7 @@ def score_fusion(spark, d) -> DataFrame:
             (share * F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(0.0))).alias("s"),
         )
 
-    both = scaled(bm25_ranks(index), 0.7).unionByName(scaled(overlap_ranks(index), 0.3))
+    both = scaled(bm25_ranks(index, passages), 0.7).unionByName(scaled(dense_ranks(index, passages, TOP), 0.3))
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 
@@ -312,7 +241,7 @@ def score_fusion(spark, d) -> DataFrame:
  SELECT item_id, doc_id, round(sum(coalesce(s, 0)), 4) AS score FROM m GROUP BY ALL""")
 def score_fusion_z(spark, d) -> DataFrame:
     """Scores of each list as standard deviations from its mean, added."""
-    index, w = index_for(table(spark, d, "documents"), table(spark, d, "benchmark")), Window.partitionBy("item_id")
+    index, passages, w = stored_index(spark, d), table(spark, d, "benchmark"), Window.partitionBy("item_id")
 
     def scaled(x: DataFrame) -> DataFrame:
         return x.select(
@@ -322,7 +251,7 @@ def score_fusion_z(spark, d) -> DataFrame:
             ).alias("s"),
         )
 
-    both = scaled(bm25_ranks(index)).unionByName(scaled(overlap_ranks(index)))
+    both = scaled(bm25_ranks(index, passages)).unionByName(scaled(overlap_ranks(index, passages)))
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 
@@ -333,10 +262,9 @@ def score_fusion_z(spark, d) -> DataFrame:
  SELECT item_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s) WHERE rank <= {TOP}""")
 def tfidf_cosine(spark, d) -> DataFrame:
     """The ten documents nearest to each passage by the cosine of TF-IDF weights."""
-    docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
-    f, n = written(inverted(docs), "postings"), docs.count()
-    v = f.groupBy("term").agg(F.ln(F.lit(float(n)) / F.count("*")).alias("idf"))
-    f = written(f.join(v, "term").withColumn("x", F.col("tf") * F.col("idf")), "weighted")
+    passages = table(spark, d, "benchmark")
+    index = stored_index(spark, d)
+    v, f = idf_table(index), written(tfidf_weights(index), "weighted")
     a = inverted(passages.withColumnRenamed("item_id", "doc_id")).withColumnRenamed(
         "doc_id", "item_id",
     ).join(v, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("y"))
@@ -363,28 +291,31 @@ def grams(text: Column, inner: bool = False) -> Column:
     return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(*(x[f"w{i}"] for i in range(GRAM)))))
 
 
+#: Characters by which passages without such a run are looked for.
+OPENING = 8
+
+
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(item_id, doc_id) of documents that hold a whole passage: one run of five tokens of each passage joins, and only what it finds is compared.
 
-    Passages too short to have such a run are looked for in every document, all of them at once.
+    Passages too short to have such a run join by their first OPENING characters, or all, with the runs of as many characters of the documents.
     """
-    p = passages.select(
+    p = passages.where("text IS NOT NULL").select(
         "item_id", F.col("text").alias("passage"), F.array_min(grams(F.col("text"), inner=True)).alias("gram"),
     )
     found = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("gram")).join(
         small(p.where("gram IS NOT NULL").select("item_id", "gram")), "gram",
     ).select("item_id", "doc_id")
-    whole = found.join(docs.select("doc_id", "text"), "doc_id").join(
-        p.select("item_id", "passage"), "item_id",
-    ).where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = p.where("gram IS NULL").select("item_id", "passage")
-    if short.isEmpty():
-        return whole
-    listed = F.broadcast(short.agg(F.collect_list(F.struct("item_id", "passage")).alias("short")))
-    each = docs.select("doc_id", "text", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one").select(
-        "doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["passage"]))).alias("s"),
-    )
-    return whole.union(each.select("s.item_id", "doc_id"))
+    short = p.where("gram IS NULL").select("item_id", F.left("passage", F.lit(OPENING)).alias("opening"))
+    for n in sorted(r[0] for r in short.select(F.char_length("opening")).distinct().collect()):  # OPENING + 1 numbers at most
+        runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        own = short.where(F.char_length("opening") == n)
+        found = found.union(
+            docs.select("doc_id", F.explode(runs).alias("opening")).join(small(own), "opening").select("item_id", "doc_id"),
+        )
+    return found.join(docs.select("doc_id", "text"), "doc_id").join(p.select("item_id", "passage"), "item_id").where(
+        F.contains("text", "passage"),
+    ).select("item_id", "doc_id")
 
 
 @query("ir_ndcg", rf"""{BM25_SQL}, r AS (SELECT b.item_id, x.rank, (contains(d.text, b.text))::INT AS hit FROM bm25 x JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)),
@@ -395,7 +326,7 @@ def ir_ndcg(spark, d) -> DataFrame:
     """DCG of BM25 over that of the best order, for passages that some document holds."""
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
     holds = written(holders(docs, passages), "holders")
-    ranked = bm25_ranks(docs, passages).join(holds, ["item_id", "doc_id"], "left_semi")
+    ranked = bm25_ranks(stored_index(spark, d), passages).join(holds, ["item_id", "doc_id"], "left_semi")
     dcg = ranked.groupBy("item_id").agg(F.sum(1 / F.log2(F.col("rank") + F.lit(1.0))).alias("dcg"))
     places = F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(TOP).cast("bigint")))
     best = F.aggregate(F.transform(places, lambda k: 1 / F.log2(k + F.lit(1.0))), F.lit(0.0), lambda a, x: a + x)
@@ -413,7 +344,7 @@ def ir_metrics(spark, d) -> DataFrame:
     """P@10, reciprocal rank, hit@10, DCG and recall of BM25; a document is relevant if it holds the whole passage."""
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
     holds = written(holders(docs, passages), "holders")
-    ranked = bm25_ranks(docs, passages).join(
+    ranked = bm25_ranks(stored_index(spark, d), passages).join(
         holds.withColumn("is", F.lit(1)), ["item_id", "doc_id"], "left",
     ).withColumn("hit", F.coalesce("is", F.lit(0)))
     gain = F.col("hit") / F.log2(F.col("rank") + F.lit(1.0))
@@ -448,7 +379,7 @@ def prompt_assemble(spark, d) -> DataFrame:
         "chunks",
     )
     keys = ["doc_id", "chunk_no"]
-    ranked = bm25_ranks(index_for(chunks, table(spark, d, "benchmark"), tuple(keys))).select(
+    ranked = bm25_ranks(build_index(chunks, tuple(keys)), table(spark, d, "benchmark")).select(
         "item_id", *keys, "rank",
     ).join(chunks, keys)
     used = F.sum(F.length("text")).over(Window.partitionBy("item_id").orderBy("rank"))  # TOP rows of an item

@@ -23,8 +23,8 @@ def _blocks(vectors: DataFrame, id_col: str, block: int) -> tuple[DataFrame, int
     return vectors.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
 
 
-def _meet(k: int, metric: str) -> Callable:
-    """The k best of some rows for each of some queries, as one product of matrices."""
+def _meet(k: int, metric: str, apart: bool = True) -> Callable:
+    """The k best of some rows for each of some queries, as one product of matrices; apart: not the row of the query's own id."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -38,7 +38,7 @@ def _meet(k: int, metric: str) -> Callable:
                     s = -np.sqrt(np.maximum(0, (a[at : at + 512] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * s))
                 s = np.round(s, 6)
                 for i, row in enumerate(s):
-                    ok = np.flatnonzero(vi != qi[at + i])
+                    ok = np.flatnonzero(vi != qi[at + i]) if apart else np.arange(len(vi))
                     cut = ok if len(ok) <= k else ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k]]
                     best = cut[np.lexsort((vi[cut], -row[cut]))[:k]]
                     out["query_id"] += [qi[at + i]] * len(best)
@@ -52,11 +52,13 @@ def _meet(k: int, metric: str) -> Callable:
     return meet
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot", block: int = BLOCK) -> DataFrame:
+def nearest(
+    queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot", block: int = BLOCK, apart: bool = True,
+) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k best rows for each of queries(query_id, q); rows(vec_id, v). Ties go to the smaller id.
 
     Every block of queries meets every block of rows once, as one product of matrices in one task; k rows of each
-    meeting go on. Blocks are of bounded size, so memory is too; a row is never its own neighbour.
+    meeting go on. Blocks are of bounded size, so memory is too; a row is never its own neighbour, unless the ids are of different things (apart=False).
     """
     q, n_q = _blocks(queries, "query_id", block)
     r, n_r = _blocks(rows, "vec_id", block)
@@ -68,7 +70,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "do
     )
 
     met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInArrow(
-        _meet(k, metric), "query_id bigint, vec_id bigint, score double",
+        _meet(k, metric, apart), "query_id bigint, vec_id bigint, score double",
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
