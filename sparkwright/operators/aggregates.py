@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -211,7 +213,7 @@ def agg_sketch_sets(spark, d) -> DataFrame:
 
 @query("agg_top_k")
 def agg_top_k(spark, d) -> DataFrame:
-    """The most frequent parts by a bounded sketch, estimated counts and all."""
+    """The most frequent suppliers by a bounded sketch, estimated counts and all."""
     table(spark, d, "lineitem").createOrReplaceTempView("sparkwright_top_k")
     return spark.sql("SELECT l_returnflag, explode(top) AS t FROM (SELECT l_returnflag, approx_top_k(l_suppkey, 5, 20000) AS top FROM sparkwright_top_k GROUP BY l_returnflag)").select("l_returnflag", F.col("t.item").alias("item"), F.col("t.count").alias("n"))
 
@@ -242,3 +244,42 @@ def evaluated(pairs: DataFrame) -> DataFrame:
         F.round(F.try_divide(tp, tp + fn), 6).alias("recall"),
         F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1"),
     )
+
+
+#: Of a count-min sketch: an estimate is never too low, and over by more than e / BUCKETS of all rows for one item in e ** ROWS.
+CM_ROWS, CM_BUCKETS = 4, 1024
+
+
+def count_min_cells(item: Column, rows: int = CM_ROWS, buckets: int = CM_BUCKETS) -> Column:
+    """The (row, bucket) of an item in each row of the sketch, four hex digits of its MD5 each; rows: eight at most."""
+    h = F.md5(item.cast("string").cast("binary"))
+    bucket = lambda k: F.conv(F.substring(h, 4 * k + 1, 4), 16, 10).cast("int") % buckets
+    return F.array(*(F.struct(F.lit(k).alias("row"), bucket(k).alias("bucket")) for k in range(rows)))
+
+
+def count_min(items: DataFrame, item: str, rows: int = CM_ROWS, buckets: int = CM_BUCKETS) -> DataFrame:
+    """(row, bucket, n): the sketch of a column, rows * buckets counts at most. Each task adds up its own before the shuffle."""
+    cells = items.where(F.col(item).isNotNull()).select(F.inline(count_min_cells(F.col(item), rows, buckets)))
+    return cells.groupBy("row", "bucket").agg(F.count("*").alias("n"))
+
+
+def count_min_merged(sketches: list[DataFrame]) -> DataFrame:
+    """The sketch of the rows of several."""
+    return reduce(DataFrame.unionByName, sketches).groupBy("row", "bucket").agg(F.sum("n").alias("n"))
+
+
+def count_min_estimates(sketch: DataFrame, items: DataFrame, item: str, rows: int = CM_ROWS, buckets: int = CM_BUCKETS) -> DataFrame:
+    """(item, estimate) of each distinct value of a column: the least of its counts over the rows of the sketch, 0 if one is empty."""
+    each = items.select(item).where(F.col(item).isNotNull()).distinct()
+    at = each.select(item, F.inline(count_min_cells(F.col(item), rows, buckets)))
+    found = at.join(F.broadcast(sketch), ["row", "bucket"], "left")  # rows * buckets rows at most
+    return found.groupBy(item).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
+@query("agg_count_min", f"""WITH h AS (SELECT l_partkey, md5(l_partkey::VARCHAR) AS h FROM lineitem), c AS (SELECT l_partkey, k AS row, ('0x' || substr(h, 4 * k + 1, 4))::INT % {CM_BUCKETS} AS bucket FROM h, range(0, {CM_ROWS}) u(k)),
+ s AS (SELECT row, bucket, count(*) AS n FROM c GROUP BY ALL) SELECT l_partkey, min(n)::BIGINT AS estimate FROM (SELECT DISTINCT * FROM c) JOIN s USING (row, bucket) GROUP BY l_partkey""")
+def agg_count_min(spark, d) -> DataFrame:
+    """How often each part is ordered, from the merged sketches of returned and of other lines."""
+    li = table(spark, d, "lineitem").select("l_partkey", "l_returnflag")
+    parts = [count_min(li.where(F.col("l_returnflag") == "R"), "l_partkey"), count_min(li.where(~F.col("l_returnflag").eqNullSafe("R")), "l_partkey")]
+    return count_min_estimates(count_min_merged(parts), li, "l_partkey")

@@ -133,11 +133,37 @@ def join_one_row(spark, d) -> DataFrame:
     )
 
 
+def dyadic_cells(first: Column, last: Column) -> Column:
+    """(level, cell) pairs that together cover the whole numbers first ... last, each once: two of a level at most, however long the interval.
+
+    Cells of level k are 2 ** k numbers wide. Those inside the interval are a ... b; an end that the next level's cells do not take in is a cell of the cover.
+    """
+    def cell(k: Column, c: Column, wanted: Column) -> Column:
+        return F.when(wanted, F.struct(k.alias("level"), c.cast("bigint").alias("cell")))
+
+    def of(k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        a, b = F.call_function("shiftright", first + width - 1, k), F.call_function("shiftright", last + 1, k) - 1
+        odd = (a <= b) & (F.pmod(a, F.lit(2)) == 1)
+        return F.array(cell(k, a, odd), cell(k, b, (a <= b) & (F.pmod(b, F.lit(2)) == 0)))  # a is odd and b even, so never one cell twice
+
+    top = F.when(last > first, F.floor(F.log2(last - first + 1)).cast("int") + 1).otherwise(F.lit(0))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), of)))
+
+
 def range_join(left: DataFrame, right: DataFrame, at: Column, low: Column, high: Column, width: float) -> DataFrame:
-    """Rows of left whose `at` lies in [low, high) of right: an equi-join on buckets of `width`, not a nested loop. Right goes to each bucket it touches."""
-    left = left.withColumn("bucket_", F.floor(at / width))
-    right = right.withColumn("bucket_", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
-    return left.join(right, "bucket_").where((at >= low) & (at < high)).drop("bucket_")
+    """Rows of left whose `at` lies in [low, high) of right: an equi-join on cells, not a nested loop. The narrowest cells are `width` wide.
+
+    An interval is cut into cells of doubling widths, O(log) of them even if it spans all values; a row of left is in one cell of each level that the intervals use.
+    """
+    cells = dyadic_cells(F.floor(low / width), F.floor(high / width))
+    right = right.withColumn("cell_", F.explode(cells)).withColumns({"level_": F.col("cell_.level"), "at_": F.col("cell_.cell")}).drop("cell_")
+    used = sorted(r[0] for r in right.select("level_").distinct().collect())  # 64 numbers at most
+    own = F.array(*(F.struct(F.lit(k).alias("level_"), F.shiftright(F.floor(at / width), k).alias("at_")) for k in used))
+    if not used:
+        own = F.array().cast("array<struct<level_:int,at_:bigint>>")
+    left = left.select("*", F.inline(own))
+    return left.join(right, ["level_", "at_"]).where((at >= low) & (at < high)).drop("level_", "at_")
 
 
 @query(

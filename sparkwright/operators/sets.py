@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.shared import written
 from ..sources.tables import table
 
 C, S = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
@@ -87,3 +88,19 @@ def cte_recursive(spark, d) -> DataFrame:
     table(spark, d, "orders").createOrReplaceTempView("sparkwright_orders")
     return spark.sql("""WITH RECURSIVE m(o_orderkey, step, left_over) AS (SELECT o_orderkey, 0, CAST(floor(o_totalprice) AS BIGINT) FROM sparkwright_orders
       UNION ALL SELECT o_orderkey, step + 1, left_over div 8 FROM m WHERE left_over >= 8) SELECT o_orderkey, CAST(max(step) AS INT) AS digits FROM m GROUP BY o_orderkey""")
+
+
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) of every node that can be reached from each of starts(start) over edges(src, dst), itself included.
+
+    Semi-naive: a step joins only the pairs that the step before found first, and each step's new pairs are written, so the lineage stays short and
+    nothing is found twice. It takes as many steps as the longest of the shortest paths.
+    """
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    new = written(starts.select("start", F.col("start").alias("node")).distinct(), "reached")
+    seen = new
+    while not new.isEmpty():
+        ahead = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        new = written(ahead.join(seen, ["start", "node"], "left_anti"), "reached")
+        seen = seen.union(new)
+    return seen

@@ -12,43 +12,47 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import written
-from .postings import StoredIndex, spread, tokens
+from .postings import StoredIndex, spread, stored, stored_index, tokens
 from .vectors import nearest
 
 DIMS, SPARSE, GRAM = 64, 4, 3
-#: Terms whose components a worker keeps.
-KEPT_TERMS = 1 << 17
+#: Texts that are summed at once.
+LOT = 256
 
 
-@functools.lru_cache(maxsize=KEPT_TERMS)
-def term_components(term: str) -> tuple[np.ndarray, np.ndarray]:
-    """The places and values of a term's vector."""
+@functools.lru_cache(maxsize=1 << 17)
+def gram_vector(gram: str) -> np.ndarray:
+    """The components of a run of characters: its feature's sign times the feature's projection."""
+    feature = hashlib.md5(gram.encode()).hexdigest()[:5]  # four digits of place, one of sign
+    row = hashlib.md5(feature[:4].encode()).hexdigest()
+    sign, out = 1 if feature[4] < "8" else -1, np.zeros(DIMS, np.int32)
+    for j in range(SPARSE):
+        out[int(row[2 * j : 2 * j + 2], 16) % DIMS] += sign if row[2 * SPARSE + j] < "8" else -sign
+    return out
+
+
+def term_vector(term: str) -> np.ndarray:
     marked = f"<{term}>"
-    grams = [marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)]
-    vector = np.zeros(DIMS)
-    for g in grams:
-        feature = hashlib.md5(g.encode()).hexdigest()[:5]  # four digits of place, one of sign
-        row = hashlib.md5(feature[:4].encode()).hexdigest()
-        sign = 1 if feature[4] < "8" else -1
-        for j in range(SPARSE):
-            vector[int(row[2 * j : 2 * j + 2], 16) % DIMS] += sign if row[2 * SPARSE + j] < "8" else -sign
-    at = np.flatnonzero(vector)
-    return at, vector[at] / np.sqrt(len(grams) * SPARSE)
+    grams = [gram_vector(marked[i : i + GRAM]) for i in range(len(marked) - GRAM + 1)]
+    return np.add.reduce(grams) / np.sqrt(len(grams) * SPARSE)
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def summed(terms: pa.Array) -> pa.Array:
-    """The unit vector of each list of (term, weight); zeros for an empty one."""
+    """The unit vector of each list of (term, weight), none of them empty."""
     out = np.zeros((len(terms), DIMS))
-    for own, of in zip(out, terms, strict=True):
-        for x in of.as_py() or ():
-            at, value = term_components(x["term"])
-            own[at] += x["weight"] * value
+    for at in range(0, len(terms), LOT):
+        lot = terms[at : at + LOT]
+        pairs, begins = lot.flatten(), np.cumsum([0, *lot.value_lengths().to_pylist()])[:-1]
+        words = pairs.field("term").dictionary_encode()
+        vectors = np.array([term_vector(t) for t in words.dictionary.to_pylist()])
+        each = vectors[words.indices.to_numpy()] * pairs.field("weight").to_numpy(zero_copy_only=False)[:, None]
+        out[at : at + LOT] = np.add.reduceat(each, begins)
     norm = np.sqrt((out**2).sum(1))[:, None]
     out = np.round(np.divide(out, norm, out=np.zeros_like(out), where=norm > 0), 6) + 0.0  # no negative zero
     return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), DIMS).cast(pa.list_(pa.float64()))
@@ -83,9 +87,17 @@ def encoded(index: StoredIndex, texts: DataFrame) -> DataFrame:
     return _by_text(tf.join(smoothed_idf(index), "term", "left").fillna(unseen, ["idf"]), index.keys)
 
 
-def dense_ranks(index: StoredIndex, passages: DataFrame, k: int) -> DataFrame:
-    """(item_id, doc_id, score, rank) of the k documents nearest to each of passages(item_id, text), by exact search in blocks of vectors."""
-    rows = written(encoded_documents(index).select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("v")), "encoded")
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, v) of the table documents, encoded at their first use."""
+    def build(_: DataFrame) -> DataFrame:
+        rows = encoded_documents(stored_index(spark, d))
+        return written(rows.select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("v")), "encoded")
+
+    return stored(spark, d, "vectors", build)
+
+
+def dense_ranks(index: StoredIndex, rows: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank) of the k of rows(vec_id, v) nearest to each of passages(item_id, text), by exact search in blocks of vectors."""
     asked = encoded(index, passages.select(F.col("item_id").alias("doc_id"), "text")).select(
         F.col("doc_id").alias("query_id"), F.col("vector").alias("q"),
     )

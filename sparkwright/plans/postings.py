@@ -7,6 +7,7 @@ in a block bound the score of every document there: blocks that cannot reach the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,8 +25,10 @@ TOKEN = r"[\p{L}\p{N}]+"
 BLOCK_DOCS, FILE_POSTINGS = 128, 4_000_000
 #: Terms that are named to the scan one by one; of more, it gets the first and the last.
 NAMED_TERMS = 256
-#: Rows for each of the k ranks, about, that the rarest terms of a passage give to set the bar for the rest.
+#: Rows for each of the k ranks, about, that the rarest terms of a passage give to find documents that set the bar.
 SEEDS = 50
+#: Documents for each of the k ranks that are scored whole to set it.
+FIRST = 10
 #: Scores are rounded to six places before they are ranked, hence the margin.
 MARGIN = 1e-5
 
@@ -74,14 +77,18 @@ class StoredIndex(NamedTuple):
             F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("most").alias("most"),
         )
 
-    def of(self, terms: DataFrame) -> DataFrame:
-        """The blocks of terms(term), each once: their range, or their names if they are few, reaches the scan."""
-        low, high, n = terms.agg(F.min("term"), F.max("term"), F.count("*")).first()
-        if not n:
-            return self.blocks.where(F.lit(False))
-        t = F.col("term")
-        near = t.isin([r[0] for r in terms.collect()]) if n <= NAMED_TERMS else t.between(low, high)
-        return self.blocks.where(near).join(small(terms), "term", "left_semi")
+    def of(self, terms: DataFrame, hint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The blocks of terms(term), each once: their range, or their names if they are few, reaches the scan. hint: as by `hint_for`."""
+        named = [r[0] for r in terms.distinct().limit(NAMED_TERMS + 1).collect()]
+        if len(named) <= NAMED_TERMS:
+            return self.blocks.where(F.col("term").isin(named))
+        low, high = terms.agg(F.min("term"), F.max("term")).first()
+        return self.blocks.where(F.col("term").between(low, high)).join((hint or small)(terms.distinct()), "term", "left_semi")
+
+
+def hint_for(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What gives df and tables no larger than it a broadcast hint, if df is small; else Spark joins by shuffle."""
+    return F.broadcast if small(df) is not df else lambda x: x
 
 
 def build_index(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), block_docs: int = BLOCK_DOCS) -> StoredIndex:
@@ -91,8 +98,8 @@ def build_index(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), block_docs
     )
     # the null at the end gives every document one row for its length, whatever its terms
     each = w.select(
-        *keys, F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"),
-    )
+        *keys, F.size("w").alias("dl"), F.explode_outer(F.concat("w", F.array(F.lit(None).cast("string")))).alias("term"),
+    )  # the outer form spares the filters that Spark would infer, which split every text again
     counts = written(each.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf")), "term_counts")
     n, mean, total = counts.agg(
         F.count_if(F.col("term").isNull()), F.avg(F.when(F.col("term").isNull(), F.col("dl"))), F.count("*"),
@@ -112,71 +119,85 @@ def build_index(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), block_docs
     return index._replace(blocks=written(blocks, "index"))
 
 
-_STORED: dict[tuple, StoredIndex] = {}
+_STORED: dict[tuple, object] = {}
 
 
-def stored_index(spark: SparkSession, d: str) -> StoredIndex:
-    """The index of the table documents, built once by each application and kept in the shared folder; built anew when the table's files change."""
+def stored(spark: SparkSession, d: str, name: str, build: Callable[[DataFrame], object]) -> object:
+    """What build makes of the table documents: made once by each application, kept in the shared folder, and made anew when the table's files change."""
     meta = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     marks = meta.distinct().agg(F.count("*"), F.sum("file_size"), F.bit_xor(F.xxhash64("*"))).first()
-    key = (spark.sparkContext.applicationId, d, *marks)
+    key = (spark.sparkContext.applicationId, d, name, *marks)
     if key not in _STORED:
-        _STORED[key] = build_index(table(spark, d, "documents"))
+        _STORED[key] = build(table(spark, d, "documents"))
     return _STORED[key]
 
 
+def stored_index(spark: SparkSession, d: str) -> StoredIndex:
+    """The index of the table documents, built at its first use."""
+    return stored(spark, d, "index", build_index)
+
+
 def _scored(hits: DataFrame, keys: list[str]) -> DataFrame:
     """(item_id, *keys, score) of hits(item_id, idf, docs), blocks met by terms of passages."""
-    each = hits.select("item_id", "idf", F.inline("docs"))
+    # the outer form spares the filters that Spark would infer, which compute docs again
+    each = hits.select("item_id", "idf", F.inline_outer("docs")).where("weight IS NOT NULL")
     return each.groupBy("item_id", *keys).agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
 
 
+def _completed(index: StoredIndex, pairs: DataFrame, terms: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(item_id, *keys, score): what terms(item_id, term, idf) add to the scores of pairs(item_id, *keys); only the blocks of those documents are opened."""
+    one = len(index.keys) == 1
+    key = F.col(index.keys[0]) if one else F.struct(*index.keys)
+    of_blocks = pairs.groupBy("item_id", index.block_of().alias("block")).agg(F.collect_list(key).alias("own"))  # a block's documents at most
+    asked = of_blocks.join(hint(terms), "item_id")
+
+    def among(x: Column) -> Column:
+        return F.array_contains("own", x[index.keys[0]] if one else F.struct(*(x[c].alias(c) for c in index.keys)))
+
+    blocks = index.blocks.join(hint(terms.select("term").distinct()), "term", "left_semi")
+    hits = blocks.join(asked, ["term", "block"]).select("item_id", "idf", F.filter("docs", among).alias("docs"))
+    return _scored(hits, index.keys)
+
+
 def bm25_ranks(index: StoredIndex, passages: DataFrame, k: int) -> DataFrame:
     """(item_id, *keys, score, rank) of the k best documents of each of passages(item_id, text), by blocks that can hold them.
 
-    The rarest terms of a passage (until they bring SEEDS * k rows) are added up first; the k-th best of those sums is a bar that a document must
-    reach. Terms whose largest weights together stay under the bar are spared: they bring no candidates. The blocks where a passage's
-    terms together could reach the bar are opened for its other terms, and of the spared ones only the blocks that hold a document whose sum could still reach it. The ranks are those of
-    all pairs.
+    The rarest terms of a passage (until they bring SEEDS * k rows) are added up first, and the FIRST * k best documents by them are scored whole; their k-th best score is a bar
+    that a document must reach. Terms whose largest weights together stay under the bar are spared: they bring no candidates. The blocks where a passage's terms together
+    could reach the bar are opened for its other terms, and for the spared ones only the blocks of documents that could still reach it, by the
+    largest weights in their block. The ranks are those of all pairs.
     """
     keys = index.keys
-    asked = written(passage_terms(passages), "passage_terms")
-    wanted = asked.select("term").distinct()
-    heads = written(index.of(wanted).select("term", "block", "n", "most"), "heads")
+    terms = written(passage_terms(passages), "passage_terms")
+    hint = hint_for(terms)
+    heads = index.of(terms.select("term"), hint).select("term", "block", "n", "most")
     known = heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
     idf = F.ln(F.lit(1.0) + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = written(asked.join(known, "term").withColumn("idf", idf).withColumn("top", F.col("idf") * F.col("most")), "asked")
+    asked = written(terms.join(known, "term").withColumn("idf", idf).withColumn("top", F.col("idf") * F.col("most")), "asked")
     of_item = Window.partitionBy("item_id")
     rarer = F.sum("df").over(of_item.orderBy(F.desc("top"), "term").rowsBetween(Window.unboundedPreceding, -1))
     first = asked.withColumn("rarer", F.coalesce(rarer, F.lit(0))).where(F.col("rarer") < SEEDS * k)
-    sums = _scored(index.blocks.join(small(first.select("item_id", "term", "idf")), "term"), keys)
-    bars = written(
-        top_k(sums, "item_id", keys, k).groupBy("item_id").agg(
-            F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar"),
-        ),
-        "bars",
-    )
+    sums = _scored(index.blocks.join(hint(first.select("item_id", "term", "idf")), "term"), keys)
+    tried = top_k(sums, "item_id", keys, FIRST * k).select("item_id", *keys)
+    whole = _completed(index, tried, asked.select("item_id", "term", "idf"), hint)
+    bars = top_k(whole, "item_id", keys, k).groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("bar"))
     rest = F.sum("top").over(of_item.orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0))
-    dealt = asked.withColumn("rest", rest).join(small(bars), "item_id").withColumn("spared", F.col("rest") + MARGIN < F.col("bar"))
-    dealt = written(dealt.select("item_id", "term", "idf", "rest", "bar", "spared"), "dealt")
-    bounds = dealt.groupBy("item_id").agg(
-        F.first("bar").alias("bar"), F.max(F.when(F.col("spared"), F.col("rest")).otherwise(0.0)).alias("slack"),
-    )
-    live = heads.join(small(dealt), "term").groupBy("item_id", "block").agg(
-        F.sum(F.col("idf") * F.col("most")).alias("most"), F.first("bar").alias("bar"),
-    ).where(F.col("most") + MARGIN >= F.col("bar")).select("item_id", "block")
+    dealt = asked.withColumn("rest", rest).join(bars, "item_id").withColumn("spared", F.col("rest") + MARGIN < F.col("bar"))
+    dealt = written(dealt.select("item_id", "term", "idf", "bar", "spared"), "dealt")
+    most = F.col("idf") * F.col("most")
+    live = heads.join(hint(dealt), "term").groupBy("item_id", "block").agg(
+        F.sum(most).alias("most"), F.sum(F.when(F.col("spared"), most).otherwise(0.0)).alias("slack"), F.first("bar").alias("bar"),
+    ).where(F.col("most") + MARGIN >= F.col("bar")).select("item_id", "block", (F.col("bar") - F.col("slack") - MARGIN).alias("least"))
     live = small(written(live, "live_blocks"), most_rows=1_000_000)
-    leading = dealt.where("NOT spared").select("item_id", "term", "idf")
-    hits = index.blocks.join(small(leading), "term").join(live, ["item_id", "block"])
+    leading = hint(dealt.where("NOT spared").select("item_id", "term", "idf"))
+    hits = index.blocks.join(leading, "term").join(live, ["item_id", "block"])
+    each = hits.select("item_id", "idf", "least", F.inline("docs"))
     likely = written(
-        _scored(hits, keys).join(small(bounds), "item_id").where(F.col("score") + F.col("slack") + MARGIN >= F.col("bar")).select(
-            "item_id", *keys, "score",
-        ),
+        each.groupBy("item_id", *keys).agg(
+            F.sum(F.col("idf") * F.col("weight")).alias("score"), F.first("least").alias("least"),
+        ).where(F.col("score") >= F.col("least")).select("item_id", *keys, "score"),
         "likely",
     )
-    of_blocks = likely.groupBy("item_id", index.block_of().alias("block")).agg(F.collect_list(F.struct(*keys)).alias("own"))  # a block's documents at most
-    spared = of_blocks.join(small(dealt.where("spared").select("item_id", "term", "idf")), "item_id")
-    own = F.filter("docs", lambda x: F.array_contains("own", F.struct(*(x[c].alias(c) for c in keys))))
-    more = _scored(index.blocks.join(spared, ["term", "block"]).select("item_id", "idf", own.alias("docs")), keys)
+    more = _completed(index, likely, dealt.where("spared").select("item_id", "term", "idf"), hint)
     whole = likely.unionByName(more).groupBy("item_id", *keys).agg(F.round(F.sum("score"), 6).alias("score"))
     return top_k(whole, "item_id", keys, k)

@@ -13,8 +13,8 @@ from ..operators.joins import small
 from ..registry import query
 from ..sources.shared import written
 from ..sources.tables import table
-from . import postings
-from .encoding import ENCODE_SQL, dense_ranks, encoded, encoded_documents
+from . import encoding, postings
+from .encoding import ENCODE_SQL, encoded, stored_vectors
 from .postings import K1, B, StoredIndex, build_index, passage_terms, stored_index, tokens
 
 #: Fixed value of reciprocal rank fusion.
@@ -195,7 +195,7 @@ DENSE_SQL = f"""dense AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION
 def encode_text(spark, d) -> DataFrame:
     """Dense vectors of all documents and passages, in one space."""
     index = stored_index(spark, d)
-    docs = encoded_documents(index).select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "vector")
+    docs = stored_vectors(spark, d).select(F.lit("documents").alias("kind"), F.col("vec_id").alias("id"), F.col("v").alias("vector"))
     p = encoded(index, table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"))
     return docs.unionByName(p.select(F.lit("benchmark").alias("kind"), F.col("doc_id").alias("id"), "vector"))
 
@@ -203,7 +203,11 @@ def encode_text(spark, d) -> DataFrame:
 @query("dense", f"WITH {ENCODE_SQL}, {DENSE_SQL} SELECT item_id, doc_id, score, rank FROM dense")
 def dense(spark, d) -> DataFrame:
     """For each benchmark passage, the ten documents of the nearest vectors."""
-    return dense_ranks(stored_index(spark, d), table(spark, d, "benchmark"), TOP)
+    return dense_ranks(spark, d)
+
+
+def dense_ranks(spark, d, k: int = TOP) -> DataFrame:
+    return encoding.dense_ranks(stored_index(spark, d), stored_vectors(spark, d), table(spark, d, "benchmark"), k)
 
 
 @query(
@@ -213,7 +217,7 @@ def dense(spark, d) -> DataFrame:
 def rrf(spark, d) -> DataFrame:
     """A lexical and a dense list of the same documents, fused by rank."""
     index, passages = stored_index(spark, d), table(spark, d, "benchmark")
-    return fuse([bm25_ranks(index, passages), dense_ranks(index, passages, TOP)]).select(
+    return fuse([bm25_ranks(index, passages), dense_ranks(spark, d)]).select(
         "item_id", "doc_id", F.round("score", 9).alias("score"),
     )
 
@@ -232,7 +236,7 @@ def score_fusion(spark, d) -> DataFrame:
             (share * F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(0.0))).alias("s"),
         )
 
-    both = scaled(bm25_ranks(index, passages), 0.7).unionByName(scaled(dense_ranks(index, passages, TOP), 0.3))
+    both = scaled(bm25_ranks(index, passages), 0.7).unionByName(scaled(dense_ranks(spark, d), 0.3))
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sets import closure
 from ..registry import query
 from ..sources.shared import written
 from ..sources.tables import table
@@ -227,3 +228,15 @@ def diverse(g: pd.DataFrame, keep: int = 5, trade: float = 0.7) -> pd.DataFrame:
     })
 
 
+GRAPH = 5
+
+
+@query("cte_closure", f"""WITH RECURSIVE near AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM
+ (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_inner_product({PAIR}), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE rank <= {GRAPH}),
+ r(start, node) AS (SELECT vec_id, vec_id FROM embeddings WHERE vec_id % 20 = 0 UNION SELECT start, dst FROM r JOIN near ON node = src) SELECT start, node FROM r""")
+def cte_closure(spark, d) -> DataFrame:
+    """What each query vector reaches over the graph of every vector's GRAPH nearest."""
+    q, rows = _sides(spark, d)
+    near = nearest(rows.toDF("query_id", "q"), rows, GRAPH)
+    edges = near.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
+    return closure(edges, q.select(F.col("query_id").alias("start")))

@@ -10,8 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwright import catalogue
-from sparkwright.operators.joins import range_join, salted_join, small
-from sparkwright.plans import retrieval, vectors
+from sparkwright.operators.aggregates import CM_BUCKETS, CM_ROWS, count_min, count_min_estimates, count_min_merged
+from sparkwright.operators.joins import dyadic_cells, range_join, salted_join, small
+from sparkwright.operators.sets import closure
+from sparkwright.plans import encoding, postings, retrieval, vectors
 from sparkwright.plans.retrieval import split_text
 from sparkwright.plans.vectors import diverse, nearest
 from sparkwright.sources.shared import shared_dir
@@ -59,6 +61,39 @@ def test_range_join_against_all_pairs(spark):
     assert sorted(map(tuple, got)) == sorted((i, j) for (i, x), (j, lo, hi) in product(a, b) if lo <= x < hi)
 
 
+def test_range_join_of_long_intervals_makes_few_rows(spark):
+    rng = np.random.default_rng(5)
+    a = [(i, float(x)) for i, x in enumerate(rng.integers(-100_000, 100_000, 60))] + [(60, None)]
+    b = [(0, -1e6, 1e6), (1, -1e6, -99_999.5), (2, 7.0, 7.0), (3, 8.0, 3.0), (4, None, 5.0)]
+    b += [(5 + i, float(min(x)), float(max(x))) for i, x in enumerate(rng.integers(-100_000, 100_000, (40, 2)).tolist())]
+    left, right = spark.createDataFrame(a, "a int, x double"), spark.createDataFrame(b, "b int, lo double, hi double")
+    got = range_join(left, right, F.col("x"), F.col("lo"), F.col("hi"), 10.0).select("a", "b").collect()
+    want = sorted((i, j) for (i, x), (j, lo, hi) in product(a, b) if x is not None and lo is not None and lo <= x < hi)
+    assert sorted(map(tuple, got)) == want
+    cells = right.where("b = 0").select(F.explode(dyadic_cells(F.floor(F.col("lo") / 10.0), F.floor(F.col("hi") / 10.0))).alias("c")).select("c.*").collect()
+    covered = sorted(n for r in cells for n in range(r["cell"] << r["level"], (r["cell"] + 1) << r["level"]))
+    assert len(cells) < 40 and covered == list(range(-100_000, 100_001))
+    assert range_join(left, right.where("false"), F.col("x"), F.col("lo"), F.col("hi"), 10.0).count() == 0
+
+
+def test_closure_over_cycles_and_dead_ends(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 1), (1, 2), (7, None), (None, 1)], "src int, dst int")
+    got = closure(edges, spark.createDataFrame([(1,), (5,), (6,), (9,), (1,)], "start int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (1, 3), (1, 4), (5, 5), (6, 1), (6, 2), (6, 3), (6, 4), (6, 6), (9, 9)]
+
+
+def test_count_min_is_never_too_low_and_within_its_bound(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey")
+    n = df.count()
+    exact = {r[0]: r[1] for r in df.groupBy("l_orderkey").count().collect()}
+    parts = [count_min(df.where("l_orderkey % 2 = 0"), "l_orderkey"), count_min(df.where("l_orderkey % 2 = 1"), "l_orderkey")]
+    whole = {tuple(r) for r in count_min(df, "l_orderkey").collect()}
+    assert {tuple(r) for r in count_min_merged(parts).collect()} == whole
+    got = {r[0]: r[1] for r in count_min_estimates(count_min_merged(parts), df, "l_orderkey").collect()}
+    assert set(got) == set(exact) and all(got[k] >= exact[k] for k in exact)
+    assert sum(got[k] - exact[k] > np.e / CM_BUCKETS * n for k in exact) <= len(exact) * np.exp(-CM_ROWS) * 1.5 + 1
+
+
 def test_salted_join_keeps_all_rows(spark):
     big = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("x")).union(spark.range(3).select(F.lit(2), "id"))
     other = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "k2 int, y string")
@@ -120,10 +155,42 @@ def test_bar_of_few_terms_loses_no_rank(spark):
     docs = [(k, " ".join(["the", "of", *(words[min(59, int(x))] for x in rng.exponential(12, 30))])) for k in range(150)]
     passages = [(k, " ".join(["the", "of", *(words[int(x)] for x in rng.integers(0, 60, 8))])) for k in range(12)] + [(99, "the of"), (98, "nowhere")]
     df, p = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, text string")
-    index = retrieval.index_for(df, p)
-    whole = retrieval.weighted(index).join(index.asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    want = retrieval.top_k(whole, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
-    assert sorted(map(tuple, retrieval.bm25_ranks(index).select("item_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+    for block_docs in (4, 128):
+        index = retrieval.build_index(df, block_docs=block_docs)
+        asked = retrieval.passage_terms(p)
+        known = index.terms().withColumn("idf", F.ln(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        pairs = index.postings().join(known.select("term", "idf"), "term").join(asked, "term")
+        whole = pairs.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+        want = retrieval.top_k(whole, "item_id", "doc_id").select("item_id", "doc_id", "score", "rank")
+        assert sorted(map(tuple, retrieval.bm25_ranks(index, p).select("item_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_index_is_stored_by_term_and_reads_no_text(spark, sf):
+    index = postings.stored_index(spark, sf)
+    assert postings.stored_index(spark, sf) is index and index.blocks.agg(F.max("n")).first()[0] <= index.n
+    few = spark.createDataFrame([("zzz",), ("und",)], "term string")
+    plan = index.of(few)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [" in plan and "text" not in plan
+    plan = catalogue.QUERIES["bm25"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "regexp_extract_all" not in plan
+
+
+def test_encoded_texts_of_common_words_are_near(spark):
+    docs = [(1, "the red house stands"), (2, "red houses stand"), (3, "quantum chromodynamics"), (4, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    index = retrieval.build_index(df)
+    v = {r["doc_id"]: np.array(r["vector"]) for r in encoding.encoded(index, df).collect()}
+    assert set(v) == {1, 2, 3} and v[1] @ v[2] > 0.3 > abs(v[1] @ v[3]) and all(abs(np.linalg.norm(x) - 1) < 1e-4 for x in v.values())
+    assert {r["doc_id"]: list(r["vector"]) for r in encoding.encoded_documents(index).collect()} == {k: list(x) for k, x in v.items()}
+
+
+def test_short_passages_join_by_their_opening(spark, sf):
+    docs = [(1, "ab cd"), (2, "xab c"), (3, "\n\n."), (4, ""), (5, "é😀 b")]
+    passages = [(1, "ab"), (2, ""), (3, "ab cd"), (4, "\n."), (5, "😀 b"), (6, None), (7, "zz")]
+    got = retrieval.holders(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, k) for i, p in passages for k, t in docs if p is not None and p in t)
+    p = table(spark, sf, "benchmark").where("item_id < 5").select("item_id", F.substring("text", 1, 20).alias("text"))
+    assert "NestedLoop" not in retrieval.holders(table(spark, sf, "documents"), p)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_holders_find_what_is_cut_out_of_words(spark):
