@@ -143,6 +143,10 @@ def places(ids: DataFrame) -> DataFrame:
     )
 
 
+def _key(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, own, edited, next) for each row of docs: the text, the edited one, and the fingerprints of the text and of the next document.
 
@@ -151,16 +155,19 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     order = places(materialize(slim.groupBy("id").agg(F.max(half).alias("need")), "ids"))
-    # binary, as the rows are shuffled; both joins use the one shuffle
-    keyed = slim.withColumn("own", F.unhex(packed(sketch(F.col("text")))))
-    taken = keyed.join(order.withColumnRenamed("id", "at"), F.col("id").eqNullSafe(F.col("at"))).select(
-        "before", F.left("text", F.col("need")).alias("head"), F.col("own").alias("next"),
+    # keys without null let the joins and the grouping share shuffles, in which the fingerprint is binary; both joins read one shuffle of the same columns
+    keyed = slim.select(_key("id").alias("key"), F.col("id").isNull().alias("none"), "text", F.unhex(packed(sketch(F.col("text")))).alias("own"))
+    order = order.select("before", "need", _key("id").alias("key"), F.col("id").isNull().alias("none"))
+    taken = keyed.join(order, ["key", "none"]).select(
+        _key("before").alias("key"), F.col("before").isNull().alias("none"), F.left("text", F.col("need")).alias("head"),
+        F.col("own").alias("next"),
     )
-    heads = taken.groupBy("before").agg(F.min(F.struct("head", "next")).alias("taken")).select("before", "taken.*")
-    both = keyed.join(heads, F.col("id").eqNullSafe(F.col("before")), "left")
+    heads = taken.groupBy("key", "none").agg(F.min(F.struct("head", "next")).alias("taken")).select("key", "none", "taken.*")
+    both = keyed.join(heads, ["key", "none"], "left")
     edited = F.concat(F.left("text", F.char_length("text") - half), F.left("head", half))
+    same_id = F.when(~F.col("none"), F.col("key").cast(slim.schema["id"].dataType))
     return both.select(
-        "id", "text", F.lower(F.hex("own")).alias("own"), edited.alias("edited"), F.lower(F.hex("next")).alias("next"),
+        same_id.alias("id"), "text", F.lower(F.hex("own")).alias("own"), edited.alias("edited"), F.lower(F.hex("next")).alias("next"),
     )
 
 
