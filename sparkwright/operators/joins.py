@@ -176,18 +176,46 @@ def join_theta_range(spark, d) -> DataFrame:
     return range_join(o, p, F.col("o_totalprice"), low, low + 10, 40.0).select("o_orderkey", "p_partkey")
 
 
+#: Slices of time into which an as-of join cuts each key.
+ASOF_SLICES = 64
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, slices: int = ASOF_SLICES) -> DataFrame:
+    """left with the `value` of the latest row of right(key, at, value) of the same key at or before its own `at`; the largest value of equal instants, null if there is none or key or `at` is null.
+
+    Time is cut at quantiles of both sides, and a key's rows of one slice are a group of their own, so a key of half the rows is `slices` tasks. Within a slice one
+    window finds the match; rows before their slice's first match take the last one of the slices before, of which a key has at most one for each slice. `at` is a timestamp.
+    """
+    right = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, value)
+    instants = left.select(at).unionAll(right.select(at)).select(F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    cuts = instants.agg(F.percentile_approx("us", [i / slices for i in range(1, slices)], 1000)).first()[0] or []
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    cut = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>")
+    slice_ = F.when(us.isNotNull(), F.size(F.filter(cut, lambda c: c <= us)))
+    left, right = left.withColumn("slice_", slice_), right.withColumn("slice_", slice_)
+
+    both = left.withColumn("match_", F.lit(None).cast(right.schema[value].dataType)).withColumn("own_", F.lit(True)).unionByName(
+        right.select(key, at, "slice_", F.col(value).alias("match_"), F.lit(False).alias("own_")), allowMissingColumns=True,
+    )
+    w = Window.partitionBy(key, "slice_").orderBy(at, "own_", "match_").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("match_", F.last_value("match_", ignoreNulls=True).over(w)).where("own_")
+
+    ends = right.groupBy(key, "slice_").agg(F.max(F.struct(at, value))[value].alias("end_"))
+    later = Window.partitionBy(key).orderBy("slice_")
+    ends = ends.withColumn("upto_", F.coalesce(F.lead("slice_").over(later), F.lit(slices)))  # a key has a row a slice at most
+    carried = ends.select(F.col(key).alias("key_"), "end_", F.explode(F.expr("filter(sequence(slice_, upto_), s -> s > slice_)")).alias("to_"))
+    out = inside.join(carried, (F.col(key) == F.col("key_")) & (F.col("slice_") == F.col("to_")), "left")
+    return out.withColumn(value, F.coalesce("match_", "end_")).select(*(c for c in left.columns if c != "slice_"), value)
+
+
 @query("join_asof", """SELECT e.event_id, p.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type <> 'purchase') e
  ASOF LEFT JOIN (SELECT max(event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def join_asof(spark, d) -> DataFrame:
-    """The latest purchase at or before each other event of the user: one union and one window, no join."""
+    """The latest purchase at or before each other event of the user."""
     e = table(spark, d, "events")
-    bought = F.col("event_type") == "purchase"
-    both = e.select("user_id", "ts", "event_id", bought.alias("bought"))
-    w = Window.partitionBy("user_id").orderBy(
-        "ts", F.desc("bought"), "event_id",
-    ).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last_value(F.when(F.col("bought"), F.col("event_id")), ignoreNulls=True).over(w)
-    return both.withColumn("last_purchase", last).where("not bought").select("event_id", "last_purchase")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_purchase"))
+    rest = e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id")
+    return asof_join(rest, bought, "user_id", "ts", "last_purchase").select("event_id", "last_purchase")
 
 
 @query("join_interval", """SELECT a.event_id AS event_id, count(*)::BIGINT AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR

@@ -10,8 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwright import catalogue
-from sparkwright.operators.aggregates import CM_BUCKETS, CM_ROWS, count_min, count_min_estimates, count_min_merged
-from sparkwright.operators.joins import dyadic_cells, range_join, salted_join, small
+from sparkwright.operators.aggregates import (
+    CM_BUCKETS, CM_ROWS, count_min, count_min_estimates, count_min_merged, exact_quantiles, from_ordered_bits, ordered_bits,
+)
+from sparkwright.operators.joins import asof_join, dyadic_cells, range_join, salted_join, small
 from sparkwright.operators.sets import closure
 from sparkwright.plans import encoding, postings, retrieval, vectors
 from sparkwright.plans.retrieval import split_text
@@ -232,3 +234,68 @@ def test_shared_folder_must_be_named_on_a_cluster():
     for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
         with pytest.raises(ValueError):
             shared_dir(Session(spark_master=master))
+
+
+def test_ordered_bits_keep_order_and_value(spark):
+    import struct
+
+    rng = np.random.default_rng(11)
+    xs = [struct.unpack("<d", rng.bytes(8))[0] for _ in range(2000)]
+    xs = [x for x in xs if x == x] + [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.0**-1022, 2.2e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+    xs += [float(np.nextafter(2.0**e, w)) for e in (-1022, -3, 0, 1, 29, 52, 1023) for w in (0.0, np.inf)] + [2.0**e for e in range(-1074, 1024, 7)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", ordered_bits(F.col("x")).alias("k"))
+    got = df.select("x", "k", from_ordered_bits(F.col("k")).alias("back")).collect()
+    for r in got:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["x"])))[0]
+        assert r["k"] == (-bits if r["x"] < 0 else bits) and r["back"] == r["x"]
+    nan = spark.createDataFrame([(float("nan"),)], "x double").select(ordered_bits(F.col("x")).alias("k"), from_ordered_bits(ordered_bits(F.col("x"))).alias("b")).first()
+    assert nan["k"] > max(r["k"] for r in got) and nan["b"] != nan["b"]
+
+
+def test_exact_quantiles_of_a_hot_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(x)) for x in rng.normal(size=3000)] + [("ties", x) for x in [2.0] * 500 + [3.0]] + [("one", -1.5), ("none", None)]
+    rows += [(None, float(x)) for x in rng.integers(-5, 5, 40)] + [("wide", float(x)) for x in 10.0 ** rng.uniform(-300, 300, 200)] + [("inf", float("inf"))] * 3
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    fractions = {"least": 0.0, "mid": 0.5, "p90": 0.9, "most": 1.0}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", fractions).collect()}
+    want = {r["g"]: r for r in df.where("x IS NOT NULL").groupBy("g").agg(*(F.percentile("x", F.lit(p)).alias(k) for k, p in fractions.items())).collect()}
+    assert set(got) == set(want) == {"hot", "ties", "one", "wide", "inf", None}
+    for g in set(want) - {"inf"}:
+        for k in fractions:
+            assert got[g][k] == pytest.approx(want[g][k], rel=1e-12), (g, k)
+    assert got["inf"]["mid"] == float("inf")
+    assert exact_quantiles(df.where("false"), ["g"], "x", fractions).count() == 0
+
+
+def test_asof_join_against_loops_with_a_hot_key(spark):
+    rng = np.random.default_rng(4)
+    keys = lambda n: [None if x == 0 else 1 if x < 30 else int(x) % 7 for x in rng.integers(0, 60, n)]
+    times = lambda n: [None if x == 0 else int(x) for x in rng.integers(0, 200, n)]
+    a = list(zip(range(400), keys(400), times(400)))
+    b = list(zip(keys(60), times(60), range(1000, 1060)))
+    left = spark.createDataFrame(a, "i int, k int, t int").withColumn("t", F.timestamp_seconds("t"))
+    right = spark.createDataFrame(b, "k int, t int, v int").withColumn("t", F.timestamp_seconds("t"))
+    want = {i: max(((t2, v) for k2, t2, v in b if None not in (k, t, k2, t2) and k2 == k and t2 <= t), default=(0, None))[1] for i, k, t in a}
+    for slices in (1, 7, 64):
+        got = asof_join(left, right, "k", "t", "v", slices)
+        assert got.columns == ["i", "k", "t", "v"]
+        rows = got.collect()
+        assert len(rows) == len(a) and {r["i"]: r["v"] for r in rows} == want
+    assert asof_join(left, right.where("false"), "k", "t", "v").where("v IS NOT NULL").count() == 0
+    assert asof_join(left.where("false"), right, "k", "t", "v").count() == 0
+
+
+def test_asof_join_gives_no_task_half_the_rows(spark):
+    hot = spark.range(20_000).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("t"), F.col("id").alias("v"))
+    left = hot.drop("v")
+    groups = {}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for r in asof_join(left, hot, "k", "t", "v").groupBy(F.spark_partition_id().alias("p")).count().collect():
+            groups[r["p"]] = r["count"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(groups.values()) == 20_000 and max(groups.values()) < 20_000 / 2
