@@ -1,4 +1,4 @@
-"""Vector search, exact in blocks and approximate by an inverted file, and diverse reranking."""
+"""Vector search, exact in blocks and approximate by an inverted file or by hyperplanes, and diverse reranking."""
 
 from __future__ import annotations
 
@@ -203,6 +203,105 @@ def knn_ivf(spark, d) -> DataFrame:
     return ivf_search(index, q, ivf_probes(index, q, rows))
 
 
+#: Tables of hyperplanes, hyperplanes of a table at most, and rows of a bucket that their number aims at.
+LSH_TABLES, LSH_BITS, LSH_ROWS, LSH_SEED = 8, 24, 64, 5
+#: Probes of a query's buckets turn over subsets of its so many nearest hyperplanes.
+LSH_TURNED = 8
+
+
+class Hashed(NamedTuple):
+    """Rows by bucket: rows(cell, part, parts, vec_id, v), each once for each table, and the planes(table, plane, dimension)."""
+
+    rows: DataFrame
+    planes: np.ndarray
+
+
+def _buckets(planes, probes: int) -> Callable:
+    """The first probes buckets of each vector in each table, as table << LSH_BITS | signs: its own, then those on the other side of the planes it is nearest to, by the sum of the squared distances."""
+
+    @F.arrow_udf("array<array<bigint>>")
+    def buckets(v: pa.Array) -> pa.Array:
+        tables, bits, _ = planes.value.shape
+        turned = min(bits, LSH_TURNED)
+        subsets = (np.arange(1 << turned)[:, None] >> np.arange(turned) & 1).astype(np.float32)
+        out = []
+        for at in range(0, len(v), BLOCK):
+            x = np.stack(v[at : at + BLOCK].to_numpy(zero_copy_only=False)).astype(np.float32)
+            rows = [[] for _ in range(len(x))]
+            for t in range(tables):
+                side = x @ planes.value[t].T
+                own = ((side > 0).astype(np.int64) << np.arange(bits)).sum(1)
+                if probes == 1:
+                    found = own[:, None]
+                else:
+                    near = np.argsort(np.abs(side), axis=1, kind="stable")[:, :turned]
+                    cost = np.take_along_axis(side, near, 1) ** 2 @ subsets.T
+                    best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+                    flips = np.stack([(subsets[b].astype(np.int64) << n).sum(1) for b, n in zip(best, near)])
+                    found = own[:, None] ^ flips
+                for row, cells in zip(rows, found | t << LSH_BITS):
+                    row.append(cells)
+            out += rows
+        return pa.array(out, pa.list_(pa.list_(pa.int64())))
+
+    return buckets
+
+
+def lsh_index(rows: DataFrame, tables: int = LSH_TABLES, bits: int | None = None, block: int = BLOCK) -> Hashed:
+    """rows(vec_id, v), every one, in a bucket of each table of random hyperplanes. Buckets of more than a block are cut into parts, so equal vectors make no large task."""
+    n, one = rows.count(), rows.select(F.size("v")).first()
+    bits = min(LSH_BITS, max(1, round(np.log2(max(2, n) / LSH_ROWS)))) if bits is None else bits
+    planes = np.random.default_rng(LSH_SEED).normal(size=(tables, bits, one[0] if one else 1)).astype(np.float32)
+    sent = rows.sparkSession.sparkContext.broadcast(planes)
+    cells = F.flatten(_buckets(sent, 1)("v"))
+    dealt = written(rows.select(F.explode(cells).alias("cell"), "vec_id", "v"), "lsh")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    return Hashed(dealt.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")), planes)
+
+
+def lsh_probes(index: Hashed, queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot") -> int:
+    """The fewest probes of a table that reach IVF_REACH of the exact neighbours of IVF_TRIED queries in any table, or all that there are: one exact pass for them."""
+    sent, most = rows.sparkSession.sparkContext.broadcast(index.planes), 1 << min(index.planes.shape[1], LSH_TURNED)
+    tried = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(IVF_TRIED)
+    order = tried.select("query_id", _buckets(sent, most)("q").alias("order"))
+    near = nearest(tried, rows, k, metric).join(index.rows.select("vec_id", "cell"), "vec_id").join(order, "query_id")
+    place = F.array_position(F.get("order", F.shiftright("cell", LSH_BITS).cast("int")), F.col("cell"))
+    first = near.groupBy("query_id", "vec_id").agg(F.min(F.when(place > 0, place)).alias("first"))
+    ranks = sorted(r[0] if r[0] else most for r in first.select("first").collect())  # IVF_TRIED * k numbers at most
+    return int(ranks[max(0, int(np.ceil(IVF_REACH * len(ranks))) - 1)]) if ranks else 1
+
+
+def lsh_candidates(index: Hashed, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, q, cell) for each bucket that a query is compared with."""
+    sent = queries.sparkSession.sparkContext.broadcast(index.planes)
+    return queries.select("query_id", "q", F.explode(F.flatten(_buckets(sent, probes)("q"))).alias("cell"))
+
+
+def lsh_search(index: Hashed, queries: DataFrame, probes: int, k: int = TOP, metric: str = "dot") -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k best rows that share one of the probed buckets of a table with each of queries(query_id, q): an equi-join on bucket and part."""
+    asked = written(lsh_candidates(index, queries, probes), "asked")
+    lots = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
+    parts = index.rows.select("cell", "parts").distinct()
+    asked = asked.join(lots, "cell").join(parts, "cell").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
+    asked = asked.select("cell", "lot", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = index.rows.join(lots, "cell").select(
+        "cell", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
+    )
+    met = asked.groupBy("cell", "part", "lot").cogroup(rows.groupBy("cell", "part", "lot")).applyInArrow(
+        _meet(k, metric), "query_id bigint, vec_id bigint, score double",
+    ).dropDuplicates(["query_id", "vec_id"])  # a pair may meet in several tables
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+@query("knn_lsh")
+def knn_lsh(spark, d) -> DataFrame:
+    """Approximate neighbours of the same queries as knn_exact by random hyperplanes; tests/ measure recall against it."""
+    q, rows = _sides(spark, d)
+    index = lsh_index(rows)
+    return lsh_search(index, q, lsh_probes(index, q, rows))
+
+
 @query("mmr")
 def mmr(spark, d) -> DataFrame:
     """Maximal marginal relevance: of each query's ten nearest, five that differ from each other. Greedy, so no SQL; tests/ hold a brute-force version."""

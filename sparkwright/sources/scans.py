@@ -82,6 +82,47 @@ def sink_parquet(spark, d) -> DataFrame:
     )
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """df as a table whose files are dealt and sorted by the key: joins and groupings of such tables on the key need no exchange. Its files lie in the shared folder."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    called = f"sparkwright_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(called)
+    return spark.table(called)
+
+
+@query(
+    "sink_bucketed",
+    "SELECT o_orderkey, o_orderpriority, count(*)::BIGINT AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
+)
+def sink_bucketed(spark, d) -> DataFrame:
+    """Orders and lines written in buckets of the order, then joined and grouped by it without another exchange."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = write_bucketed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", buckets, "orders-bucketed")
+    li = write_bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), "l_orderkey", buckets, "lines-bucketed")
+    joined = o.hint("merge").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(
+        F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"),
+    )
+
+
+@query(
+    "join_dynamic_pruning",
+    "SELECT o_orderpriority, n_name, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_totalprice > 1000 AND o_orderpriority LIKE '1%') ON o_orderpriority = p GROUP BY ALL",
+)
+def join_dynamic_pruning(spark, d) -> DataFrame:
+    """Orders written in folders by priority; the priorities of a filtered side become a filter on the folders when the query runs."""
+    path = fresh_path(spark, "orders-by-priority")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    o.repartition("o_orderpriority", F.pmod(F.xxhash64("o_orderkey"), F.lit(SALTS))).write.partitionBy("o_orderpriority").parquet(path)
+    again = spark.read.schema("o_orderkey bigint, o_custkey bigint, o_orderpriority string").parquet(path)
+    wanted = table(spark, d, "orders").where("o_totalprice > 1000 AND o_orderpriority LIKE '1%'").select(F.col("o_orderpriority").alias("p")).distinct()
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    kept = again.join(F.broadcast(wanted), F.col("o_orderpriority") == F.col("p"))  # a row for each priority
+    return kept.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+        "o_orderpriority", "n_name",
+    ).agg(F.count("*").alias("n"))
+
+
 @query("from_json_struct", "SELECT event_id, (props ->> 'k')::BIGINT AS k FROM events")
 def from_json_struct(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

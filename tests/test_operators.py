@@ -299,3 +299,58 @@ def test_asof_join_gives_no_task_half_the_rows(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(groups.values()) == 20_000 and max(groups.values()) < 20_000 / 2
+
+
+def clustered(spark, n, dims=32, clusters=40):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(clusters, dims))[rng.integers(0, clusters, n)] + 0.25 * rng.normal(size=(n, dims))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id bigint, v array<float>")
+
+
+def recall(got, want):
+    got, want = ({(r["query_id"], r["vec_id"]) for r in df.collect()} for df in (got, want))
+    return len(got & want) / len(want)
+
+
+def test_lsh_reaches_its_recall_on_the_table(spark, sf):
+    exact = catalogue.QUERIES["knn_exact"](spark, sf)
+    got = catalogue.QUERIES["knn_lsh"](spark, sf)
+    assert recall(got, exact) >= 0.9
+    scores = {(r["query_id"], r["vec_id"]): r["score"] for r in exact.collect()}
+    rows = got.collect()
+    assert all(scores.get((r["query_id"], r["vec_id"]), r["score"]) == r["score"] and r["query_id"] != r["vec_id"] for r in rows)
+
+
+def test_lsh_compares_a_falling_share_of_clustered_vectors(spark):
+    shares = []
+    for n in (1000, 4000):
+        rows = clustered(spark, n)
+        q = rows.where("vec_id % 20 = 0").toDF("query_id", "q")
+        index = vectors.lsh_index(rows)
+        probes = vectors.lsh_probes(index, q, rows)
+        met = vectors.lsh_candidates(index, q, probes).select("query_id", "cell").join(index.rows.select("cell", "vec_id"), "cell")
+        assert recall(vectors.lsh_search(index, q, probes), nearest(q, rows)) >= 0.9
+        shares.append(met.select("query_id", "vec_id").distinct().count() / (n * n / 20))
+    assert shares[1] < shares[0] and shares[1] < 0.5
+
+
+def test_lsh_of_equal_vectors_and_of_none(spark):
+    rows = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("v"))
+    index = vectors.lsh_index(rows, tables=2, bits=3, block=7)
+    got = vectors.lsh_search(index, rows.where("vec_id = 9").toDF("query_id", "q"), 1, 4).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    none = rows.where("false")
+    assert vectors.lsh_search(vectors.lsh_index(none), none.toDF("query_id", "q"), 2).count() == 0
+
+
+def test_bucketed_tables_join_and_group_without_exchange(spark, sf):
+    df = catalogue.QUERIES["sink_bucketed"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
+
+
+def test_folders_are_pruned_by_the_other_side(spark, sf):
+    df = catalogue.QUERIES["join_dynamic_pruning"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.split("PartitionFilters", 1)[1]
