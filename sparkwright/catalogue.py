@@ -5,8 +5,8 @@ from .functions import scalar
 from .operators import aggregates, joins, rows, sets, windows
 from .plans import retrieval, vectors
 from .sources import scans
-from .streaming import events
+from .streaming import events, stateful
 
-MODULES = (scans, rows, joins, aggregates, windows, sets, scalar, retrieval, vectors, events)
+MODULES = (scans, rows, joins, aggregates, windows, sets, scalar, retrieval, vectors, events, stateful)
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -1,5 +1,6 @@
 """What the SQL comparison leaves open: estimates, greedy and recursive operators, joins with made-up cases, and plans."""
 
+import time
 from itertools import product
 
 import numpy as np
@@ -20,6 +21,7 @@ from sparkwright.plans.retrieval import split_text
 from sparkwright.plans.vectors import diverse, nearest
 from sparkwright.sources.shared import shared_dir
 from sparkwright.sources.tables import table
+from sparkwright.streaming import stateful
 
 
 def test_estimates_are_near(spark, sf):
@@ -354,3 +356,26 @@ def test_folders_are_pruned_by_the_other_side(spark, sf):
     df = catalogue.QUERIES["join_dynamic_pruning"](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.split("PartitionFilters", 1)[1]
+
+
+def test_map_state_expires_between_three_batches(spark, tmp_path):
+    """A run of one batch for each: with time to live Spark always has a next batch, so a stream is never done."""
+    source = spark.readStream.schema("k string, item string").option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/[0-9]*")
+
+    def batch(no, rows):
+        spark.createDataFrame(rows, "k string, item string").coalesce(1).write.parquet(f"{tmp_path}/{no}")
+        with stateful.rocksdb(spark):
+            run = stateful.first_seen(source, "k", "item", 20_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+                "checkpointLocation", f"{tmp_path}/checkpoint",
+            ).trigger(once=True).start()
+        try:
+            assert run.awaitTermination(60)
+        finally:
+            run.stop()
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+
+    assert batch(0, [("a", "x"), ("a", "x"), ("b", "x")]) == [("a", "x"), ("b", "x")]
+    assert batch(1, [("a", "x"), ("a", "y")]) == [("a", "x"), ("a", "y"), ("b", "x")]  # x of a is still known
+    time.sleep(22)
+    assert batch(2, [("b", "x"), ("c", "z")]) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", "z")]  # x of b had expired
+    assert spark.conf.get(stateful.PROVIDER) != stateful.ROCKSDB
