@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import html
-import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -17,6 +16,8 @@ import xxhash
 RAW = frozenset("noscript template svg iframe object canvas select audio video annotation annotation-xml".split())
 #: Those whose content goes on to the end of the page if they are not closed; others are then left out as a tag alone.
 RAW_TO_END = frozenset("script style textarea title".split())
+#: Those that may lie in one another; the content of others is text to a browser, so the first end tag ends them.
+NESTED = RAW - frozenset("noscript iframe select".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FORMULA = frozenset(
     "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics".split()
@@ -33,13 +34,17 @@ CLOSES = {
 }
 #: A start tag closes nothing beyond these.
 WALLS = frozenset("ul ol dl table td th div article section main aside nav body html form blockquote".split())
-#: Elements nested deeper count as the innermost of so many, as in browsers; and names that a path takes from one attribute.
+#: Names that begin a tag even if the page ends inside it.
+KNOWN = RAW | RAW_TO_END | VOID | INLINE | P_CLOSERS | WALLS | CLOSES.keys() | frozenset("button head label option summary tbody tfoot thead caption".split())
+ATTRIBUTE = re.compile(r"\s[\w:.-]++=")
+#: Elements nested deeper count as the innermost of so many, as in browsers; and names that a path takes from one tag, beside all those that MAIN and NOT_MAIN_NAMES list.
 MAX_DEPTH, MAX_NAMES = 256, 16
 MARK = re.compile(r"<(?:!--|[!?]|(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)|/)", re.IGNORECASE)
 #: What goes on to the > of a tag: a quoted value after = may hold one. Possessive, so nothing is tried twice.
 REST = re.compile(r"(?P<attr>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW | RAW_TO_END}
 OPTION_END = re.compile(r"</?(?:option|optgroup|datalist|select)(?=[\s/>])", re.IGNORECASE)
+PAIR_OF = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+", re.IGNORECASE) for tag in NESTED}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[^\W_]+")
 
@@ -51,6 +56,7 @@ NOT_MAIN_NAMES = (
     "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
     "promoted", "related", "reply", "replies", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
 )
+TOLD = frozenset((*MAIN, *(f".{n}" for n in NOT_MAIN_NAMES)))
 
 PATH_DIM, WORD_DIM, PLAIN_DIM = 160, 24, 8
 DIM = PATH_DIM + WORD_DIM + PLAIN_DIM
@@ -68,23 +74,26 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     Every character is looked at a bounded number of times: what does not close is found out once.
     """
     at, unclosed = 0, set()  # elements that nothing closes from here on
+    pairs: dict[str, dict[int, int]] = {}  # where the end tag of a start tag begins, of elements that may be nested
     while m := MARK.search(page, at):
         start, tag, closes = m.start(), (m["tag"] or "").lower(), bool(m["end"])
         if not tag:
             comment = m[0] == "<!--"
             end = page.find("-->" if comment else ">", m.end())
-            if end < 0 and not comment:
-                return
             at = end + (3 if comment else 1) if end >= 0 else len(page)
             yield start, at, "", False, ""
             continue
         rest = REST.match(page, m.end())
-        if not rest:  # no > outside of quotes is left, so no tag either
+        if not rest:  # the page ends inside this tag; or after a text with a < that begins none
+            if tag in KNOWN or ATTRIBUTE.search(page, m.end()):
+                yield start, len(page), "", False, ""
             return
         at, attr = rest.end(), rest["attr"]
         hidden = END_OF.get(tag) or (OPTION_END if tag == "option" else None)
         if hidden and not closes and tag not in unclosed and not (tag == "svg" and attr.endswith("/")):
-            end = hidden.search(page, at)
+            if tag in NESTED and tag not in pairs:
+                pairs[tag] = paired(page, tag, start)
+            end = hidden.search(page, pairs.get(tag, {}).get(start, at))
             if end or tag in RAW_TO_END:
                 after = page.find(">", end.end()) if end else -1
                 at = end.start() if end and tag == "option" else after + 1 if after >= 0 else len(page)
@@ -94,6 +103,18 @@ def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield start, at, tag, closes, attr
 
 
+def paired(page: str, tag: str, start: int) -> dict[int, int]:
+    """Where the end tag begins that closes each start tag of an element that may lie in itself; start tags that nothing closes are not in it."""
+    out, open_ = {}, []
+    for m in PAIR_OF[tag].finditer(page, start):
+        if m[1]:
+            if open_:
+                out[open_.pop()] = m.start()
+        elif not (tag == "svg" and m[0].endswith("/")):
+            open_.append(m.start())
+    return out
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order: character references decoded, white space turned into one space, none empty."""
     page = page or ""
@@ -161,7 +182,8 @@ def blocks_of(page: str | None) -> list[Block]:
         words = (w for g in NAMES.findall(attr) for w in WORDS.findall(re.sub(
             r"([a-z])([A-Z])", r"\1 \2", "".join(g),
         ))) if attr else ()
-        names = tuple(f".{w.lower()}" for w in itertools.islice(words, MAX_NAMES))
+        names = list(dict.fromkeys(f".{w.lower()}" for w in words))
+        names = [x for i, x in enumerate(names) if i < MAX_NAMES or x in TOLD]
         stack.append((tag, (*(stack[-1][1] if stack else ()), tag, *names)))
     add(page[at:])
     flush()

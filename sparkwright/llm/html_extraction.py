@@ -12,7 +12,7 @@ three of ten variants class and id names are hidden, so that structure, links an
 labelled by the LSTM alone.
 
 Defined results: a null or empty page has the text ''. Repeated rows are labelled alike. A null url or id is carried.
-Markup that is cut off or badly nested is read as far as it goes. Other columns are passed over. An empty table gives
+Badly nested markup is read as far as it goes; a tag that the page ends inside is no text, hidden elements in one another end together. Other columns are passed over. An empty table gives
 an empty result. If no page has any text there is no sample, nothing is trained and all texts are ''. A block of over TRAIN_CHARS characters
 is learnt by its first ones, but labelled and returned whole. A block whose number is exactly 0, neither side, is not main text. A very long page
 is read LONG_PAGE blocks at a time, each way; elements nested deeper than MAX_DEPTH count as that deep.

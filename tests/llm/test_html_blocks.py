@@ -69,3 +69,37 @@ def test_long_pages_are_labelled_in_parts_as_whole():
     for step in (64, 500, 1000):
         assert np.allclose(long_logits(500, lambda s, e: vectors(page, s, e), w, step), whole, atol=1e-5)
     assert np.allclose(label_pages([page[:40], page], w)[1], whole > 0)
+
+
+@pytest.mark.parametrize("end", ['<a href="http://x', '<img alt="q', "<p class=a", "</p", "<!doctype x", "<!-- note", "<?php x", "<a href='x\" b", "</", "<b", '<x-card id="a'])
+def test_a_page_cut_off_inside_a_tag_keeps_no_markup(end):
+    page = "<article><p>hello world</p>tail " + end
+    assert [b.text for b in blocks_of(page)] == ["hello world", "tail"]
+
+
+def test_a_less_than_sign_in_a_text_is_text():
+    assert [b.text for b in blocks_of("<p>a < b and 3 <4 end")] == ["a < b and 3 <4 end"]
+
+
+@pytest.mark.parametrize("tag", ["svg", "template", "object", "canvas", "video"])
+def test_hidden_elements_in_one_another(tag):
+    inner = f"<{tag} a='>'><{tag}></{tag}>inner<{tag}>x</{tag}></{tag}>"
+    assert [b.text for b in blocks_of(f"<p>one {inner} two {inner}</p>three")] == ["one two", "three"]
+    assert [b.text for b in blocks_of(f"<p>one</p><{tag}><p>two</p>")] == ["one", "two"]  # nothing closes it
+    assert [b.text for b in blocks_of(f"<{tag}>x<{tag}>y</{tag}>z")] == ["z"]  # the outer one is not closed: the next end tag
+
+
+def test_a_self_closed_svg_in_another():
+    assert [b.text for b in blocks_of("<svg><svg viewBox='0'/>t</svg>after")] == ["after"]
+
+
+def test_unbalanced_hidden_elements_take_linear_time():
+    start = time.time()
+    assert blocks_of("<svg><svg></svg>" * 40_000 + "<template>" * 40_000)[-1:] == []
+    assert time.time() - start < 20
+
+
+def test_names_after_many_others_count():
+    page = '<div class="flex p-4 m-2 text-gray-700 w-full h-10 rounded-lg shadow-md border-2 a1 a2 a3 a4 a5 a6 article">x</div>'
+    path = blocks_of(page)[0].path
+    assert ".article" in path and len(path) <= 1 + 16 + 1
