@@ -1,12 +1,13 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
-1. Evidence: over all labelled documents, Spark counts for each hashed feature (words, word shapes and a few plain figures)
+1. Evidence: over all labelled documents, Spark counts for each hashed feature (words, word shapes, beginnings of words that make
+   up a hundredth of the text or twice, four times as much and so on, and a few plain figures)
    how many documents of each class have it. The log ratio of a feature is shrunk toward zero by its own
    uncertainty, so rare and indifferent features say nothing. Every feature has two buckets of fixed tables and counts
    by the weaker one, so a chance collision in one of them does no harm. As features depend on each other, a logistic
-   regression weighs the ratios; it is fitted on a bounded sample of labelled documents (SAMPLE of them, those of the smallest hash of their id, and of
-   each the FIT_FEATURES features of the smallest hash). The ratios that it is fitted on leave out a document's own fold of the labels, so a
-   document does not vouch for its own words.
+   regression weighs the ratios; it is fitted on a bounded sample of labelled documents (SAMPLE of them, those of the smallest hash of their id, with
+   all their features), which one task reads in batches, once for each pass. The ratios that it is fitted on leave out a document's own fold
+   of the labels, so a document does not vouch for its own words.
 2. Sites: every document counts toward its host and path with its label, or else with the classifier's belief. A host's
    rate is shrunk toward the global rate, and a path's toward its host's; how far follows from how much
    hosts (paths) differ beyond chance, by the method of moments. Sums are grouped in Spark, partially before the shuffle.
@@ -26,6 +27,7 @@ distinct features, however many.
 from __future__ import annotations
 
 import string
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -44,15 +46,30 @@ BUCKETS = 1 << BUCKET_BITS
 #: Bits of the bitmap of labelled ids, as a power of two: 8 MB, however many there are.
 BITMAP_BITS = 26
 #: Labelled rows that the regression is fitted on, and passes over them.
-SAMPLE, PASSES, SEED = 20_000, 6, 5
-#: Features of a sampled row, at most, and folds of the labels, for the fit alone.
-FIT_FEATURES, FOLDS = 1024, 2
+SAMPLE, PASSES = 20_000, 6
+#: Folds of the labels, for the fit alone.
+FOLDS = 2
+#: Code points of a word's beginning, and the words that must have it.
+BEGINNING, LEAST_WORDS = 4, 2
 #: A log ratio counts from so many standard errors; the evidence of a document and the prior weight of a site, in documents, lie within bounds.
-LEAST_Z, MOST_EVIDENCE, WEIGHT_RANGE = 2.5, 12.0, (2.0, 10_000.0)
+LEAST_Z, MOST_EVIDENCE, WEIGHT_RANGE = 2.0, 12.0, (2.0, 10_000.0)
 PUNCTUATION = string.punctuation.encode()
 SHAPES = bytes(ord("a") if chr(b).isalpha() or b > 127 else ord("0") if chr(b).isdigit() else b for b in range(256))
 
 
+def beginnings(plain: list[bytes]) -> Iterator[bytes]:
+    """Beginnings of several words, once for each doubling of their share of the words from a hundredth on."""
+    words = Counter()
+    for word, n in Counter(plain).items():
+        start = word.decode("utf-8", "replace")[:BEGINNING]
+        if len(start) == BEGINNING:
+            words[start] += n
+    for start, n in words.items():
+        if n >= LEAST_WORDS:
+            for level in range((100 * n // len(plain)).bit_length()):
+                yield b"\x03%d " % level + start.encode()
+
+
 def features(text: str | None) -> np.ndarray:
     """Hashes of the distinct features of a text."""
     raw = text_bytes(text)
@@ -62,14 +79,15 @@ def features(text: str | None) -> np.ndarray:
     for shape in {w.translate(SHAPES) for w in words if not w.isalpha()}:
         found.add(b"\x01" + bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1]))
     n = max(1, len(words))
-    size = n.bit_length()
+    size, distinct = n.bit_length(), len(found)
     symbols = len(raw) - len(raw.translate(None, PUNCTUATION))
     found |= {
-        b"\x02size %d" % size, b"\x02distinct %d %d" % (size, 20 * len(found) // n),
+        b"\x02size %d" % size, b"\x02distinct %d %d" % (size, 20 * distinct // n),
         b"\x02symbols %d" % (20 * symbols // n), b"\x02length %d" % (len(raw) // n),
         b"\x02lines %d" % (20 * raw.count(b"\n") // n),
         b"\x02again %d" % (20 * sum(map(bytes.__eq__, words, words[1:])) // n),
     }
+    found.update(beginnings(plain))
     digest = xxhash.xxh3_64_intdigest
     return np.array([digest(w) for w in sorted(found)], np.uint64)
 
@@ -133,25 +151,64 @@ def active(h: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[some], weak[some]
 
 
-def regress(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = SEED,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the buckets and the offset of each head, by AdaGrad; labels are NaN where unknown."""
-    heads = labels.shape[1]
-    w, g2 = np.zeros((BUCKETS, heads)), np.full((BUCKETS, heads), 1e-2)
-    offset, o2 = np.zeros(heads), np.full(heads, 1e-2)
-    rng = np.random.default_rng(seed)
-    for k in range(PASSES):
-        for i in rng.permutation(len(rows)):
-            at, x = rows[i]
-            z = (w[at] * x).sum(0) + offset
-            miss = np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i])
-            grad = x * miss
-            g2[at] += grad * grad
-            w[at] -= 0.1 / (1 + k) * grad / np.sqrt(g2[at])
-            o2 += miss * miss
-            offset -= 0.1 / (1 + k) * miss / np.sqrt(o2)
-    return w, offset
+class Fit(NamedTuple):
+    """Weights of buckets and, in the last row, the offset of each head; sums of squared gradients, for AdaGrad."""
+
+    w: np.ndarray
+    g2: np.ndarray
+
+
+def unfitted() -> Fit:
+    return Fit(np.zeros((BUCKETS + 1, len(HEADS))), np.full((BUCKETS + 1, len(HEADS)), 1e-2))
+
+
+def learn(fit: Fit, at: np.ndarray, x: np.ndarray, labels: np.ndarray, rate: float) -> None:
+    """One step of AdaGrad, in place, by one document's buckets, their ratios and its labels, NaN where unknown."""
+    w, g2 = fit
+    z = (w[at] * x).sum(0) + w[-1]
+    miss = np.nan_to_num(1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
+    grad = x * miss
+    g2[at] += grad * grad
+    w[at] -= rate * grad / np.sqrt(g2[at])
+    g2[-1] += miss * miss
+    w[-1] -= rate * miss / np.sqrt(g2[-1])
+
+
+def _pass(before, rate: float) -> Callable:
+    """Learns from (at, x, labels) row by row, from the broadcast fit on; gives out the rows of the fit that then differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = Fit(*(v.copy() for v in before.value))
+        for batch in batches:
+            labels = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(HEADS))], 1)
+            for at, x, known in zip(batch.column(0), batch.column(1), labels, strict=True):
+                learn(fit, at.values.to_numpy(), x.values.to_numpy().reshape(-1, len(HEADS)), known, rate)
+        hit = np.flatnonzero((fit.g2 != before.value.g2).any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hit), *(pa.array(v[hit, i]) for v in fit for i in range(len(HEADS)))],
+            ["bucket", *(f"{v}{i}" for v in Fit._fields for i in range(len(HEADS)))],
+        )
+
+    return run
+
+
+def regress(rows: DataFrame, passes: int = PASSES) -> Fit:
+    """rows(doc_id, key, at, x, labels as doubles), a bounded sample, to a logistic regression: one task reads them in another order at each pass, and hands on a row of each bucket at most."""
+    spark, fit = rows.sparkSession, unfitted()
+    found = ", ".join(f"{v}{i} double" for v in Fit._fields for i in range(len(HEADS)))
+    labels = [f"l_{x}" for x in HEADS]
+    for k in range(passes):
+        order = [F.xxhash64("doc_id", F.lit(k)), F.col("doc_id"), F.col("key"), *map(F.col, labels)]
+        one = rows.coalesce(1).sortWithinPartitions(*order).select("at", "x", *labels)
+        sent = spark.sparkContext.broadcast(fit)
+        got = one.mapInArrow(_pass(sent, 0.1 / (1 + k)), f"bucket bigint, {found}").toArrow()
+        hit = got.column(0).to_numpy()
+        fit = Fit(*(v.copy() for v in fit))
+        for j, v in enumerate(fit):
+            for i in range(len(HEADS)):
+                v[hit, i] = got.column(1 + j * len(HEADS) + i).to_numpy()
+        sent.destroy()
+    return fit
 
 
 class Model(NamedTuple):
@@ -166,23 +223,16 @@ def evidence(h: np.ndarray, m: Model) -> np.ndarray:
     return np.clip((m.weights[at] * x).sum(0) + m.offset, -MOST_EVIDENCE, MOST_EVIDENCE)
 
 
-def fit_rows(text: str | None, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The active features of a sampled text, FIT_FEATURES at most."""
-    at, x = active(features(text), ratios)
-    few = np.sort(np.argsort(at, kind="stable")[:FIT_FEATURES])
-    return at[few], x[few]
-
-
 def _active_udf(by_fold) -> Callable:
     """by_fold: for each fold the ratios that the other folds give."""
 
     @F.arrow_udf("struct<at:array<int>,x:array<float>>")
     def active_features(text: pa.Array, fold: pa.Array) -> pa.Array:
-        rows = [fit_rows(t.as_py(), by_fold.value[k.as_py()]) for t, k in zip(text, fold, strict=True)]
+        rows = [active(features(t.as_py()), by_fold.value[k.as_py()]) for t, k in zip(text, fold, strict=True)]
         return pa.StructArray.from_arrays(
             [
                 pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())),
-                pa.array([x.astype(np.float32).ravel() for _, x in rows], pa.list_(pa.float32())),
+                pa.array([x.ravel() for _, x in rows], pa.list_(pa.float32())),
             ],
             ["at", "x"],
         )
@@ -282,21 +332,20 @@ def _fitted(slim: DataFrame, known: DataFrame, ratios: np.ndarray, by_fold: list
         "doc_id", F.xxhash64("text").alias("key"), "text",
         *(F.col(f"l_{x}").cast("double").alias(f"l_{x}") for x in HEADS),
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("key"), *(F.col(f"l_{x}") for x in HEADS)]
-    some = rows.dropDuplicates(["doc_id", "key", *(f"l_{x}" for x in HEADS)]).select(
-        *order[:1], "doc_id", "key", _active_udf(sent)("text", fold_of(F.col("doc_id"))).alias("f"),
-        *(f"l_{x}" for x in HEADS),
-    )
-    few = some.orderBy(*order).limit(sample).select("f", *(f"l_{x}" for x in HEADS)).toArrow()  # sample rows of FIT_FEATURES features at most
-    at, x = few.column(0).combine_chunks().flatten() if len(few) else ([], [])
-    rows = [(np.asarray(a.values), np.asarray(v.values).reshape(-1, len(HEADS))) for a, v in zip(at, x, strict=True)]
-    labels = np.stack(
-        [np.minimum(1, few.column(1 + i).to_numpy()) for i in range(len(HEADS))], 1,
-    ) if rows else np.zeros((0, len(HEADS)))
-    weights, offset = regress(rows, labels)
-    known = ~np.isnan(labels)
-    share = (np.where(known, labels, 0).sum(0) + 1) / (known.sum(0) + 2)
-    return Model(ratios, weights, offset - np.log(share / (1 - share)) if rows else offset)
+    labels = [f"l_{x}" for x in HEADS]
+    keys = ["doc_id", "key", *labels]
+    some = rows.dropDuplicates(keys).withColumn("f", _active_udf(sent)("text", fold_of(F.col("doc_id"))))
+    few = materialize(some.select("doc_id", "key", "f.at", "f.x", *((F.col(x) > 0).cast("double").alias(x) for x in labels)), "fit")
+    if few.count() > sample:  # an id has several texts or labels
+        first = few.select(*(F.col(x).alias(f"k_{x}") for x in keys)).orderBy(
+            F.xxhash64("k_doc_id"), *(f"k_{x}" for x in keys),
+        ).limit(sample)
+        same = [F.col(x).eqNullSafe(F.col(f"k_{x}")) for x in keys]
+        few = materialize(few.join(F.broadcast(first), same, "left_semi"), "fit_few")
+    fit = regress(few)
+    sums = few.agg(*(f(x).alias(f"{n}{x}") for x in labels for n, f in (("n", F.count), ("s", F.sum)))).first()
+    share = np.array([((sums[f"s{x}"] or 0) + 1) / (sums[f"n{x}"] + 2) for x in labels])
+    return Model(ratios, fit.w[:-1], fit.w[-1] - np.log(share / (1 - share)))
 
 
 def classify(
