@@ -379,3 +379,14 @@ def test_map_state_expires_between_three_batches(spark, tmp_path):
     time.sleep(22)
     assert batch(2, [("b", "x"), ("c", "z")]) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", "z")]  # x of b had expired
     assert spark.conf.get(stateful.PROVIDER) != stateful.ROCKSDB
+
+
+def test_recursion_is_not_ended_at_a_number_of_rows(spark, sf):
+    limit = "spark.sql.cteRecursionRowLimit"
+    want, before = sorted(map(tuple, catalogue.QUERIES["cte_recursive"](spark, sf).collect())), spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        assert sorted(map(tuple, catalogue.QUERIES["cte_recursive"](spark, sf).collect())) == want and len(want) > 100
+        assert spark.conf.get(limit) == "100"
+    finally:
+        spark.conf.set(limit, before)
