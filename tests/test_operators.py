@@ -22,6 +22,7 @@ from sparkwright.plans.vectors import diverse, nearest
 from sparkwright.sources.shared import shared_dir
 from sparkwright.sources.tables import table
 from sparkwright.streaming import stateful
+from tests.compare import duck_rows, spark_rows
 
 
 def test_estimates_are_near(spark, sf):
@@ -390,3 +391,14 @@ def test_recursion_is_not_ended_at_a_number_of_rows(spark, sf):
         assert spark.conf.get(limit) == "100"
     finally:
         spark.conf.set(limit, before)
+
+
+@pytest.mark.parametrize("name", ["fn_array", "fn_array_more"])
+def test_rounded_arrays_equal_sql_to_the_last_bit(spark, duck, tmp_path, name):
+    """Zeros below zero, and sums of squares that end in a five at the last place but one."""
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.normal(size=64) / 8], k % 3) for k in range(400)] + [(400 + k, [-1e-5, 0.0, -0.0, 0.03125, -0.03125, -1e-5] * 3, 0) for k in range(3)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = catalogue.ORACLES[name].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = spark_rows(catalogue.QUERIES[name](spark, str(tmp_path))), duck_rows(duck, sql)
+    assert repr(got) == repr(want)
