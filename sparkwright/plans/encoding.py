@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import written
-from .postings import StoredIndex, spread, stored, stored_index, tokens
+from .postings import StoredIndex, dealt_by_block, key_lists, spread, stored, stored_index, tokens
 from .vectors import nearest
 
 DIMS, SPARSE, GRAM = 64, 4, 3
-#: Texts that are summed at once.
-LOT = 256
+#: Texts that are summed at once, and terms.
+LOT, TERMS = 256, 4096
 
 
 @functools.lru_cache(maxsize=1 << 17)
@@ -36,28 +37,63 @@ def gram_vector(gram: str) -> np.ndarray:
     return out
 
 
-def term_vector(term: str) -> np.ndarray:
-    marked = f"<{term}>"
-    grams = [gram_vector(marked[i : i + GRAM]) for i in range(len(marked) - GRAM + 1)]
-    return np.add.reduce(grams) / np.sqrt(len(grams) * SPARSE)
+def term_vectors(terms: list[str]) -> np.ndarray:
+    """A row for each term, none of them empty: the sum of its runs' components by the root of their number."""
+    out = np.zeros((len(terms), DIMS))
+    for at in range(0, len(terms), TERMS):
+        marked = [f"<{t}>" for t in terms[at : at + TERMS]]
+        n = np.array([len(m) - GRAM + 1 for m in marked])
+        grams = pa.array([m[i : i + GRAM] for m in marked for i in range(len(m) - GRAM + 1)]).dictionary_encode()
+        vectors = np.array([gram_vector(g) for g in grams.dictionary.to_pylist()])
+        sums = np.add.reduceat(vectors[grams.indices.to_numpy()], np.cumsum(n) - n)
+        out[at : at + TERMS] = sums / np.sqrt(n * SPARSE)[:, None]
+    return out
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def summed(terms: pa.Array) -> pa.Array:
-    """The unit vector of each list of (term, weight), none of them empty."""
-    out = np.zeros((len(terms), DIMS))
-    for at in range(0, len(terms), LOT):
-        lot = terms[at : at + LOT]
-        pairs, begins = lot.flatten(), np.cumsum([0, *lot.value_lengths().to_pylist()])[:-1]
-        words = pairs.field("term").dictionary_encode()
-        vectors = np.array([term_vector(t) for t in words.dictionary.to_pylist()])
-        each = vectors[words.indices.to_numpy()] * pairs.field("weight").to_numpy(zero_copy_only=False)[:, None]
-        out[at : at + LOT] = np.add.reduceat(each, begins)
+def unit(terms: pa.Array, weights: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The unit vector of each text: the weighted terms from its begin to the next one, none of them empty."""
+    words = terms.dictionary_encode()
+    vectors = term_vectors(words.dictionary.to_pylist())
+    each, out = words.indices.to_numpy(), np.zeros((len(begins), DIMS))
+    ends = np.append(begins[1:], len(each))
+    for at in range(0, len(begins), LOT):
+        low, high = begins[at], ends[min(at + LOT, len(begins)) - 1]
+        out[at : at + LOT] = np.add.reduceat(vectors[each[low:high]] * weights[low:high, None], begins[at : at + LOT] - low)
     norm = np.sqrt((out**2).sum(1))[:, None]
     out = np.round(np.divide(out, norm, out=np.zeros_like(out), where=norm > 0), 6) + 0.0  # no negative zero
     return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), DIMS).cast(pa.list_(pa.float64()))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def summed(terms: pa.Array) -> pa.Array:
+    """The unit vector of each list of (term, weight), none of them empty."""
+    pairs, begins = terms.flatten(), np.cumsum([0, *terms.value_lengths().to_pylist()])[:-1]
+    return unit(pairs.field("term"), pairs.field("weight").to_numpy(zero_copy_only=False), begins)
+
+
+def _block_vectors(keys: list[str]) -> Callable:
+    """(*keys, vector) of a block's documents, of its rows (term, idf, *keys, tf), the last ones lists."""
+
+    def block_vectors(hits: pa.Table) -> pa.Table:
+        hits = hits.sort_by("term").combine_chunks()
+        lists = {c: hits.column(c).combine_chunks() for c in [*keys, "tf"]}
+        row = np.repeat(np.arange(len(hits)), lists["tf"].value_lengths().to_numpy(zero_copy_only=False))
+        flat = pa.table({c: lists[c].flatten() for c in keys} | {"row": row, "tf": lists["tf"].flatten()})
+        flat = flat.sort_by([*((c, "ascending") for c in keys), ("row", "ascending")])
+        row, tf = flat.column("row").to_numpy(), flat.column("tf").to_numpy()
+        changed = np.zeros(len(flat), bool)
+        changed[:1] = True
+        for c in keys:
+            codes = flat.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            changed[1:] |= codes[1:] != codes[:-1]
+        begins = np.flatnonzero(changed)
+        weights = (np.log(tf.astype(np.float64)) + 1) * hits.column("idf").to_numpy()[row]
+        vectors = unit(hits.column("term").combine_chunks().take(pa.array(row)), weights, begins)
+        return pa.table({c: flat.column(c).take(pa.array(begins)) for c in keys} | {"vector": vectors})
+
+    return block_vectors
+
+
 def smoothed_idf(index: StoredIndex) -> DataFrame:
     """(term, idf); a term that no document has counts as one of df 0, see `encoded`."""
     idf = F.ln(F.lit(1.0 + index.n) / (F.col("df") + 1)) + 1
@@ -73,9 +109,13 @@ def _by_text(weighted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def encoded_documents(index: StoredIndex) -> DataFrame:
-    """(*keys, vector) of the documents of an index that have a term: a block meets its term's idf before it is taken apart, and no text is read."""
-    hit = index.blocks.join(smoothed_idf(index), "term")
-    return _by_text(hit.select("term", "idf", F.inline("docs")), index.keys)
+    """(*keys, vector) of the documents of an index that have a term: a term's blocks meet its idf as lists, then all terms of a block meet in one task. No text is read."""
+    lists = index.blocks.select("term", "block", *key_lists(index), F.col("docs.tf").alias("tf"))
+    hit = dealt_by_block(lists.join(smoothed_idf(index), "term"), index.n_blocks)
+    kinds = dict(index.blocks.select(F.inline("docs")).dtypes)
+    return hit.groupBy("block").applyInArrow(
+        _block_vectors(index.keys), ", ".join(f"{c} {kinds[c]}" for c in index.keys) + ", vector array<double>",
+    )
 
 
 def encoded(index: StoredIndex, texts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import time
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from sparkwright.operators.aggregates import (
     CM_BUCKETS, CM_ROWS, count_min, count_min_estimates, count_min_merged, exact_quantiles, from_ordered_bits, ordered_bits,
 )
 from sparkwright.operators.joins import asof_join, dyadic_cells, range_join, salted_join, small
-from sparkwright.operators.sets import closure
+from sparkwright.operators.sets import closure, closure_by_hub
 from sparkwright.plans import encoding, postings, retrieval, vectors
 from sparkwright.plans.retrieval import split_text
 from sparkwright.plans.vectors import diverse, nearest
@@ -87,6 +88,28 @@ def test_closure_over_cycles_and_dead_ends(spark):
     assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (1, 3), (1, 4), (5, 5), (6, 1), (6, 2), (6, 3), (6, 4), (6, 6), (9, 9)]
 
 
+def test_closure_by_hub_equals_closure(spark):
+    rng = np.random.default_rng(10)
+    made = [
+        [(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 1), (1, 2), (None, 1), (7, 8), (8, 4), (8, 6)],
+        [(int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2))], [],
+    ]
+    for rows in made:
+        edges = spark.createDataFrame(rows, "src int, dst int")
+        starts = spark.createDataFrame([(x,) for x in [*range(0, 60, 4), 7, 7]], "start int")
+        assert sorted(map(tuple, closure_by_hub(edges, starts).collect())) == sorted(map(tuple, closure(edges, starts).collect()))
+
+
+def test_closure_by_hub_writes_no_pairs_of_a_cycle(spark):
+    """60 starts that all reach 300 nodes: 18,000 rows, but the steps write about one row a node."""
+    wrote, folder = [], shared_dir(spark).removeprefix("file://")
+    before = set(Path(folder).iterdir())
+    edges = spark.range(300).select(F.col("id").alias("src"), F.explode(F.array(*(((F.col("id") * 7 + j * j) % 300) for j in range(5)))).alias("dst"))
+    got = closure_by_hub(edges, spark.range(0, 300, 5).toDF("start"))
+    wrote = sum(spark.read.parquet(str(x)).count() for x in set(Path(folder).iterdir()) - before)
+    assert got.count() == 60 * 300 and wrote < 60 * 300 / 2
+
+
 def test_count_min_is_never_too_low_and_within_its_bound(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey")
     n = df.count()
@@ -170,6 +193,19 @@ def test_bar_of_few_terms_loses_no_rank(spark):
         assert sorted(map(tuple, retrieval.bm25_ranks(index, p).select("item_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_index_and_ranks_write_no_row_for_each_posting_or_pair(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("the of and "), F.col("id") % 7).alias("text"))
+    passages = spark.range(20).select(F.col("id").alias("item_id"), F.concat(F.lit("the of "), F.col("id") % 7).alias("text"))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    index = retrieval.build_index(docs)
+    assert index.terms().where("term = 'the'").first()["df"] == 600 and index.n == 600 and index.mean == 4
+    for ranks in (retrieval.bm25_ranks(index, passages), retrieval.overlap_ranks(index, passages)):
+        got = [(r["doc_id"] % 7 == r["item_id"] % 7, r["rank"]) for r in ranks.collect()]
+        assert len(got) == 200 and all(same for same, _ in got) and sorted(k for _, k in got) == sorted([*range(1, 11)] * 20)
+    assert sum(spark.read.parquet(str(x)).count() for x in set(folder.iterdir()) - before) < 600
+
+
 def test_index_is_stored_by_term_and_reads_no_text(spark, sf):
     index = postings.stored_index(spark, sf)
     assert postings.stored_index(spark, sf) is index and index.blocks.agg(F.max("n")).first()[0] <= index.n
