@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sets import closure
+from ..operators.sets import closure_by_hub
 from ..registry import query
 from ..sources.shared import written
 from ..sources.tables import table
@@ -20,7 +20,8 @@ BLOCK, TOP = 4096, 10
 
 
 def _blocks(vectors: DataFrame, id_col: str, block: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-vectors.count() // block))
+    rows = vectors.count()
+    n = max(1, -(-rows // (block * max(1, min(4, rows // (16 * block))))))  # of many rows up to four times as large, so there are fewer copies
     return vectors.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
 
 
@@ -338,4 +339,4 @@ def cte_closure(spark, d) -> DataFrame:
     q, rows = _sides(spark, d)
     near = nearest(rows.toDF("query_id", "q"), rows, GRAPH)
     edges = near.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
-    return closure(edges, q.select(F.col("query_id").alias("start")))
+    return closure_by_hub(edges, q.select(F.col("query_id").alias("start")))
