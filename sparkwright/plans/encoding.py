@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import written
-from .postings import StoredIndex, dealt_by_block, key_lists, spread, stored, stored_index, tokens
+from .postings import Block, StoredIndex, each_row, spread, stored, stored_index, tokens
 from .vectors import nearest
 
 DIMS, SPARSE, GRAM = 64, 4, 3
@@ -27,8 +27,9 @@ LOT, TERMS = 256, 4096
 
 
 @functools.lru_cache(maxsize=1 << 17)
-def gram_vector(gram: str) -> np.ndarray:
-    """The components of a run of characters: its feature's sign times the feature's projection."""
+def gram_vector(run: int) -> np.ndarray:
+    """The components of a run of characters, 21 bits each: its feature's sign times the feature's projection."""
+    gram = "".join(chr(run >> 21 * i & 0x1FFFFF) for i in reversed(range(GRAM)))
     feature = hashlib.md5(gram.encode()).hexdigest()[:5]  # four digits of place, one of sign
     row = hashlib.md5(feature[:4].encode()).hexdigest()
     sign, out = 1 if feature[4] < "8" else -1, np.zeros(DIMS, np.int32)
@@ -43,16 +44,19 @@ def term_vectors(terms: list[str]) -> np.ndarray:
     for at in range(0, len(terms), TERMS):
         marked = [f"<{t}>" for t in terms[at : at + TERMS]]
         n = np.array([len(m) - GRAM + 1 for m in marked])
-        grams = pa.array([m[i : i + GRAM] for m in marked for i in range(len(m) - GRAM + 1)]).dictionary_encode()
-        vectors = np.array([gram_vector(g) for g in grams.dictionary.to_pylist()])
-        sums = np.add.reduceat(vectors[grams.indices.to_numpy()], np.cumsum(n) - n)
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = np.arange(n.sum()) + np.repeat((GRAM - 1) * np.arange(len(n)), n)
+        runs = sum(points[begins + i] << 21 * (GRAM - 1 - i) for i in range(GRAM))
+        runs, which = np.unique(runs, return_inverse=True)
+        vectors = np.array([gram_vector(r) for r in runs.tolist()])
+        sums = np.add.reduceat(vectors[which], np.cumsum(n) - n)
         out[at : at + TERMS] = sums / np.sqrt(n * SPARSE)[:, None]
     return out
 
 
 def unit(terms: pa.Array, weights: np.ndarray, begins: np.ndarray) -> pa.Array:
     """The unit vector of each text: the weighted terms from its begin to the next one, none of them empty."""
-    words = terms.dictionary_encode()
+    words = terms if isinstance(terms, pa.DictionaryArray) else terms.dictionary_encode()
     vectors = term_vectors(words.dictionary.to_pylist())
     each, out = words.indices.to_numpy(), np.zeros((len(begins), DIMS))
     ends = np.append(begins[1:], len(each))
@@ -71,25 +75,20 @@ def summed(terms: pa.Array) -> pa.Array:
     return unit(pairs.field("term"), pairs.field("weight").to_numpy(zero_copy_only=False), begins)
 
 
-def _block_vectors(keys: list[str]) -> Callable:
-    """(*keys, vector) of a block's documents, of its rows (term, idf, *keys, tf), the last ones lists."""
-
-    def block_vectors(hits: pa.Table) -> pa.Table:
-        hits = hits.sort_by("term").combine_chunks()
-        lists = {c: hits.column(c).combine_chunks() for c in [*keys, "tf"]}
-        row = np.repeat(np.arange(len(hits)), lists["tf"].value_lengths().to_numpy(zero_copy_only=False))
-        flat = pa.table({c: lists[c].flatten() for c in keys} | {"row": row, "tf": lists["tf"].flatten()})
-        flat = flat.sort_by([*((c, "ascending") for c in keys), ("row", "ascending")])
-        row, tf = flat.column("row").to_numpy(), flat.column("tf").to_numpy()
-        changed = np.zeros(len(flat), bool)
-        changed[:1] = True
-        for c in keys:
-            codes = flat.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            changed[1:] |= codes[1:] != codes[:-1]
-        begins = np.flatnonzero(changed)
-        weights = (np.log(tf.astype(np.float64)) + 1) * hits.column("idf").to_numpy()[row]
-        vectors = unit(hits.column("term").combine_chunks().take(pa.array(row)), weights, begins)
-        return pa.table({c: flat.column(c).take(pa.array(begins)) for c in keys} | {"vector": vectors})
+def _block_vectors(index: StoredIndex) -> Callable:
+    """(*keys, vector) of a block's documents that have a term."""
+    keys, n, buckets = index.keys, index.n, index.buckets
+
+    def block_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (Block(row, keys, buckets) for row in each_row(batches)):
+            if len(b.df):
+                order = np.argsort(b.at, kind="stable")  # by document, then by term
+                at, of_term = b.at[order], b.of_term[order]
+                begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                idf = np.log((1.0 + n) / (b.known + 1)) + 1
+                weights = (np.log(b.tf[order].astype(np.float64)) + 1) * idf[of_term]
+                vectors = unit(pa.DictionaryArray.from_arrays(pa.array(of_term.astype(np.int32)), b.terms), weights, begins)
+                yield pa.RecordBatch.from_pydict({k: v.take(pa.array(at[begins])) for k, v in b.keys.items()} | {"vector": vectors})
 
     return block_vectors
 
@@ -97,7 +96,7 @@ def _block_vectors(keys: list[str]) -> Callable:
 def smoothed_idf(index: StoredIndex) -> DataFrame:
     """(term, idf); a term that no document has counts as one of df 0, see `encoded`."""
     idf = F.ln(F.lit(1.0 + index.n) / (F.col("df") + 1)) + 1
-    return written(index.terms().select("term", idf.alias("idf")), "smoothed_idf")
+    return index.terms().select("term", idf.alias("idf"))
 
 
 def _by_text(weighted: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,13 +108,9 @@ def _by_text(weighted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def encoded_documents(index: StoredIndex) -> DataFrame:
-    """(*keys, vector) of the documents of an index that have a term: a term's blocks meet its idf as lists, then all terms of a block meet in one task. No text is read."""
-    lists = index.blocks.select("term", "block", *key_lists(index), F.col("docs.tf").alias("tf"))
-    hit = dealt_by_block(lists.join(smoothed_idf(index), "term"), index.n_blocks)
-    kinds = dict(index.blocks.select(F.inline("docs")).dtypes)
-    return hit.groupBy("block").applyInArrow(
-        _block_vectors(index.keys), ", ".join(f"{c} {kinds[c]}" for c in index.keys) + ", vector array<double>",
-    )
+    """(*keys, vector) of the documents of an index that have a term, each block in one task. No text is read."""
+    kinds = dict(index.blocks.dtypes)
+    return index.with_df().mapInArrow(_block_vectors(index), ", ".join(f"{c} {kinds[c][6:-1]}" for c in index.keys) + ", vector array<double>")
 
 
 def encoded(index: StoredIndex, texts: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """What the SQL comparison leaves open: estimates, greedy and recursive operators, joins with made-up cases, and plans."""
 
+import re
 import time
 from itertools import product
 from pathlib import Path
@@ -216,6 +217,31 @@ def test_index_is_stored_by_term_and_reads_no_text(spark, sf):
     assert "documents.parquet" not in plan and "regexp_extract_all" not in plan
 
 
+def test_vocabulary_and_sums_over_many_blocks_and_buckets(spark, monkeypatch):
+    """Odd texts and ids, blocks of a few documents, buckets of a few terms, against plain loops."""
+    monkeypatch.setattr(postings, "BUCKET_TERMS", 8)
+    rng = np.random.default_rng(21)
+    docs = [(k, " ".join(f"w{min(40, int(x))}" for x in rng.exponential(9, 25))) for k in range(40)]
+    docs += [(50, None), (51, ""), (52, " .,\n"), (53, "É😀x é 𝔘𝔘 ٣"), (None, "w1 lone"), (-7, "w1 W1 w1"), (54, "lone")]
+    index = retrieval.build_index(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), block_docs=5)
+    words = {k: re.findall(r"[^\W_]+", (t or "").lower()) for k, t in docs}
+    df = {t: sum(t in w for w in words.values()) for w in words.values() for t in w}
+    first = {t: min((k for k, w in words.items() if t in w and k is not None), default=None) for t in df}
+    assert index.buckets > 4 and index.blocks.count() >= 8 and index.n == len(docs)
+    got = {r["term"]: (r["df"], r["cf"], r["first"]) for r in index.vocabulary.collect()}
+    assert got == {t: (n, sum(w.count(t) for w in words.values()), first[t]) for t, n in df.items()}
+    sums = {r["doc_id"]: (round(r["x"], 9), r["terms"]) for r in retrieval.tfidf_sums(index).collect()}
+    assert sums == {k: (round(sum(np.log(len(docs) / df[t]) for t in w), 9), len(set(w))) for k, w in words.items() if w}
+    assert index.postings().count() == sum(df.values())
+
+
+def test_no_posting_is_a_row(spark, sf):
+    """The vocabulary is read as it is stored, and sums take no list apart."""
+    plan = catalogue.QUERIES["inverted_index"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    assert "inline" not in catalogue.QUERIES["tfidf"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_encoded_texts_of_common_words_are_near(spark):
     docs = [(1, "the red house stands"), (2, "red houses stand"), (3, "quantum chromodynamics"), (4, None), (5, "")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
