@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
 from ..operators.sets import closure_by_hub
 from ..registry import query
 from ..sources.shared import written
@@ -208,56 +209,113 @@ def knn_ivf(spark, d) -> DataFrame:
 LSH_TABLES, LSH_BITS, LSH_ROWS, LSH_SEED = 8, 24, 64, 5
 #: Probes of a query's buckets turn over subsets of its so many nearest hyperplanes.
 LSH_TURNED = 8
+#: Rows of a region, neighbouring buckets of a table that meet in one task, and queries of a lot that come there, about.
+LSH_REGION, LSH_LOT = 1 << 15, 1 << 16
 
 
 class Hashed(NamedTuple):
-    """Rows by bucket: rows(cell, part, parts, vec_id, v), each once for each table, and the planes(table, plane, dimension)."""
+    """Rows by bucket: rows(cell, vec_id), each once for each table; vectors(vec_id, v), the planes(table, plane, dimension), and the lowest bits of a bucket that its region leaves out. Regions have about `block` rows."""
 
     rows: DataFrame
+    vectors: DataFrame
     planes: np.ndarray
+    shift: int
+    block: int
+
+
+def _signs(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
+    """The first probes buckets of each vector in a table, as signs: its own, then those on the other side of the planes it is nearest to, by the sum of the squared distances."""
+    side = x @ planes.T
+    own = ((side > 0).astype(np.int64) << np.arange(len(planes))).sum(1)
+    if probes == 1:
+        return own[:, None]
+    turned = min(len(planes), LSH_TURNED)
+    subsets = (np.arange(1 << turned)[:, None] >> np.arange(turned) & 1).astype(np.float32)
+    near = np.argsort(np.abs(side), axis=1, kind="stable")[:, :turned]
+    best = np.argsort(np.take_along_axis(side, near, 1) ** 2 @ subsets.T, axis=1, kind="stable")[:, :probes]
+    return own[:, None] ^ np.stack([(subsets[b].astype(np.int64) << n).sum(1) for b, n in zip(best, near)])
+
+
+def _matrix(v: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.stack(v.to_numpy(zero_copy_only=False)).astype(kind)
 
 
 def _buckets(planes, probes: int) -> Callable:
-    """The first probes buckets of each vector in each table, as table << LSH_BITS | signs: its own, then those on the other side of the planes it is nearest to, by the sum of the squared distances."""
+    """The first probes buckets of each vector in each table, as table << LSH_BITS | signs."""
 
     @F.arrow_udf("array<array<bigint>>")
     def buckets(v: pa.Array) -> pa.Array:
-        tables, bits, _ = planes.value.shape
-        turned = min(bits, LSH_TURNED)
-        subsets = (np.arange(1 << turned)[:, None] >> np.arange(turned) & 1).astype(np.float32)
         out = []
         for at in range(0, len(v), BLOCK):
-            x = np.stack(v[at : at + BLOCK].to_numpy(zero_copy_only=False)).astype(np.float32)
-            rows = [[] for _ in range(len(x))]
-            for t in range(tables):
-                side = x @ planes.value[t].T
-                own = ((side > 0).astype(np.int64) << np.arange(bits)).sum(1)
-                if probes == 1:
-                    found = own[:, None]
-                else:
-                    near = np.argsort(np.abs(side), axis=1, kind="stable")[:, :turned]
-                    cost = np.take_along_axis(side, near, 1) ** 2 @ subsets.T
-                    best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-                    flips = np.stack([(subsets[b].astype(np.int64) << n).sum(1) for b, n in zip(best, near)])
-                    found = own[:, None] ^ flips
-                for row, cells in zip(rows, found | t << LSH_BITS):
-                    row.append(cells)
-            out += rows
+            x = _matrix(v[at : at + BLOCK], np.float32)
+            found = [_signs(x, p, probes) | t << LSH_BITS for t, p in enumerate(planes.value)]
+            out += [list(cells) for cells in zip(*found)]
         return pa.array(out, pa.list_(pa.list_(pa.int64())))
 
     return buckets
 
 
-def lsh_index(rows: DataFrame, tables: int = LSH_TABLES, bits: int | None = None, block: int = BLOCK) -> Hashed:
-    """rows(vec_id, v), every one, in a bucket of each table of random hyperplanes. Buckets of more than a block are cut into parts, so equal vectors make no large task."""
+def _regions(planes, probes: int, shift: int) -> Callable:
+    """The regions, each once, of the first probes buckets of each vector in all tables."""
+
+    @F.arrow_udf("array<bigint>")
+    def regions(v: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(v), BLOCK):
+            x = _matrix(v[at : at + BLOCK], np.float32)
+            found = np.concatenate([(_signs(x, p, probes) | t << LSH_BITS) >> shift for t, p in enumerate(planes.value)], 1)
+            out += [np.unique(row) for row in found]
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return regions
+
+
+def _meet_buckets(planes, probes: int, shift: int, k: int, metric: str) -> Callable:
+    """The k best rows of a part of a region for each query, of those that are in one of its probed buckets there; not the row of the query's own id."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            of_table = planes.value[(left.column("region")[0].as_py() << shift) >> LSH_BITS]
+            vi, b = right.column("vec_id").to_numpy(), _matrix(right.column("v"), np.float32)
+            cell = _signs(b, of_table, 1)[:, 0]
+            order = np.lexsort((vi, cell))
+            vi, b = vi[order], b[order].astype(np.float64)
+            cells, begins, n = np.unique(cell[order], return_index=True, return_counts=True)
+            for low in range(0, len(left), 512):
+                few = left.slice(low, 512)
+                a, qi = _matrix(few.column("q"), np.float32), few.column("query_id").to_numpy()
+                probed = _signs(a, of_table, probes)
+                place = np.minimum(np.searchsorted(cells, probed), len(cells) - 1)
+                here, a = cells[place] == probed, a.astype(np.float64)
+                for i, q in enumerate(a):
+                    p = place[i][here[i]]
+                    rows = np.repeat(begins[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(n[p].sum())
+                    rows = rows[vi[rows] != qi[i]]
+                    x = b[rows]
+                    s = x @ q
+                    if metric == "l2":
+                        s = -np.sqrt(np.maximum(0, (q**2).sum() + (x**2).sum(1) - 2 * s))
+                    s = np.round(s, 6)
+                    if len(s) > k:
+                        cut = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                        rows, s = rows[cut], s[cut]
+                    best = np.lexsort((vi[rows], -s))[:k]
+                    out.append((np.full(len(best), qi[i]), vi[rows[best]], s[best]))
+        found = [np.concatenate(x) for x in zip(*out)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
+
+    return meet
+
+
+def lsh_index(rows: DataFrame, tables: int = LSH_TABLES, bits: int | None = None, block: int = LSH_REGION) -> Hashed:
+    """rows(vec_id, v), every one, in a bucket of each table of random hyperplanes."""
     n, one = rows.count(), rows.select(F.size("v")).first()
     bits = min(LSH_BITS, max(1, round(np.log2(max(2, n) / LSH_ROWS)))) if bits is None else bits
     planes = np.random.default_rng(LSH_SEED).normal(size=(tables, bits, one[0] if one else 1)).astype(np.float32)
     sent = rows.sparkSession.sparkContext.broadcast(planes)
-    cells = F.flatten(_buckets(sent, 1)("v"))
-    dealt = written(rows.select(F.explode(cells).alias("cell"), "vec_id", "v"), "lsh")
-    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    return Hashed(dealt.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")), planes)
+    of = min(bits, max(0, int(np.ceil(np.log2(max(1, n) / block)))))  # bits that tell regions apart
+    return Hashed(rows.select(F.explode(F.flatten(_buckets(sent, 1)("v"))).alias("cell"), "vec_id"), rows, planes, bits - of, block)
 
 
 def lsh_probes(index: Hashed, queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot") -> int:
@@ -265,7 +323,8 @@ def lsh_probes(index: Hashed, queries: DataFrame, rows: DataFrame, k: int = TOP,
     sent, most = rows.sparkSession.sparkContext.broadcast(index.planes), 1 << min(index.planes.shape[1], LSH_TURNED)
     tried = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(IVF_TRIED)
     order = tried.select("query_id", _buckets(sent, most)("q").alias("order"))
-    near = nearest(tried, rows, k, metric).join(index.rows.select("vec_id", "cell"), "vec_id").join(order, "query_id")
+    found = written(nearest(tried, rows, k, metric), "near")  # IVF_TRIED * k rows at most
+    near = rows.join(F.broadcast(found), "vec_id").select("query_id", "vec_id", F.explode(F.flatten(_buckets(sent, 1)("v"))).alias("cell")).join(order, "query_id")
     place = F.array_position(F.get("order", F.shiftright("cell", LSH_BITS).cast("int")), F.col("cell"))
     first = near.groupBy("query_id", "vec_id").agg(F.min(F.when(place > 0, place)).alias("first"))
     ranks = sorted(r[0] if r[0] else most for r in first.select("first").collect())  # IVF_TRIED * k numbers at most
@@ -279,20 +338,26 @@ def lsh_candidates(index: Hashed, queries: DataFrame, probes: int) -> DataFrame:
 
 
 def lsh_search(index: Hashed, queries: DataFrame, probes: int, k: int = TOP, metric: str = "dot") -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k best rows that share one of the probed buckets of a table with each of queries(query_id, q): an equi-join on bucket and part."""
-    asked = written(lsh_candidates(index, queries, probes), "asked")
-    lots = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("lots"))
-    parts = index.rows.select("cell", "parts").distinct()
-    asked = asked.join(lots, "cell").join(parts, "cell").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
-    asked = asked.select("cell", "lot", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = index.rows.join(lots, "cell").select(
-        "cell", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"),
+    """(query_id, vec_id, score, rank) of the k best rows that share one of the probed buckets of a table with each of queries(query_id, q).
+
+    A query comes once to each region where it probes, not to each bucket, and takes k rows from there; buckets are told anew from the vectors there. Regions of more than
+    `block` rows, as of equal vectors, are cut into parts, and their queries into lots: an equi-join on region, part and lot.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(index.planes)
+    own, probed = (F.explode(_regions(sent, n, index.shift)(v)).alias("region") for n, v in ((1, "v"), (probes, "q")))
+    cut = index.vectors.select(own).groupBy("region").agg(F.ceil(F.count("*") / index.block).cast("int").alias("parts"))
+    lots = queries.select(probed).groupBy("region").agg(F.ceil(F.count("*") / LSH_LOT).cast("int").alias("lots"))
+    cuts = small(written(cut.join(lots, "region"), "regions"))
+    asked = queries.select("query_id", "q", probed).join(cuts, "region").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int"))
+    asked = asked.select("region", "lot", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = index.vectors.select("vec_id", "v", own).join(cuts, "region").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    rows = rows.select("region", "part", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    met = asked.groupBy("region", "part", "lot").cogroup(rows.groupBy("region", "part", "lot")).applyInArrow(
+        _meet_buckets(sent, probes, index.shift, k, metric), "query_id bigint, vec_id bigint, score double",
     )
-    met = asked.groupBy("cell", "part", "lot").cogroup(rows.groupBy("cell", "part", "lot")).applyInArrow(
-        _meet(k, metric), "query_id bigint, vec_id bigint, score double",
-    ).dropDuplicates(["query_id", "vec_id"])  # a pair may meet in several tables
+    once = met.repartition("query_id").dropDuplicates(["query_id", "vec_id"])  # a pair may meet in several tables
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @query("knn_lsh")

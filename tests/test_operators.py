@@ -400,6 +400,23 @@ def test_lsh_compares_a_falling_share_of_clustered_vectors(spark):
     assert shares[1] < shares[0] and shares[1] < 0.5
 
 
+def test_lsh_meets_all_and_only_what_shares_a_bucket(spark, monkeypatch):
+    """Small regions, parts and lots against a join on the buckets; a query comes to a region once."""
+    monkeypatch.setattr(vectors, "LSH_LOT", 20)
+    rows = clustered(spark, 1500)
+    q = rows.where("vec_id % 10 = 0").toDF("query_id", "q")
+    index = vectors.lsh_index(rows, tables=3, bits=6, block=200)
+    v = {r["vec_id"]: np.array(r["v"], np.float32).astype(float) for r in rows.collect()}
+    met = vectors.lsh_candidates(index, q, 9).join(index.rows, "cell").where("query_id <> vec_id").select("query_id", "vec_id").distinct().collect()
+    want = {}
+    for r in met:
+        want.setdefault(r["query_id"], []).append((-round(float(v[r["query_id"]] @ v[r["vec_id"]]), 6), r["vec_id"]))
+    got = {}
+    for r in vectors.lsh_search(index, q, 9).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
+    assert 0 < index.shift < 6 and {k: [x[i] for i in sorted(x)] for k, x in got.items()} == {k: sorted(x)[:10] for k, x in want.items()}
+
+
 def test_lsh_of_equal_vectors_and_of_none(spark):
     rows = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("v"))
     index = vectors.lsh_index(rows, tables=2, bits=3, block=7)
