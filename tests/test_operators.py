@@ -251,6 +251,19 @@ def test_encoded_texts_of_common_words_are_near(spark):
     assert {r["doc_id"]: list(r["vector"]) for r in encoding.encoded_documents(index).collect()} == {k: list(x) for k, x in v.items()}
 
 
+def test_blocks_get_each_terms_df_from_all_buckets(spark, monkeypatch):
+    """Vectors made in blocks of a few documents, with the df of many buckets, are those of the texts."""
+    monkeypatch.setattr(postings, "BUCKET_TERMS", 8)
+    rng = np.random.default_rng(22)
+    docs = [(k, " ".join(f"w{min(40, int(x))}" for x in rng.exponential(9, 25))) for k in range(40)] + [(50, None), (51, " ."), (53, "É😀x é 𝔘𝔘 ٣"), (-7, "w1 W1 lone")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    index = retrieval.build_index(df, block_docs=5)
+    want = {r["doc_id"]: list(r["vector"]) for r in encoding.encoded(index, df).collect()}
+    got = {r["doc_id"]: list(r["vector"]) for r in encoding.encoded_documents(index).collect()}
+    assert index.buckets > 4 and index.blocks.count() >= 8 and set(got) == set(want) == {k for k, t in docs if k not in (50, 51)}
+    assert all(np.allclose(got[k], want[k], atol=2e-6) for k in want)
+
+
 def test_short_passages_join_by_their_opening(spark, sf):
     docs = [(1, "ab cd"), (2, "xab c"), (3, "\n\n."), (4, ""), (5, "é😀 b")]
     passages = [(1, "ab"), (2, ""), (3, "ab cd"), (4, "\n."), (5, "😀 b"), (6, None), (7, "zz")]
