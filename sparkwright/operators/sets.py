@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,47 +101,82 @@ def cte_recursive(spark, d) -> DataFrame:
         spark.conf.set(RECURSION_ROWS, before)
 
 
-def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame | None:
     """(start, node) of every node that can be reached from each of starts(start) over edges(src, dst), itself included.
 
     Semi-naive: a step joins only the pairs that the step before found first, and each step's new pairs are written, so the lineage stays short and
-    nothing is found twice. It takes as many steps as the longest of the shortest paths.
+    nothing is found twice. It takes as many steps as the longest of the shortest paths. None, where most is given and there are more pairs than that.
     """
     edges = written(edges.select("src", "dst").distinct(), "edges")
     new = written(starts.select("start", F.col("start").alias("node")).distinct(), "reached")
-    seen = new
-    while not new.isEmpty():
+    seen, pairs = new, 0
+    while n := new.count():
+        pairs += n
+        if most is not None and pairs > most:
+            return None
         ahead = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         new = written(ahead.join(seen, ["start", "node"], "left_anti"), "reached")
         seen = seen.union(new)
     return seen
 
 
-#: Nodes of which the best one is the hub.
-HUBS = 8
+#: Nodes of which the best one is the hub; pairs up to which plain steps do; nodes and starts of a lot, starts of a part, and pairs of a task, about.
+HUBS, HUB_PAIRS, LOT, STARTS, TASK_PAIRS = 8, 1 << 20, 512, 1 << 16, 1 << 25
 
 
 def closure_by_hub(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """The rows of closure(edges, starts), where most starts reach one large part of the graph: steps of linear size, though the result is starts times nodes.
+    """The rows of closure(edges, starts), where most starts reach one of a few large parts of the graph: steps of linear size, though the result is starts times nodes.
 
     Of HUBS nodes, the hub is the one whose starts times what it reaches are the most. What it reaches (ahead) is closed, so a start that reaches the hub has all of it, and
-    steps on from such a start only outside; these rows are made once, at the end. Starts that do not reach the hub take the plain steps.
+    steps on from such a start only outside; these rows are made once, at the end. The starts that do not reach the hub take the plain steps, or get another hub if that makes
+    more than HUB_PAIRS.
     """
     edges = written(edges.select("src", "dst").distinct(), "edges")
     starts = written(starts.select("start").distinct(), "starts")
-    tried = edges.where("dst IS NOT NULL").select(F.col("dst").alias("start")).distinct()
-    tried = written(tried.orderBy(F.xxhash64("start"), "start").limit(HUBS), "tried")
-    ahead = written(closure(edges, tried).toDF("hub", "node"), "ahead")
-    behind = written(closure(edges.toDF("dst", "src"), tried).toDF("hub", "start").join(starts, "start", "left_semi"), "behind")
-    sizes = ahead.groupBy("hub").agg(F.count("*").alias("a")).join(behind.groupBy("hub").agg(F.count("*").alias("b")), "hub")
-    best = sizes.orderBy(F.desc(F.col("a") * F.col("b")), "hub").first()
-    if best is None:
-        return closure(edges, starts)
-    ahead, behind = (df.where(F.col("hub") == best["hub"]).drop("hub") for df in (ahead, behind))
-    ahead_of = lambda c: ahead.select(F.col("node").alias(c))
-    outer = edges.join(ahead_of("src"), "src", "left_anti").join(ahead_of("dst"), "dst", "left_anti").select("src", "dst")
-    outside = closure(outer, behind.join(ahead_of("start"), "start", "left_anti"))
-    others = closure(edges, starts.join(behind, "start", "left_anti"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = behind.crossJoin(ahead.repartition(parts, "node")).select("start", "node")
-    return both.unionByName(outside).unionByName(others)
+    found, near, rest = [], edges, None
+    while rest is None:
+        tried = near.where("dst IS NOT NULL").select("dst").distinct()
+        tried = [r[0] for r in tried.orderBy(F.xxhash64("dst"), "dst").limit(HUBS).collect()]
+        ahead, behind = _reached(edges, tried), _reached(edges.toDF("dst", "src"), tried)
+        behind = written(behind.withColumnRenamed("node", "start").join(starts, "start", "left_semi"), "behind")
+        has = [F.col("hubs").bitwiseAND(1 << i) != 0 for i in range(HUBS)]
+        a, b = (df.agg(*(F.count_if(x) for x in has)).first() for df in (ahead, behind))
+        i = max(range(HUBS), key=lambda i: a[i] * b[i])
+        if a[i] * b[i] < (HUB_PAIRS if found else 1):
+            rest = closure(edges, starts)
+            break
+        ahead, behind = ahead.where(has[i]).drop("hubs"), behind.where(has[i]).drop("hubs")
+        ahead_of = lambda c: ahead.select(F.col("node").alias(c))  # noqa: E731, B023
+        outer = edges.join(ahead_of("src"), "src", "left_anti").join(ahead_of("dst"), "dst", "left_anti").select("src", "dst")
+        found += [_all_pairs(behind, ahead, b[i], a[i]), closure(outer, behind.join(ahead_of("start"), "start", "left_anti"))]
+        starts = written(starts.join(behind, "start", "left_anti"), "starts")
+        near = edges.join(starts, F.col("src") == F.col("start"), "left_semi")
+        rest = closure(edges, starts, HUB_PAIRS)
+    return reduce(DataFrame.unionByName, found, rest)
+
+
+def _reached(edges: DataFrame, tried: list) -> DataFrame:
+    """(node, hubs) of the nodes that one of a few others reaches, itself included; bit i of hubs stands for tried[i]. Steps as those of closure(), with a row for each node."""
+    nodes = edges.sparkSession.createDataFrame([(x, 1 << i) for i, x in enumerate(tried)], f"node {edges.schema['dst'].dataType.simpleString()}, hubs int")
+    seen = new = written(nodes, "reached")
+    while not new.isEmpty():
+        ahead = new.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.bit_or("hubs").alias("hubs"))
+        known = seen.groupBy("node").agg(F.bit_or("hubs").alias("known"))
+        fresh = F.col("hubs").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0))))
+        new = written(ahead.join(known, "node", "left").select("node", fresh.alias("hubs")).where("hubs <> 0"), "reached")
+        seen = seen.union(new)
+    return written(seen.groupBy("node").agg(F.bit_or("hubs").alias("hubs")), "reached")
+
+
+def _all_pairs(starts: DataFrame, nodes: DataFrame, n_starts: int, n_nodes: int) -> DataFrame:
+    """(start, node) of all pairs: lots of both meet and are opened last. A task repeats the nodes of a lot for each start, so its Parquet is short: they recur within a page."""
+
+    def lots(df: DataFrame, column: str, n: int) -> DataFrame:
+        many = df.groupBy(F.pmod(F.xxhash64(column), F.lit(-(-n // (32 * LOT)))).alias("lot")).agg(F.collect_list(column).alias("all"))
+        return many.select(F.explode(F.sequence(F.lit(1), F.size("all"), F.lit(LOT))).alias("at"), "all").select(F.slice("all", F.col("at"), F.lit(LOT)).alias(f"{column}s"))
+
+    parts = -(-n_starts // STARTS)
+    tasks = max(int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_starts * n_nodes // TASK_PAIRS) // parts
+    left = lots(nodes, "node", n_nodes).repartition(max(1, min(-(-n_nodes // LOT), tasks)))
+    met = left.hint("shuffle_replicate_nl").crossJoin(lots(starts, "start", n_starts).repartition(parts))
+    return met.select("nodes", F.explode("starts").alias("start")).select("start", F.explode("nodes").alias("node"))

@@ -20,61 +20,96 @@ from ..sources.tables import table
 BLOCK, TOP = 4096, 10
 
 
-def _blocks(vectors: DataFrame, id_col: str, block: int) -> tuple[DataFrame, int]:
-    rows = vectors.count()
-    n = max(1, -(-rows // (block * max(1, min(4, rows // (16 * block))))))  # of many rows up to four times as large, so there are fewer copies
-    return vectors.withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
+#: Of the exact search: parts of queries times parts of rows that small tables are cut into at most, and numbers in a part of the rows at most.
+MEETINGS, PART_NUMBERS = 64, 1 << 23
 
 
 def _meet(k: int, metric: str, apart: bool = True) -> Callable:
-    """The k best of some rows for each of some queries, as one product of matrices; apart: not the row of the query's own id."""
+    """The k best of some rows for each of some queries; apart: not the row of the query's own id."""
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            a = np.stack(left.column("q").to_numpy(zero_copy_only=False)).astype(np.float64)
-            b = np.stack(right.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
-            qi, vi = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
-            for at in range(0, len(a), 512):
-                s = a[at : at + 512] @ b.T
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum(0, (a[at : at + 512] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * s))
-                s = np.round(s, 6)
-                for i, row in enumerate(s):
-                    ok = np.flatnonzero(vi != qi[at + i]) if apart else np.arange(len(vi))
-                    cut = ok if len(ok) <= k else ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k]]
-                    best = cut[np.lexsort((vi[cut], -row[cut]))[:k]]
-                    out["query_id"] += [qi[at + i]] * len(best)
-                    out["vec_id"] += vi[best].tolist()
-                    out["score"] += row[best].tolist()
-        return pa.table({
-            "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()),
-            "score": pa.array(out["score"], pa.float64()),
-        })
+        if not len(left) or not len(right):
+            return _best(*[np.zeros(0, np.int64), np.zeros((0, 1))] * 2, k, metric, apart)
+        a, b = (np.stack(t.column(c).to_numpy(zero_copy_only=False)) for t, c in ((left, "q"), (right, "v")))
+        return _best(left.column("query_id").to_numpy(), a, right.column("vec_id").to_numpy(), b, k, metric, apart)
 
     return meet
 
 
+def _best(qi: np.ndarray, a: np.ndarray, vi: np.ndarray, b: np.ndarray, k: int, metric: str, apart: bool) -> pa.Table:
+    """As products of matrices of a few queries each."""
+    out = {"query_id": [], "vec_id": [], "score": []}
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    few = max(1, min(512, PART_NUMBERS // max(1, len(b))))
+    for at in range(0, len(a), few):
+        s = a[at : at + few] @ b.T
+        if metric == "l2":
+            s = -np.sqrt(np.maximum(0, (a[at : at + few] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * s))
+        np.round(s, 6, out=s)
+        for i, row in enumerate(s):
+            if apart:
+                row[vi == qi[at + i]] = -np.inf
+            cut = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+            cut = cut[vi[cut] != qi[at + i]] if apart else cut
+            best = cut[np.lexsort((vi[cut], -row[cut]))[:k]]
+            out["query_id"] += [qi[at + i]] * len(best)
+            out["vec_id"] += vi[best].tolist()
+            out["score"] += row[best].tolist()
+    return pa.table({
+        "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()),
+        "score": pa.array(out["score"], pa.float64()),
+    })
+
+
+def _cut(queries: int, rows: int, width: int, block: int) -> tuple[int, int]:
+    """Parts of the queries and of the rows. A part of the rows may be large, as each gives a query's k best of its own; small tables are cut so that there are tasks enough."""
+    wanted = min(MEETINGS, -(-queries * rows // block**2))
+    n_q = max(1, -(-queries // (4 * block)), -(-queries * width // (PART_NUMBERS // 8)))
+    n_r = max(1, -(-rows // (32 * block)), -(-rows * width // PART_NUMBERS))
+    if n_q * n_r < wanted:
+        n_q = max(n_q, min(-(-queries // max(1, block // 8)), -(-wanted // n_r)))
+        n_r = max(n_r, -(-wanted // n_q))
+    return n_q, n_r
+
+
+def _packed(vectors: DataFrame, parts: int, names: str) -> DataFrame:
+    """(ids, vectors) as bytes, a row for each of so many parts of equal size."""
+    kind = _kind(vectors)
+
+    def pack(batches):
+        held = [(b.column(0).to_numpy(), np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(kind)) for b in batches if b.num_rows]
+        if held:
+            yield pa.record_batch([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held, strict=True)], names.split())
+
+    return vectors.repartition(parts).mapInArrow(pack, ", ".join(f"{x} binary" for x in names.split()))
+
+
+def _kind(vectors: DataFrame) -> str:
+    return "f8" if vectors.schema[1].dataType.elementType.typeName() == "double" else "f4"
+
+
 def nearest(
     queries: DataFrame, rows: DataFrame, k: int = TOP, metric: str = "dot", block: int = BLOCK, apart: bool = True,
 ) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k best rows for each of queries(query_id, q); rows(vec_id, v). Ties go to the smaller id.
 
-    Every block of queries meets every block of rows once, as one product of matrices in one task; k rows of each
-    meeting go on. Blocks are of bounded size, so memory is too; a row is never its own neighbour, unless the ids are of different things (apart=False).
+    Every part of the queries meets every part of the rows once, as products of matrices in one task; k rows of each meeting go on. Parts are of bounded size, so memory
+    is too. Each vector is shuffled once: a meeting reads the two parts where they lie, no copies are made for it. A row is never its own neighbour, unless the ids are of
+    different things (apart=False).
     """
-    q, n_q = _blocks(queries, "query_id", block)
-    r, n_r = _blocks(rows, "vec_id", block)
-    q = q.select(
-        "query_id", "q", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"),
-    )
-    r = r.select(
-        "vec_id", "v", F.col("block").alias("rb2"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb2"),
-    )
-
-    met = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInArrow(
-        _meet(k, metric, apart), "query_id bigint, vec_id bigint, score double",
-    )
+    q, r = queries.select("query_id", "q"), rows.select("vec_id", "v")
+    (of_q, width), (of_r, _) = (df.agg(F.count("*"), F.coalesce(F.max(F.size(df.columns[1])), F.lit(1))).first() for df in (q, r))
+    n_q, n_r = _cut(of_q, of_r, max(1, width), block)
+    kinds = _kind(q), _kind(r)
+
+    def meet(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qi, a, vi, b = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in enumerate(("i8", kinds[0], "i8", kinds[1])))
+                yield from _best(qi, a.reshape(len(qi), -1), vi, b.reshape(len(vi), -1), k, metric, apart).to_batches()
+
+    pairs = _packed(q, n_q, "query_ids q").hint("shuffle_replicate_nl").crossJoin(_packed(r, n_r, "vec_ids v"))
+    met = pairs.mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

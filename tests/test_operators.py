@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwright import catalogue
+from sparkwright.operators import sets
 from sparkwright.operators.aggregates import (
     CM_BUCKETS, CM_ROWS, count_min, count_min_estimates, count_min_merged, exact_quantiles, from_ordered_bits, ordered_bits,
 )
@@ -61,6 +62,41 @@ def test_nearest_in_many_blocks(spark, sf):
     assert few == sorted(map(tuple, nearest(q, r, 5).collect()))
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+def test_nearest_shuffles_each_vector_once(spark, metric):
+    """Seventeen blocks of queries against seventeen of rows: a vector that is shuffled for each of them makes 17 times the bytes. Equal vectors and repeated ids are among the rows."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 64)).astype(np.float32)
+    v[50:60] = v[7]
+    ids = [*range(590), *range(10)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id bigint, v array<float>")
+    before = shuffled(spark)
+    got = nearest(rows.toDF("query_id", "q").where("query_id >= 10"), rows, 5, metric, block=37).select("query_id", "vec_id", "rank").collect()
+    assert shuffled(spark) - before < 3 * v.nbytes
+    x = v.astype(np.float64)
+    s = np.round(x @ x.T if metric == "dot" else -np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T)), 6)
+    want = [(q, ids[j], r + 1) for q in range(10, 590) for r, j in enumerate(sorted((j for j in range(600) if ids[j] != q), key=lambda j: (-s[q, j], ids[j]))[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_parts_of_the_exact_search_are_bounded_and_enough():
+    for q, r, width in product((0, 1, 25, 513, 10_256, 51_282, 615_384, 5_000_000), (0, 1, 500, 10_256, 615_384, 5_000_000), (1, 64, 1024)):
+        n_q, n_r = vectors._cut(q, r, width, vectors.BLOCK)
+        assert n_q >= 1 and n_r >= 1
+        assert -(-r // n_r) * width <= vectors.PART_NUMBERS and -(-q // n_q) * width <= vectors.PART_NUMBERS // 8
+        assert n_q * n_r >= min(8, q * r // vectors.BLOCK**2)
+    assert vectors._cut(615_384, 615_384, 64, vectors.BLOCK)[1] == 5  # so each query sends on 5 times k rows
+
+
 def test_range_join_against_all_pairs(spark):
     a = [(i, x) for i, x in enumerate([-7.5, 0.0, 1.0, 9.99, 10.0, 55.5])]
     b = [(i, lo, hi) for i, (lo, hi) in enumerate([(-8.0, 0.0), (0.0, 10.0), (9.0, 60.0), (5.0, 5.0)])]
@@ -111,6 +147,28 @@ def test_closure_by_hub_writes_no_pairs_of_a_cycle(spark):
     assert got.count() == 300 * 300 and wrote < 300 * 300 / 2
 
 
+def test_closure_by_hub_writes_no_pairs_of_several_cycles(spark, monkeypatch):
+    """Three parts of 200 nodes that do not reach each other, and some pairs of nodes: the second and third part are no plain steps either."""
+    monkeypatch.setattr(sets, "HUB_PAIRS", 3000)
+    folder = shared_dir(spark).removeprefix("file://")
+    parts = spark.range(600).select(F.col("id").alias("src"), F.explode(F.array(*(((F.col("id") * 7 + j * j) % 200 + F.floor(F.col("id") / 200) * 200) for j in range(5)))).alias("dst"))
+    edges = parts.union(spark.range(600, 640).select("id", F.col("id").bitwiseXOR(F.lit(1))))
+    before = set(Path(folder).iterdir())
+    got = closure_by_hub(edges, spark.range(640).toDF("start"))
+    wrote = sum(spark.read.parquet(str(x)).count() for x in set(Path(folder).iterdir()) - before)
+    assert sorted(map(tuple, got.collect())) == sorted([(i, j) for i in range(600) for j in range(i // 200 * 200, i // 200 * 200 + 200)] + [(i, j) for i in range(600, 640) for j in (i, i ^ 1)])
+    assert wrote < 600 * 200 / 2
+
+
+def test_closure_by_hub_makes_short_files(spark, tmp_path):
+    """Starts times nodes rows, of which a page of Parquet repeats the nodes: far under the 12 bits that a node takes."""
+    edges = spark.range(3000).select(F.col("id").alias("src"), F.explode(F.array((F.col("id") + 1) % 3000, *(((F.col("id") * 7 + j * j) % 3000) for j in range(4)))).alias("dst"))
+    closure_by_hub(edges, spark.range(3000).toDF("start")).write.parquet(str(tmp_path / "out"))
+    files = [*(tmp_path / "out").glob("part-*")]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3000 * 3000
+    assert sum(x.stat().st_size for x in files) < 3000 * 3000 / 5
+
+
 def test_count_min_is_never_too_low_and_within_its_bound(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey")
     n = df.count()
